@@ -99,20 +99,26 @@ def browser_detail(b: Column, original_url: Column) -> Column:
                        part("Title: ", b["title"]))
 
 
-def validate_dead(results: DataFrame, observations: DataFrame, url_col: str = "url") -> DataFrame:
-    """D7 + J6: dead rows joined to their browser observation; adds ``browser`` struct.
+def with_browser(results: DataFrame, observations: DataFrame, url_col: str = "url") -> DataFrame:
+    """D7 + J6: adds the ``browser`` struct to dead rows (NULL for the others).
 
-    The input is filtered to dead links before the join, so only those rows are shuffled.
+    One left join on the URL, matching only dead rows; when ``results`` is already partitioned
+    by the URL (it is after the probe join) only the observation side is shuffled.
     """
-    dead = results.where(F.col("status") == "dead")
     obs = observations.select(F.col("url").alias("_obs_url"),
                               F.struct(*[c for c in observations.columns if c != "url"]).alias("_obs"))
-    joined = dead.join(obs, F.col(url_col) == F.col("_obs_url"), "left")
-    return (joined.withColumn("browser", browser_decision(F.col(url_col), F.col("_obs"),
-                                                          F.col("status"), F.col("status_code")))
+    dead = F.col("status") == "dead"
+    joined = results.join(obs, (F.col(url_col) == F.col("_obs_url")) & dead, "left")
+    return (joined.withColumn("browser", F.when(dead, browser_decision(
+                F.col(url_col), F.col("_obs"), F.col("status"), F.col("status_code"))))
             .drop("_obs_url", "_obs"))
 
 
+def validate_dead(results: DataFrame, observations: DataFrame, url_col: str = "url") -> DataFrame:
+    """J6 result: only the dead rows, each with its browser decision."""
+    return with_browser(results.where(F.col("status") == "dead"), observations, url_col)
+
+
 def browser_totals(validated: DataFrame) -> DataFrame:
     """False positives (HTTP dead, browser alive), confirmed dead, blocked, timeout, error."""
     s = F.col("browser.status")

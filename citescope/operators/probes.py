@@ -92,24 +92,24 @@ def classify_urls(links: DataFrame, probes: DataFrame, url_col: str = "url",
                   skip_col: str | None = None, **kw) -> DataFrame:
     """J3 + D6: adds ``status`` and ``status_code`` to every link row.
 
-    Rows flagged by ``skip_col`` (links that have an archive) and archive URLs are ``archived``
-    without touching the probe join; the rest join the probe table on the URL (sort-merge on
-    the URL key at scale, broadcast by AQE only when the probe side is measured small).
+    One left join on the URL whose condition also requires that the link be checked: rows with
+    an archive (``skip_col``) and archive URLs never match a probe and become ``archived``.
+    The join is sort-merge on the URL at scale (AQE splits a skewed URL partition and may
+    broadcast a probe side it measured small), and its output stays partitioned by URL for the
+    browser join that follows.
     """
-    skip = F.col(skip_col) if skip_col else F.lit(False)
+    skip = F.coalesce(F.col(skip_col), F.lit(False)) if skip_col else F.lit(False)
     u = F.col(url_col)
-    archived = (links.where(skip | urls.is_archive(u))
-                .withColumn("status", F.lit("archived"))
-                .withColumn("status_code", F.lit(None).cast("int")))
-    to_probe = links.where(~(skip | urls.is_archive(u)))
     ps = probe_struct(probes)
-    joined = to_probe.join(ps, u == F.col("_probe_url"), "left")
-    res = http_status(u, F.col("probe"), **kw)
-    probed = (joined.withColumn("_r", res)
-              .withColumn("status", F.col("_r.status"))
-              .withColumn("status_code", F.col("_r.status_code"))
-              .drop("_r", "_probe_url", "probe"))
-    return probed.unionByName(archived)
+    cond = (u == F.col("_probe_url")) & ~skip & ~urls.is_archive(u)
+    joined = links.join(ps, cond, "left")
+    res = F.when(skip, F.struct(F.lit("archived").alias("status"),
+                                F.lit(None).cast("int").alias("status_code"))) \
+        .otherwise(http_status(u, F.col("probe"), **kw))
+    return (joined.withColumn("_r", res)
+            .withColumn("status", F.col("_r.status"))
+            .withColumn("status_code", F.col("_r.status_code"))
+            .drop("_r", "_probe_url", "probe"))
 
 
 def status_summary(results: DataFrame, keys=()) -> DataFrame:

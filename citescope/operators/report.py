@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citescope.functions import urls
 from citescope.operators.browser import browser_detail
 from citescope.schemas import REPORT_COLUMNS
+from citescope.session import checkpoint_dir
 
 # ---- fixed values ------------------------------------------------------------------------------
 NO_ERROR = "None"                    # the string, not a NULL
@@ -84,6 +85,10 @@ def top_dead_articles(results: DataFrame, n: int = TOP_DEAD_ARTICLES) -> DataFra
     per_title = per_occ.groupBy("article_title").agg(
         F.max_by("dead_links", "article_pos").alias("dead_links"),
         F.min("article_pos").alias("first_pos"))
+    # The ranking and the totals both read this small table: materialise it once in the
+    # checkpoint folder so the audit behind it runs once (and survives executor loss).
+    checkpoint_dir(results.sparkSession)
+    per_title = per_title.checkpoint(eager=True)
     n_articles = per_title.select(F.count("*")).scalar()
     n_dead = per_title.select(F.sum("dead_links").cast("bigint")).scalar()
     order = [F.desc("dead_links"), F.asc("first_pos")]
@@ -98,10 +103,10 @@ def top_dead_articles(results: DataFrame, n: int = TOP_DEAD_ARTICLES) -> DataFra
 def run_totals(results: DataFrame, articles_processed: DataFrame) -> DataFrame:
     """E5: links considered, dead and archived (duplicates counted), articles processed."""
     n_articles = articles_processed.select(F.count("*")).scalar()
-    return results.agg(F.count("*").alias("links_checked"),
-                       F.count_if(F.col("status") == "dead").alias("dead_links"),
-                       F.count_if(F.col("status") == "archived").alias("archived_links"),
-                       F.first(n_articles).alias("articles_processed"))
+    return (results.agg(F.count("*").alias("links_checked"),
+                        F.count_if(F.col("status") == "dead").alias("dead_links"),
+                        F.count_if(F.col("status") == "archived").alias("archived_links"))
+            .select("*", n_articles.alias("articles_processed")))
 
 
 def links_with_archives(ref_rows: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ Plan shape (structure mode):
   -> reference tree UDF (Python, Arrow batches; the only Python step)
   -> per-reference pairing (JVM higher-order functions, no shuffle)
   -> explode to one row per link occurrence
-  -> first archive per (article, original) (partial aggregate, skew-safe) joined back
-  -> probe join on URL, restricted to links without an archive (D6)
-  -> browser join on URL, restricted to dead links (D7)
+  -> first archive per (article, original): one window (a group never exceeds one document)
+  -> probe left join on URL, matching only links without an archive (D6)
+  -> browser left join on URL, matching only dead links (D7); reuses the URL partitioning
   -> CASE projection into the fixed report layout.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citescope.functions import urls
@@ -63,10 +63,16 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
 
 
 def _occurrences_structure(pages: DataFrame) -> DataFrame:
+    """Original occurrences with the article-wide first archive (D3).
+
+    A window over (article, original) instead of an aggregate joined back: one shuffle and no
+    second evaluation of the parser. A window group holds the links of one document only.
+    """
     rows = reference_rows(pages)
-    occ = rows.where(F.col("original_url") != "")
-    firsts = P.first_archives(rows).select("article_pos", "original_url", "first_archive")
-    return occ.join(firsts, ["article_pos", "original_url"], "left")
+    w = (Window.partitionBy("article_pos", "original_url").orderBy("ref_pos", "pair_pos")
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(F.when(F.col("archive_url") != "", F.col("archive_url")), ignorenulls=True).over(w)
+    return rows.where(F.col("original_url") != "").withColumn("first_archive", first)
 
 
 def _occurrences_flat(pages: DataFrame, mode: str) -> DataFrame:
@@ -97,21 +103,13 @@ def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs:
     occ = (occ.withColumn("article_title", clean_title(F.col("title")))
            .withColumn("_has_archive", F.coalesce(F.col("first_archive"), F.lit("")) != ""))
     classified = J.classify_urls(occ, probes, url_col="original_url", skip_col="_has_archive")
-    # Flat modes only check links without archives; the structure mode checks every original.
-    results = classified if mode == "structure" else classified.where(~F.col("_has_archive"))
     if browser_obs is not None:
-        validated = B.validate_dead(results, browser_obs, url_col="original_url")
-        others = results.where(F.coalesce(F.col("status"), F.lit("")) != "dead") \
-            .withColumn("browser", F.lit(None).cast(validated.schema["browser"].dataType))
-        checked = validated.unionByName(others)
+        checked = B.with_browser(classified, browser_obs, url_col="original_url")
     else:
-        validated = results.limit(0).withColumn("browser", F.lit(None))
-        checked = results.withColumn("browser", F.lit(None).cast("struct<status:string>"))
-    if mode != "structure":
-        checked = checked.unionByName(
-            classified.where(F.col("_has_archive")).withColumn("status", F.lit(None).cast("string"))
-            .withColumn("status_code", F.lit(None).cast("int"))
-            .withColumn("browser", F.lit(None).cast(checked.schema["browser"].dataType)))
+        checked = classified.withColumn("browser", F.lit(None).cast("struct<status:string>"))
+    # Flat modes only check links without archives; the structure mode checks every original.
+    results = checked if mode == "structure" else checked.where(~F.col("_has_archive"))
+    validated = results.where(F.col("status") == "dead")
     report = R.report_rows(checked, stamp)
     return AuditResult(report=report, results=results, validated=validated, links=occ,
                        articles=processed)
