@@ -93,9 +93,15 @@ def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs:
     """K2. ``articles(article_pos, title)`` may repeat titles (each occurrence is audited);
     ``pages(title, html)``; ``probes`` per ``schemas.PROBE_SCHEMA``; ``browser_obs`` per
     ``schemas.BROWSER_SCHEMA`` or None to skip the browser step."""
+    processed = articles_with_html(articles, pages, articles_bound=articles_bound)
+    return audit_pages(processed, probes, browser_obs, mode=mode, stamp=stamp)
+
+
+def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
+                mode: str = "structure", stamp: str = "19700101_000000") -> AuditResult:
+    """K2 from article occurrences that already carry their HTML: ``(article_pos, title, html)``."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    processed = articles_with_html(articles, pages, articles_bound=articles_bound)
     if mode == "structure":
         occ = _occurrences_structure(processed)
     else:

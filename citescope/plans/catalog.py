@@ -90,7 +90,7 @@ s AS (SELECT article, total_score * (1.0::DOUBLE + appearances * 0.1::DOUBLE) AS
              appearances, total_views, first_seen FROM g)
 SELECT CAST(row_number() OVER (ORDER BY score DESC, first_seen) AS INTEGER) AS top_pos,
        article AS title, round(score, 6) AS score, CAST(appearances AS BIGINT) AS appearances, total_views
-FROM s ORDER BY score DESC, first_seen LIMIT 25""".replace("WITH fx_pageviews", "WITH fx_pageviews"))
+FROM s ORDER BY score DESC, first_seen LIMIT 25""")
 def popular_scored(spark, sf_dir):
     """E1 flagship of the ranking: rank-weighted long-run top 25 over every day."""
     return POP.popular_scored(_pageviews(spark, sf_dir), limit=25)
@@ -149,7 +149,7 @@ def day_urls(spark, sf_dir):
 # ================================ popular-list links (C1, B2, B11, I8-I10) ==================
 
 _P = PL.link_pattern(DRIVER_PAGE_PREFIX)
-_NS = "^(?:" + "|".join(p.replace(":", ":") for p in PL.NAMESPACE_PREFIXES) + ")"
+_NS = "^(?:" + "|".join(PL.NAMESPACE_PREFIXES) + ")"
 _DUCK_MATCHES = f"""m AS (SELECT page_id, regexp_extract_all(html, {O.q(_P)}, 1) AS h,
                          regexp_extract_all(html, {O.q(_P)}, 2) AS t FROM pages),
 u AS (SELECT page_id, unnest(h) AS href, unnest(t) AS txt, unnest(range(len(h))) AS pos FROM m),
@@ -588,6 +588,86 @@ def run_totals(spark, sf_dir):
     return R.run_totals(res.results, res.articles)
 
 
+_F_STATUS, _F_CODE = O.http_status_case("o.url", "p")
+_DUCK_FLAT = _DUCK_D2 + [f"""fo AS (
+  SELECT o.article_pos, o.url AS original_url, o.pos,
+         CAST(row_number() OVER (PARTITION BY o.article_pos ORDER BY o.pos) - 1 AS INTEGER) AS link_pos,
+         (SELECT arg_min(m.archive_url, a2.pos) FROM m JOIN a a2 ON a2.article_pos = m.article_pos
+            AND a2.url = m.archive_url WHERE m.article_pos = o.article_pos AND m.original_url = o.url) AS first_archive,
+         {_F_STATUS} AS probe_status, {_F_CODE} AS probe_code
+  FROM o LEFT JOIN fx_probe p ON p.url = o.url),
+fchk AS (
+  SELECT f.article_pos, t.title, f.link_pos, f.original_url, f.first_archive,
+         f.first_archive IS NOT NULL AS has_archive,
+         CASE WHEN f.first_archive IS NOT NULL THEN 'archived' ELSE f.probe_status END AS status,
+         CASE WHEN f.first_archive IS NOT NULL THEN NULL ELSE f.probe_code END AS status_code
+  FROM fo f JOIN (SELECT DISTINCT article_pos, title FROM fx_refs) t ON t.article_pos = f.article_pos)""",
+    f"""fval AS (
+  SELECT c.article_pos, c.link_pos, {_BD['status']} AS browser_status,
+         {_BD['detail']} AS browser_detail
+  FROM fchk c LEFT JOIN fx_browser b ON b.url = c.original_url WHERE c.status = 'dead' AND NOT c.has_archive)""",
+    f"""frep AS (
+  SELECT {O.clean_title('c.title')} AS article_title, c.original_url, c.first_archive AS archive_url,
+         c.has_archive,
+         CASE WHEN c.has_archive THEN 'None'
+              WHEN c.status = 'dead' THEN coalesce(CAST(c.status_code AS VARCHAR), 'CONNECTION_ERROR')
+              WHEN c.status = 'blocked' THEN coalesce(CAST(c.status_code AS VARCHAR), 'BLOCKED')
+              WHEN c.status = 'alive' THEN 'None'
+              ELSE coalesce(CAST(c.status_code AS VARCHAR), 'ERROR') END AS error_code,
+         {O.q(RUN_STAMP)} AS "timestamp",
+         CASE WHEN c.has_archive THEN 'Browser validation not performed.'
+              WHEN c.status = 'dead' THEN v.browser_status ELSE c.status END AS browser_validation_check,
+         CASE WHEN c.has_archive THEN '' WHEN c.status = 'dead' THEN v.browser_detail ELSE '' END
+           AS browser_validation_check_detail,
+         c.article_pos, c.link_pos
+  FROM fchk c LEFT JOIN fval v ON v.article_pos = c.article_pos AND v.link_pos = c.link_pos)"""]
+
+
+def _flat_audit(spark, sf_dir, mode: str) -> A.AuditResult:
+    arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title").distinct()
+    return A.audit(arts, _html(spark, sf_dir).select("title", "html"), _t(spark, sf_dir, "fx_probe"),
+                   _t(spark, sf_dir, "fx_browser"), mode=mode, stamp=RUN_STAMP)
+
+
+_FLAT_REPORT_SQL = _with("fx_probe", "fx_browser", extra=_DUCK_FLAT) + "SELECT * FROM frep"
+
+
+@query("flat_report_references", _FLAT_REPORT_SQL)
+def flat_report_references(spark, sf_dir):
+    """K2 in the references-only flat mode: C5 links, D2 grouping, one row per distinct original."""
+    return _flat_audit(spark, sf_dir, "references").report
+
+
+@query("flat_report_all", _FLAT_REPORT_SQL)
+def flat_report_all(spark, sf_dir):
+    """K2 in the all-links flat mode: C4 links (same links on these pages), D2 grouping."""
+    return _flat_audit(spark, sf_dir, "all").report
+
+
+@query("flat_run_totals", _with("fx_probe", "fx_browser", extra=_DUCK_FLAT) + """
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE status = 'alive') AS BIGINT) AS alive,
+       CAST(count(*) FILTER (WHERE status = 'dead') AS BIGINT) AS dead,
+       CAST(count(*) FILTER (WHERE status = 'blocked') AS BIGINT) AS blocked,
+       CAST(count(*) FILTER (WHERE status = 'archived') AS BIGINT) AS archived,
+       CAST(count(*) FILTER (WHERE status = 'connection_error') AS BIGINT) AS connection_error
+FROM fchk WHERE NOT has_archive""")
+def flat_run_totals(spark, sf_dir):
+    """E3 in a flat mode: only links without archives are checked (no archived results)."""
+    return J.status_summary(_flat_audit(spark, sf_dir, "references").results)
+
+
+@query("incremental_audit", _REPORT_HEAD + "SELECT * FROM rep")
+def incremental_audit(spark, sf_dir):
+    """The structure-mode audit as a file stream of pages (4 micro-batches, availableNow);
+    must equal the batch report."""
+    from citescope.streaming.incremental import incremental_audit_from
+    pages = _html(spark, sf_dir).select("article_pos", "title", "html")
+    out = incremental_audit_from(spark, pages, _t(spark, sf_dir, "fx_probe"), _t(spark, sf_dir, "fx_browser"),
+                                 files=4, stamp=RUN_STAMP)
+    return out.drop("batch_id")
+
+
 # ================================ scalar text functions (I6, I7, I12) =======================
 
 @query("clean_title", _with("fx_refs") + f"""

@@ -18,7 +18,8 @@ def read_article_list(spark: SparkSession, path: str, limit: int = 0) -> DataFra
     raw = (spark.read.option("wholetext", True).text(path)
            .select(F.input_file_name().alias("source"), F.try_parse_json("value").alias("v")))
     arrays = raw.where(F.schema_of_variant("v").startswith("ARRAY"))
-    items = arrays.select("source", F.variant_explode("v").alias("pos", "key", "item"))
+    items = arrays.select("source", F.posexplode(F.try_variant_get("v", "$", "array<variant>"))
+                          .alias("pos", "item"))
     title = F.coalesce(F.try_variant_get("item", "$.title", "string"),
                        F.when(F.schema_of_variant("item") == "STRING",
                               F.try_variant_get("item", "$", "string")))

@@ -8,10 +8,11 @@ run or appended per batch. Appending adds files; existing rows are never rewritt
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citescope.schemas import REPORT_COLUMNS, REPORT_SCHEMA
 
-CSV_OPTIONS = {"header": "true", "nullValue": "", "emptyValue": '""', "escape": '"'}
+CSV_OPTIONS = {"header": "true"}   # defaults: NULL <-> empty field, "" <-> quoted empty
 
 
 def write_header_only(spark: SparkSession, path: str) -> None:
@@ -30,6 +31,16 @@ def write_full_report(report: DataFrame, path: str) -> None:
     report.select(*REPORT_COLUMNS).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
 
 
+_EMPTY_MARK = "\u0001"
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A10: read back with the declared schema (no inference)."""
-    return spark.read.schema(REPORT_SCHEMA).options(**CSV_OPTIONS).csv(path)
+    """A10: read back with the declared schema (no inference).
+
+    The reader folds a quoted empty field into NULL by default; a marker keeps it apart and
+    is mapped back to ``''``.
+    """
+    df = spark.read.schema(REPORT_SCHEMA).options(**CSV_OPTIONS).option("emptyValue", _EMPTY_MARK).csv(path)
+    return df.select(*[
+        (F.when(F.col(f.name) == _EMPTY_MARK, F.lit("")).otherwise(F.col(f.name)).alias(f.name)
+         if f.dataType.typeName() == "string" else F.col(f.name)) for f in REPORT_SCHEMA.fields])
