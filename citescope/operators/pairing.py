@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citescope.functions import urls
+from citescope.operators.staging import stage
 
 _PAIR_TYPE = "array<struct<original_url:string,archive_url:string>>"
 
@@ -52,11 +53,26 @@ def _remove_first(rem: Column, k: Column) -> Column:
         F.concat(F.slice(rem, F.lit(1), idx - 1), F.slice(rem, idx + 1, F.greatest(F.size(rem), F.lit(1)))))
 
 
-def pair_reference(links: Column) -> Column:
-    """``array<struct<original_url, archive_url>>`` for one reference's links."""
+def split_links(links: Column) -> tuple[Column, Column]:
+    """External links of one reference split into (originals, archives-slim), list order."""
     ext = F.filter(links, lambda l: urls.is_external(l["href"]))
     origs = F.filter(ext, lambda l: ~urls.is_archive(l["href"]))
     archs = F.transform(F.filter(ext, lambda l: urls.is_archive(l["href"])), _slim)
+    return origs, archs
+
+
+def _leftovers(rem: Column) -> Column:
+    return F.transform(rem, lambda a: F.struct(
+        urls.archive_original(a["href"]).alias("original_url"), a["href"].alias("archive_url")))
+
+
+def pair_split(origs: Column, archs: Column) -> Column:
+    """P1 on pre-split links: ``array<struct<original_url, archive_url>>``.
+
+    Greedy pass (both sides present): ``aggregate`` over the originals with state (remaining
+    archives, pairs); its finish step appends the leftover archives, so the state is built
+    once. Otherwise: originals de-duplicated by href, then every archive as a leftover.
+    """
     empty_pairs = F.array().cast(_PAIR_TYPE)
 
     def step(acc, o):
@@ -67,19 +83,37 @@ def pair_reference(links: Column) -> Column:
         rem = F.when(best.isNull(), acc["rem"]).otherwise(_remove_first(acc["rem"], best["elem_key"]))
         return F.struct(rem.alias("rem"), pairs.alias("pairs"))
 
-    greedy = F.aggregate(origs, F.struct(archs.alias("rem"), empty_pairs.alias("pairs")), step)
-    # Without archives (or without originals) originals are de-duplicated by href instead.
-    plain = F.struct(archs.alias("rem"), F.transform(
-        F.array_distinct(F.transform(origs, lambda o: o["href"])),
-        lambda h: F.struct(h.alias("original_url"), F.lit("").alias("archive_url"))).alias("pairs"))
-    state = F.when((F.size(origs) > 0) & (F.size(archs) > 0), greedy).otherwise(plain)
-    leftovers = F.transform(state["rem"], lambda a: F.struct(
-        urls.archive_original(a["href"]).alias("original_url"), a["href"].alias("archive_url")))
-    return F.concat(state["pairs"], leftovers)
+    greedy = F.aggregate(origs, F.struct(archs.alias("rem"), empty_pairs.alias("pairs")), step,
+                         lambda acc: F.concat(acc["pairs"], _leftovers(acc["rem"])))
+    plain = F.concat(F.transform(F.array_distinct(F.transform(origs, lambda o: o["href"])),
+                                 lambda h: F.struct(h.alias("original_url"), F.lit("").alias("archive_url"))),
+                     _leftovers(archs))
+    return F.when((F.size(origs) > 0) & (F.size(archs) > 0), greedy).otherwise(plain)
+
+
+def pair_reference(links: Column) -> Column:
+    """P1 for one reference's links (column form, for use inside ``transform``)."""
+    origs, archs = split_links(links)
+    return pair_split(origs, archs)
+
+
+def pair_reference_rows(refs_df: DataFrame, keys) -> DataFrame:
+    """P1 with one row per reference element: the split arrays are staged once per row,
+    then paired; no shuffle (each reference stays in its page's partition)."""
+    k = list(keys)
+    per_ref = refs_df.select(*k, F.explode("refs").alias("r")).select(
+        *k, "r.ref_pos", "r.ref_kind", F.col("r.links").alias("links"))
+    origs, archs = split_links(F.col("links"))
+    staged = stage(per_ref, k + ["ref_pos", "ref_kind"], _origs=origs, _archs=archs)
+    return (staged.select(*k, "ref_pos", "ref_kind",
+                          F.posexplode(pair_split(F.col("_origs"), F.col("_archs"))).alias("pair_pos", "p"))
+            .select(*k, "ref_pos", "ref_kind", F.col("pair_pos").cast("int").alias("pair_pos"),
+                    "p.original_url", "p.archive_url"))
 
 
 def pair_references(refs: Column) -> Column:
-    """P1 over all reference elements of a page, flattened in reference order.
+    """P1 over all reference elements of a page, flattened in reference order (per-page
+    array form, used where article-level arrays are needed: C5 and the flat modes).
 
     Each element: ``struct<ref_pos, ref_kind, pair_pos, original_url, archive_url>``.
     """
@@ -112,14 +146,21 @@ def _parts_equivalent(a: Column, b: Column) -> Column:
             | ((a["dom"] == b["dom"]) & path_match))
 
 
-def match_archives(links: Column) -> Column:
+def original_parts(links: Column) -> Column:
+    """Originals of one article with their I1/I2/I3/path parts, computed once per link."""
+    return F.transform(F.filter(links, lambda u: ~urls.is_archive(u)), lambda u: F.struct(
+        u.alias("url"), *[v.alias(k) for k, v in _url_parts(u).items()]))
+
+
+def match_archives(links: Column, origs: Column | None = None) -> Column:
     """For each archive link of one article, the first original (list order) equivalent to
     the URL embedded in the archive; NULL when none or when nothing can be extracted.
 
+    ``origs`` should be ``original_parts(links)`` staged in an earlier projection (see
+    ``staging.stage``) so the originals are normalised once per article, not once per archive.
     Returns ``array<struct<archive_pos, archive_url, original_url>>`` in archive order.
     """
-    origs = F.transform(F.filter(links, lambda u: ~urls.is_archive(u)), lambda u: F.struct(
-        u.alias("url"), *[v.alias(k) for k, v in _url_parts(u).items()]))
+    origs = original_parts(links) if origs is None else origs
     archs = F.filter(links, lambda u: urls.is_archive(u))
 
     def best(a, i):
@@ -134,9 +175,10 @@ def match_archives(links: Column) -> Column:
 
 
 def links_to_check(links: Column, matches: Column) -> Column:
-    """H4: originals (list order, duplicates kept) that received no archive."""
+    """H4: originals (list order) that received no archive."""
     matched = F.filter(F.transform(matches, lambda m: m["original_url"]), lambda u: u.isNotNull())
-    return F.filter(links, lambda u: ~urls.is_archive(u) & ~F.array_contains(matched, u))
+    # Hash-based difference, linear in the article's links (flat-mode lists are distinct).
+    return F.array_except(F.filter(links, lambda u: ~urls.is_archive(u)), matched)
 
 
 def archives_by_original(links: Column, matches: Column) -> Column:

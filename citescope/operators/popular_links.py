@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citescope.functions.text import ARTICLE_URL_BASE, clean_link_text, percent_decode
+from citescope.operators.staging import stage
 
 # ---- fixed values ------------------------------------------------------------------------------
 # Title prefixes of non-article namespaces (tested on the undecoded href, case-sensitive).
@@ -48,29 +49,45 @@ def raw_links(html: Column, prefix: str = DEFAULT_PREFIX) -> Column:
                         F.regexp_extract_all(html, p, 2).alias("text"))
 
 
-def article_links(html: Column, prefix: str = DEFAULT_PREFIX, base: str = ARTICLE_URL_BASE,
-                  limit: int = 0) -> Column:
-    """``array<struct<title, display_text, url>>`` for one page.
+def _decoded_links(html: Column, prefix: str) -> Column:
+    """B2 on the raw href, then I8: ``array<struct<title, text>>`` in document order."""
+    links = F.filter(raw_links(html, prefix), lambda x: ~is_namespace_link(x["href"]))
+    return F.transform(links, lambda x: F.struct(percent_decode(x["href"]).alias("title"),
+                                                 x["text"].alias("text")))
+
+
+def first_occurrences(pages: DataFrame, html: str = "html", keys=("page_id",),
+                      prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    """E8 for C1: per page, the first (title, raw text) of every decoded title, in order.
+
+    The decoded array is staged once per row, so the per-title lookups do not re-run the
+    regex over the page.
+    """
+    k = list(keys)
+    dec = stage(pages, k, _dec=_decoded_links(F.col(html), prefix))
+    dec = stage(dec, k + ["_dec"], _titles=F.transform("_dec", lambda x: x["title"]))
+    firsts = F.transform(F.array_distinct("_titles"), lambda t: F.element_at(
+        F.col("_dec"), F.array_position(F.col("_titles"), t).cast("int")))
+    return dec.select(*k, firsts.alias("firsts"))
+
+
+def article_links_df(pages: DataFrame, html: str = "html", keys=("page_id",),
+                     prefix: str = DEFAULT_PREFIX, base: str = ARTICLE_URL_BASE,
+                     limit: int = 0) -> DataFrame:
+    """C1 for every page: one row per kept link, ``link_pos`` 0-based among kept links.
 
     Namespace filter on the raw href, percent-decoding, first occurrence per decoded title,
-    then the text test (so a bad first occurrence hides a later good one), then the optional
-    limit (only when ``limit > 0``).
+    then the text test (a bad first occurrence hides a later good one), then the optional
+    limit (only when ``limit > 0``). No shuffle: every step is inside the page's row.
     """
-    links = F.filter(raw_links(html, prefix), lambda x: ~is_namespace_link(x["href"]))
-    decoded = F.transform(links, lambda x: F.struct(percent_decode(x["href"]).alias("title"),
-                                                    x["text"].alias("text")))
-    titles = F.transform(decoded, lambda x: x["title"])
-    firsts = F.transform(F.array_distinct(titles),
-                         lambda t: F.element_at(decoded, F.array_position(titles, t).cast("int")))
-    cleaned = F.transform(firsts, lambda x: F.struct(
+    k = list(keys)
+    firsts = first_occurrences(pages, html, k, prefix)
+    cleaned = F.transform("firsts", lambda x: F.struct(
         x["title"].alias("title"), clean_link_text(x["text"]).alias("display_text"),
         F.concat(F.lit(base), x["title"]).alias("url")))
     kept = F.filter(cleaned, lambda x: F.length(x["display_text"]) > 1)
-    return F.slice(kept, 1, limit) if limit > 0 else kept
-
-
-def explode_links(pages: DataFrame, links: Column, keys=("page_id",)) -> DataFrame:
-    """One row per extracted link, with its 0-based position in the page."""
-    return (pages.select(*keys, F.posexplode(links).alias("link_pos", "l"))
-            .select(*keys, F.col("link_pos").cast("int").alias("link_pos"),
+    if limit > 0:
+        kept = F.slice(kept, 1, limit)
+    return (firsts.select(*k, F.posexplode(kept).alias("link_pos", "l"))
+            .select(*k, F.col("link_pos").cast("int").alias("link_pos"),
                     "l.title", "l.display_text", "l.url"))

@@ -90,7 +90,9 @@ def popular_scored(pageviews: DataFrame, limit: int = DEFAULT_LIMIT, days=None,
            .agg(F.sum("score").alias("total_score"),
                 F.count("*").alias("appearances"),
                 F.sum("views").alias("total_views"),
-                F.min(F.struct("day_order", "pos")).alias("first_seen")))
+                # (day order, position) packed into one long keeps the aggregate hash-based.
+                F.min(F.col("day_order").cast("long") * F.lit(1 << 32) + F.col("pos").cast("long"))
+                .alias("first_seen")))
     scored = agg.withColumn(
         "score", F.col("total_score") * (F.lit(1.0) + F.col("appearances") * F.lit(SCORE_APPEARANCE_WEIGHT)))
     n = max(int(limit), 0)

@@ -26,6 +26,7 @@ from citescope.operators import extraction as X
 from citescope.operators import pairing as P
 from citescope.operators import probes as J
 from citescope.operators import report as R
+from citescope.operators.staging import stage
 from citescope.sources.pages import articles_with_html
 
 MODES = ("structure", "references", "all")
@@ -44,9 +45,7 @@ def reference_rows(pages: DataFrame, keys=("article_pos", "title")) -> DataFrame
     """C2 + P1 + H2: one row per (reference, pair) of every page, in document order."""
     k = list(keys)
     with_refs = X.with_reference_tree(pages.select(*k, "html"))
-    return (with_refs.select(*k, F.explode(P.pair_references(F.col("refs"))).alias("p"))
-            .select(*k, "p.ref_pos", "p.ref_kind", F.col("p.pair_pos").cast("int").alias("pair_pos"),
-                    "p.original_url", "p.archive_url"))
+    return P.pair_reference_rows(with_refs, k)
 
 
 def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
@@ -58,8 +57,10 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
     else:
         src = X.with_anchor_tree(pages.select(*k, "html"))
         links = X.comprehensive_links(F.col("anchors"))
-    return (src.select(*k, links.alias("links"))
-            .withColumn("matches", P.match_archives(F.col("links"))))
+    # Each array is staged once per article so later lambdas read it instead of re-deriving it.
+    staged = stage(src, k, links=links)
+    staged = stage(staged, k + ["links"], _origs=P.original_parts(F.col("links")))
+    return stage(staged, k + ["links"], matches=P.match_archives(F.col("links"), F.col("_origs")))
 
 
 def _occurrences_structure(pages: DataFrame) -> DataFrame:

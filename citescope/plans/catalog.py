@@ -167,9 +167,7 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 A
 FROM c WHERE length(display_text) > 1""")
 def page_links_regex(spark, sf_dir):
     """C1 on the driver pages (links written ``/Title``)."""
-    pages = _t(spark, sf_dir, "pages")
-    links = PL.article_links(F.col("html"), prefix=DRIVER_PAGE_PREFIX)
-    return PL.explode_links(pages, links)
+    return PL.article_links_df(_t(spark, sf_dir, "pages"), prefix=DRIVER_PAGE_PREFIX)
 
 
 @query("namespace_filter", f"""WITH {_DUCK_MATCHES}
@@ -186,12 +184,8 @@ def namespace_filter(spark, sf_dir):
 SELECT page_id, title, display_text, length(display_text) > 1 AS kept FROM c""")
 def link_text_filter(spark, sf_dir):
     """I9 + B11 on first occurrences: cleaned text and whether it passes (length > 1)."""
-    pages = _t(spark, sf_dir, "pages")
-    links = F.filter(PL.raw_links(F.col("html"), DRIVER_PAGE_PREFIX), lambda x: ~PL.is_namespace_link(x["href"]))
-    dec = F.transform(links, lambda x: F.struct(TX.percent_decode(x["href"]).alias("title"), x["text"].alias("text")))
-    titles = F.transform(dec, lambda x: x["title"])
-    firsts = F.transform(F.array_distinct(titles), lambda t: F.element_at(dec, F.array_position(titles, t).cast("int")))
-    ex = pages.select("page_id", F.explode(firsts).alias("x"))
+    firsts = PL.first_occurrences(_t(spark, sf_dir, "pages"), prefix=DRIVER_PAGE_PREFIX)
+    ex = firsts.select("page_id", F.explode("firsts").alias("x"))
     cleaned = TX.clean_link_text(F.col("x.text"))
     return ex.select("page_id", F.col("x.title").alias("title"), cleaned.alias("display_text"),
                      (F.length(cleaned) > 1).alias("kept"))

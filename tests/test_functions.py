@@ -113,11 +113,11 @@ def test_popular_links_rules(spark):
             '<a href="./Main_Page">Main</a><a href="./Bar#sec">Bar &amp; co</a>'
             '<a href="./a+b">plus</a><a href="./100%">pct</a>')
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
-    rows = PL.explode_links(df, PL.article_links(F.col("html"))).collect()
+    rows = PL.article_links_df(df).orderBy("link_pos").collect()
     assert [(r.title, r.display_text) for r in rows] == [
         ("Special:X", "Special"), ("Bar", "Bar co"), ("a+b", "plus"), ("100%", "pct")]
     assert rows[1].url == "https://en.wikipedia.org/wiki/Bar"
-    limited = PL.explode_links(df, PL.article_links(F.col("html"), limit=2)).count()
+    limited = PL.article_links_df(df, limit=2).count()
     assert limited == 2
 
 
