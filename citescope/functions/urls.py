@@ -147,13 +147,3 @@ def valid_archive_match(original_url, archive_url) -> Column:
     o, a = _c(original_url), _c(archive_url)
     ex = archive_original(a)
     return _nonempty(o) & _nonempty(a) & (ex != "") & equivalent(o, ex)
-
-
-def register_sql_functions(spark) -> None:
-    """Expose the URL algebra to SQL as temporary SQL functions."""
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION cs_is_external(u STRING) RETURNS BOOLEAN "
-        "RETURN startswith(u, 'http://') OR startswith(u, 'https://')")
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION cs_is_archive(u STRING) RETURNS BOOLEAN RETURN "
-        + " OR ".join(f"contains(u, '{h}')" for h in ARCHIVE_HOSTS))

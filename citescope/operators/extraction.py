@@ -8,6 +8,7 @@ over that row: no shuffle is needed until links are joined with evidence keyed b
 
 from __future__ import annotations
 
+import citescope
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 from citescope.functions import html_tree, urls
 from citescope.schemas import PAGE_ANCHOR, TREE_REFERENCE
 
-# Ship the helper with the function so executors need no installed copy of this package.
-cloudpickle.register_pickle_by_value(html_tree)
+# Ship the package's code with the functions so executors need no installed copy of it.
+cloudpickle.register_pickle_by_value(citescope)
 
 # ---- fixed values ------------------------------------------------------------------------------
 # Anchor classes that mark edit/redirect links rather than references.

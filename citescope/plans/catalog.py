@@ -46,6 +46,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return FX.table(spark, sf_dir, name)
 
 
+def _raw_pages(spark, sf_dir) -> DataFrame:
+    """Driver pages for per-document parsing (with the source's parallelism floor)."""
+    return PG.read_pages(spark, f"{sf_dir}/pages.parquet")
+
+
 def _pageviews(spark, sf_dir) -> DataFrame:
     # Documents list articles by rank, so the document position is the rank.
     return _t(spark, sf_dir, "fx_pageviews").withColumn("pos", F.col("rank").cast("int"))
@@ -167,7 +172,7 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 A
 FROM c WHERE length(display_text) > 1""")
 def page_links_regex(spark, sf_dir):
     """C1 on the driver pages (links written ``/Title``)."""
-    return PL.article_links_df(_t(spark, sf_dir, "pages"), prefix=DRIVER_PAGE_PREFIX)
+    return PL.article_links_df(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX)
 
 
 @query("namespace_filter", f"""WITH {_DUCK_MATCHES}
@@ -184,7 +189,7 @@ def namespace_filter(spark, sf_dir):
 SELECT page_id, title, display_text, length(display_text) > 1 AS kept FROM c""")
 def link_text_filter(spark, sf_dir):
     """I9 + B11 on first occurrences: cleaned text and whether it passes (length > 1)."""
-    firsts = PL.first_occurrences(_t(spark, sf_dir, "pages"), prefix=DRIVER_PAGE_PREFIX)
+    firsts = PL.first_occurrences(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX)
     ex = firsts.select("page_id", F.explode("firsts").alias("x"))
     cleaned = TX.clean_link_text(F.col("x.text"))
     return ex.select("page_id", F.col("x.title").alias("title"), cleaned.alias("display_text"),
@@ -320,7 +325,7 @@ SELECT page_id, CAST(len(regexp_extract_all(html, '<a[^>]*href="(https?://[^"]*)
 FROM pages""")
 def no_external_links(spark, sf_dir):
     """C4 on the raw driver pages: anchors per page and external ones among them (none)."""
-    df = X.with_anchor_tree(_t(spark, sf_dir, "pages").select("page_id", "html"))
+    df = X.with_anchor_tree(_raw_pages(spark, sf_dir).select("page_id", "html"))
     ext = F.filter("anchors", lambda a: U.is_external(a["href"]))
     return df.select("page_id", F.size(ext).alias("n_external"), F.size("anchors").alias("n_anchors"))
 

@@ -15,6 +15,20 @@ def read_html_files(spark, path: str, title_from: str = "file") -> DataFrame:
                      F.col("value").alias("html"))
 
 
+def read_pages(spark, path: str) -> DataFrame:
+    """Parquet pages with a parallelism floor for the per-document work that follows.
+
+    A few large row groups give fewer scan splits than task slots, and the HTML parse is
+    CPU-bound per document; such a scan is spread round-robin over the slots. A large input
+    already has at least that many splits and is not shuffled.
+    """
+    df = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:   # plain scan: planning only, no job
+        df = df.repartition(slots)
+    return df
+
+
 def min_content(pages: DataFrame, html: str = "html") -> DataFrame:
     """HTML present and longer than 100 characters."""
     return pages.where(F.col(html).isNotNull() & (F.length(html) > MIN_CONTENT_CHARS))
