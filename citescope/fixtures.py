@@ -116,15 +116,30 @@ def cte(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Expose the driver tables and every fixture as temporary views of this session."""
+_CACHE: dict = {}
+
+
+def register(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Expose the driver tables and every fixture as temporary views of this session and
+    return them as DataFrames. A DataFrame binds its plan when created, so the returned
+    frames stay valid when another scale factor is registered later; they are reused for
+    repeated calls with the same session and folder."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    hit = _CACHE.get(key)
+    if hit is not None:
+        return hit
+    frames = {}
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, sql in PORTABLE.items():
         spark.sql(sql).createOrReplaceTempView(name)
     spark.sql(FX_HTML).createOrReplaceTempView("fx_html")
+    for name in (*BASE_TABLES, *PORTABLE, "fx_html"):
+        frames[name] = spark.table(name)
+    _CACHE.clear()
+    _CACHE[key] = frames
+    return frames
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.table(name)
+    return register(spark, sf_dir)[name]

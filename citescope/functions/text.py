@@ -47,19 +47,14 @@ def _one_decimal(x: Column) -> Column:
 
     Java's formatter rounds the shortest decimal form half-up (0.35 -> 0.4), Python rounds the
     exact binary value (0.35 -> 0.3). 10*x is split into its rounded product p and the exact
-    error e (Dekker's two-product, no fused multiply-add needed); the fraction of p then
-    decides the rounding with e as tie-breaker.
+    error e (Dekker's two-product; 10 splits exactly into 10 + 0, so only x is split); the
+    fraction of p then decides the rounding, with e as the tie-breaker.
     """
-    ten = F.lit(10.0)
-    split = F.lit(134217729.0)  # 2^27 + 1
-    p = x * ten
-    cx = split * x
+    p = x * F.lit(10.0)
+    cx = F.lit(134217729.0) * x          # 2^27 + 1
     xh = cx - (cx - x)
     xl = x - xh
-    ct = split * ten
-    th = ct - (ct - ten)
-    tl = ten - th
-    e = ((xh * th - p) + xh * tl + xl * th) + xl * tl
+    e = (xh * F.lit(10.0) - p) + xl * F.lit(10.0)
     fl = F.floor(p)
     t = (p - fl) - F.lit(0.5)
     up = (t > -e) | ((t == -e) & (fl % 2 == 1))
@@ -71,9 +66,20 @@ def _one_decimal(x: Column) -> Column:
 def format_duration(seconds) -> Column:
     """``%.1f`` + ``s`` below 60, minutes below 3600, else hours."""
     s = _c(seconds).cast("double")
-    return (F.when(s < 60, F.concat(_one_decimal(s), F.lit("s")))
-            .when(s < 3600, F.concat(_one_decimal(s / 60), F.lit("m")))
-            .otherwise(F.concat(_one_decimal(s / 3600), F.lit("h"))))
+    scaled = F.when(s < 60, s).when(s < 3600, s / 60).otherwise(s / 3600)
+    unit = F.when(s < 60, F.lit("s")).when(s < 3600, F.lit("m")).otherwise(F.lit("h"))
+    return F.concat(_one_decimal(scaled), unit)
+
+
+def progress_percent(done, total) -> Column:
+    """``done / total * 100`` with one decimal (exact ``%.1f``); NULL when total is 0."""
+    ratio = F.try_divide(_c(done).cast("double"), _c(total).cast("double")) * F.lit(100.0)
+    return F.when(ratio.isNotNull(), _one_decimal(ratio))
+
+
+def preview(text, n: int = 200) -> Column:
+    """The first ``n`` characters (the article-fetch preview)."""
+    return F.left(_c(text), F.lit(n))
 
 
 def article_url(title, base: str = ARTICLE_URL_BASE) -> Column:

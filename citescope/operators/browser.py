@@ -7,6 +7,8 @@ failure (``failure_kind`` timeout / webdriver / other, with its message) or a lo
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +109,18 @@ def with_browser(results: DataFrame, observations: DataFrame, url_col: str = "ur
     """
     obs = observations.select(F.col("url").alias("_obs_url"),
                               F.struct(*[c for c in observations.columns if c != "url"]).alias("_obs"))
+    cond, decision = _browser_exprs(url_col)
+    joined = results.join(obs, cond, "left")
+    return joined.withColumn("browser", decision).drop("_obs_url", "_obs")
+
+
+@functools.lru_cache(maxsize=None)
+def _browser_exprs(url_col: str):
     dead = F.col("status") == "dead"
-    joined = results.join(obs, (F.col(url_col) == F.col("_obs_url")) & dead, "left")
-    return (joined.withColumn("browser", F.when(dead, browser_decision(
-                F.col(url_col), F.col("_obs"), F.col("status"), F.col("status_code"))))
-            .drop("_obs_url", "_obs"))
+    cond = (F.col(url_col) == F.col("_obs_url")) & dead
+    decision = F.when(dead, browser_decision(F.col(url_col), F.col("_obs"), F.col("status"),
+                                             F.col("status_code")))
+    return cond, decision
 
 
 def validate_dead(results: DataFrame, observations: DataFrame, url_col: str = "url") -> DataFrame:

@@ -9,6 +9,8 @@ each archive takes the first original (list order) that is equivalent to its emb
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,27 +20,55 @@ from citescope.operators.staging import stage
 _PAIR_TYPE = "array<struct<original_url:string,archive_url:string>>"
 
 
-def _slim(a: Column) -> Column:
-    return F.struct(a["href"].alias("href"), a["elem_key"].alias("elem_key"),
-                    a["parent_key"].alias("parent_key"),
-                    a["grandparent_key"].alias("grandparent_key"))
+def _let(value: Column, body) -> Column:
+    """Evaluates ``value`` once and passes it to ``body`` (a one-element ``transform``)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def url_parts(u: Column) -> list[Column]:
+    """I3, I1, I2 host and the path piece of ``u`` (I1 computed once)."""
+    norm = _let(urls.normalize(u), lambda n: F.struct(n.alias("norm"),
+                                                      F.substring_index(n, "/", 1).alias("dom")))
+    return [urls.basic_normalize(u).alias("basic"), norm["norm"].alias("norm"),
+            norm["dom"].alias("dom"), urls.url_path(u).alias("path")]
+
+
+def _parts_equivalent(a: Column, b: Column) -> Column:
+    """I4 on pre-computed parts (both URLs non-empty)."""
+    pa, pb = a["path"], b["path"]
+    path_match = (pa == pb) | ((pa != "") & (pb != "") & (pb.contains(pa) | pa.contains(pb)))
+    return ((a["basic"] == b["basic"]) | (a["norm"] == b["norm"])
+            | ((a["dom"] == b["dom"]) & path_match))
+
+
+def _archive_struct(href: Column, elem_key: Column, parent_key: Column, grandparent_key: Column,
+                    with_parts: bool) -> Column:
+    """An archive link with its embedded URL and that URL's parts (NULL parts: not needed)."""
+    if with_parts:
+        ex = _let(urls.archive_original(href), lambda x: F.struct(x.alias("ex"), *url_parts(x)))
+        fields = [ex["ex"].alias("ex"), ex["basic"].alias("basic"), ex["norm"].alias("norm"),
+                  ex["dom"].alias("dom"), ex["path"].alias("path")]
+    else:
+        fields = [F.lit(None).cast("string").alias(n) for n in ("ex", "basic", "norm", "dom", "path")]
+    return F.struct(href.alias("href"), elem_key.alias("elem_key"), parent_key.alias("parent_key"),
+                    grandparent_key.alias("grandparent_key"), *fields)
 
 
 def _neighbour(href: Column, key: Column) -> Column:
     """Strategy 3/4 candidate: the first anchor inside the neighbouring element, if archival."""
     return F.when(href.isNotNull() & urls.is_archive(href),
-                  F.struct(href.alias("href"), key.alias("elem_key"),
-                           F.lit(None).cast("bigint").alias("parent_key"),
-                           F.lit(None).cast("bigint").alias("grandparent_key")))
+                  _archive_struct(href, key, F.lit(None).cast("bigint"), F.lit(None).cast("bigint"),
+                                  with_parts=False))
 
 
 def _choose(o: Column, rem: Column) -> Column:
-    """Best archive for original ``o`` among the remaining archives ``rem`` (P1 order)."""
+    """Best archive for original ``o`` among the remaining archives ``rem`` (P1 order):
+    shared parent or grandparent or close sibling; equivalent embedded URL; archive inside the
+    next, then the previous element sibling; the first remaining archive."""
     close = F.try_element_at(F.filter(rem, lambda a: (a["parent_key"] == o["parent_key"])
                                       | (a["grandparent_key"] == o["grandparent_key"])
                                       | F.array_contains(o["near_keys"], a["elem_key"])), F.lit(1))
-    by_url = F.try_element_at(F.filter(rem, lambda a: urls.valid_archive_match(o["href"], a["href"])),
-                              F.lit(1))
+    by_url = F.try_element_at(F.filter(rem, lambda a: (a["ex"] != "") & _parts_equivalent(o, a)), F.lit(1))
     return F.when(F.size(rem) > 0, F.coalesce(
         close, by_url,
         _neighbour(o["next_href"], o["next_key"]),
@@ -48,40 +78,49 @@ def _choose(o: Column, rem: Column) -> Column:
 
 def _remove_first(rem: Column, k: Column) -> Column:
     """Drop the first remaining archive structurally equal to the chosen one (none: keep all)."""
-    idx = F.coalesce(F.array_position(F.transform(rem, lambda a: a["elem_key"]), k), F.lit(0))
-    return F.when(idx == 0, rem).otherwise(
-        F.concat(F.slice(rem, F.lit(1), idx - 1), F.slice(rem, idx + 1, F.greatest(F.size(rem), F.lit(1)))))
+    return _let(F.coalesce(F.array_position(F.transform(rem, lambda a: a["elem_key"]), k), F.lit(0)),
+                lambda idx: F.when(idx == 0, rem).otherwise(F.concat(
+                    F.slice(rem, F.lit(1), idx - 1), F.slice(rem, idx + 1, F.greatest(F.size(rem), F.lit(1))))))
 
 
 def split_links(links: Column) -> tuple[Column, Column]:
-    """External links of one reference split into (originals, archives-slim), list order."""
+    """External links of one reference split into originals and archives (list order), each
+    carrying the URL parts the pairing compares, computed once per link."""
     ext = F.filter(links, lambda l: urls.is_external(l["href"]))
-    origs = F.filter(ext, lambda l: ~urls.is_archive(l["href"]))
-    archs = F.transform(F.filter(ext, lambda l: urls.is_archive(l["href"])), _slim)
+    origs = F.transform(F.filter(ext, lambda l: ~urls.is_archive(l["href"])), lambda l: F.struct(
+        l["href"].alias("href"), l["parent_key"].alias("parent_key"),
+        l["grandparent_key"].alias("grandparent_key"), l["near_keys"].alias("near_keys"),
+        l["next_href"].alias("next_href"), l["next_key"].alias("next_key"),
+        l["prev_href"].alias("prev_href"), l["prev_key"].alias("prev_key"), *url_parts(l["href"])))
+    archs = F.transform(F.filter(ext, lambda l: urls.is_archive(l["href"])), lambda l: _archive_struct(
+        l["href"], l["elem_key"], l["parent_key"], l["grandparent_key"], with_parts=True))
     return origs, archs
 
 
 def _leftovers(rem: Column) -> Column:
     return F.transform(rem, lambda a: F.struct(
-        urls.archive_original(a["href"]).alias("original_url"), a["href"].alias("archive_url")))
+        F.coalesce(a["ex"], urls.archive_original(a["href"])).alias("original_url"),
+        a["href"].alias("archive_url")))
 
 
 def pair_split(origs: Column, archs: Column) -> Column:
     """P1 on pre-split links: ``array<struct<original_url, archive_url>>``.
 
     Greedy pass (both sides present): ``aggregate`` over the originals with state (remaining
-    archives, pairs); its finish step appends the leftover archives, so the state is built
-    once. Otherwise: originals de-duplicated by href, then every archive as a leftover.
+    archives, pairs); the chosen archive is bound once per step and the finish step appends
+    the leftover archives. Otherwise: originals de-duplicated by href, then every archive as a
+    leftover.
     """
     empty_pairs = F.array().cast(_PAIR_TYPE)
 
     def step(acc, o):
-        best = _choose(o, acc["rem"])
-        pairs = F.concat(acc["pairs"], F.array(F.struct(
-            o["href"].alias("original_url"),
-            F.coalesce(best["href"], F.lit("")).alias("archive_url"))))
-        rem = F.when(best.isNull(), acc["rem"]).otherwise(_remove_first(acc["rem"], best["elem_key"]))
-        return F.struct(rem.alias("rem"), pairs.alias("pairs"))
+        def apply(best):
+            pairs = F.concat(acc["pairs"], F.array(F.struct(
+                o["href"].alias("original_url"),
+                F.coalesce(best["href"], F.lit("")).alias("archive_url"))))
+            rem = F.when(best.isNull(), acc["rem"]).otherwise(_remove_first(acc["rem"], best["elem_key"]))
+            return F.struct(rem.alias("rem"), pairs.alias("pairs"))
+        return _let(_choose(o, acc["rem"]), apply)
 
     greedy = F.aggregate(origs, F.struct(archs.alias("rem"), empty_pairs.alias("pairs")), step,
                          lambda acc: F.concat(acc["pairs"], _leftovers(acc["rem"])))
@@ -93,8 +132,16 @@ def pair_split(origs: Column, archs: Column) -> Column:
 
 def pair_reference(links: Column) -> Column:
     """P1 for one reference's links (column form, for use inside ``transform``)."""
-    origs, archs = split_links(links)
-    return pair_split(origs, archs)
+    return _let(F.struct(*[c.alias(n) for n, c in zip(("o", "a"), split_links(links))]),
+                lambda s: pair_split(s["o"], s["a"]))
+
+
+@functools.lru_cache(maxsize=None)
+def _row_pairing_exprs():
+    """The pairing expressions over fixed column names, built once per process (they are
+    large trees; rebuilding them costs driver round trips, not cluster work)."""
+    origs, archs = split_links(F.col("links"))
+    return origs, archs, pair_split(F.col("_origs"), F.col("_archs"))
 
 
 def pair_reference_rows(refs_df: DataFrame, keys) -> DataFrame:
@@ -103,10 +150,9 @@ def pair_reference_rows(refs_df: DataFrame, keys) -> DataFrame:
     k = list(keys)
     per_ref = refs_df.select(*k, F.explode("refs").alias("r")).select(
         *k, "r.ref_pos", "r.ref_kind", F.col("r.links").alias("links"))
-    origs, archs = split_links(F.col("links"))
+    origs, archs, pairs = _row_pairing_exprs()
     staged = stage(per_ref, k + ["ref_pos", "ref_kind"], _origs=origs, _archs=archs)
-    return (staged.select(*k, "ref_pos", "ref_kind",
-                          F.posexplode(pair_split(F.col("_origs"), F.col("_archs"))).alias("pair_pos", "p"))
+    return (staged.select(*k, "ref_pos", "ref_kind", F.posexplode(pairs).alias("pair_pos", "p"))
             .select(*k, "ref_pos", "ref_kind", F.col("pair_pos").cast("int").alias("pair_pos"),
                     "p.original_url", "p.archive_url"))
 
@@ -133,43 +179,34 @@ def elements_close(parent1: Column, index1: Column, parent2: Column, index2: Col
 
 # ---- flat modes (D2, O1, H4) -------------------------------------------------------------------
 
-def _url_parts(u: Column) -> dict:
-    return {"basic": urls.basic_normalize(u), "norm": urls.normalize(u),
-            "dom": F.substring_index(urls.normalize(u), "/", 1), "path": urls.url_path(u)}
-
-
-def _parts_equivalent(a: Column, b: Column) -> Column:
-    """I4 on pre-computed parts (both URLs non-empty)."""
-    pa, pb = a["path"], b["path"]
-    path_match = (pa == pb) | ((pa != "") & (pb != "") & (pb.contains(pa) | pa.contains(pb)))
-    return ((a["basic"] == b["basic"]) | (a["norm"] == b["norm"])
-            | ((a["dom"] == b["dom"]) & path_match))
-
-
 def original_parts(links: Column) -> Column:
     """Originals of one article with their I1/I2/I3/path parts, computed once per link."""
-    return F.transform(F.filter(links, lambda u: ~urls.is_archive(u)), lambda u: F.struct(
-        u.alias("url"), *[v.alias(k) for k, v in _url_parts(u).items()]))
+    return F.transform(F.filter(links, lambda u: ~urls.is_archive(u)),
+                       lambda u: F.struct(u.alias("url"), *url_parts(u)))
+
+
+def archive_parts(links: Column) -> Column:
+    """Archives of one article with the embedded URL and its parts, computed once per link."""
+    return F.transform(F.filter(links, lambda u: urls.is_archive(u)), lambda u: _let(
+        urls.archive_original(u), lambda x: F.struct(u.alias("url"), x.alias("ex"), *url_parts(x))))
 
 
-def match_archives(links: Column, origs: Column | None = None) -> Column:
+def match_archives(links: Column, origs: Column | None = None, archs: Column | None = None) -> Column:
     """For each archive link of one article, the first original (list order) equivalent to
     the URL embedded in the archive; NULL when none or when nothing can be extracted.
 
-    ``origs`` should be ``original_parts(links)`` staged in an earlier projection (see
-    ``staging.stage``) so the originals are normalised once per article, not once per archive.
+    ``origs``/``archs`` should be ``original_parts(links)``/``archive_parts(links)`` staged in
+    an earlier projection (``staging.stage``), so every URL is normalised once per article and
+    the inner loop only compares fields.
     Returns ``array<struct<archive_pos, archive_url, original_url>>`` in archive order.
     """
     origs = original_parts(links) if origs is None else origs
-    archs = F.filter(links, lambda u: urls.is_archive(u))
+    archs = archive_parts(links) if archs is None else archs
 
     def best(a, i):
-        ex = urls.archive_original(a)
-        exp = F.struct(*[v.alias(k) for k, v in _url_parts(ex).items()])
-        first = F.try_element_at(F.filter(origs, lambda o: (o["url"] != "")
-                                          & _parts_equivalent(o, exp)), F.lit(1))
-        return F.struct(i.alias("archive_pos"), a.alias("archive_url"),
-                        F.when(ex != "", first["url"]).alias("original_url"))
+        first = F.try_element_at(F.filter(origs, lambda o: _parts_equivalent(o, a)), F.lit(1))
+        return F.struct(i.alias("archive_pos"), a["url"].alias("archive_url"),
+                        F.when(a["ex"] != "", first["url"]).alias("original_url"))
 
     return F.transform(archs, best)
 

@@ -7,6 +7,8 @@ archive, DNS, HEAD, then GET.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,17 @@ def probe_struct(probes: DataFrame, alias: str = "probe") -> DataFrame:
     return probes.select(F.col("url").alias("_probe_url"), F.struct(*cols).alias(alias))
 
 
+@functools.lru_cache(maxsize=None)
+def _classify_exprs(url_col: str, skip_col: str | None, kw: tuple):
+    skip = F.coalesce(F.col(skip_col), F.lit(False)) if skip_col else F.lit(False)
+    u = F.col(url_col)
+    cond = (u == F.col("_probe_url")) & ~skip & ~urls.is_archive(u)
+    res = F.when(skip, F.struct(F.lit("archived").alias("status"),
+                                F.lit(None).cast("int").alias("status_code"))) \
+        .otherwise(http_status(u, F.col("probe"), **dict(kw)))
+    return cond, res
+
+
 def classify_urls(links: DataFrame, probes: DataFrame, url_col: str = "url",
                   skip_col: str | None = None, **kw) -> DataFrame:
     """J3 + D6: adds ``status`` and ``status_code`` to every link row.
@@ -98,14 +111,8 @@ def classify_urls(links: DataFrame, probes: DataFrame, url_col: str = "url",
     broadcast a probe side it measured small), and its output stays partitioned by URL for the
     browser join that follows.
     """
-    skip = F.coalesce(F.col(skip_col), F.lit(False)) if skip_col else F.lit(False)
-    u = F.col(url_col)
-    ps = probe_struct(probes)
-    cond = (u == F.col("_probe_url")) & ~skip & ~urls.is_archive(u)
-    joined = links.join(ps, cond, "left")
-    res = F.when(skip, F.struct(F.lit("archived").alias("status"),
-                                F.lit(None).cast("int").alias("status_code"))) \
-        .otherwise(http_status(u, F.col("probe"), **kw))
+    cond, res = _classify_exprs(url_col, skip_col, tuple(sorted(kw.items())))
+    joined = links.join(probe_struct(probes), cond, "left")
     return (joined.withColumn("_r", res)
             .withColumn("status", F.col("_r.status"))
             .withColumn("status_code", F.col("_r.status_code"))

@@ -14,6 +14,7 @@ Plan shape (structure mode):
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -48,19 +49,35 @@ def reference_rows(pages: DataFrame, keys=("article_pos", "title")) -> DataFrame
     return P.pair_reference_rows(with_refs, k)
 
 
+@functools.lru_cache(maxsize=None)
+def _flat_exprs(mode: str):
+    """Flat-mode expressions over fixed column names, built once per process."""
+    if mode == "references":
+        links = X.distinct_reference_urls(P.pair_references(F.col("refs")))
+    else:
+        links = X.comprehensive_links(F.col("anchors"))
+    origs = P.original_parts(F.col("links"))
+    archs = P.archive_parts(F.col("links"))
+    matches = P.match_archives(F.col("links"), F.col("_origs"), F.col("_archs"))
+    first = F.transform(F.filter("links", lambda u: ~urls.is_archive(u)), lambda o: F.struct(
+        o.alias("original_url"),
+        F.try_element_at(F.filter("matches", lambda m: m["original_url"] == o), F.lit(1))["archive_url"]
+        .alias("first_archive")))
+    return links, origs, archs, matches, first
+
+
 def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
     """Per page: ``links`` (C5 for 'references', C4 for 'all') and the D2 ``matches``."""
     k = list(keys)
+    links, origs, archs, matches, _ = _flat_exprs(mode)
     if mode == "references":
         src = X.with_reference_tree(pages.select(*k, "html"))
-        links = X.distinct_reference_urls(P.pair_references(F.col("refs")))
     else:
         src = X.with_anchor_tree(pages.select(*k, "html"))
-        links = X.comprehensive_links(F.col("anchors"))
     # Each array is staged once per article so later lambdas read it instead of re-deriving it.
     staged = stage(src, k, links=links)
-    staged = stage(staged, k + ["links"], _origs=P.original_parts(F.col("links")))
-    return stage(staged, k + ["links"], matches=P.match_archives(F.col("links"), F.col("_origs")))
+    staged = stage(staged, k + ["links"], _origs=origs, _archs=archs)
+    return stage(staged, k + ["links"], matches=matches)
 
 
 def _occurrences_structure(pages: DataFrame) -> DataFrame:
@@ -78,11 +95,7 @@ def _occurrences_structure(pages: DataFrame) -> DataFrame:
 
 def _occurrences_flat(pages: DataFrame, mode: str) -> DataFrame:
     flat = flat_links(pages, mode)
-    origs = F.filter("links", lambda u: ~urls.is_archive(u))
-    with_first = F.transform(origs, lambda o: F.struct(
-        o.alias("original_url"),
-        F.try_element_at(F.filter("matches", lambda m: m["original_url"] == o), F.lit(1))["archive_url"]
-        .alias("first_archive")))
+    with_first = _flat_exprs(mode)[4]
     return (flat.select("article_pos", "title", F.posexplode(with_first).alias("link_pos", "l"))
             .select("article_pos", "title", F.col("link_pos").cast("int").alias("link_pos"),
                     "l.original_url", "l.first_archive"))
@@ -120,3 +133,22 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
     report = R.report_rows(checked, stamp)
     return AuditResult(report=report, results=results, validated=validated, links=occ,
                        articles=processed)
+
+
+def run_audit(pageviews: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
+              limit: int = 25, ranking: str = "all_time", day=None, mode: str = "structure",
+              stamp: str = "19700101_000000") -> AuditResult:
+    """K2 from page-view facts: choose the articles (E1 long-run ranking, or A1 one day's top
+    list), then audit them. The article list has at most ``limit`` rows, which is the proven
+    bound that lets D1 broadcast it instead of shuffling the HTML."""
+    from citescope.operators import popularity as POP
+
+    if ranking == "all_time":
+        top = POP.popular_scored(pageviews, limit=limit).select(
+            F.col("top_pos").cast("long").alias("article_pos"), "title")
+    elif ranking == "daily":
+        top = POP.daily_top(pageviews, day, limit=limit).select(
+            F.col("top_pos").cast("long").alias("article_pos"), F.col("article").alias("title"))
+    else:
+        raise ValueError("ranking must be 'all_time' or 'daily'")
+    return audit(top, pages, probes, browser_obs, mode=mode, stamp=stamp, articles_bound=max(int(limit), 0))

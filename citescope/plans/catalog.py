@@ -206,6 +206,14 @@ def pages_min_content(spark, sf_dir):
     return PG.min_content(_t(spark, sf_dir, "pages")).select("page_id", "url", F.length("html").alias("n_chars"))
 
 
+@query("html_preview", """
+SELECT page_id, CAST(length(html) AS INTEGER) AS n_chars, left(html, 200) AS preview FROM pages""")
+def html_preview(spark, sf_dir):
+    """Length and first 200 characters of every page."""
+    pages = _t(spark, sf_dir, "pages")
+    return pages.select("page_id", F.length("html").alias("n_chars"), TX.preview(F.col("html")).alias("preview"))
+
+
 @query("articles_with_html", _with("fx_refs", extra=[DUCK_FX_HTML]) + """
 SELECT a.article_pos, a.title, CAST(length(h.html) AS INTEGER) AS html_chars
 FROM (SELECT article_pos, title FROM fx_refs) a JOIN fx_html h ON a.title = h.title""")

@@ -26,9 +26,17 @@ def append_report(report: DataFrame, path: str) -> None:
     report.select(*REPORT_COLUMNS).write.mode("append").options(**CSV_OPTIONS).csv(path)
 
 
-def write_full_report(report: DataFrame, path: str) -> None:
-    """The whole-run report; fails if the target exists."""
+def report_path(output_dir: str, stamp: str, batch: int | None = None) -> str:
+    """I12 naming: ``all_references[_batch_NNN]_<stamp>.csv`` (a folder of CSV parts)."""
+    name = f"all_references_batch_{batch:03d}_{stamp}.csv" if batch is not None else f"all_references_{stamp}.csv"
+    return f"{output_dir.rstrip('/')}/{name}"
+
+
+def write_full_report(report: DataFrame, output_dir: str, stamp: str, batch: int | None = None) -> str:
+    """The whole-run report under its run-stamped name; fails if the target exists."""
+    path = report_path(output_dir, stamp, batch)
     report.select(*REPORT_COLUMNS).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+    return path
 
 
 _EMPTY_MARK = "\u0001"

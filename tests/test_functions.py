@@ -160,3 +160,13 @@ def test_browser_decisions(spark):
         ("alive", "Title: Hi"),
         ("timeout", ""), ("dead", ""), ("error", ""),
     ]
+
+
+def test_progress_preview_and_closeness(spark):
+    from citescope.operators.pairing import elements_close
+    df = spark.createDataFrame([(1, 3, "abcdef"), (0, 0, "x")], "done int, total int, t string")
+    rows = df.select(TX.progress_percent("done", "total").alias("p"), TX.preview(F.col("t"), 3).alias("v")).collect()
+    assert [(r.p, r.v) for r in rows] == [("33.3", "abc"), (None, "x")]
+    c = spark.createDataFrame([(1, 0, 1, 4), (1, 0, 1, 5), (1, 2, 2, 3), (1, 3, 1, 2)], "p1 int, i1 int, p2 int, i2 int")
+    got = [r[0] for r in c.select(elements_close(F.col("p1"), F.col("i1"), F.col("p2"), F.col("i2"))).collect()]
+    assert got == [True, False, False, False]

@@ -85,3 +85,33 @@ def test_report_csv_round_trip(spark, tmp_out):
     assert len(back) == 3
     assert back[0].archive_url is None and back[0].browser_validation_check_detail == ""
     assert back[2].has_archive is True
+
+
+def test_html_files_and_report_naming(spark, tmp_out):
+    d = os.path.join(tmp_out, "html")
+    os.makedirs(d)
+    write(os.path.join(d, "Python_(language).html"), "<html>" + "x" * 150 + "</html>")
+    pages = __import__("citescope.sources.pages", fromlist=["x"])
+    df = pages.read_html_files(spark, d)
+    r = df.first()
+    assert r.title == "Python_(language)" and len(r.html) == 163
+    assert RIO.report_path("out", "20240101_000000", 7) == "out/all_references_batch_007_20240101_000000.csv"
+    rep = spark.createDataFrame([], REPORT_SCHEMA)
+    p = RIO.write_full_report(rep, tmp_out, "20240101_000000")
+    assert p.endswith("all_references_20240101_000000.csv") and RIO.read_report(spark, p).count() == 0
+
+
+def test_run_audit_from_ranking(spark):
+    from citescope.plans.audit import run_audit
+    from citescope.schemas import BROWSER_SCHEMA, PROBE_SCHEMA
+    pv = spark.createDataFrame([("2024-01-01", 1, "Alpha_page", 1, 500), ("2024-01-01", 2, "Beta", 2, 100)],
+                               "view_day string, pos int, article string, rank long, views long") \
+        .withColumn("view_day", F.to_date("view_day"))
+    html = '<ol class="references"><li><a href="https://dead.example/">d</a></li></ol>' + " " * 100
+    pages = spark.createDataFrame([("Alpha_page", html), ("Beta", html)], "title string, html string")
+    probes = spark.createDataFrame([("https://dead.example/", True, 410, "", False, None, "", False)], PROBE_SCHEMA)
+    res = run_audit(pv, pages, probes, spark.createDataFrame([], BROWSER_SCHEMA), limit=1)
+    rows = res.report.collect()
+    assert [(r.article_title, r.error_code, r.browser_validation_check) for r in rows] == [("Alpha page", "410", "dead")]
+    plan = res.report._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
