@@ -60,15 +60,21 @@ def first_occurrences(pages: DataFrame, html: str = "html", keys=("page_id",),
                       prefix: str = DEFAULT_PREFIX) -> DataFrame:
     """E8 for C1: per page, the first (title, raw text) of every decoded title, in order.
 
-    The decoded array is staged once per row, so the per-title lookups do not re-run the
-    regex over the page.
+    Sort-based, O(n log n) per page: (title, position) pairs are sorted, the first element of
+    each title run is kept, and the survivors are put back in document order. The sorted
+    array is staged once per row so the run test reads it instead of re-sorting.
     """
     k = list(keys)
     dec = stage(pages, k, _dec=_decoded_links(F.col(html), prefix))
-    dec = stage(dec, k + ["_dec"], _titles=F.transform("_dec", lambda x: x["title"]))
-    firsts = F.transform(F.array_distinct("_titles"), lambda t: F.element_at(
-        F.col("_dec"), F.array_position(F.col("_titles"), t).cast("int")))
-    return dec.select(*k, firsts.alias("firsts"))
+    by_title = F.array_sort(F.transform("_dec", lambda x, i: F.struct(
+        x["title"].alias("title"), i.alias("pos"), x["text"].alias("text"))))
+    srt = stage(dec, k, _srt=by_title)
+    starts = F.filter("_srt", lambda x, j: (j == 0) | (
+        F.element_at(F.col("_srt"), F.greatest(j, F.lit(1))).getField("title") != x["title"]))
+    in_order = F.array_sort(F.transform(starts, lambda x: F.struct(
+        x["pos"].alias("pos"), x["title"].alias("title"), x["text"].alias("text"))))
+    firsts = F.transform(in_order, lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text")))
+    return srt.select(*k, firsts.alias("firsts"))
 
 
 def article_links_df(pages: DataFrame, html: str = "html", keys=("page_id",),

@@ -43,13 +43,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read. When it is unset (local
-    runs and tests) a fresh folder is created and recorded in the session.
+    On a cluster this setting names shared storage and is only read (an unset setting is an
+    error there). Only in local mode, when it is unset (tests), a fresh folder is created and
+    recorded in the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local "
+                               "folder does not survive the loss of an executor")
         configured = tempfile.mkdtemp(prefix="citescope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -26,16 +26,3 @@ def read_pageview_docs(spark: SparkSession, path: str) -> DataFrame:
     return (docs.select(*cols, F.posexplode(first).alias("pos", "a"))
             .select(*cols, (F.col("pos") + 1).cast("int").alias("pos"),
                     "a.article", "a.rank", "a.views"))
-
-
-def write_pageview_docs(pageviews: DataFrame, path: str) -> None:
-    """Writes one document per day (``view_day`` partition). A day's document holds that day's
-    ranked list, so each group is one day of one ranking (bounded by the ranking's length)."""
-    docs = (pageviews.groupBy("view_day")
-            .agg(F.sort_array(F.collect_list(F.struct("rank", "article", "views"))).alias("_a"))
-            .select("view_day", F.array(F.struct(
-                F.transform("_a", lambda x: F.struct(x["article"].alias("article"),
-                                                     x["rank"].alias("rank"),
-                                                     x["views"].alias("views"))).alias("articles")))
-                .alias("items")))
-    docs.write.mode("overwrite").partitionBy("view_day").json(path)
