@@ -41,6 +41,8 @@ DEAD_DRIVER_ERRORS = [
     "err_connection_timed_out", "err_connection_reset", "err_network_changed",
     "err_internet_disconnected", "err_network_access_denied",
 ]
+BROWSER_RESULT_TYPE = ("struct<status:string,code:int,final_url:string,redirected:boolean,title:string,"
+                       "error_indicator:string,blocking_indicator:string,error:string>")
 TIMEOUT_ERROR = "Page load timeout"
 NO_OBSERVATION_ERROR = "no observation"
 # -------------------------------------------------------------------------------------------------

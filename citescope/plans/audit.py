@@ -126,7 +126,7 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
     if browser_obs is not None:
         checked = B.with_browser(classified, browser_obs, url_col="original_url")
     else:
-        checked = classified.withColumn("browser", F.lit(None).cast("struct<status:string>"))
+        checked = classified.withColumn("browser", F.lit(None).cast(B.BROWSER_RESULT_TYPE))
     # Flat modes only check links without archives; the structure mode checks every original.
     results = checked if mode == "structure" else checked.where(~F.col("_has_archive"))
     validated = results.where(F.col("status") == "dead")

@@ -469,6 +469,16 @@ def status_summary(spark, sf_dir):
     return J.status_summary(_audit(spark, sf_dir).results)
 
 
+@query("status_lists", _with("fx_probe", extra=[_DUCK_CHECKED]) + """
+SELECT article_pos, ref_pos, original_url, status, status_code FROM chk
+WHERE status IN ('dead', 'blocked', 'archived')""")
+def status_lists(spark, sf_dir):
+    """B9 + E3 detail lists: the dead, blocked and archived links with their codes."""
+    res = _audit(spark, sf_dir, browser=False).results
+    return (res.where(F.col("status").isin("dead", "blocked", "archived"))
+            .select("article_pos", "ref_pos", "original_url", "status", "status_code"))
+
+
 # ================================ browser evidence (J4, J5, J6, D7, E6) =====================
 
 _BC = O.browser_case("b.url", "b")

@@ -115,3 +115,17 @@ def test_run_audit_from_ranking(spark):
     assert [(r.article_title, r.error_code, r.browser_validation_check) for r in rows] == [("Alpha page", "410", "dead")]
     plan = res.report._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
+
+
+def test_sampled_days_prune_partitions(spark, tmp_out):
+    import datetime as dt
+    docs = os.path.join(tmp_out, "pv2")
+    for day in ("2024-01-01", "2024-01-02"):
+        os.makedirs(os.path.join(docs, f"view_day={day}"))
+        write(os.path.join(docs, f"view_day={day}", "d.json"),
+              json.dumps({"items": [{"articles": [{"article": "A", "rank": 1, "views": 3}]}]}))
+    pv = PV.read_pageview_docs(spark, docs)
+    df = POP.sampled_days(pv, days=[dt.date(2024, 1, 1)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(view_day" in plan and "2024-01-01" in plan.split("PartitionFilters")[1]
+    assert [r.view_day.isoformat() for r in df.collect()] == ["2024-01-01"]
