@@ -228,6 +228,26 @@ def archives_by_original(links: Column, matches: Column) -> Column:
     return F.filter(grouped, lambda g: F.size(g["archives"]) > 0)
 
 
+# ---- article-scope lookups (E2, D3) -------------------------------------------------------------
+
+def first_archive_sorted(pairs: Column) -> Column:
+    """D3 inside one article, step 1: the article's pairs sorted by (original, no archive,
+    reference position, pair position). Stage the result once per row (``staging.stage``)."""
+    return F.array_sort(F.transform(pairs, lambda p: F.struct(
+        p["original_url"].alias("o"), (p["archive_url"] == "").alias("no_archive"),
+        p["ref_pos"].alias("ref_pos"), p["pair_pos"].alias("pair_pos"), p["archive_url"].alias("a"))))
+
+
+def first_archive_map(sorted_pairs: Column) -> Column:
+    """D3 inside one article, step 2: ``map<original, first archive>``. The first element of
+    each original's run in the sorted array holds its earliest archive, if it has one; keys are
+    unique, so the map needs no de-duplication policy. O(n log n) per article, no shuffle."""
+    starts = F.filter(sorted_pairs, lambda x, j: (j == 0) | (
+        F.element_at(sorted_pairs, F.greatest(j, F.lit(1))).getField("o") != x["o"]))
+    with_archive = F.filter(starts, lambda x: ~x["no_archive"] & (x["o"] != ""))
+    return F.map_from_entries(F.transform(with_archive, lambda x: F.struct(x["o"], x["a"])))
+
+
 # ---- article-scope lookups on exploded reference rows (E2, D3) ---------------------------------
 
 def archive_groups(ref_rows: DataFrame, keys=("article_pos",)) -> DataFrame:

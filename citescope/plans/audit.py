@@ -6,7 +6,7 @@ Plan shape (structure mode):
   -> reference tree UDF (Python, Arrow batches; the only Python step)
   -> per-reference pairing (JVM higher-order functions, no shuffle)
   -> explode to one row per link occurrence
-  -> first archive per (article, original): one window (a group never exceeds one document)
+  -> first archive per (article, original): sort + map inside the article's row (no shuffle)
   -> probe left join on URL, matching only links without an archive (D6)
   -> browser left join on URL, matching only dead links (D7); reuses the URL partitioning
   -> CASE projection into the fixed report layout.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citescope.functions import urls
@@ -80,17 +80,30 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
     return stage(staged, k + ["links"], matches=matches)
 
 
-def _occurrences_structure(pages: DataFrame) -> DataFrame:
+@functools.lru_cache(maxsize=None)
+def _structure_exprs():
+    pairs = P.pair_references(F.col("refs"))
+    return pairs, P.first_archive_sorted(F.col("_pairs")), P.first_archive_map(F.col("_sorted"))
+
+
+def _occurrences_structure(pages: DataFrame, keys=("article_pos", "title")) -> DataFrame:
     """Original occurrences with the article-wide first archive (D3).
 
-    A window over (article, original) instead of an aggregate joined back: one shuffle and no
-    second evaluation of the parser. A window group holds the links of one document only.
+    All pairs of an article are in its row: they are sorted once, the first archive of every
+    original goes into a map with unique keys, and each occurrence looks it up while the row
+    is exploded. No shuffle; the first exchange of link rows is the URL-keyed probe join.
     """
-    rows = reference_rows(pages)
-    w = (Window.partitionBy("article_pos", "original_url").orderBy("ref_pos", "pair_pos")
-         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = F.first(F.when(F.col("archive_url") != "", F.col("archive_url")), ignorenulls=True).over(w)
-    return rows.where(F.col("original_url") != "").withColumn("first_archive", first)
+    k = list(keys)
+    pairs, srt, firsts = _structure_exprs()
+    with_refs = X.with_reference_tree(pages.select(*k, "html"))
+    staged = stage(with_refs, k, _pairs=pairs)
+    staged = stage(staged, k + ["_pairs"], _sorted=srt)
+    staged = stage(staged, k + ["_pairs"], _firsts=firsts)
+    rows = staged.select(*k, "_firsts", F.explode("_pairs").alias("p"))
+    return (rows.where(F.col("p.original_url") != "")
+            .select(*k, "p.ref_pos", "p.ref_kind", F.col("p.pair_pos").cast("int").alias("pair_pos"),
+                    "p.original_url", "p.archive_url",
+                    F.try_element_at(F.col("_firsts"), F.col("p.original_url")).alias("first_archive")))
 
 
 def _occurrences_flat(pages: DataFrame, mode: str) -> DataFrame:
