@@ -47,11 +47,17 @@ def articles_with_html(articles: DataFrame, pages: DataFrame, articles_bound: in
                        dedupe_by: str | None = None) -> DataFrame:
     """D1 + B7: article occurrences that have HTML (inner join; repeated titles kept).
 
-    The page side is filtered (B3) before the join and, when asked, de-duplicated per title.
-    The article list is broadcast only when its size has a known bound (a top-N list);
-    otherwise the planner chooses (sort-merge at scale, AQE may broadcast a measured small side).
+    The page side is filtered (B3) before the join. With a bounded article list (a top-N) the
+    list is broadcast: pages are first cut to the listed titles by a broadcast semi-join (a
+    scan, no shuffle of HTML) and only then de-duplicated per title (A5, when ``dedupe_by``
+    is given). Without a bound the planner chooses (sort-merge at scale; AQE may broadcast a
+    side it measured small).
     """
-    pg = unique_pages(min_content(pages), dedupe_by).select("title", "html")
+    cols = ["title", "html"] + ([dedupe_by] if dedupe_by else [])
+    pg = min_content(pages).select(*cols)
+    if articles_bound is not None:
+        pg = pg.join(F.broadcast(articles.select("title").distinct()), "title", "left_semi")
+    pg = unique_pages(pg, dedupe_by).select("title", "html")
     left = F.broadcast(articles) if articles_bound is not None else articles
     return left.join(pg, "title", "inner")
 

@@ -143,3 +143,36 @@ def test_comprehensive_links_filter(spark):
             '<a href="https://keep.com">again</a></div>')
     df = with_anchor_tree(spark.createDataFrame([(html,)], "html string"))
     assert df.select(comprehensive_links(F.col("anchors"))).first()[0] == ["https://keep.com", "https://inref.com"]
+
+
+def test_reference_html_diagnostic():
+    refs_ = H.extract_references('<ol class="references"><li id="n1"><a href="https://e.com/?a=1&amp;b=2">x &lt; y</a>'
+                                 '<br/><!-- c --></li></ol>', with_html=True)
+    assert refs_[0]["reference_html"] == ('<li id="n1"><a href="https://e.com/?a=1&amp;b=2">x &lt; y</a>'
+                                          '<br/><!-- c --></li>')
+
+
+def test_tree_text_rules():
+    root = H.parse('<h2>Ext<script>ernal</script> <!--x-->links</h2><p>a &amp; b&nbsp;c &bogus d</p><pre>  </pre>')
+    h2 = next(e for e in H.iter_elements(root) if e.name == "h2")
+    assert H.visible_text(h2) == "Ext links"       # script text and comments are not visible text
+    p = next(e for e in H.iter_elements(root) if e.name == "p")
+    assert H.visible_text(p) == "a & b\xa0c &bogus d"
+    pre = next(e for e in H.iter_elements(root) if e.name == "pre")
+    assert H.visible_text(pre) == "  "               # whitespace kept inside pre
+
+
+def test_flat_mode_matching(spark):
+    from citescope.operators.pairing import archive_parts, links_to_check, match_archives, original_parts
+    links = ["https://a.com/x", "http://www.a.com/x/", "https://b.com/long/path",
+             "https://web.archive.org/web/1/https://a.com/x",        # -> first equivalent original
+             "https://web.archive.org/web/2/https://b.com/long",     # -> containment
+             "https://archive.ph/zzz",                               # nothing extractable
+             "https://web.archive.org/web/3/https://c.com/"]         # no equivalent original
+    df = spark.createDataFrame([(links,)], "links array<string>")
+    df = df.select("links", original_parts(F.col("links")).alias("o"), archive_parts(F.col("links")).alias("a"))
+    r = df.select(match_archives(F.col("links"), F.col("o"), F.col("a")).alias("m")).first().m
+    assert [(m.archive_pos, m.original_url) for m in r] == [
+        (0, "https://a.com/x"), (1, "https://b.com/long/path"), (2, None), (3, None)]
+    rest = df.select(links_to_check(F.col("links"), match_archives(F.col("links"), F.col("o"), F.col("a")))).first()[0]
+    assert rest == ["http://www.a.com/x/"]

@@ -129,3 +129,13 @@ def test_sampled_days_prune_partitions(spark, tmp_out):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(view_day" in plan and "2024-01-01" in plan.split("PartitionFilters")[1]
     assert [r.view_day.isoformat() for r in df.collect()] == ["2024-01-01"]
+
+
+def test_articles_with_html_dedupes_after_semi_join(spark):
+    from citescope.sources.pages import articles_with_html
+    pages = spark.createDataFrame([("A", "<p>old</p>" + "x" * 100, 1), ("A", "<p>new</p>" + "x" * 100, 2),
+                                   ("B", "<p>b</p>" + "x" * 100, 1), ("C", "short", 1)],
+                                  "title string, html string, ingest_pos int")
+    arts = spark.createDataFrame([(0, "A"), (1, "A"), (2, "C")], "article_pos long, title string")
+    got = articles_with_html(arts, pages, articles_bound=3, dedupe_by="ingest_pos").orderBy("article_pos").collect()
+    assert [(r.article_pos, r.html[:10]) for r in got] == [(0, "<p>new</p>"), (1, "<p>new</p>")]
