@@ -124,9 +124,22 @@ def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs:
     return audit_pages(processed, probes, browser_obs, mode=mode, stamp=stamp)
 
 
+def prune_evidence(evidence: DataFrame, urls_df: DataFrame) -> DataFrame:
+    """Evidence rows for the given URLs only: a broadcast left-semi join, i.e. one scan of the
+    evidence table and no shuffle of it. ``urls_df`` must be bounded (a micro-batch)."""
+    return evidence.join(F.broadcast(urls_df.select(F.col("original_url").alias("url")).distinct()),
+                         "url", "left_semi")
+
+
 def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
-                mode: str = "structure", stamp: str = "19700101_000000") -> AuditResult:
-    """K2 from article occurrences that already carry their HTML: ``(article_pos, title, html)``."""
+                mode: str = "structure", stamp: str = "19700101_000000",
+                bounded_batch: bool = False) -> AuditResult:
+    """K2 from article occurrences that already carry their HTML: ``(article_pos, title, html)``.
+
+    ``bounded_batch`` (a streaming micro-batch): the link rows are persisted once and the
+    large static evidence tables are cut to the batch's URLs by a broadcast semi-join, so a
+    micro-batch never shuffles the evidence tables. The caller unpersists ``result.links``.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "structure":
@@ -135,6 +148,11 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
         occ = _occurrences_flat(processed, mode)
     occ = (occ.withColumn("article_title", clean_title(F.col("title")))
            .withColumn("_has_archive", F.coalesce(F.col("first_archive"), F.lit("")) != ""))
+    if bounded_batch:
+        occ = occ.persist()
+        probes = prune_evidence(probes, occ)
+        if browser_obs is not None:
+            browser_obs = prune_evidence(browser_obs, occ)
     classified = J.classify_urls(occ, probes, url_col="original_url", skip_col="_has_archive")
     if browser_obs is not None:
         checked = B.with_browser(classified, browser_obs, url_col="original_url")

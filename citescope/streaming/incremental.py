@@ -43,10 +43,15 @@ def run_incremental_audit(spark: SparkSession, pages_dir: str, out_dir: str, pro
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # Each arriving page row is one article occurrence with its HTML (D1 already holds).
+        # A micro-batch is bounded (maxFilesPerTrigger): its link rows are persisted and the
+        # static evidence is cut to its URLs by a broadcast semi-join instead of a shuffle.
         res = audit_pages(min_content(batch.select("article_pos", "title", "html")), probes,
-                          browser_obs, mode=mode, stamp=stamp)
-        (res.report.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
+                          browser_obs, mode=mode, stamp=stamp, bounded_batch=True)
+        try:
+            (res.report.withColumn("batch_id", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
+        finally:
+            res.links.unpersist()
 
     query = (stream.writeStream.foreachBatch(process)
              .option("checkpointLocation", checkpoint)
