@@ -357,11 +357,10 @@ fa AS (SELECT article_pos, original_url, arg_min(archive_url, ref_pos) AS first_
 SELECT r.article_pos, CAST(r.ref_pos AS INTEGER) AS ref_pos, 0 AS pair_pos, r.original_url, fa.first_archive
 FROM fx_refs r LEFT JOIN fa ON fa.article_pos = r.article_pos AND fa.original_url = r.original_url""")
 def first_archive(spark, sf_dir):
-    """D3: the article-wide first archive of every original occurrence."""
-    rows = A.reference_rows(_html(spark, sf_dir))
-    firsts = P.first_archives(rows).select("article_pos", "original_url", "first_archive")
-    return (rows.where(F.col("original_url") != "").join(firsts, ["article_pos", "original_url"], "left")
-            .select("article_pos", "ref_pos", "pair_pos", "original_url", "first_archive"))
+    """D3: the article-wide first archive of every original occurrence (sort + map inside the
+    article's row; no shuffle, one parser pass)."""
+    occ = A._occurrences_structure(_html(spark, sf_dir))
+    return occ.select("article_pos", "ref_pos", "pair_pos", "original_url", "first_archive")
 
 
 _DUCK_D2 = [DUCK_LINKS, f"""o AS (SELECT * FROM dl WHERE NOT {O.is_archive('url')}),
