@@ -49,18 +49,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# A reference element needs an <ol ...> or <ref ...> start tag; an anchor needs <a ...>. Tag names
+# are case-insensitive, so these are exact necessary conditions, tested in the JVM.
+# (The standard-library parser ends a tag name at whitespace, "/", ">" or NUL.)
+REFERENCE_MARKUP = r"(?i)<(ol|ref)[\s/>\x00]"
+ANCHOR_MARKUP = r"(?i)<a[\s/>\x00]"
+
+
 def with_reference_tree(pages: DataFrame, html: str = "html", with_html: bool = False,
-                        out: str = "refs") -> DataFrame:
+                        out: str = "refs", markup_guard: bool = True) -> DataFrame:
     """Adds the array of reference elements (each with its links) of every page.
 
-    Filters on pass-through columns must be applied to ``pages`` before this call: they do not
-    move below a Python evaluation.
+    With ``markup_guard`` (for consumers that explode the references) pages that cannot hold a
+    reference element are dropped in the JVM before any HTML is shipped to Python. Filters on
+    other pass-through columns must be applied to ``pages`` before this call: they do not move
+    below a Python evaluation.
     """
     fn = reference_tree_with_html if with_html else reference_tree
+    if markup_guard:
+        pages = pages.where(_c(html).rlike(REFERENCE_MARKUP))
     return pages.withColumn(out, fn(_c(html)))
 
 
-def with_anchor_tree(pages: DataFrame, html: str = "html", out: str = "anchors") -> DataFrame:
+def with_anchor_tree(pages: DataFrame, html: str = "html", out: str = "anchors",
+                     markup_guard: bool = False) -> DataFrame:
+    """Adds every anchor of every page; ``markup_guard`` drops pages without an anchor tag
+    before the Python step (for consumers that explode the anchors)."""
+    if markup_guard:
+        pages = pages.where(_c(html).rlike(ANCHOR_MARKUP))
     return pages.withColumn(out, anchor_tree(_c(html)))
 
 

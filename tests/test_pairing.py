@@ -176,3 +176,13 @@ def test_flat_mode_matching(spark):
         (0, "https://a.com/x"), (1, "https://b.com/long/path"), (2, None), (3, None)]
     rest = df.select(links_to_check(F.col("links"), match_archives(F.col("links"), F.col("o"), F.col("a")))).first()[0]
     assert rest == ["http://www.a.com/x/"]
+
+
+def test_markup_guard_is_exact(spark):
+    from citescope.operators.extraction import with_reference_tree
+    docs = ['<OL CLASS="references"><LI><A HREF="https://e.com">x</A></LI></OL>',
+            '<ref\n><a href="https://r.com">r</a></ref>', '<p>no lists</p>', '<olx class="references"></olx>']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, html string")
+    guarded = {r.id: len(r.refs) for r in with_reference_tree(df).collect()}
+    full = {r.id: len(r.refs) for r in with_reference_tree(df, markup_guard=False).collect()}
+    assert guarded == {0: 1, 1: 1} and {k: v for k, v in full.items() if v} == guarded
