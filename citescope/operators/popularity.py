@@ -69,6 +69,20 @@ def daily_top(pageviews: DataFrame, day, limit: int = DEFAULT_LIMIT) -> DataFram
                       "article", "views")
 
 
+def daily_tops(pageviews: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """A1 + G1 for every day at once: the first ``limit`` titles of each daily document.
+
+    ``row_number() <= k`` is planned as a WindowGroupLimit: before the shuffle each partition
+    keeps at most k rows per day, so a day holding a large share of all rows costs no more
+    than any other.
+    """
+    rows = article_rows(with_defaults(pageviews))
+    w = Window.partitionBy("view_day").orderBy("pos", "article")
+    return (rows.withColumn("top_pos", F.row_number().over(w).cast("int"))
+            .where(F.col("top_pos") <= max(int(limit), 0))
+            .select("view_day", "top_pos", "article", "views"))
+
+
 def popular_scored(pageviews: DataFrame, limit: int = DEFAULT_LIMIT, days=None,
                    all_days: bool = True) -> DataFrame:
     """E1 + G2: rank-weighted long-run ranking.

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citescope import fixtures as FX
@@ -107,15 +107,8 @@ SELECT view_day, CAST(row_number() OVER (PARTITION BY view_day ORDER BY rank, ar
 FROM fx_pageviews WHERE NOT (starts_with(article, 'Special:') OR article = 'Main_Page')
 QUALIFY top_pos <= 25""")
 def daily_top(spark, sf_dir):
-    """A1 + G1 for every day: the first 25 titles of each daily document.
-
-    ``row_number() <= k`` plans a partial WindowGroupLimit before the shuffle, so each day
-    ships at most k rows per input partition however large the day is.
-    """
-    pv = POP.article_rows(POP.with_defaults(_pageviews(spark, sf_dir)))
-    w = Window.partitionBy("view_day").orderBy("pos", "article")
-    return (pv.withColumn("top_pos", F.row_number().over(w).cast("int"))
-            .where(F.col("top_pos") <= 25).select("view_day", "top_pos", "article", "views"))
+    """A1 + G1 for every day: the first 25 titles of each daily document."""
+    return POP.daily_tops(_pageviews(spark, sf_dir), limit=25)
 
 
 @query("title_filter", _with("fx_pageviews") + """
