@@ -1,9 +1,10 @@
 """Command-line run of the full audit, with the audited tool's run options.
 
-    spark-submit -m citescope.cli --pages PAGES --probes PROBES [--browser BROWSER]
+    python -m citescope.cli --pages PAGES --probes PROBES [--browser BROWSER]
         (--pageviews DOCS | --use-popular-articles LIST.json) [--limit 25] [--daily --day D]
         [--no-html-structure [--all-links]] [--no-browser-validation] [--output-dir output]
 
+On a cluster: ``spark-submit --py-files citescope.zip citescope/cli.py ...``.
 Inputs are files or tables instead of live services: daily page-view documents (JSON, one
 folder per ``view_day=``), article HTML (Parquet with ``title, html`` or a folder of ``.html``
 files), recorded HTTP probes and recorded browser observations (Parquet, see
