@@ -18,6 +18,8 @@ SCALE_CONF = {
     # exchange later (one cited URL may hold a large share of all link rows).
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # HTML parsing is CPU-bound per document: smaller scan splits spread it over more tasks.
+    "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

@@ -13,7 +13,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from citescope.session import build_session, checkpoint_dir
 
-    s = build_session("local[4]", shuffle_partitions=4)
+    import tempfile
+
+    s = build_session("local[4]", shuffle_partitions=4,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="citescope-wh-")})
     checkpoint_dir(s)
     yield s
     s.stop()
