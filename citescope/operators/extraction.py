@@ -9,7 +9,7 @@ over that row: no shuffle is needed until links are joined with evidence keyed b
 from __future__ import annotations
 
 import citescope
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +40,35 @@ def _anchors(html):
     return html_tree.extract_anchors(html)
 
 
-reference_tree = F.udf(_references, T.ArrayType(TREE_REFERENCE), useArrow=True)
-reference_tree_with_html = F.udf(_references_with_html, T.ArrayType(TREE_REFERENCE), useArrow=True)
-anchor_tree = F.udf(_anchors, T.ArrayType(PAGE_ANCHOR), useArrow=True)
+_UDF_SPECS = {
+    "reference_tree": (_references, T.ArrayType(TREE_REFERENCE)),
+    "reference_tree_with_html": (_references_with_html, T.ArrayType(TREE_REFERENCE)),
+    "anchor_tree": (_anchors, T.ArrayType(PAGE_ANCHOR)),
+}
+_UDFS: dict = {}
+
+
+def _udf(name: str):
+    """The Arrow-batched UDF ``name`` for the active SparkContext (a UDF object binds the
+    context it is first used in, so one is kept per application)."""
+    app = SparkContext._active_spark_context.applicationId
+    key = (name, app)
+    if key not in _UDFS:
+        fn, rtype = _UDF_SPECS[name]
+        _UDFS[key] = F.udf(fn, rtype, useArrow=True)
+    return _UDFS[key]
+
+
+def reference_tree(html: Column) -> Column:
+    return _udf("reference_tree")(html)
+
+
+def reference_tree_with_html(html: Column) -> Column:
+    return _udf("reference_tree_with_html")(html)
+
+
+def anchor_tree(html: Column) -> Column:
+    return _udf("anchor_tree")(html)
 
 
 def _c(x) -> Column:
