@@ -211,6 +211,71 @@ def match_archives(links: Column, origs: Column | None = None, archs: Column | N
     return F.transform(archs, best)
 
 
+def _first_pos_map(sorted_kp: Column) -> Column:
+    """``map<k, first position>`` from an array of ``struct<k, pos>`` sorted by (k, pos)."""
+    starts = F.filter(sorted_kp, lambda x, j: (j == 0) | (
+        F.element_at(sorted_kp, F.greatest(j, F.lit(1))).getField("k") != x["k"]))
+    return F.map_from_entries(F.transform(starts, lambda x: F.struct(x["k"], x["pos"])))
+
+
+@functools.lru_cache(maxsize=None)
+def _indexed_exprs():
+    o = F.col("_origs")
+    sorted_keys = {
+        "_sb": F.array_sort(F.transform(o, lambda x, i: F.struct(x["basic"].alias("k"), i.alias("pos")))),
+        "_sn": F.array_sort(F.transform(o, lambda x, i: F.struct(x["norm"].alias("k"), i.alias("pos")))),
+        "_sdp": F.array_sort(F.transform(o, lambda x, i: F.struct(
+            F.struct(x["dom"].alias("d"), x["path"].alias("p")).alias("k"), i.alias("pos")))),
+        "_sd": F.array_sort(F.transform(o, lambda x, i: F.struct(
+            x["dom"].alias("d"), i.alias("pos"), x["path"].alias("path")))),
+    }
+    sd = F.col("_sd")
+    run_starts = F.filter(F.transform(sd, lambda x, j: F.struct(x["d"].alias("d"), j.alias("start"))),
+                          lambda y, j: (j == 0) | (F.element_at(sd, F.greatest(j, F.lit(1))).getField("d") != y["d"]))
+    maps = {
+        "_mb": _first_pos_map(F.col("_sb")),
+        "_mn": _first_pos_map(F.col("_sn")),
+        "_mdp": _first_pos_map(F.col("_sdp")),
+    }
+    st = F.col("_st")
+    ranges = F.map_from_entries(F.transform(st, lambda r, k: F.struct(r["d"], F.struct(
+        r["start"].alias("start"),
+        (F.coalesce(F.try_element_at(st, k + 2).getField("start"), F.size(sd)) - r["start"]).alias("count")))))
+
+    def best(a, i):
+        eq = F.least(F.try_element_at(F.col("_mb"), a["basic"]), F.try_element_at(F.col("_mn"), a["norm"]),
+                     F.try_element_at(F.col("_mdp"), F.struct(a["dom"].alias("d"), a["path"].alias("p"))))
+        rng = F.try_element_at(F.col("_dr"), a["dom"])
+        contained = F.when(rng.isNotNull() & (a["path"] != ""), F.try_element_at(F.filter(
+            F.slice(sd, rng["start"] + 1, rng["count"]),
+            lambda x: (x["path"] != "") & (x["path"].contains(a["path"]) | a["path"].contains(x["path"]))),
+            F.lit(1)).getField("pos"))
+        pos = F.least(eq, contained)
+        return F.struct(i.alias("archive_pos"), a["url"].alias("archive_url"),
+                        F.when((a["ex"] != "") & pos.isNotNull(),
+                               F.element_at(o, pos + 1).getField("url")).alias("original_url"))
+
+    return sorted_keys, run_starts, maps, ranges, F.transform(F.col("_archs"), best)
+
+
+def match_archives_indexed(df: DataFrame, keep) -> DataFrame:
+    """D2 with per-article indexes; same result as ``match_archives``.
+
+    ``df`` holds ``_origs`` (``original_parts``) and ``_archs`` (``archive_parts``). Three
+    equality branches of I4 become lookups in first-position maps (keys: I3 form, I1 form,
+    (host, path)); the containment branch scans only the originals of the archive's host,
+    a slice of the originals sorted by (host, position). Building the indexes is O(n log n)
+    per article; each archive then costs O(1) plus the size of its host's slice.
+    Adds ``matches`` (archive order); keeps ``keep``.
+    """
+    k = list(keep)
+    sorted_keys, run_starts, maps, ranges, matches = _indexed_exprs()
+    s1 = stage(df, k + ["_origs", "_archs"], **sorted_keys)
+    s2 = stage(s1, k + ["_origs", "_archs", "_sd"], _st=run_starts, **maps)
+    s3 = stage(s2, k + ["_origs", "_archs", "_sd", "_mb", "_mn", "_mdp"], _dr=ranges)
+    return stage(s3, k, matches=matches)
+
+
 def links_to_check(links: Column, matches: Column) -> Column:
     """H4: originals (list order) that received no archive."""
     matched = F.filter(F.transform(matches, lambda m: m["original_url"]), lambda u: u.isNotNull())

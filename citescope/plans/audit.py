@@ -58,18 +58,17 @@ def _flat_exprs(mode: str):
         links = X.comprehensive_links(F.col("anchors"))
     origs = P.original_parts(F.col("links"))
     archs = P.archive_parts(F.col("links"))
-    matches = P.match_archives(F.col("links"), F.col("_origs"), F.col("_archs"))
     first = F.transform(F.filter("links", lambda u: ~urls.is_archive(u)), lambda o: F.struct(
         o.alias("original_url"),
         F.try_element_at(F.filter("matches", lambda m: m["original_url"] == o), F.lit(1))["archive_url"]
         .alias("first_archive")))
-    return links, origs, archs, matches, first
+    return links, origs, archs, first
 
 
 def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
     """Per page: ``links`` (C5 for 'references', C4 for 'all') and the D2 ``matches``."""
     k = list(keys)
-    links, origs, archs, matches, _ = _flat_exprs(mode)
+    links, origs, archs, _ = _flat_exprs(mode)
     if mode == "references":
         src = X.with_reference_tree(pages.select(*k, "html"))
     else:
@@ -77,7 +76,7 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
     # Each array is staged once per article so later lambdas read it instead of re-deriving it.
     staged = stage(src, k, links=links)
     staged = stage(staged, k + ["links"], _origs=origs, _archs=archs)
-    return stage(staged, k + ["links"], matches=matches)
+    return P.match_archives_indexed(staged, k + ["links"])
 
 
 @functools.lru_cache(maxsize=None)
@@ -108,7 +107,7 @@ def _occurrences_structure(pages: DataFrame, keys=("article_pos", "title")) -> D
 
 def _occurrences_flat(pages: DataFrame, mode: str) -> DataFrame:
     flat = flat_links(pages, mode)
-    with_first = _flat_exprs(mode)[4]
+    with_first = _flat_exprs(mode)[3]
     return (flat.select("article_pos", "title", F.posexplode(with_first).alias("link_pos", "l"))
             .select("article_pos", "title", F.col("link_pos").cast("int").alias("link_pos"),
                     "l.original_url", "l.first_archive"))

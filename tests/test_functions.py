@@ -170,3 +170,36 @@ def test_progress_preview_and_closeness(spark):
     c = spark.createDataFrame([(1, 0, 1, 4), (1, 0, 1, 5), (1, 2, 2, 3), (1, 3, 1, 2)], "p1 int, i1 int, p2 int, i2 int")
     got = [r[0] for r in c.select(elements_close(F.col("p1"), F.col("i1"), F.col("p2"), F.col("i2"))).collect()]
     assert got == [True, False, False, False]
+
+
+def _random_link(draw_host, draw_path, scheme, www, arch):
+    host = draw_host
+    url = f"{scheme}{www}{host}{draw_path}"
+    if arch == 1:
+        return "https://web.archive.org/web/2020/" + url
+    if arch == 2:
+        return "https://archive.today/" + url
+    if arch == 3:
+        return "https://archive.ph/x" + draw_path.replace("/", "")
+    return url
+
+
+link_st = st.builds(_random_link,
+                    st.sampled_from(["a.com", "a.co.uk", "b.org", "A.com"]),
+                    st.sampled_from(["", "/", "/p", "/p/", "/pq", "/q/p", "/p/q"]),
+                    st.sampled_from(["http://", "https://", ""]), st.sampled_from(["", "www."]),
+                    st.sampled_from([0, 0, 1, 2, 3]))
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(link_st, min_size=1, max_size=14, unique=True), min_size=1, max_size=12))
+def test_indexed_d2_equals_nested_loop(spark, articles):
+    from citescope.operators.pairing import (archive_parts, match_archives, match_archives_indexed,
+                                             original_parts)
+    df = spark.createDataFrame([(i, links) for i, links in enumerate(articles)], "id int, links array<string>")
+    parts = df.select("id", "links", original_parts(F.col("links")).alias("_origs"),
+                      archive_parts(F.col("links")).alias("_archs"))
+    simple = {r.id: [tuple(m) for m in r.m] for r in parts.select(
+        "id", match_archives(F.col("links"), F.col("_origs"), F.col("_archs")).alias("m")).collect()}
+    indexed = {r.id: [tuple(m) for m in r.matches] for r in match_archives_indexed(parts, ["id"]).collect()}
+    assert simple == indexed
