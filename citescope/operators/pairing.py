@@ -276,6 +276,21 @@ def match_archives_indexed(df: DataFrame, keep) -> DataFrame:
     return stage(s3, k, matches=matches)
 
 
+def first_archive_by_original(matches: Column) -> Column:
+    """Step 1 of the flat-mode first-archive lookup: matched archives sorted by (original,
+    archive position). Stage it, then apply ``first_archive_map_flat``."""
+    return F.array_sort(F.transform(F.filter(matches, lambda m: m["original_url"].isNotNull()),
+                                    lambda m: F.struct(m["original_url"].alias("k"), m["archive_pos"].alias("pos"),
+                                                       m["archive_url"].alias("a"))))
+
+
+def first_archive_map_flat(sorted_matches: Column) -> Column:
+    """Step 2: ``map<original, first archive>`` from the run starts (unique keys)."""
+    starts = F.filter(sorted_matches, lambda x, j: (j == 0) | (
+        F.element_at(sorted_matches, F.greatest(j, F.lit(1))).getField("k") != x["k"]))
+    return F.map_from_entries(F.transform(starts, lambda x: F.struct(x["k"], x["a"])))
+
+
 def links_to_check(links: Column, matches: Column) -> Column:
     """H4: originals (list order) that received no archive."""
     matched = F.filter(F.transform(matches, lambda m: m["original_url"]), lambda u: u.isNotNull())

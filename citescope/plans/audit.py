@@ -58,11 +58,11 @@ def _flat_exprs(mode: str):
         links = X.comprehensive_links(F.col("anchors"))
     origs = P.original_parts(F.col("links"))
     archs = P.archive_parts(F.col("links"))
+    srt = P.first_archive_by_original(F.col("matches"))
+    fmap = P.first_archive_map_flat(F.col("_ms"))
     first = F.transform(F.filter("links", lambda u: ~urls.is_archive(u)), lambda o: F.struct(
-        o.alias("original_url"),
-        F.try_element_at(F.filter("matches", lambda m: m["original_url"] == o), F.lit(1))["archive_url"]
-        .alias("first_archive")))
-    return links, origs, archs, first
+        o.alias("original_url"), F.try_element_at(F.col("_fm"), o).alias("first_archive")))
+    return links, origs, archs, (srt, fmap, first)
 
 
 def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
@@ -105,9 +105,13 @@ def _occurrences_structure(pages: DataFrame, keys=("article_pos", "title")) -> D
                     F.try_element_at(F.col("_firsts"), F.col("p.original_url")).alias("first_archive")))
 
 
-def _occurrences_flat(pages: DataFrame, mode: str) -> DataFrame:
-    flat = flat_links(pages, mode)
-    with_first = _flat_exprs(mode)[3]
+def _occurrences_flat(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
+    """Distinct originals of each article with the first archive matched to them (D2 groups),
+    via a sorted array and a unique-key map inside the row."""
+    k = list(keys)
+    srt, fmap, with_first = _flat_exprs(mode)[3]
+    flat = stage(flat_links(pages, mode), k + ["links"], _ms=srt)
+    flat = stage(flat, k + ["links"], _fm=fmap)
     return (flat.select("article_pos", "title", F.posexplode(with_first).alias("link_pos", "l"))
             .select("article_pos", "title", F.col("link_pos").cast("int").alias("link_pos"),
                     "l.original_url", "l.first_archive"))
