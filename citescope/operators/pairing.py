@@ -299,13 +299,24 @@ def links_to_check(links: Column, matches: Column) -> Column:
 
 
 def archives_by_original(links: Column, matches: Column) -> Column:
-    """H4/E2 (flat): ``array<struct<original_url, archives>>`` for originals with archives."""
-    origs = F.array_distinct(F.filter(links, lambda u: ~urls.is_archive(u)))
-    grouped = F.transform(origs, lambda o: F.struct(
-        o.alias("original_url"),
-        F.transform(F.filter(matches, lambda m: m["original_url"] == o),
-                    lambda m: m["archive_url"]).alias("archives")))
-    return F.filter(grouped, lambda g: F.size(g["archives"]) > 0)
+    """H4/E2 (flat): ``array<struct<original_url, archives>>`` for originals with archives, in
+    the originals' list order, archives in archive order. Sort-based: matches sorted by
+    (original, archive position) form one run per original. O(n log n) per article."""
+    order = F.map_from_entries(F.transform(F.array_distinct(F.filter(links, lambda u: ~urls.is_archive(u))),
+                                           lambda u, i: F.struct(u, i)))
+    srt = F.array_sort(F.transform(F.filter(matches, lambda m: m["original_url"].isNotNull()),
+                                   lambda m: F.struct(m["original_url"].alias("k"), m["archive_pos"].alias("pos"),
+                                                      m["archive_url"].alias("a"))))
+    return _let(srt, lambda sm: _let(
+        F.filter(F.transform(sm, lambda x, j: F.struct(x["k"].alias("k"), j.alias("start"))),
+                 lambda y, j: (j == 0) | (F.element_at(sm, F.greatest(j, F.lit(1))).getField("k") != y["k"])),
+        lambda runs: F.transform(
+            F.array_sort(F.transform(runs, lambda r, n: F.struct(
+                F.try_element_at(order, r["k"]).alias("o_pos"), r["k"].alias("original_url"),
+                F.transform(F.slice(sm, r["start"] + 1,
+                                    F.coalesce(F.try_element_at(runs, n + 2).getField("start"), F.size(sm))
+                                    - r["start"]), lambda x: x["a"]).alias("archives")))),
+            lambda g: F.struct(g["original_url"].alias("original_url"), g["archives"].alias("archives")))))
 
 
 # ---- article-scope lookups (E2, D3) -------------------------------------------------------------

@@ -388,6 +388,19 @@ def equivalence_match(spark, sf_dir):
                     "m.archive_url", "m.original_url"))
 
 
+@query("flat_archive_groups", _with("fx_refs", extra=_DUCK_D2) + """
+SELECT m.article_pos, m.original_url, string_agg(m.archive_url, ' ' ORDER BY a.pos) AS archives_text,
+       CAST(count(*) AS INTEGER) AS n_archives
+FROM m JOIN a ON a.article_pos = m.article_pos AND a.url = m.archive_url
+GROUP BY m.article_pos, m.original_url""")
+def flat_archive_groups(spark, sf_dir):
+    """E2 + H4 in the flat mode: archives grouped under their first equivalent original."""
+    f = _flat(spark, sf_dir)
+    g = f.select("article_pos", F.explode(P.archives_by_original(F.col("links"), F.col("matches"))).alias("g"))
+    return g.select("article_pos", "g.original_url", F.array_join("g.archives", " ").alias("archives_text"),
+                    F.size("g.archives").alias("n_archives"))
+
+
 @query("links_with_archives", _with("fx_refs") + """
 SELECT article_pos, CAST(count(*) AS BIGINT) AS n_links,
        CAST(count(DISTINCT CASE WHEN archive_url IS NOT NULL THEN original_url END) AS BIGINT) AS n_with_archives

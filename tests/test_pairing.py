@@ -186,3 +186,16 @@ def test_markup_guard_is_exact(spark):
     guarded = {r.id: len(r.refs) for r in with_reference_tree(df).collect()}
     full = {r.id: len(r.refs) for r in with_reference_tree(df, markup_guard=False).collect()}
     assert guarded == {0: 1, 1: 1} and {k: v for k, v in full.items() if v} == guarded
+
+
+def test_archives_by_original_groups(spark):
+    from citescope.operators.pairing import archives_by_original, match_archives
+    links = ["https://b.com/x", "https://a.com/y",
+             "https://web.archive.org/web/1/https://a.com/y", "https://archive.today/https://b.com/x",
+             "https://web.archive.org/web/2/http://a.com/y/", "https://web.archive.org/web/3/https://z.com/"]
+    df = spark.createDataFrame([(links,)], "links array<string>")
+    got = df.select(archives_by_original(F.col("links"), match_archives(F.col("links"))).alias("g")).first().g
+    assert [(g.original_url, list(g.archives)) for g in got] == [
+        ("https://b.com/x", ["https://archive.today/https://b.com/x"]),
+        ("https://a.com/y", ["https://web.archive.org/web/1/https://a.com/y",
+                             "https://web.archive.org/web/2/http://a.com/y/"])]
