@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +55,29 @@ def report_rows(links: DataFrame, stamp: str | Column) -> DataFrame:
     ``status, status_code`` (NULL when not checked) and ``browser`` (NULL when not re-checked).
     B8 drops archive URLs; B12 fixes the column order.
     """
+    cond, cols = _report_exprs(stamp) if isinstance(stamp, str) else _report_exprs_uncached(stamp)
+    return links.where(cond).select(
+        *cols, *[c for c in links.columns if c in ("article_pos", "ref_pos", "pair_pos", "link_pos")])
+
+
+def _report_exprs_uncached(stamp):
     has_archive = F.coalesce(F.col("first_archive"), F.lit("")) != ""
     st = stamp if isinstance(stamp, Column) else F.lit(stamp)
-    return (links.where(~urls.is_archive(F.col("original_url")))
-            .select(
-                F.col("article_title"),
-                F.col("original_url"),
-                F.when(has_archive, F.col("first_archive")).alias("archive_url"),
-                has_archive.alias("has_archive"),
-                error_code(has_archive, F.col("status"), F.col("status_code")).alias("error_code"),
-                st.alias("timestamp"),
-                browser_check(has_archive, F.col("status"), F.col("browser")).alias("browser_validation_check"),
-                browser_check_detail(has_archive, F.col("browser"), F.col("original_url"))
-                .alias("browser_validation_check_detail"),
-                *[c for c in links.columns if c in ("article_pos", "ref_pos", "pair_pos", "link_pos")]))
+    cols = [
+        F.col("article_title"),
+        F.col("original_url"),
+        F.when(has_archive, F.col("first_archive")).alias("archive_url"),
+        has_archive.alias("has_archive"),
+        error_code(has_archive, F.col("status"), F.col("status_code")).alias("error_code"),
+        st.alias("timestamp"),
+        browser_check(has_archive, F.col("status"), F.col("browser")).alias("browser_validation_check"),
+        browser_check_detail(has_archive, F.col("browser"), F.col("original_url"))
+        .alias("browser_validation_check_detail"),
+    ]
+    return ~urls.is_archive(F.col("original_url")), cols
+
+
+_report_exprs = functools.lru_cache(maxsize=64)(_report_exprs_uncached)
 
 
 def select_report(df: DataFrame) -> DataFrame:
