@@ -139,3 +139,15 @@ def test_articles_with_html_dedupes_after_semi_join(spark):
     arts = spark.createDataFrame([(0, "A"), (1, "A"), (2, "C")], "article_pos long, title string")
     got = articles_with_html(arts, pages, articles_bound=3, dedupe_by="ingest_pos").orderBy("article_pos").collect()
     assert [(r.article_pos, r.html[:10]) for r in got] == [(0, "<p>new</p>"), (1, "<p>new</p>")]
+
+
+def test_popular_records_array_round_trip(spark, tmp_out):
+    from citescope.operators.popular_links import article_links_df
+    html = '<a href="./Alpha">Alpha page</a><a href="./Beta_%C3%A9">Beta</a><a href="./Talk:X">t</a>'
+    recs = article_links_df(spark.createDataFrame([(7, html)], "page_id long, html string"))
+    arr = AL.records_as_json_array(recs).first().json
+    p = write(os.path.join(tmp_out, "popular_articles.json"), arr)
+    back = AL.read_article_list(spark, p).orderBy("article_pos").collect()
+    assert [r.title for r in back] == ["Alpha", "Beta_é"]
+    assert json.loads(arr)[0] == {"title": "Alpha", "display_text": "Alpha page",
+                                  "url": "https://en.wikipedia.org/wiki/Alpha"}
