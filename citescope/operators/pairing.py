@@ -339,29 +339,20 @@ def first_archive_map(sorted_pairs: Column) -> Column:
     return F.map_from_entries(F.transform(with_archive, lambda x: F.struct(x["o"], x["a"])))
 
 
-# ---- article-scope lookups on exploded reference rows (E2, D3) ---------------------------------
-
-def archive_groups(ref_rows: DataFrame, keys=("article_pos",)) -> DataFrame:
-    """Per (article, original) the archives in reference order.
-
-    Partial aggregation runs before the shuffle, so a hot original is combined map-side.
-    """
-    k = list(keys)
-    rows = ref_rows.where((F.col("original_url") != "") & (F.col("archive_url") != ""))
-    return (rows.groupBy(*k, "original_url")
-            .agg(F.sort_array(F.collect_list(F.struct("ref_pos", "pair_pos", "archive_url"))).alias("_a"))
-            .select(*k, "original_url",
-                    F.transform("_a", lambda x: x["archive_url"]).alias("archives")))
-
-
-def first_archives(ref_rows: DataFrame, keys=("article_pos",)) -> DataFrame:
-    """D3: per (article, original) the first archive in reference order.
-
-    ``min_by`` is decomposable, so the aggregate is skew-safe; callers join it back on
-    (article, original).
-    """
-    k = list(keys)
-    rows = ref_rows.where((F.col("original_url") != "") & (F.col("archive_url") != ""))
-    return (rows.groupBy(*k, "original_url")
-            .agg(F.min_by("archive_url", F.struct("ref_pos", "pair_pos")).alias("first_archive"),
-                 F.count("*").alias("n_archives")))
+def archive_groups_in_row(pairs: Column) -> Column:
+    """E2 inside one article: ``array<struct<original_url, archives>>``, the archives of each
+    original in reference order. The pairs with an archive are sorted by (original, reference
+    position, pair position) and every run of one original becomes a group: O(n log n) per
+    article, no shuffle and no per-group collection across rows."""
+    srt = F.array_sort(F.transform(
+        F.filter(pairs, lambda p: (p["original_url"] != "") & (p["archive_url"] != "")),
+        lambda p: F.struct(p["original_url"].alias("k"), p["ref_pos"].alias("ref_pos"),
+                           p["pair_pos"].alias("pair_pos"), p["archive_url"].alias("a"))))
+    return _let(srt, lambda sm: _let(
+        F.filter(F.transform(sm, lambda x, j: F.struct(x["k"].alias("k"), j.alias("start"))),
+                 lambda y, j: (j == 0) | (F.element_at(sm, F.greatest(j, F.lit(1))).getField("k") != y["k"])),
+        lambda runs: F.transform(runs, lambda r, n: F.struct(
+            r["k"].alias("original_url"),
+            F.transform(F.slice(sm, r["start"] + 1,
+                                F.coalesce(F.try_element_at(runs, n + 2).getField("start"), F.size(sm))
+                                - r["start"]), lambda x: x["a"]).alias("archives")))))

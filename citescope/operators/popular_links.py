@@ -77,6 +77,25 @@ def first_occurrences(pages: DataFrame, html: str = "html", keys=("page_id",),
     return srt.select(*k, firsts.alias("firsts"))
 
 
+def _kept_links(firsts: Column, base: str, limit: int) -> Column:
+    cleaned = F.transform(firsts, lambda x: F.struct(
+        x["title"].alias("title"), clean_link_text(x["text"]).alias("display_text"),
+        F.concat(F.lit(base), x["title"]).alias("url")))
+    kept = F.filter(cleaned, lambda x: F.length(x["display_text"]) > 1)
+    return F.slice(kept, 1, limit) if limit > 0 else kept
+
+
+def article_links_json(pages: DataFrame, html: str = "html", keys=("page_id",),
+                       prefix: str = DEFAULT_PREFIX, base: str = ARTICLE_URL_BASE,
+                       limit: int = 0) -> DataFrame:
+    """C1 + A6: per page, the JSON array of ``{title, display_text, url}`` records (the saved
+    popular-list form, readable by ``article_lists.read_article_list``), built from the page's
+    own link array: no regrouping of exploded rows."""
+    k = list(keys)
+    firsts = first_occurrences(pages, html, k, prefix)
+    return firsts.select(*k, F.to_json(_kept_links(F.col("firsts"), base, limit)).alias("json"))
+
+
 def article_links_df(pages: DataFrame, html: str = "html", keys=("page_id",),
                      prefix: str = DEFAULT_PREFIX, base: str = ARTICLE_URL_BASE,
                      limit: int = 0) -> DataFrame:
@@ -88,12 +107,7 @@ def article_links_df(pages: DataFrame, html: str = "html", keys=("page_id",),
     """
     k = list(keys)
     firsts = first_occurrences(pages, html, k, prefix)
-    cleaned = F.transform("firsts", lambda x: F.struct(
-        x["title"].alias("title"), clean_link_text(x["text"]).alias("display_text"),
-        F.concat(F.lit(base), x["title"]).alias("url")))
-    kept = F.filter(cleaned, lambda x: F.length(x["display_text"]) > 1)
-    if limit > 0:
-        kept = F.slice(kept, 1, limit)
+    kept = _kept_links(F.col("firsts"), base, limit)
     return (firsts.select(*k, F.posexplode(kept).alias("link_pos", "l"))
             .select(*k, F.col("link_pos").cast("int").alias("link_pos"),
                     "l.title", "l.display_text", "l.url"))

@@ -339,9 +339,10 @@ SELECT article_pos, original_url, string_agg(archive_url, ' ' ORDER BY ref_pos)
 FROM fx_refs WHERE archive_url IS NOT NULL GROUP BY article_pos, original_url""")
 def archive_groups(spark, sf_dir):
     """Archives of each original in reference order."""
-    g = P.archive_groups(A.reference_rows(_html(spark, sf_dir)))
-    return g.select("article_pos", "original_url", F.array_join("archives", " ").alias("archives_text"),
-                    F.size("archives").alias("n_archives"))
+    refs = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"))
+    g = refs.select("article_pos", F.explode(P.archive_groups_in_row(P.pair_references(F.col("refs")))).alias("g"))
+    return g.select("article_pos", "g.original_url", F.array_join("g.archives", " ").alias("archives_text"),
+                    F.size("g.archives").alias("n_archives"))
 
 
 @query("first_archive", _with("fx_refs") + """,

@@ -42,13 +42,3 @@ def write_popular_records(records: DataFrame, path: str) -> None:
 
 def read_popular_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POPULAR_RECORD_SCHEMA).json(path)
-
-
-def records_as_json_array(records: DataFrame, order_col: str = "link_pos") -> DataFrame:
-    """A6 array form for short lists: one JSON array string per source page (the list the
-    article-list reader accepts). Only for bounded lists, e.g. after a limit."""
-    return (records.groupBy("page_id")
-            .agg(F.sort_array(F.collect_list(F.struct(order_col, "title", "display_text", "url"))).alias("_r"))
-            .select("page_id", F.to_json(F.transform("_r", lambda x: F.struct(
-                x["title"].alias("title"), x["display_text"].alias("display_text"),
-                x["url"].alias("url")))).alias("json")))

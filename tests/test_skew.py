@@ -29,11 +29,10 @@ def skewed_inputs(spark):
     refs = fx["fx_refs"].withColumn(
         "original_url", F.when(F.col("page_id") % 3 == 0, F.lit(HOT)).otherwise(F.col("original_url")))
     li = F.concat(F.lit('<li><cite><a href="'), F.col("original_url"), F.lit('">o</a></cite></li>'))
-    pages = (refs.groupBy("article_pos", "title")
-             .agg(F.sort_array(F.collect_list(F.struct("ref_pos", li.alias("li")))).alias("l"))
+    pages = (refs.withColumn("li", li).groupBy("article_pos", "title")
+             .agg(F.expr("listagg(li, '') WITHIN GROUP (ORDER BY ref_pos)").alias("l"))
              .select("article_pos", "title", F.concat(
-                 F.lit('<ol class="references">'), F.array_join(F.transform("l", lambda x: x["li"]), ""),
-                 F.lit("</ol>" + " " * 100)).alias("html")))
+                 F.lit('<ol class="references">'), F.col("l"), F.lit("</ol>" + " " * 100)).alias("html")))
     probes = fx["fx_probe"].unionByName(
         fx["fx_probe"].limit(1).withColumn("url", F.lit(HOT)).withColumn("head_status", F.lit(404))
         .withColumn("get_status", F.lit(410)).withColumn("head_failed", F.lit(False))

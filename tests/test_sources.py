@@ -142,10 +142,9 @@ def test_articles_with_html_dedupes_after_semi_join(spark):
 
 
 def test_popular_records_array_round_trip(spark, tmp_out):
-    from citescope.operators.popular_links import article_links_df
+    from citescope.operators.popular_links import article_links_json
     html = '<a href="./Alpha">Alpha page</a><a href="./Beta_%C3%A9">Beta</a><a href="./Talk:X">t</a>'
-    recs = article_links_df(spark.createDataFrame([(7, html)], "page_id long, html string"))
-    arr = AL.records_as_json_array(recs).first().json
+    arr = article_links_json(spark.createDataFrame([(7, html)], "page_id long, html string")).first().json
     p = write(os.path.join(tmp_out, "popular_articles.json"), arr)
     back = AL.read_article_list(spark, p).orderBy("article_pos").collect()
     assert [r.title for r in back] == ["Alpha", "Beta_é"]
