@@ -28,6 +28,7 @@ from citescope.operators import pairing as P
 from citescope.operators import probes as J
 from citescope.operators import report as R
 from citescope.operators.staging import stage
+from citescope.session import checkpoint_dir
 from citescope.sources.pages import articles_with_html
 
 MODES = ("structure", "references", "all")
@@ -119,12 +120,13 @@ def _occurrences_flat(pages: DataFrame, mode: str, keys=("article_pos", "title")
 
 def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
           mode: str = "structure", stamp: str = "19700101_000000",
-          articles_bound: int | None = None) -> AuditResult:
+          articles_bound: int | None = None, materialize: bool = False) -> AuditResult:
     """K2. ``articles(article_pos, title)`` may repeat titles (each occurrence is audited);
     ``pages(title, html)``; ``probes`` per ``schemas.PROBE_SCHEMA``; ``browser_obs`` per
-    ``schemas.BROWSER_SCHEMA`` or None to skip the browser step."""
+    ``schemas.BROWSER_SCHEMA`` or None to skip the browser step. ``materialize``: see
+    ``audit_pages``."""
     processed = articles_with_html(articles, pages, articles_bound=articles_bound)
-    return audit_pages(processed, probes, browser_obs, mode=mode, stamp=stamp)
+    return audit_pages(processed, probes, browser_obs, mode=mode, stamp=stamp, materialize=materialize)
 
 
 def prune_evidence(evidence: DataFrame, urls_df: DataFrame) -> DataFrame:
@@ -136,12 +138,16 @@ def prune_evidence(evidence: DataFrame, urls_df: DataFrame) -> DataFrame:
 
 def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
                 mode: str = "structure", stamp: str = "19700101_000000",
-                bounded_batch: bool = False) -> AuditResult:
+                bounded_batch: bool = False, materialize: bool = False) -> AuditResult:
     """K2 from article occurrences that already carry their HTML: ``(article_pos, title, html)``.
 
     ``bounded_batch`` (a streaming micro-batch): the link rows are persisted once and the
     large static evidence tables are cut to the batch's URLs by a broadcast semi-join, so a
     micro-batch never shuffles the evidence tables. The caller unpersists ``result.links``.
+
+    ``materialize`` (several outputs from one run: report, totals, summaries): the classified
+    link rows are checkpointed once to ``spark.checkpoint.dir`` (reliable storage, survives
+    executor loss), so the HTML is parsed once and every output reads the checkpoint.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -161,6 +167,9 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
         checked = B.with_browser(classified, browser_obs, url_col="original_url")
     else:
         checked = classified.withColumn("browser", F.lit(None).cast(B.BROWSER_RESULT_TYPE))
+    if materialize:
+        checkpoint_dir(checked.sparkSession)
+        checked = checked.checkpoint(eager=True)
     # Flat modes only check links without archives; the structure mode checks every original.
     results = checked if mode == "structure" else checked.where(~F.col("_has_archive"))
     validated = results.where(F.col("status") == "dead")

@@ -59,3 +59,12 @@ def test_stream_equals_batch(spark):
     batch = audit(arts, pages, probes, browser, stamp="S").report
     streamed = incremental_audit_from(spark, pg, probes, browser, files=3, stamp="S").drop("batch_id")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select(*streamed.columns).collect()))
+
+
+def test_materialized_audit_parses_once(spark):
+    arts, pages, probes, browser = inputs(spark)
+    res = audit(arts, pages, probes, browser, stamp="S", materialize=True)
+    for df in (res.report, res.results, res.validated):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    plain = audit(arts, pages, probes, browser, stamp="S")
+    assert sorted(map(tuple, res.report.collect())) == sorted(map(tuple, plain.report.collect()))
