@@ -11,6 +11,11 @@
     reference_links(html)  -> ref_pos, ref_kind, link_pos, href, elem_key, parent_key,
                               grandparent_key, next_href, prev_href
     page_links(html)       -> link_pos, href, in_ref, in_section, classes, id
+  per-page arrays (Arrow UDFs): cs_reference_tree(html), cs_anchor_tree(html)
+
+Archive pairing and flat-mode matching are higher-order expressions over those arrays and are
+used through the DataFrame API (``citescope.operators.pairing``); lambda expressions do not
+round-trip into SQL function bodies.
 
 Example::
 
@@ -28,6 +33,7 @@ from pyspark.sql.functions import udtf
 from citescope.functions import html_tree
 from citescope.functions import text as TX
 from citescope.functions import urls as U
+from citescope.operators import extraction as X
 
 
 cloudpickle.register_pickle_by_value(citescope)
@@ -89,3 +95,6 @@ def register_sql(spark: SparkSession) -> None:
     _fn(spark, "cs_format_duration", {"s": "double"}, "string", TX.format_duration(F.col("s")))
     spark.udtf.register("reference_links", ReferenceLinks)
     spark.udtf.register("page_links", PageLinks)
+    # Per-page arrays (one row per page, Arrow-batched), the inputs of the DataFrame operators.
+    spark.udf.register("cs_reference_tree", X._udf("reference_tree"))
+    spark.udf.register("cs_anchor_tree", X._udf("anchor_tree"))

@@ -25,3 +25,11 @@ def test_table_functions(spark):
         ("list", "https://e.com"), ("list", "https://web.archive.org/web/1/https://e.com"), ("ref", "/x")]
     n = spark.sql("SELECT count(*) FROM t_pages p, LATERAL page_links(p.html) l WHERE l.in_ref").first()[0]
     assert n == 1
+
+
+def test_tree_udfs_in_sql(spark):
+    register_sql(spark)
+    html = '<ol class="references"><li><a href="https://e.com">o</a></li></ol><p><a href="/x">x</a></p>'
+    spark.createDataFrame([(html,)], "html string").createOrReplaceTempView("t_pages2")
+    r = spark.sql("SELECT size(cs_reference_tree(html)) n_refs, size(cs_anchor_tree(html)) n_anchors FROM t_pages2").first()
+    assert (r.n_refs, r.n_anchors) == (1, 2)
