@@ -36,3 +36,26 @@ def test_cli_run_from_saved_list(spark, tmp_out):
     flat = cli.run(cli.parse_args(["--pages", pages, "--probes", probes, "--use-popular-articles", lst,
                                    "--no-html-structure", "--output-dir", out, "--stamp", "20240101_000001"]), spark)
     assert flat["mode"] == "references" and "browser_totals" not in flat
+
+
+def test_cli_run_from_pageview_documents(spark, tmp_out):
+    fx = FX.register(spark, SF)
+    pages = os.path.join(tmp_out, "pages.parquet")
+    fx["fx_html"].select("title", "html").write.parquet(pages)
+    probes = os.path.join(tmp_out, "probes.parquet")
+    fx["fx_probe"].write.parquet(probes)
+    titles = [r.title for r in fx["fx_html"].orderBy("article_pos").select("title").collect()]
+    docs = os.path.join(tmp_out, "pageviews")
+    for day, order in (("2024-01-01", titles), ("2024-01-02", list(reversed(titles)))):
+        os.makedirs(os.path.join(docs, f"view_day={day}"))
+        arts = [{"article": "Main_Page", "rank": 1, "views": 10 ** 6}] + [
+            {"article": t, "rank": i + 2, "views": 1000 - i} for i, t in enumerate(order)]
+        with open(os.path.join(docs, f"view_day={day}", "top.json"), "w") as f:
+            json.dump({"items": [{"articles": arts}]}, f)
+    base = ["--pages", pages, "--probes", probes, "--pageviews", docs, "--limit", "2", "--no-browser-validation"]
+    long_run = cli.run(cli.parse_args(base + ["--output-dir", os.path.join(tmp_out, "o1"), "--stamp", "1"]), spark)
+    daily = cli.run(cli.parse_args(base + ["--daily", "--day", "2024-01-02", "--output-dir",
+                                           os.path.join(tmp_out, "o2"), "--stamp", "2"]), spark)
+    n = lambda ts: fx["fx_refs"].where(fx["fx_refs"].title.isin(ts)).count()
+    assert long_run["totals"]["links_checked"] == n(titles[:2])       # sample day 2024-01-01 only
+    assert daily["totals"]["links_checked"] == n(titles[-2:])         # the reversed day
