@@ -1,10 +1,12 @@
-"""Archive pairing (P1, P2), flat-mode matching (D2 with the O1 decomposition), archive
-grouping (E2) and the first-archive lookup (D3).
+"""Archive pairing (P1, P2), flat-mode matching (D2), archive grouping (E2) and the
+first-archive lookup (D3), all as JVM expressions over arrays held in one row.
 
 P1 works on the links of one reference element and is a pure function of that array: a JVM
-``aggregate`` whose state is (remaining archives, pairs so far). D2 works on the links of one
-article, which arrive in the same row from the HTML parser; originals are normalised once and
-each archive takes the first original (list order) that is equivalent to its embedded URL.
+``aggregate`` whose state is (remaining archives, pairs so far); every link carries its URL
+parts, computed once. D2, E2 and D3 work on the links of one article, which arrive in the same
+row from the HTML parser: sorted arrays and maps with unique keys replace nested loops
+(``match_archives`` keeps the plain nested loop as the reference implementation the indexed
+version is tested against). Nothing here shuffles; the only grouping is within a row.
 """
 
 from __future__ import annotations
