@@ -29,6 +29,12 @@ def read_pages(spark, path: str) -> DataFrame:
     return df
 
 
+def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
+    """Stores pages bucketed and sorted by title, so that D1 with an unbounded article list
+    exchanges only the article list, never the HTML."""
+    pages.write.mode("overwrite").bucketBy(buckets, "title").sortBy("title").saveAsTable(table)
+
+
 def min_content(pages: DataFrame, html: str = "html") -> DataFrame:
     """HTML present and longer than 100 characters."""
     return pages.where(F.col(html).isNotNull() & (F.length(html) > MIN_CONTENT_CHARS))

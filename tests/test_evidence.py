@@ -31,3 +31,25 @@ def test_bucketed_evidence_is_not_shuffled(spark):
         assert sorted(map(tuple, rep.collect())) == sorted(map(tuple, plain.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
+def test_bucketed_pages_keep_html_in_place(spark):
+    from citescope.sources.pages import articles_with_html, save_pages
+    fx = FX.register(spark, SF)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    save_pages(fx["fx_html"].select("title", "html"), "cs_pages_b", parts)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arts = fx["fx_refs"].select("article_pos", "title")
+        joined = articles_with_html(arts, spark.table("cs_pages_b"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        assert "Exchange hashpartitioning(title" in plan            # the article list moves ...
+        scan = [l for l in plan.split("\n") if "cs_pages_b" in l][0]
+        assert "html" in scan                                       # ... the HTML is read in place
+        assert plan.count("Exchange hashpartitioning(title") == 1
+        assert joined.count() == arts.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
