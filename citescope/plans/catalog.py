@@ -189,6 +189,23 @@ def link_text_filter(spark, sf_dir):
                      (F.length(cleaned) > 1).alias("kept"))
 
 
+@query("saved_list_round_trip", f"""WITH {_DUCK_MATCHES}
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS article_pos, title
+FROM c WHERE length(display_text) > 1""")
+def saved_list_round_trip(spark, sf_dir):
+    """A6 + A3 + C6: every page's extracted links saved as a JSON array file (one folder per
+    page, written from the page's own row) and read back by the saved-list reader."""
+    from citescope.session import scratch_path
+    from citescope.sources import article_lists as AL
+
+    path = scratch_path(spark, "saved-lists")
+    PL.article_links_json(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX) \
+        .write.partitionBy("page_id").text(path)
+    lists = AL.read_article_list(spark, path)
+    return lists.select(F.regexp_extract("source", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
+                        "article_pos", "title")
+
+
 # ================================ pages (A4, A5, B3, D1, B7, E9) =============================
 
 @query("pages_min_content", """
