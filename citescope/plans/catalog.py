@@ -585,6 +585,20 @@ def report_rows(spark, sf_dir):
     return _audit(spark, sf_dir).report
 
 
+@query("report_csv_round_trip", _REPORT_HEAD + """
+SELECT article_title, original_url, archive_url, has_archive, error_code, "timestamp",
+       browser_validation_check, browser_validation_check_detail FROM rep""")
+def report_csv_round_trip(spark, sf_dir):
+    """A9 + A10 (+ A7 header, H3 append): the report written as CSV under its run-stamped
+    name, read back with the declared schema; NULL and '' survive the round trip."""
+    from citescope.session import scratch_path
+    from citescope.sources import report_io as RIO
+
+    out = scratch_path(spark, "report-csv")
+    path = RIO.write_full_report(_audit(spark, sf_dir).report, out, RUN_STAMP)
+    return RIO.read_report(spark, path)
+
+
 @query("report_error_code", _REPORT_HEAD + "SELECT article_pos, ref_pos, original_url, has_archive, error_code FROM rep")
 def report_error_code(spark, sf_dir):
     """I14 + I17."""
