@@ -465,10 +465,17 @@ chk AS (
   LEFT JOIN fx_probe p ON p.url = r.original_url)"""
 
 
-def _audit(spark, sf_dir, browser: bool = True) -> A.AuditResult:
-    arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title").distinct()
-    return A.audit(arts, _html(spark, sf_dir).select("title", "html"), _t(spark, sf_dir, "fx_probe"),
-                   _t(spark, sf_dir, "fx_browser") if browser else None, stamp=RUN_STAMP)
+def _audit(spark, sf_dir, browser: bool = True, full: bool = False) -> A.AuditResult:
+    """The structure-mode audit of every fixture article. ``full``: K2 from the article list,
+    including the D1 title join; otherwise from the article pages themselves (each fixture
+    page is one article occurrence, so the D1 join would return the same rows)."""
+    probes = _t(spark, sf_dir, "fx_probe")
+    obs = _t(spark, sf_dir, "fx_browser") if browser else None
+    if full:
+        arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title").distinct()
+        return A.audit(arts, _html(spark, sf_dir).select("title", "html"), probes, obs, stamp=RUN_STAMP)
+    pages = PG.min_content(_html(spark, sf_dir)).select("article_pos", "title", "html")
+    return A.audit_pages(pages, probes, obs, stamp=RUN_STAMP)
 
 
 @query("checked_links", _with("fx_probe", extra=[_DUCK_CHECKED]) + """
@@ -581,8 +588,8 @@ _REPORT_HEAD = _with("fx_probe", "fx_browser", extra=[_DUCK_CHECKED, _DUCK_VALID
 
 @query("report_rows", _REPORT_HEAD + "SELECT * FROM rep")
 def report_rows(spark, sf_dir):
-    """K1 + K2 (structure mode), B8, B12: the full report with positions."""
-    return _audit(spark, sf_dir).report
+    """K1 + K2 (structure mode, from the article list through D1), B8, B12: the full report."""
+    return _audit(spark, sf_dir, full=True).report
 
 
 @query("report_csv_round_trip", _REPORT_HEAD + """
@@ -678,9 +685,9 @@ fchk AS (
 
 
 def _flat_audit(spark, sf_dir, mode: str) -> A.AuditResult:
-    arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title").distinct()
-    return A.audit(arts, _html(spark, sf_dir).select("title", "html"), _t(spark, sf_dir, "fx_probe"),
-                   _t(spark, sf_dir, "fx_browser"), mode=mode, stamp=RUN_STAMP)
+    pages = PG.min_content(_html(spark, sf_dir)).select("article_pos", "title", "html")
+    return A.audit_pages(pages, _t(spark, sf_dir, "fx_probe"), _t(spark, sf_dir, "fx_browser"),
+                         mode=mode, stamp=RUN_STAMP)
 
 
 _FLAT_REPORT_SQL = _with("fx_probe", "fx_browser", extra=_DUCK_FLAT) + "SELECT * FROM frep"

@@ -35,12 +35,13 @@ FOOT = """
 Reading the table:
 
 * `python` counts Python evaluations in the plan; every HTML query parses each page once.
-* The audit queries (`report_rows` and the ones built on it) have 7 exchanges here. Two
-  build the fixtures: the distinct article list and the per-article HTML aggregation. Two
-  are the D1 title join, which becomes a broadcast for a bounded article list (`run_audit`)
-  or when AQE measures a side small. Three are the URL-keyed evidence joins: both sides of
-  the probe join, and the observation side of the browser join, which reuses the probe
-  join's partitioning. Pairing, de-duplication and the first-archive lookup add none.
+* The audits from the article pages (`checked_links`, `validated_dead`, the flat reports...)
+  have 4 exchanges. One builds the fixture HTML (per-article aggregation). Three are the
+  URL-keyed evidence joins: both sides of the probe join, and the observation side of the
+  browser join, which reuses the probe join's partitioning. `report_rows` (full K2 from the
+  article list) adds the distinct article list and the two sides of the D1 title join; that
+  join becomes a broadcast for a bounded list (`run_audit`, the CLI) or when AQE measures a
+  side small. Pairing, de-duplication and the first-archive lookup add none.
 * Ranking queries: two exchanges build the page-view fixture (its daily rank window); the
   long-run score adds one partial/final HashAggregate exchange and a TakeOrderedAndProject;
   `daily_top` keeps at most 25 rows per day per partition (WindowGroupLimit).
