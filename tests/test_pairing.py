@@ -253,3 +253,12 @@ def test_driver_pages_have_no_external_links(spark):
     import __spark_entry__ as E
     df = E.queries()["no_external_links"](spark, "/root/testdata/sf0.001")
     assert df.where("n_external > 0").count() == 0 and df.where("n_anchors > 0").count() > 0
+
+
+def test_tree_helper_handles_deep_and_wide_markup():
+    deep = ('<ol class="references"><li>' + "<b>" * 20000 + '<a href="https://e.com/x">o</a><span>'
+            '<a href="https://web.archive.org/web/1/https://e.com/x">a</a></span></li></ol>')
+    r = H.extract_references(deep, with_html=True)
+    assert len(r) == 1 and [l["href"] for l in r[0]["links"]][0] == "https://e.com/x"
+    wide = '<ol class="references"><li>' + '<a href="https://e.com/x">o</a>' * 5000 + "</li></ol>"
+    assert len(H.extract_references(wide)[0]["links"]) == 5000
