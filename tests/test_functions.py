@@ -203,3 +203,11 @@ def test_indexed_d2_equals_nested_loop(spark, articles):
         "id", match_archives(F.col("links"), F.col("_origs"), F.col("_archs")).alias("m")).collect()}
     indexed = {r.id: [tuple(m) for m in r.matches] for r in match_archives_indexed(parts, ["id"]).collect()}
     assert simple == indexed
+
+
+def test_page_regex_is_evaluated_once_per_page(spark):
+    """Staging keeps the page regex out of the per-title lambdas (no quadratic re-scan)."""
+    df = spark.createDataFrame([(1, '<a href="./A">Alpha</a><a href="./B">Beta</a>')], "page_id long, html string")
+    plan = PL.article_links_df(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2           # the two capture groups, once each
+    assert "Generate inline" in plan
