@@ -68,3 +68,12 @@ def test_materialized_audit_parses_once(spark):
         assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
     plain = audit(arts, pages, probes, browser, stamp="S")
     assert sorted(map(tuple, res.report.collect())) == sorted(map(tuple, plain.report.collect()))
+
+
+def test_audit_plan_parses_once_without_window(spark):
+    arts, pages, probes, browser = inputs(spark)
+    for mode in ("structure", "references", "all"):
+        plan = audit(arts, pages, probes, browser, mode=mode, stamp="S").report._jdf.queryExecution() \
+            .executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, mode
+        assert "Window " not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
