@@ -40,10 +40,15 @@ def _anchors(html):
     return html_tree.extract_anchors(html)
 
 
+def _external_anchors(html):
+    return html_tree.extract_anchors(html, external_only=True)
+
+
 _UDF_SPECS = {
     "reference_tree": (_references, T.ArrayType(TREE_REFERENCE)),
     "reference_tree_with_html": (_references_with_html, T.ArrayType(TREE_REFERENCE)),
     "anchor_tree": (_anchors, T.ArrayType(PAGE_ANCHOR)),
+    "external_anchor_tree": (_external_anchors, T.ArrayType(PAGE_ANCHOR)),
 }
 _UDFS: dict = {}
 
@@ -71,6 +76,10 @@ def anchor_tree(html: Column) -> Column:
     return _udf("anchor_tree")(html)
 
 
+def external_anchor_tree(html: Column) -> Column:
+    return _udf("external_anchor_tree")(html)
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -98,12 +107,14 @@ def with_reference_tree(pages: DataFrame, html: str = "html", with_html: bool =
 
 
 def with_anchor_tree(pages: DataFrame, html: str = "html", out: str = "anchors",
-                     markup_guard: bool = False) -> DataFrame:
-    """Adds every anchor of every page; ``markup_guard`` drops pages without an anchor tag
-    before the Python step (for consumers that explode the anchors)."""
+                     markup_guard: bool = False, external_only: bool = False) -> DataFrame:
+    """Adds the anchors of every page; ``markup_guard`` drops pages without an anchor tag
+    before the Python step (for consumers that explode the anchors); ``external_only`` ships
+    back only http(s) anchors (what C4 uses), not the internal navigation links."""
     if markup_guard:
         pages = pages.where(_c(html).rlike(ANCHOR_MARKUP))
-    return pages.withColumn(out, anchor_tree(_c(html)))
+    fn = external_anchor_tree if external_only else anchor_tree
+    return pages.withColumn(out, fn(_c(html)))
 
 
 def likely_reference_link(anchor: Column) -> Column:

@@ -73,7 +73,7 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
     if mode == "references":
         src = X.with_reference_tree(pages.select(*k, "html"))
     else:
-        src = X.with_anchor_tree(pages.select(*k, "html"), markup_guard=True)
+        src = X.with_anchor_tree(pages.select(*k, "html"), markup_guard=True, external_only=True)
     # Each array is staged once per article so later lambdas read it instead of re-deriving it.
     staged = stage(src, k, links=links)
     staged = stage(staged, k + ["links"], _origs=origs, _archs=archs)

@@ -323,7 +323,7 @@ FROM dl"""
 @query("comprehensive_links", _DISTINCT_LINKS_SQL)
 def comprehensive_links(spark, sf_dir):
     """C4 + B6 + H1: distinct external links of the whole page (set union of the three rules)."""
-    df = X.with_anchor_tree(_html(spark, sf_dir).select("article_pos", "html"))
+    df = X.with_anchor_tree(_html(spark, sf_dir).select("article_pos", "html"), external_only=True)
     return (df.select("article_pos", F.posexplode(X.comprehensive_links(F.col("anchors"))).alias("link_pos", "url"))
             .select("article_pos", F.col("link_pos").cast("int").alias("link_pos"), "url"))
 

@@ -262,3 +262,11 @@ def test_tree_helper_handles_deep_and_wide_markup():
     assert len(r) == 1 and [l["href"] for l in r[0]["links"]][0] == "https://e.com/x"
     wide = '<ol class="references"><li>' + '<a href="https://e.com/x">o</a>' * 5000 + "</li></ol>"
     assert len(H.extract_references(wide)[0]["links"]) == 5000
+
+
+def test_external_only_anchors_keep_positions():
+    html = '<a href="/wiki/X">x</a><a href="https://e.com">e</a><a href="#n">n</a><a href="http://f.org">f</a>'
+    full = H.extract_anchors(html)
+    ext = H.extract_anchors(html, external_only=True)
+    assert [(a["link_pos"], a["href"]) for a in ext] == [(1, "https://e.com"), (3, "http://f.org")]
+    assert [a for a in full if a["href"].startswith("http")] == ext
