@@ -32,6 +32,10 @@ def _references(html):
     return html_tree.extract_references(html, False)
 
 
+def _external_references(html):
+    return html_tree.extract_references(html, False, True)
+
+
 def _references_with_html(html):
     return html_tree.extract_references(html, True)
 
@@ -46,6 +50,7 @@ def _external_anchors(html):
 
 _UDF_SPECS = {
     "reference_tree": (_references, T.ArrayType(TREE_REFERENCE)),
+    "external_reference_tree": (_external_references, T.ArrayType(TREE_REFERENCE)),
     "reference_tree_with_html": (_references_with_html, T.ArrayType(TREE_REFERENCE)),
     "anchor_tree": (_anchors, T.ArrayType(PAGE_ANCHOR)),
     "external_anchor_tree": (_external_anchors, T.ArrayType(PAGE_ANCHOR)),
@@ -68,6 +73,10 @@ def reference_tree(html: Column) -> Column:
     return _udf("reference_tree")(html)
 
 
+def external_reference_tree(html: Column) -> Column:
+    return _udf("external_reference_tree")(html)
+
+
 def reference_tree_with_html(html: Column) -> Column:
     return _udf("reference_tree_with_html")(html)
 
@@ -92,15 +101,18 @@ ANCHOR_MARKUP = r"(?i)<a[\s/>\x00]"
 
 
 def with_reference_tree(pages: DataFrame, html: str = "html", with_html: bool = False,
-                        out: str = "refs", markup_guard: bool = True) -> DataFrame:
+                        out: str = "refs", markup_guard: bool = True,
+                        external_only: bool = False) -> DataFrame:
     """Adds the array of reference elements (each with its links) of every page.
 
     With ``markup_guard`` (for consumers that explode the references) pages that cannot hold a
     reference element are dropped in the JVM before any HTML is shipped to Python. Filters on
     other pass-through columns must be applied to ``pages`` before this call: they do not move
-    below a Python evaluation.
+    below a Python evaluation. ``external_only``: only http(s) links are shipped back (enough
+    for the pairing and everything after it).
     """
-    fn = reference_tree_with_html if with_html else reference_tree
+    fn = (reference_tree_with_html if with_html
+          else external_reference_tree if external_only else reference_tree)
     if markup_guard:
         pages = pages.where(_c(html).rlike(REFERENCE_MARKUP))
     return pages.withColumn(out, fn(_c(html)))

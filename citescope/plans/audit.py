@@ -46,7 +46,7 @@ class AuditResult:
 def reference_rows(pages: DataFrame, keys=("article_pos", "title")) -> DataFrame:
     """C2 + P1 + H2: one row per (reference, pair) of every page, in document order."""
     k = list(keys)
-    with_refs = X.with_reference_tree(pages.select(*k, "html"))
+    with_refs = X.with_reference_tree(pages.select(*k, "html"), external_only=True)
     return P.pair_reference_rows(with_refs, k)
 
 
@@ -71,7 +71,7 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
     k = list(keys)
     links, origs, archs, _ = _flat_exprs(mode)
     if mode == "references":
-        src = X.with_reference_tree(pages.select(*k, "html"))
+        src = X.with_reference_tree(pages.select(*k, "html"), external_only=True)
     else:
         src = X.with_anchor_tree(pages.select(*k, "html"), markup_guard=True, external_only=True)
     # Each array is staged once per article so later lambdas read it instead of re-deriving it.
@@ -95,7 +95,7 @@ def _occurrences_structure(pages: DataFrame, keys=("article_pos", "title")) -> D
     """
     k = list(keys)
     pairs, srt, firsts = _structure_exprs()
-    with_refs = X.with_reference_tree(pages.select(*k, "html"))
+    with_refs = X.with_reference_tree(pages.select(*k, "html"), external_only=True)
     staged = stage(with_refs, k, _pairs=pairs)
     staged = stage(staged, k + ["_pairs"], _sorted=srt)
     staged = stage(staged, k + ["_pairs"], _firsts=firsts)

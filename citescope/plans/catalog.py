@@ -331,7 +331,7 @@ def comprehensive_links(spark, sf_dir):
 @query("distinct_reference_urls", _DISTINCT_LINKS_SQL)
 def distinct_reference_urls(spark, sf_dir):
     """C5 + E8: distinct originals and archives of the paired references."""
-    df = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"))
+    df = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"), external_only=True)
     urls_ = X.distinct_reference_urls(P.pair_references(F.col("refs")))
     return (df.select("article_pos", F.posexplode(urls_).alias("link_pos", "url"))
             .select("article_pos", F.col("link_pos").cast("int").alias("link_pos"), "url"))
@@ -356,7 +356,7 @@ SELECT article_pos, original_url, string_agg(archive_url, ' ' ORDER BY ref_pos)
 FROM fx_refs WHERE archive_url IS NOT NULL GROUP BY article_pos, original_url""")
 def archive_groups(spark, sf_dir):
     """Archives of each original in reference order."""
-    refs = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"))
+    refs = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"), external_only=True)
     g = refs.select("article_pos", F.explode(P.archive_groups_in_row(P.pair_references(F.col("refs")))).alias("g"))
     return g.select("article_pos", "g.original_url", F.array_join("g.archives", " ").alias("archives_text"),
                     F.size("g.archives").alias("n_archives"))
