@@ -1,6 +1,6 @@
 """URL algebra, text functions and classifiers: golden cases and properties."""
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -11,6 +11,9 @@ from citescope.operators import popular_links as PL
 from citescope.operators import probes as J
 from citescope.schemas import BROWSER_SCHEMA, PROBE_SCHEMA
 
+# Spark-backed examples are slow; that is not a problem of the strategies.
+SLOW_OK = [HealthCheck.too_slow, HealthCheck.data_too_large]
+
 
 def one(spark, expr, value, dtype="string"):
     return spark.createDataFrame([(value,)], f"v {dtype}").select(expr(F.col("v")).alias("r")).first()["r"]
@@ -71,7 +74,7 @@ urls_st = st.builds(
     st.text("ab/", max_size=6))
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=10, deadline=None, suppress_health_check=SLOW_OK)
 @given(st.lists(st.tuples(urls_st, urls_st), min_size=1, max_size=40))
 def test_equivalence_reflexive_and_symmetric(spark, pairs):
     df = spark.createDataFrame(pairs, "a string, b string")
@@ -82,7 +85,7 @@ def test_equivalence_reflexive_and_symmetric(spark, pairs):
         assert r.aa and r.ab == r.ba
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=15, deadline=None, suppress_health_check=SLOW_OK)
 @given(st.lists(st.floats(min_value=0, max_value=1e7, allow_nan=False), min_size=1, max_size=60))
 def test_one_decimal_matches_python_formatting(spark, xs):
     xs = xs + [0.25, 0.35, 0.05, 2.5, 59.95, 0.15, 1e-9]
@@ -191,7 +194,7 @@ link_st = st.builds(_random_link,
                     st.sampled_from([0, 0, 1, 2, 3]))
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=12, deadline=None, suppress_health_check=SLOW_OK)
 @given(st.lists(st.lists(link_st, min_size=1, max_size=14, unique=True), min_size=1, max_size=12))
 def test_indexed_d2_equals_nested_loop(spark, articles):
     from citescope.operators.pairing import (archive_parts, match_archives, match_archives_indexed,

@@ -203,9 +203,10 @@ def test_archives_by_original_groups(spark):
 
 from collections import Counter  # noqa: E402
 
-from hypothesis import given, settings  # noqa: E402
+from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
+SLOW_OK = [HealthCheck.too_slow, HealthCheck.data_too_large]
 _ORIGS = ["https://e.com/a", "https://e.com/b", "https://f.org/x"]
 _ARCHS = ["https://web.archive.org/web/1/https://e.com/a", "https://web.archive.org/web/2/https://f.org/x",
           "https://archive.today/https://e.com/b", "https://archive.ph/zz"]
@@ -217,7 +218,7 @@ _node = st.recursive(
     max_leaves=8)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=25, deadline=None, suppress_health_check=SLOW_OK)
 @given(st.lists(st.lists(_node, min_size=1, max_size=4).map("".join), min_size=1, max_size=6))
 def test_pairing_never_loses_an_archive(spark, items):
     html = '<ol class="references">' + "".join(f"<li>{x}</li>" for x in items) + "</ol>"
