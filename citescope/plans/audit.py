@@ -129,11 +129,14 @@ def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs:
     return audit_pages(processed, probes, browser_obs, mode=mode, stamp=stamp, materialize=materialize)
 
 
+# Largest URL set broadcast to cut the evidence for one micro-batch (~100 bytes per URL).
+MAX_BROADCAST_URLS = 1_000_000
+
+
 def prune_evidence(evidence: DataFrame, urls_df: DataFrame) -> DataFrame:
     """Evidence rows for the given URLs only: a broadcast left-semi join, i.e. one scan of the
-    evidence table and no shuffle of it. ``urls_df`` must be bounded (a micro-batch)."""
-    return evidence.join(F.broadcast(urls_df.select(F.col("original_url").alias("url")).distinct()),
-                         "url", "left_semi")
+    evidence table and no shuffle of it. ``urls_df`` must have a checked size."""
+    return evidence.join(F.broadcast(urls_df), "url", "left_semi")
 
 
 def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
@@ -159,9 +162,13 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
            .withColumn("_has_archive", F.coalesce(F.col("first_archive"), F.lit("")) != ""))
     if bounded_batch:
         occ = occ.persist()
-        probes = prune_evidence(probes, occ)
-        if browser_obs is not None:
-            browser_obs = prune_evidence(browser_obs, occ)
+        batch_urls = occ.select(F.col("original_url").alias("url")).distinct()
+        # Size check before broadcasting (the link rows are persisted, so this is cheap);
+        # beyond the limit the evidence joins stay sort-merge joins.
+        if batch_urls.count() <= MAX_BROADCAST_URLS:
+            probes = prune_evidence(probes, batch_urls)
+            if browser_obs is not None:
+                browser_obs = prune_evidence(browser_obs, batch_urls)
     classified = J.classify_urls(occ, probes, url_col="original_url", skip_col="_has_archive")
     if browser_obs is not None:
         checked = B.with_browser(classified, browser_obs, url_col="original_url")
