@@ -84,7 +84,9 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> dict:
     articles = articles_for_run(spark, args)
     res = audit(articles, _read_pages(spark, args.pages), spark.read.parquet(args.probes),
                 spark.read.parquet(args.browser) if (args.browser and args.browser_validation) else None,
-                mode=mode, stamp=stamp, articles_bound=max(args.limit, 0), materialize=True)
+                mode=mode, stamp=stamp, materialize=True,
+                # The list is bounded only by a positive limit (0 keeps a whole saved list).
+                articles_bound=args.limit if args.limit > 0 else None)
     # The classified links are checkpointed once: the report and the summaries below all read
     # them, so the HTML is parsed once for the whole run.
     path = RIO.write_full_report(res.report, args.output_dir, stamp)

@@ -59,3 +59,26 @@ def test_cli_run_from_pageview_documents(spark, tmp_out):
     n = lambda ts: fx["fx_refs"].where(fx["fx_refs"].title.isin(ts)).count()
     assert long_run["totals"]["links_checked"] == n(titles[:2])       # sample day 2024-01-01 only
     assert daily["totals"]["links_checked"] == n(titles[-2:])         # the reversed day
+
+
+def test_cli_limit_zero_keeps_whole_list_without_broadcast(spark, tmp_out, monkeypatch):
+    fx = FX.register(spark, SF)
+    pages = os.path.join(tmp_out, "pages.parquet")
+    fx["fx_html"].select("title", "html").write.parquet(pages)
+    probes = os.path.join(tmp_out, "probes.parquet")
+    fx["fx_probe"].write.parquet(probes)
+    titles = [r.title for r in fx["fx_html"].select("title").collect()]
+    lst = os.path.join(tmp_out, "all.json")
+    with open(lst, "w", encoding="utf-8") as f:
+        json.dump(titles, f)
+    seen = {}
+    real_audit = cli.audit
+
+    def spy(*a, **kw):
+        seen.update(kw)
+        return real_audit(*a, **kw)
+    monkeypatch.setattr(cli, "audit", spy)
+    s = cli.run(cli.parse_args(["--pages", pages, "--probes", probes, "--use-popular-articles", lst,
+                                "--limit", "0", "--output-dir", os.path.join(tmp_out, "o"), "--stamp", "3"]), spark)
+    assert seen["articles_bound"] is None
+    assert s["totals"]["articles_processed"] == len(titles)
