@@ -201,4 +201,4 @@ def run_audit(pageviews: DataFrame, pages: DataFrame, probes: DataFrame, browser
             F.col("top_pos").cast("long").alias("article_pos"), F.col("article").alias("title"))
     else:
         raise ValueError("ranking must be 'all_time' or 'daily'")
-    return audit(top, pages, probes, browser_obs, mode=mode, stamp=stamp, articles_bound=max(int(limit), 0))
+    return audit(top, pages, probes, browser_obs, mode=mode, stamp=stamp, articles_bound=int(limit) if limit > 0 else None)
