@@ -77,3 +77,14 @@ def test_audit_plan_parses_once_without_window(spark):
             .executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1, mode
         assert "Window " not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_status_summary_per_article_sums_to_total(spark):
+    from pyspark.sql import functions as F
+
+    from citescope.operators.probes import STATUSES, status_summary
+    arts, pages, probes, browser = inputs(spark)
+    res = audit(arts, pages, probes, browser, stamp="S").results
+    total = status_summary(res).first().asDict()
+    per = status_summary(res, keys=("article_pos",)).agg(*[F.sum(c).alias(c) for c in ["total", *STATUSES]])
+    assert {k: int(v) for k, v in per.first().asDict().items()} == total
