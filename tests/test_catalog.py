@@ -9,6 +9,9 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+                 "BooleanType()": "BOOLEAN", "DateType()": "DATE", "DoubleType()": "DOUBLE",
+                 "TimestampNTZType()": "TIMESTAMP"}
 ORACLES = E.oracle_sql()
 
 
@@ -43,6 +46,10 @@ def test_query_matches_oracle(spark, duck, name):
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
         return
+    rel = duck.sql(ORACLES[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    stypes = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    assert stypes == dtypes
     res = duck.execute(ORACLES[name])
     cols = [d[0] for d in res.description]
     drows = res.fetchall()
