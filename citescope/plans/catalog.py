@@ -382,7 +382,8 @@ m AS (SELECT a.article_pos, a.url AS archive_url, arg_min(o.url, o.pos) AS origi
 
 
 def _flat(spark, sf_dir) -> DataFrame:
-    return A.flat_links(_html(spark, sf_dir), "references")
+    key = ("flat_links", id(spark), spark.sparkContext.applicationId, sf_dir)
+    return _memo(key, lambda: A.flat_links(_html(spark, sf_dir), "references"))
 
 
 @query("links_to_check", _with("fx_refs", extra=_DUCK_D2) + """
@@ -465,7 +466,25 @@ chk AS (
   LEFT JOIN fx_probe p ON p.url = r.original_url)"""
 
 
+_BUILT: dict = {}
+
+
+def _memo(key, build):
+    """Reuses a built (lazy, immutable) DataFrame plan for the same session and folder: only
+    driver-side plan construction is saved; every query still executes in full."""
+    if key not in _BUILT:
+        if len(_BUILT) > 32:
+            _BUILT.clear()
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _audit(spark, sf_dir, browser: bool = True, full: bool = False) -> A.AuditResult:
+    key = ("audit", id(spark), spark.sparkContext.applicationId, sf_dir, browser, full)
+    return _memo(key, lambda: _build_audit(spark, sf_dir, browser, full))
+
+
+def _build_audit(spark, sf_dir, browser: bool, full: bool) -> A.AuditResult:
     """The structure-mode audit of every fixture article. ``full``: K2 from the article list,
     including the D1 title join; otherwise from the article pages themselves (each fixture
     page is one article occurrence, so the D1 join would return the same rows)."""
@@ -685,6 +704,11 @@ fchk AS (
 
 
 def _flat_audit(spark, sf_dir, mode: str) -> A.AuditResult:
+    key = ("flat", id(spark), spark.sparkContext.applicationId, sf_dir, mode)
+    return _memo(key, lambda: _build_flat_audit(spark, sf_dir, mode))
+
+
+def _build_flat_audit(spark, sf_dir, mode: str) -> A.AuditResult:
     pages = PG.min_content(_html(spark, sf_dir)).select("article_pos", "title", "html")
     return A.audit_pages(pages, _t(spark, sf_dir, "fx_probe"), _t(spark, sf_dir, "fx_browser"),
                          mode=mode, stamp=RUN_STAMP)
