@@ -29,7 +29,7 @@ from citescope.operators import probes as J
 from citescope.operators import report as R
 from citescope.operators.staging import stage
 from citescope.session import checkpoint_dir
-from citescope.sources.pages import articles_with_html
+from citescope.sources.pages import articles_with_html, min_content
 
 MODES = ("structure", "references", "all")
 
@@ -111,10 +111,10 @@ def _occurrences_flat(pages: DataFrame, mode: str, keys=("article_pos", "title")
     via a sorted array and a unique-key map inside the row."""
     k = list(keys)
     srt, fmap, with_first = _flat_exprs(mode)[3]
-    flat = stage(flat_links(pages, mode), k + ["links"], _ms=srt)
+    flat = stage(flat_links(pages, mode, keys=k), k + ["links"], _ms=srt)
     flat = stage(flat, k + ["links"], _fm=fmap)
-    return (flat.select("article_pos", "title", F.posexplode(with_first).alias("link_pos", "l"))
-            .select("article_pos", "title", F.col("link_pos").cast("int").alias("link_pos"),
+    return (flat.select(*k, F.posexplode(with_first).alias("link_pos", "l"))
+            .select(*k, F.col("link_pos").cast("int").alias("link_pos"),
                     "l.original_url", "l.first_archive"))
 
 
@@ -125,8 +125,20 @@ def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs:
     ``pages(title, html)``; ``probes`` per ``schemas.PROBE_SCHEMA``; ``browser_obs`` per
     ``schemas.BROWSER_SCHEMA`` or None to skip the browser step. ``materialize``: see
     ``audit_pages``."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     processed = articles_with_html(articles, pages, articles_bound=articles_bound)
-    return audit_pages(processed, probes, browser_obs, mode=mode, stamp=stamp, materialize=materialize)
+    # Each listed page is parsed once, however often its title repeats in the list: pages are
+    # cut to the listed titles (semi-join), audited per title, and the article occurrences
+    # are attached to the small link rows afterwards (D1 after the parse). Copies of a title
+    # then cost one parse, and the HTML is never duplicated.
+    titles = articles.select("title").distinct()
+    listed = min_content(pages).select("title", "html").join(
+        F.broadcast(titles) if articles_bound is not None else titles, "title", "left_semi")
+    occ = _occurrences(listed, mode, keys=("title",))
+    arts = articles.select("article_pos", "title")
+    occ = occ.join(F.broadcast(arts) if articles_bound is not None else arts, "title")
+    return _finish(occ, probes, browser_obs, mode, stamp, processed, materialize=materialize)
 
 
 # Largest URL set broadcast to cut the evidence for one micro-batch (~100 bytes per URL).
@@ -154,10 +166,20 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    occ = _occurrences(processed, mode)
+    return _finish(occ, probes, browser_obs, mode, stamp, processed, bounded_batch=bounded_batch,
+                   materialize=materialize)
+
+
+def _occurrences(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
     if mode == "structure":
-        occ = _occurrences_structure(processed)
-    else:
-        occ = _occurrences_flat(processed, mode)
+        return _occurrences_structure(pages, keys)
+    return _occurrences_flat(pages, mode, keys)
+
+
+def _finish(occ: DataFrame, probes: DataFrame, browser_obs: DataFrame | None, mode: str, stamp: str,
+            processed: DataFrame, bounded_batch: bool = False, materialize: bool = False) -> AuditResult:
+    """Classification (probe and browser joins) and the report, from the link occurrences."""
     occ = (occ.withColumn("article_title", clean_title(F.col("title")))
            .withColumn("_has_archive", F.coalesce(F.col("first_archive"), F.lit("")) != ""))
     if bounded_batch:

@@ -88,3 +88,17 @@ def test_status_summary_per_article_sums_to_total(spark):
     total = status_summary(res).first().asDict()
     per = status_summary(res, keys=("article_pos",)).agg(*[F.sum(c).alias(c) for c in ["total", *STATUSES]])
     assert {k: int(v) for k, v in per.first().asDict().items()} == total
+
+
+def test_repeated_titles_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+    arts, pages, probes, browser = inputs(spark)
+    many = spark.range(60).select((F.col("id") + 100).alias("article_pos"), F.lit("Art_2").alias("title"))
+    res = audit(arts.unionByName(many), pages, probes, browser, stamp="S", articles_bound=65)
+    plan = res.report._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    py = next(i for i, l in enumerate(lines) if "ArrowEvalPython" in l)
+    semi = next(i for i, l in enumerate(lines) if "LeftSemi" in l)
+    occ_join = next(i for i, l in enumerate(lines) if "Inner" in l and "Join" in l)
+    assert occ_join < py < semi        # occurrences attached above the parse, titles cut below it
+    assert res.report.where(F.col("article_pos") >= 100).count() == 60   # one row per occurrence
