@@ -39,9 +39,11 @@ Reading the table:
   have 4 exchanges. One builds the fixture HTML (per-article aggregation). Three are the
   URL-keyed evidence joins: both sides of the probe join, and the observation side of the
   browser join, which reuses the probe join's partitioning. `report_rows` (full K2 from the
-  article list) adds the distinct article list and the two sides of the D1 title join; that
-  join becomes a broadcast for a bounded list (`run_audit`, the CLI) or when AQE measures a
-  side small. Pairing, de-duplication and the first-archive lookup add none.
+  article list) adds the distinct title list, the title semi-join that cuts the pages to the
+  listed titles before the parse, and the join that attaches the article occurrences to the
+  link rows after it. For a bounded list (`run_audit`, the CLI), or for sides AQE measures
+  small, these become broadcasts. Pairing, de-duplication and the first-archive lookup add
+  none.
 * Ranking queries: two exchanges build the page-view fixture (its daily rank window); the
   long-run score adds one partial/final HashAggregate exchange and a TakeOrderedAndProject;
   `daily_top` keeps at most 25 rows per day per partition (WindowGroupLimit).
