@@ -2,10 +2,10 @@
 browser evidence -> report rows.
 
 Plan shape (structure mode):
-  articles JOIN pages (D1; broadcast only when the article list has a proven bound)
-  -> reference tree UDF (Python, Arrow batches; the only Python step)
+  pages cut to the listed titles (semi-join; broadcast only for a proven-bounded list)
+  -> reference tree UDF, once per page (Python, Arrow batches; the only Python step)
   -> per-reference pairing (JVM higher-order functions, no shuffle)
-  -> explode to one row per link occurrence
+  -> explode to one row per link occurrence; attach the article occurrences (D1)
   -> first archive per (article, original): sort + map inside the article's row (no shuffle)
   -> probe left join on URL, matching only links without an archive (D6)
   -> browser left join on URL, matching only dead links (D7); reuses the URL partitioning
