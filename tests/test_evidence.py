@@ -53,3 +53,27 @@ def test_bucketed_pages_keep_html_in_place(spark):
         assert joined.count() == arts.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
+def test_audit_over_bucketed_pages_does_not_move_html(spark):
+    from citescope.plans.audit import audit
+    from citescope.sources.pages import save_pages
+    fx = FX.register(spark, SF)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    save_pages(fx["fx_html"].select("title", "html"), "cs_pages_b2", parts)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arts = fx["fx_refs"].select("article_pos", "title").distinct()
+        rep = audit(arts, spark.table("cs_pages_b2"), fx["fx_probe"], fx["fx_browser"], stamp="S").report
+        plan = rep._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        scan = next(i for i, l in enumerate(lines) if "cs_pages_b2" in l)
+        assert "Bucketed: true" in lines[scan]
+        # no exchange directly above the HTML scan (the projection/filter sit between)
+        above = [l for l in lines[max(0, scan - 4):scan] if "Exchange" in l]
+        assert not above, above
+        assert rep.count() == fx["fx_refs"].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
