@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citescope.llm import packing, token_files
+from citescope.llm import packing, quality, simhash, token_files
 from citescope.session import scratch_path
 
 
@@ -20,6 +21,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"),
                                           scratch_path(spark, "tokens"), tokenizer_path(), end_id=2)
@@ -31,10 +37,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         capacity=2048)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
+        "op10_simhash": op10_simhash,
     }
 
 
