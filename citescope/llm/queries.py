@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm import packing, quality, simhash, token_files
+from citescope.llm import language, packing, quality, simhash, token_files, toxicity
 from citescope.session import scratch_path
 
 
@@ -26,6 +26,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out).select("text", "lang"))
+    return language.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"),
                                           scratch_path(spark, "tokens"), tokenizer_path(), end_id=2)
@@ -37,6 +45,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         capacity=2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grades = toxicity.grades_of_labels(table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, toxicity.fit(docs, grades))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -46,8 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
+        "op4_language": op4_language,
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
+        "op8_toxicity": op8_toxicity,
         "op10_simhash": op10_simhash,
     }
 
