@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm import language, packing, quality, simhash, token_files, toxicity
+from citescope.llm import (decontamination, language, packing, quality, simhash, token_files,
+                           toxicity, url_filter)
 from citescope.session import scratch_path
 
 
@@ -26,6 +27,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"),
+                                 table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -45,6 +51,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         capacity=2048)
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grades = toxicity.grades_of_labels(table(spark, sf_dir, "labels"))
@@ -60,9 +74,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
+        "op3_decontamination": op3_decontamination,
         "op4_language": op4_language,
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
+        "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
         "op10_simhash": op10_simhash,
     }
