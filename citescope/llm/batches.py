@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Text bytes that one task works on at a time: bounds a Python worker's memory at any row size
 # (a single longer text is a chunk of its own).
@@ -26,8 +29,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text_column: str = "text",
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text_column))
-        sizes = np.array([len(v) if v else 0 for v in column.cast(pa.binary()).to_pylist()])
-        ends = np.cumsum(sizes)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -36,111 +39,142 @@ def chunks(batches: Iterator[pa.RecordBatch], text_column: str = "text",
             start = stop
 
 
-class WordIds(dict):
-    """word -> dense id, numbered in order of first sight."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def word_ids(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(vocabulary, ids, bounds): all words of the texts as ids into the vocabulary; text i has
-    ``ids[bounds[i]:bounds[i + 1]]``. A word is a run without space or U+0009 to U+000D, which
-    is what ``bytes.split`` cuts at."""
-    lists = [t.split() for t in texts]
-    vocabulary = WordIds()
-    ids = vocabulary.of(list(chain.from_iterable(lists)))
-    bounds = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=bounds[1:])
-    return list(vocabulary), ids, bounds
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(vocabulary, ids, bounds): the distinct words of a string column, all its words as ids
+    into the vocabulary, and the bounds of each text: text i has ``ids[bounds[i]:bounds[i + 1]]``.
+    A word is a run without space or U+0009 to U+000D; null has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.string()), ""))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    ids = coded.indices.to_numpy().astype(np.int64)
+    bounds = offsets - offsets[0]
+    vocabulary = coded.dictionary
+    empty = pc.index(vocabulary, "").as_py()  # left by white space at an end of a text
+    if empty >= 0:
+        real = ids != empty
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        ids = ids[real]
+        ids -= ids > empty
+        vocabulary = pa.concat_arrays([vocabulary[:empty], vocabulary[empty + 1:]])
+    return vocabulary, ids, bounds
+
+
+def word_ids(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``words_of`` with the vocabulary as UTF-8 bytes."""
+    vocabulary, ids, bounds = words_of(column)
+    return vocabulary.cast(pa.binary()).to_pylist(), ids, bounds
 
 
 class WordTokens(dict):
     """word -> token ids as bytes of ``dtype``, from the tokenizers library.
 
     Encoding is memoised by word: the tokenizer drops white space and never merges across it,
-    so a text's ids are those of its words in order. A new word made of letters with ASCII
-    signs behind it is encoded as its lower-cased letters and its signs, each memoised too; the
-    vocabulary marks the last token of a run of letters, which tells the ids of many runs
-    encoded in one call apart. The memo is emptied when it reaches ``bound`` words.
+    so a text's ids are those of its words in order. It lower-cases too, so A-Z are lower-cased
+    first (not around ``<|``, which starts a special token). A new word is cut into a stem and
+    the ASCII signs behind it where a letter or digit precedes them, which the tokenizer never
+    merges either. New stems made of letters are encoded many in one call: the vocabulary marks
+    the last token of a run of letters, which tells them apart. Of each memo two generations
+    of at most about ``bound`` entries are kept: when the younger is full the older goes, and
+    what is asked for again moves to the younger.
     """
 
     SIGNS = b".,;:!?#*$%&|<>()"
+    GROUP = 1000
 
-    def __init__(self, path: str, dtype: str = "<u4", bound: int = 400_000):
+    def __init__(self, path: str, dtype: str = "<u4", bound: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Special strings in a text are ordinary text to the white-space argument above only
-        # if they hold no white space; both libraries' special tokens hold none.
-        self.dtype, self.bound = dtype, bound
+        self.dtype, self.bound = np.dtype(dtype), bound
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+        self.older_stems: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn_letters(self, runs: list[str]) -> None:
-        many = [runs[i:i + 1000] for i in range(0, len(runs), 1000)]
-        found = self.tokenizer.encode_batch_fast([" ".join(x) for x in many],
-                                                 add_special_tokens=False)
-        for group, encoding in zip(many, found):
-            ids = np.array(encoding.ids, np.int64)
-            ends = np.flatnonzero(self.closes[ids]) + 1
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        letters = [x.decode().isalpha() for x in stems]
+        runs = list(compress(stems, letters))
+        groups = [runs[i:i + self.GROUP] for i in range(0, len(runs), self.GROUP)]
+        encoded = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups],
+                                                   add_special_tokens=False)
+        for group, encoding in zip(groups, encoded):
+            ids = np.array(encoding.ids, self.dtype)
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize).tolist()
             if len(ends) == len(group):
-                data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-                cuts = [0, *(ends * width).tolist()]
-                self.parts.update(zip(group, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
-            else:  # a run that normalises to several; encode each alone
-                self.parts.update((r, self._ids(r)) for r in group)
-
-    def learn(self, words: set[bytes]) -> None:
-        split, odd = [], []
-        for word in words:
-            core = word.rstrip(self.SIGNS)
-            letters = core.decode()
-            if letters.isalpha() and "Σ" not in letters:
-                split.append((word, letters.lower(), word[len(core):].decode()))
+                data = ids.tobytes()
+                self.stems.update(zip(group, map(data.__getitem__, map(slice, [0, *ends], ends))))
+            else:  # a letter that normalises to more than letters
+                self.stems.update((x, self._ids(x)) for x in group)
+        self.stems.update((x, self._ids(x)) for x, run in zip(stems, letters) if not run)
+
+    def learn(self, words: list[bytes]) -> None:
+        stems = list(map(bytes.rstrip, words, repeat(self.SIGNS)))
+        for i, (word, stem) in enumerate(zip(words, stems)):
+            if stem != word and stem and (b"<|" in word or not (
+                    stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha())):
+                stems[i] = word  # the signs may belong to the last token of the stem
+        tails = [word[len(stem):] for word, stem in zip(words, stems)]
+        ids, older = self.stems, self.older_stems
+        new = []
+        for x in {*stems, *tails}.difference(ids):
+            if x in older:
+                ids[x] = older[x]
             else:
-                odd.append(word)
-        new = {x for _, letters, _ in split for x in (letters,) if x not in self.parts}
-        self._learn_letters([x for x in new if x.isalpha()])
-        for x in new:
-            if not x.isalpha():
-                self.parts[x] = self._ids(x)
-        for word, letters, signs in split:
-            if signs and signs not in self.parts:
-                self.parts[signs] = self._ids(signs)
-            self[word] = self.parts[letters] + self.parts[signs] if signs else self.parts[letters]
-        for word in odd:
-            self[word] = self._ids(word.decode())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes."""
-        lists = [t.split() for t in texts]
-        words = set(chain.from_iterable(lists))
-        if len(self) > self.bound or len(self.parts) > self.bound:
+                new.append(x)
+        self._learn_stems(new)
+        self.update(zip(words, [ids[a] + ids[b] if b else ids[a] for a, b in zip(stems, tails)]))
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string column as bytes."""
+        text = pc.fill_null(column.cast(pa.string()), "")
+        text = pc.if_else(pc.match_substring(text, "<|"), text, pc.ascii_lower(text))
+        vocabulary, ids, bounds = word_ids(text)
+        if len(self) > self.bound:
+            self.older = dict(self)
             self.clear()
-            self.parts.clear()
-        self.learn(words.difference(self))
-        return [b"".join(map(self.__getitem__, x)) for x in lists]
-
-
-_tokens: dict[tuple[str, str], WordTokens] = {}
+        if len(self.stems) > self.bound:
+            self.older_stems, self.stems = self.stems, {b"": b""}
+        found = list(map(self.get, vocabulary))
+        misses = [i for i, x in enumerate(found) if x is None]
+        if misses:
+            new = []
+            for i in misses:
+                word = vocabulary[i]
+                if word in self.older:
+                    self[word] = self.older[word]
+                else:
+                    new.append(word)
+            self.learn(new)
+            for i in misses:
+                found[i] = self[vocabulary[i]]
+        encoded = pa.array(found, pa.large_binary()).take(pa.array(ids))
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(pc.binary_length(encoded).to_numpy(), out=ends[1:])
+        data = encoded.buffers()[2]
+        whole = data.to_pybytes() if data else b""
+        cuts = ends[bounds].tolist()
+        return list(map(whole.__getitem__, map(slice, cuts, cuts[1:])))
+
+
+def worker_store() -> dict:
+    """A dict that outlives a task in a reused Python worker (functions shipped by value get
+    fresh globals in every task)."""
+    return sys.modules.setdefault("citescope_worker_store",
+                                  types.ModuleType("citescope_worker_store")).__dict__
 
 
 def word_tokens(path: str, dtype: str = "<u4") -> WordTokens:
     """The worker's memo for a tokenizer file, kept from task to task."""
-    if (path, dtype) not in _tokens:
-        _tokens[path, dtype] = WordTokens(path, dtype)
-    return _tokens[path, dtype]
+    store, key = worker_store(), f"tokens {path} {dtype}"
+    if key not in store:
+        store[key] = WordTokens(path, dtype)
+    return store[key]

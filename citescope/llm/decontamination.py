@@ -3,7 +3,8 @@
 Words are compared without case and without the signs at their ends; a word of signs alone is
 no word. A mask selects some positions of a window of words; windows of a benchmark item and a
 document that agree there have the same hash, whatever stands at the ignored positions. Items
-shorter than the widest mask have a contiguous seed of their whole length too.
+too short for the widest mask have masks of their whole length too, contiguous and with each one
+position left out, which finds every overlap at 0.8 of fewer than ten words.
 
 1. Every window of every item is hashed under every mask, and so is every window of every
    document. A bitmap of fixed size over the item hashes lets a document's task drop windows
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8, word_ids
+from citescope.llm.batches import chunks, word_ids
 from citescope.llm.joins import broadcast_if_small
 from citescope.session import scratch_path
 
-MASKS = ("111010011", "1101100101", "11001010011")  # weight 6, spans 9 to 11
+MASKS = ("1101011", "11100101", "110010011", "1010011001")  # weight 5, spans 7 to 10
 MIN_ITEM_WORDS = 5
 MIN_WORDS = 12
 IDENTITY = 0.8
@@ -45,9 +46,9 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 LEAKS = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of all texts, bounds of each text)."""
-    vocabulary, ids, bounds = word_ids(texts)
+    vocabulary, ids, bounds = word_ids(column)
     cores = [w.strip(SIGNS) for w in vocabulary]
     value = np.array([xxhash.xxh64_intdigest(c.decode().lower().encode()) if c else 0
                       for c in cores], np.uint64)
@@ -56,19 +57,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value[ids[real]], kept[bounds]
 
 
-def seeds(hashes: np.ndarray, bounds: np.ndarray, masks: list[str], whole: bool = False
+def whole_masks(n: int) -> list[str]:
+    """Masks over all ``n`` words of a short item: contiguous, and with one position ignored."""
+    return ["1" * n, *("1" * i + "0" + "1" * (n - i - 1) for i in range(n))]
+
+
+def seeds(hashes: np.ndarray, bounds: np.ndarray, masks: list[str], short: frozenset[str] = frozenset()
           ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: (text, position in it, key) of every window. With ``whole``, a contiguous
-    mask takes only windows that are a whole text."""
+    """For each mask: (text, position in it, key) of every window. Masks in ``short`` take only
+    windows that are a whole text."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for mask in masks:
         m = len(hashes) - len(mask) + 1
         if m <= 0:
             continue
         start = np.flatnonzero(doc[:m] == doc[len(mask) - 1:])
-        if whole and "0" not in mask:
+        if mask in short:
             start = start[np.diff(bounds)[doc[start]] == len(mask)]
-        key = np.full(m, len(mask) * 1000 + mask.count("1"), np.uint64)
+        key = np.full(m, xxhash.xxh64_intdigest(mask), np.uint64)
         for i, use in enumerate(mask):
             if use == "1":
                 key = (key ^ hashes[i:i + m]) * np.uint64(MULTIPLIER)
@@ -80,10 +86,10 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
 
 
-def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+def _item_seeds(items: DataFrame, masks: list[str], short: frozenset[str]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            for text, at, key in seeds(*word_hashes(utf8(batch.column(1))), masks, whole=True):
+            for text, at, key in seeds(*word_hashes(batch.column(1)), masks, short):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(text)), pa.array(at),
                      pa.array(key.view(np.int64))], names=["item_id", "item_at", "key"])
@@ -94,7 +100,7 @@ def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
 def _item_words(items: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            hashes, bounds = word_hashes(utf8(batch.column(1)))
+            hashes, bounds = word_hashes(batch.column(1))
             words = [hashes[a:b].view(np.int64).tolist() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words, pa.list_(pa.int64()))],
@@ -151,16 +157,17 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     widest = max(map(len, MASKS))
     short = [r.n for r in words.select(F.size("words").alias("n")).where(f"n < {widest}")
              .distinct().collect()]  # fewer than `widest` values
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    whole = frozenset(mask for n in short for mask in whole_masks(n))
+    masks = [*MASKS, *sorted(whole.difference(MASKS))]
     seed_path = scratch_path(spark, "seeds")
-    _item_seeds(items.join(words.select("item_id").distinct(), "item_id"), masks).write.parquet(
-        seed_path)
+    _item_seeds(items.join(words.select("item_id").distinct(), "item_id"), masks,
+                whole.difference(MASKS)).write.parquet(seed_path)
     item_seeds = spark.read.schema("item_id long, item_at long, key long").parquet(seed_path)
     bitmap = _bitmap(item_seeds)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            for text, at, key in seeds(*word_hashes(utf8(batch.column(1))), masks):
+            for text, at, key in seeds(*word_hashes(batch.column(1)), masks):
                 on = bitmap[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
                 if on.any():
                     yield pa.RecordBatch.from_arrays(
@@ -186,7 +193,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            hashes, bounds = word_hashes(utf8(batch.column(1)))
+            hashes, bounds = word_hashes(batch.column(1))
             out = []
             for i, (doc, found) in enumerate(zip(batch.column(0).to_pylist(),
                                                  batch.column(2).to_pylist())):

@@ -6,10 +6,13 @@ Lengths are at most ``capacity``, so the whole corpus is planned on its length h
 1. From the longest length down, the gap that a piece leaves is looked up among single lengths,
    sums of two and sums of three; a combination that fills the gap exactly is consumed as
    often as the counts of all its lengths allow. Sums of two are indexed by a count per sum
-   that is kept up to date as lengths run out.
+   that is kept up to date as lengths run out. Where no such sum exists the gap is narrowed by
+   the longest piece that fits, and looked up again.
 2. What is left goes best-fit decreasing into open sequences, again by whole groups.
 
-The plan is a list of patterns; pieces get their places from their rank among the pieces of
+Which combinations go first decides what is left, so the plan is made with a few orders, on
+copies of the histogram, and the one with the fewest sequences is taken. The plan is a list of
+patterns; pieces get their places from their rank among the pieces of
 their length. Ranks need no global sort: a task numbers its pieces of each length, and prefix
 sums over (length, task) counts give the bases.
 
@@ -31,24 +34,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8, word_tokens
+from citescope.llm.batches import chunks, word_tokens
 from citescope.session import scratch_path
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, task int, "
           "local_rank long")
+STRATEGIES = [(False, 1.0), (True, 1.0), (False, 0.5), (True, 0.5), (True, 0.1)]
 RANK_BITS = 50  # of a 64-bit search key; the rest holds the length
 
 
-def exact_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns that fill ``capacity`` exactly, consumed from ``counts`` in place."""
+def exact_patterns(counts: np.ndarray, capacity: int, long_first: bool = True, share: float = 1.0
+                   ) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that fill ``capacity`` exactly, consumed from ``counts`` in place. Of the
+    combinations that fill a gap those with the longest (or shortest) parts come first; each is
+    consumed up to ``share`` of what the counts allow, again and again until none is left."""
     patterns = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
     have = counts > 0
-    pair_sums = np.convolve(have, have)[:capacity + 1].astype(np.int64)
+    pair_sums = np.convolve(have.astype(np.int64), have.astype(np.int64))[:capacity + 1]
 
     def take(lengths: tuple[int, ...]) -> bool:
         need = Counter(lengths)
-        n = min(int(counts[x]) // m for x, m in need.items())
+        n = -int(-min(int(counts[x]) // m for x, m in need.items()) * share // 1)
         if not n:
             return False
         patterns.append((lengths, n))
@@ -65,28 +72,43 @@ def exact_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, .
     def pairs(total: int) -> Iterator[tuple[int, int]]:
         """Longer part first."""
         if total >= 2 and pair_sums[total] > 0:
-            longer = np.arange(total - 1, (total - 1) // 2, -1)
-            for j in longer[have[longer] & have[total - longer]]:
-                yield int(j), int(total - j)
+            longer = np.arange(total - 1, (total - 1) // 2, -1)[::1 if long_first else -1]
+            for j in longer[have[longer] & have[total - longer]].tolist():
+                yield j, total - j
+
+    def fillers(gap: int) -> Iterator[tuple[int, ...]]:
+        if have[gap]:
+            yield (gap,)
+        yield from pairs(gap)
+        if gap >= 3:
+            third = np.arange(gap - 2, 0, -1)[::1 if long_first else -1]
+            for k in third[have[third] & (pair_sums[gap - third] > 0)].tolist():
+                for pair in pairs(gap - k):
+                    if pair[0] <= k:
+                        yield (k, *pair)
+
+    def stacks(length: int) -> Iterator[tuple[int, ...]]:
+        """The piece alone, then with more and more of the longest pieces that fit: where three
+        parts are too short for the gap, it is narrowed first."""
+        stack, gap = (length,), capacity - length
+        while gap > 0:
+            yield stack
+            fitting = np.flatnonzero(have[:min(length, gap) + 1])[::-1].tolist()
+            longest = next((x for x in fitting if counts[x] > stack.count(x)), None)
+            if longest is None:
+                return
+            stack, gap = (*stack, longest), gap - longest
 
     for length in range(capacity - 1, 0, -1):
-        gap = capacity - length
-        if counts[length]:
-            take((length, gap))
-        if counts[length]:
-            for pair in list(pairs(gap)):
-                take((length, *pair))
-                if not counts[length]:
-                    break
-        if counts[length] and gap >= 3:
-            third = np.arange(gap - 2, 0, -1)
-            for k in third[have[third] & (pair_sums[gap - third] > 0)]:
-                for pair in list(pairs(gap - int(k))):
-                    if pair[0] <= k:
-                        take((length, int(k), *pair))
+        taken = True
+        while taken and counts[length]:
+            taken = False
+            for stack in stacks(length):
+                for filler in fillers(capacity - sum(stack)):
+                    taken |= take((*stack, *filler))
                     if not counts[length]:
                         break
-                if not counts[length]:
+                if taken or not counts[length]:
                     break
     return patterns
 
@@ -120,8 +142,18 @@ def best_fit_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how many sequences) for a histogram indexed by length."""
-    counts = np.asarray(counts, np.int64).copy()
-    return exact_patterns(counts, capacity) + best_fit_patterns(counts, capacity)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    least = -(-int(np.arange(capacity + 1) @ np.asarray(counts, np.int64)) // capacity)
+    for long_first, share in STRATEGIES:
+        left = np.asarray(counts, np.int64).copy()
+        found = exact_patterns(left, capacity, long_first, share)
+        found += best_fit_patterns(left, capacity)
+        size = sum(n for _, n in found)
+        if best is None or size < sum(n for _, n in best):
+            best = found
+        if size == least:
+            break
+    return best or []
 
 
 @dataclass
@@ -167,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         seen = np.zeros(capacity + 1, np.int64)
         tokens = word_tokens(tokenizer)
         for batch in chunks(batches):
-            encoded = [x + end for x in tokens.encode(utf8(batch.column(1)))]
+            encoded = [x + end for x in tokens.encode(batch.column(1))]
             n = np.array([-(-len(x) // step) for x in encoded])
             parts = [x[a:a + step] for x in encoded for a in range(0, len(x), step)]
             number = np.concatenate([np.arange(k) for k in n])

@@ -105,8 +105,8 @@ def dup_lines(text: bytes) -> int:
     return n
 
 
-def counts_and_scores(texts: list[bytes], ratio: np.ndarray) -> dict[str, np.ndarray]:
-    vocabulary, ids, bounds = word_ids(texts)
+def counts_and_scores(column: pa.Array, ratio: np.ndarray) -> dict[str, np.ndarray]:
+    vocabulary, ids, bounds = word_ids(column)
     length = np.array([len(w.decode()) for w in vocabulary], np.int64)
     symbols = np.array([len(w) - len(w.translate(None, SYMBOLS)) for w in vocabulary], np.int64)
     word, bucket = word_grams(vocabulary)
@@ -118,7 +118,8 @@ def counts_and_scores(texts: list[bytes], ratio: np.ndarray) -> dict[str, np.nda
     return {
         "n_words": n_words, "word_chars": _sums(length[ids], bounds),
         "n_symbols": _sums(symbols[ids], bounds),
-        "n_dup_lines": np.array([dup_lines(t) if b"\n" in t else 0 for t in texts], np.int64),
+        "n_dup_lines": np.array([dup_lines(t) if b"\n" in t else 0 for t in utf8(column)],
+                                np.int64),
         "n_repeat_words": repeated,
         "base_failed": (n_words < MIN_WORDS) | (100 * repeated > 50 * n_words),
         "score": np.round(score, 9),
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in chunks(batches):
             trusted = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
-            vocabulary, ids, bounds = word_ids(utf8(batch.column(1)))
+            vocabulary, ids, bounds = word_ids(batch.column(1))
             word, bucket = word_grams(vocabulary)
             for i, own in enumerate((ids, ids[np.repeat(trusted, np.diff(bounds))])):
                 times = np.bincount(own, minlength=len(vocabulary))
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BINS), np.int64)
         for batch in chunks(batches):
-            found = counts_and_scores(utf8(batch.column(1)), ratio)
+            found = counts_and_scores(batch.column(1), ratio)
             trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(int)
             at = np.clip(((found["score"] + SPAN) * (BINS / (2 * SPAN))).astype(int), 0, BINS - 1)
             np.add.at(total, (trusted, at), ~found["base_failed"])
@@ -191,7 +192,7 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
     """One row per document: the base counts, base_failed, kept and the score."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = counts_and_scores(utf8(batch.column(1)), model.ratio)
+            found = counts_and_scores(batch.column(1), model.ratio)
             kept = ~found["base_failed"] & (found["score"] >= model.threshold)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(found[k]) for k in (
@@ -207,7 +208,7 @@ def keep(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            texts = utf8(batch.column(batch.schema.get_field_index("text")))
+            texts = batch.column(batch.schema.get_field_index("text"))
             found = counts_and_scores(texts, model.ratio)
             kept = ~found["base_failed"] & (found["score"] >= model.threshold)
             yield batch.filter(pa.array(kept))
