@@ -18,7 +18,6 @@ no rows; other columns are ignored; whole texts are read, however long.
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8
+from citescope.llm.batches import chunks, utf8, worker_store
 
 BUCKETS = 1 << 13
 SMOOTHING = 0.1
@@ -38,15 +37,18 @@ UNKNOWN = "und"
 PREDICTIONS = "doc_id long, lang_pred string, score double, languages string"
 
 
-@functools.cache
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+    """Which code points are letters."""
+    store = worker_store()
+    if "letters" not in store:
+        store["letters"] = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+    return store["letters"]
 
 
 def trigram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, count, has letters): the non-zero trigram counts of every text, by
     document. Runs of non-letters are one blank, and a blank stands at either end; a trigram
-    holds a letter."""
+    has a letter in its middle, or at both ends."""
     whole = "\0".join(t.decode().lower().replace("\0", " ") for t in texts)
     code = np.frombuffer(f"\0{whole}\0".encode("utf-32-le", "surrogatepass"), np.uint32)
     cut = code == 0
@@ -60,12 +62,12 @@ def trigram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if len(code) < 3:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, has
-    mixed = (code[:-2] << np.uint64(42)) ^ (code[1:-1] << np.uint64(21)) ^ code[2:]
+    # what lies in another text is a blank
+    before, after = doc[:-2] == doc[1:-1], doc[2:] == doc[1:-1]
+    mixed = ((np.where(before, code[:-2], 0) << np.uint64(42)) ^ (code[1:-1] << np.uint64(21))
+             ^ np.where(after, code[2:], 0))
     bucket = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64)
-    # the blank before a text belongs to it, the one behind it to the next: a window belongs to
-    # the document of its middle
-    ok = letter[1:-1] | (letter[2:] & (doc[2:] == doc[1:-1])) | (
-        letter[:-2] & (doc[:-2] == doc[1:-1]))
+    ok = letter[1:-1] | (before & after & letter[:-2] & letter[2:])
     table = np.bincount(doc[1:-1][ok] * BUCKETS + bucket[ok], minlength=len(texts) * BUCKETS)
     at = np.flatnonzero(table)
     return at // BUCKETS, at % BUCKETS, table[at], has
