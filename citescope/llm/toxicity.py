@@ -8,8 +8,8 @@ number tells a chance occurrence from a habit.
 
 Fitting uses a bounded sample of labelled documents (``max_labelled``, the smallest hashes of
 doc_id; all of them when there are fewer). Feature counts of the sample are gathered in Spark,
-the ``max_features`` features that tell toxic from clean texts best (G-squared, seen in at
-least ``min_docs`` texts) are kept, and the small design matrix they leave is fitted by
+the ``max_features`` features that tell toxic from clean texts best (by G-squared, which must
+be significant; seen in at least ``min_docs`` texts) are kept, and the small design matrix they leave is fitted by
 accelerated gradient descent. Scoring is one pass over all documents without a shuffle.
 
 Defined cases: null and word-less texts have no features and get the prior's severity; a null
@@ -36,7 +36,8 @@ MAX_LABELLED = 10_000
 MAX_FEATURES = 4096
 MIN_DOCS = 3
 PREFIXES = (3, 4, 5, 6, 7)
-DECIDE = 0.3  # P(grade >= 1) from which a text counts as toxic: best F1 on labels held out
+MIN_GAIN = 8.0  # least G-squared / 2 of a feature: fewer weak features, less noise
+DECIDE = 0.2  # P(grade >= 1) from which a text counts as toxic: best F1 on labels held out
 SIGNS = b".,;:!?#*$%&|<>()\"'"
 SCORES = "doc_id long, severity double, p_toxic double, grade int, toxic boolean"
 
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED,
     gain = (part(k, m * toxic / n) + part(m - k, m * (n - toxic) / n)
             + part(toxic - k, (n - m) * toxic / n) + part(n - toxic - m + k, (n - m) * (n - toxic) / n))
     best = (counted.where(m < n).withColumn("gain", F.round(gain, 6))
-            .orderBy(F.desc("gain"), "feature").limit(max_features).select("feature").collect())
+            .where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "feature").limit(max_features).select("feature").collect())
     features = np.sort(np.array([r.feature for r in best], np.int64))
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
