@@ -18,17 +18,18 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citescope.operators import browser as B
+from citescope.operators import popular_links as PL
 from citescope.operators import popularity as POP
 from citescope.operators import report as R
 from citescope.plans.audit import audit
 from citescope.session import build_session
 from citescope.sources import article_lists as AL
+from citescope.sources import evidence as EV
 from citescope.sources import pages as PG
 from citescope.sources import pageviews as PV
 from citescope.sources import report_io as RIO
@@ -36,9 +37,13 @@ from citescope.sources import report_io as RIO
 
 def parse_args(argv=None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description="Audit the external citations of popular articles on Spark")
-    p.add_argument("--pages", required=True, help="article HTML: Parquet (title, html) or a folder of .html files")
-    p.add_argument("--probes", required=True, help="recorded HTTP probes (Parquet)")
-    p.add_argument("--browser", default=None, help="recorded browser observations (Parquet)")
+    p.add_argument("--pages", required=True,
+                   help="article HTML: Parquet (title, html) or, with --pages-format html, .html files")
+    p.add_argument("--pages-format", choices=["parquet", "html"], default="parquet")
+    p.add_argument("--probes", default=None, help="recorded HTTP probes (Parquet or a catalog table)")
+    p.add_argument("--browser", default=None, help="recorded browser observations (Parquet or a catalog table)")
+    p.add_argument("--save-popular-list", default=None, metavar="LIST",
+                   help="only extract the links of --pages (a saved popular-articles page) to LIST")
     p.add_argument("--pageviews", default=None, help="daily page-view JSON documents (view_day=... folders)")
     p.add_argument("--use-popular-articles", default=None, help="saved article list (JSON array)")
     p.add_argument("--limit", type=int, default=POP.DEFAULT_LIMIT, help="number of articles (default 25)")
@@ -55,15 +60,24 @@ def parse_args(argv=None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
-def _read_pages(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".parquet") or os.path.isdir(path) and any(
-            f.endswith(".parquet") for f in os.listdir(path)):
-        return PG.read_pages(spark, path).select("title", "html")
-    return PG.read_html_files(spark, path)
+def _read_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    if kind == "html":
+        return PG.read_html_files(spark, path)
+    pages = PG.read_pages(spark, path)
+    return pages.select("title", "html", *[c for c in ("ingest_pos",) if c in pages.columns])
+
+
+def save_popular_list(spark: SparkSession, page: str, path: str, limit: int) -> None:
+    """The popular-list run: the links of a saved popular-articles page (C1), the first ``limit``
+    (0: all of that page), written as a saved list for ``--use-popular-articles``."""
+    html = PG.read_html_files(spark, page).withColumn("page_id", F.xxhash64("title"))
+    links = PL.article_links_df(html).orderBy("page_id", "link_pos")
+    AL.write_popular_records(links.limit(limit) if limit > 0 else links, path,
+                             order=["page_id", "link_pos"])
 
 
 def articles_for_run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Step 1: the article list (at most ``limit`` rows: the bound that lets D1 broadcast it)."""
+    """Step 1: the article list."""
     if args.use_popular_articles:
         return AL.read_article_list(spark, args.use_popular_articles, limit=args.limit).select("article_pos", "title")
     if not args.pageviews:
@@ -79,14 +93,19 @@ def articles_for_run(spark: SparkSession, args: argparse.Namespace) -> DataFrame
 
 def run(args: argparse.Namespace, spark: SparkSession | None = None) -> dict:
     spark = spark or build_session(args.master)
+    if args.save_popular_list:
+        save_popular_list(spark, args.pages, args.save_popular_list, args.limit)
+        return {"saved_list": args.save_popular_list}
+    if not args.probes:
+        raise SystemExit("give --probes")
     stamp = args.stamp or dt.datetime.now().strftime("%Y%m%d_%H%M%S")
     mode = "structure" if args.use_html_structure else ("references" if args.references_only else "all")
     articles = articles_for_run(spark, args)
-    res = audit(articles, _read_pages(spark, args.pages), spark.read.parquet(args.probes),
-                spark.read.parquet(args.browser) if (args.browser and args.browser_validation) else None,
-                mode=mode, stamp=stamp, materialize=True,
-                # The list is bounded only by a positive limit (0 keeps a whole saved list).
-                articles_bound=args.limit if args.limit > 0 else None)
+    observed = args.browser and args.browser_validation
+    res = audit(articles, _read_pages(spark, args.pages, args.pages_format),
+                EV.load_evidence(spark, args.probes, "probes"),
+                EV.load_evidence(spark, args.browser, "browser") if observed else None,
+                mode=mode, stamp=stamp, materialize=True)
     # The classified links are checkpointed once: the report and the summaries below all read
     # them, so the HTML is parsed once for the whole run.
     path = RIO.write_full_report(res.report, args.output_dir, stamp)

@@ -42,9 +42,10 @@ FROM (
 ) p1
 """
 
-# Spark only: one HTML document per article with an ordered reference list.
+# Spark only: one HTML document per article with an ordered reference list, and for every third
+# article an older copy that links elsewhere (the later ``ingest_pos`` counts).
 FX_HTML = """
-SELECT title, article_pos,
+SELECT title, article_pos, 2 * article_pos + 1 AS ingest_pos,
        concat('<html><body><h2>References</h2><ol class="mw-references references">',
               listagg(concat('<li><cite><a href="', replace(original_url, '&', '&amp;'), '">o</a>',
                              CASE WHEN archive_url IS NULL THEN ''
@@ -53,6 +54,12 @@ SELECT title, article_pos,
                 WITHIN GROUP (ORDER BY ref_pos),
               '</ol></body></html>') AS html
 FROM fx_refs GROUP BY title, article_pos
+UNION ALL
+SELECT DISTINCT title, article_pos, 2 * article_pos AS ingest_pos,
+       concat('<html><body><ol class="references"><li><a href="https://stale.example.org/',
+              CAST(article_pos AS VARCHAR(20)), '">old</a></li></ol>', repeat('<p>old copy</p>', 10),
+              '</body></html>') AS html
+FROM fx_refs WHERE article_pos % 3 = 0
 """
 
 FX_PAGEVIEWS = """
@@ -69,6 +76,8 @@ FROM (
 ) d
 """
 
+# Recorded evidence over time: three quarters of the URLs have an older probe, half an older
+# observation, with other outcomes.
 FX_PROBE = """
 SELECT original_url AS url,
        page_id % 11 <> 9 AS dns_ok,
@@ -79,8 +88,13 @@ SELECT original_url AS url,
        page_id % 11 IN (8, 10) AS head_failed,
        CASE page_id % 11 WHEN 4 THEN 200 WHEN 5 THEN 404 WHEN 8 THEN 403 ELSE NULL END AS get_status,
        CASE page_id % 11 WHEN 8 THEN 'Strict-Transport-Security: max-age=1' ELSE '' END AS get_headers,
-       page_id % 11 = 10 AS get_failed
+       page_id % 11 = 10 AS get_failed,
+       2 * page_id + 1 AS observed_at
 FROM fx_refs
+UNION ALL
+SELECT original_url, true, CASE page_id % 2 WHEN 0 THEN 200 ELSE 404 END, 'Server: old', false, NULL, '',
+       false, 2 * page_id
+FROM fx_refs WHERE page_id % 4 <> 1
 """
 
 FX_BROWSER = """
@@ -94,8 +108,13 @@ SELECT original_url AS url,
        CASE page_id % 9 WHEN 4 THEN 'Error: Access Denied / Title: Access Denied'
             WHEN 5 THEN 'Oops: Page Not Found (404 Not Found) captcha'
             WHEN 6 THEN 'Checking your browser before Cloudflare lets you in'
-            WHEN 7 THEN 'access denied' ELSE 'plain body' END AS page_source
+            WHEN 7 THEN 'access denied' ELSE 'plain body' END AS page_source,
+       2 * page_id + 1 AS observed_at
 FROM fx_refs
+UNION ALL
+SELECT original_url, CASE page_id % 4 WHEN 0 THEN 'timeout' ELSE NULL END, NULL, original_url, 'Old',
+       'gateway: server not found', 2 * page_id
+FROM fx_refs WHERE page_id % 2 = 0
 """
 
 # Portable fixtures (Spark and DuckDB), in dependency order.
@@ -113,6 +132,10 @@ def cte(*names: str) -> str:
     if needed & {"fx_probe", "fx_browser"}:
         needed.add("fx_refs")
     parts = [f"{n} AS ({PORTABLE[n]})" for n in PORTABLE if n in needed]
+    # the last row of each URL, for the joins
+    parts += [f"{n}_last AS (SELECT * FROM {n} QUALIFY row_number() OVER "
+              "(PARTITION BY url ORDER BY observed_at DESC) = 1)"
+              for n in ("fx_probe", "fx_browser") if n in needed]
     return "WITH " + ",\n".join(parts) + "\n"
 
 

@@ -37,9 +37,10 @@ def clean_link_text(text) -> Column:
 
 
 def percent_decode(href) -> Column:
-    """I8: lenient percent-decoding; ``+`` is kept. A malformed string stays undecoded."""
+    """I8: lenient percent-decoding: a ``%`` without two hex digits and ``+`` are kept."""
     h = _c(href)
-    return F.coalesce(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))), h)
+    escaped = F.regexp_replace(h, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B"))), h)
 
 
 def _one_decimal(x: Column) -> Column:
@@ -68,7 +69,8 @@ def format_duration(seconds) -> Column:
     s = _c(seconds).cast("double")
     scaled = F.when(s < 60, s).when(s < 3600, s / 60).otherwise(s / 3600)
     unit = F.when(s < 60, F.lit("s")).when(s < 3600, F.lit("m")).otherwise(F.lit("h"))
-    return F.concat(_one_decimal(scaled), unit)
+    sign = F.when(s < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, _one_decimal(F.abs(scaled)), unit)
 
 
 def progress_percent(done, total) -> Column:

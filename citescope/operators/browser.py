@@ -2,16 +2,17 @@
 
 Browser automation is replaced by an observation table (``schemas.BROWSER_SCHEMA``): either a
 failure (``failure_kind`` timeout / webdriver / other, with its message) or a loaded page
-(final URL, title, source).
+(final URL, title, source). Of the observations of one URL the last counts, and it is decided
+upon where it is read: page sources never reach an exchange.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citescope.operators.probes import join_evidence, last_per_url, link_outcome, probe_results
+
 # ---- fixed values ------------------------------------------------------------------------------
 # Both markers together mean an access-denied interstitial (blocked).
 ACCESS_DENIED_MARKERS = ["error: access denied", "title: access denied"]
@@ -103,26 +104,51 @@ def browser_detail(b: Column, original_url: Column) -> Column:
                        part("Title: ", b["title"]))
 
 
+def browser_results(observations: DataFrame) -> DataFrame:
+    """J4 + J5 + D5: ``(url, seen)``, the decision on each URL's last observation."""
+    cols = [c for c in observations.columns if c not in ("url", "observed_at")]
+    return last_per_url(observations, browser_decision(F.col("url"), F.struct(*cols)), "seen")
+
+
+def browser_outcome() -> Column:
+    """J6 of a row with ``status``, ``status_code`` and ``seen``: NULL unless dead; a dead link
+    without an observation keeps its status."""
+    kept = F.struct(
+        F.col("status").alias("status"), F.col("status_code").alias("code"),
+        F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("boolean").alias("redirected"),
+        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("error_indicator"),
+        F.lit(None).cast("string").alias("blocking_indicator"),
+        F.lit(NO_OBSERVATION_ERROR).alias("error"))
+    return F.when(F.col("status") == "dead", F.coalesce(F.col("seen"), kept))
+
+
 def with_browser(results: DataFrame, observations: DataFrame, url_col: str = "url") -> DataFrame:
-    """D7 + J6: adds the ``browser`` struct to dead rows (NULL for the others).
-
-    One left join on the URL, matching only dead rows; when ``results`` is already partitioned
-    by the URL (it is after the probe join) only the observation side is shuffled.
-    """
-    obs = observations.select(F.col("url").alias("_obs_url"),
-                              F.struct(*[c for c in observations.columns if c != "url"]).alias("_obs"))
-    cond, decision = _browser_exprs(url_col)
-    joined = results.join(obs, cond, "left")
-    return joined.withColumn("browser", decision).drop("_obs_url", "_obs")
-
-
-@functools.lru_cache(maxsize=None)
-def _browser_exprs(url_col: str):
-    dead = F.col("status") == "dead"
-    cond = (F.col(url_col) == F.col("_obs_url")) & dead
-    decision = F.when(dead, browser_decision(F.col(url_col), F.col("_obs"), F.col("status"),
-                                             F.col("status_code")))
-    return cond, decision
+    """D7 + J6: adds the ``browser`` struct to dead rows (NULL for the others), which alone
+    match an observation."""
+    joined = join_evidence(results, browser_results(observations), url_col,
+                           F.col("status") != "dead")
+    return joined.withColumn("browser", browser_outcome()).drop("seen")
+
+
+def url_evidence(probes: DataFrame, observations: DataFrame | None, **kw) -> DataFrame:
+    """``(url, http, seen)``: all evidence on a URL in one row, so that link rows are exchanged
+    once. Both sides have one row per URL and the same partitioning."""
+    http = probe_results(probes, **kw)
+    if observations is None:
+        return http.withColumn("seen", F.lit(None).cast(BROWSER_RESULT_TYPE))
+    return http.join(browser_results(observations), "url", "left")
+
+
+def classify_links(links: DataFrame, probes: DataFrame, observations: DataFrame | None,
+                   url_col: str = "url", skip_col: str | None = None, **kw) -> DataFrame:
+    """J3, D6, J6 and D7 in one join: adds ``status``, ``status_code`` and ``browser``."""
+    skip, outcome = link_outcome(url_col, skip_col)
+    joined = join_evidence(links, url_evidence(probes, observations, **kw), url_col, skip)
+    decided = (joined.withColumn("_r", outcome).withColumn("status", F.col("_r.status"))
+               .withColumn("status_code", F.col("_r.status_code")))
+    browser = (browser_outcome() if observations is not None
+               else F.lit(None).cast(BROWSER_RESULT_TYPE))
+    return decided.withColumn("browser", browser).drop("_r", "http", "seen")
 
 
 def validate_dead(results: DataFrame, observations: DataFrame, url_col: str = "url") -> DataFrame:

@@ -1,9 +1,11 @@
 """Link extraction from article HTML.
 
-The HTML tree is read by one Arrow-batched Python UDF per document (``reference_tree`` for the
-reference lists, ``anchor_tree`` for every anchor). Both return one array per page, so every
-per-article step after them (pairing, de-duplication, flat-mode matching) is a JVM expression
-over that row: no shuffle is needed until links are joined with evidence keyed by URL.
+One Arrow-batched Python function per document scans the markup into flat arrays
+(``functions.markup``): parents, siblings and digests by element number, and the links,
+reference elements and headings. What a link is - its reference, its neighbours, its section -
+is derived from these arrays by expressions within the row, and so is every per-article step
+after it (pairing, de-duplication, flat-mode matching): no shuffle is needed until links are
+joined with evidence keyed by URL.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ import citescope
 from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from citescope.functions import html_tree, urls
-from citescope.schemas import PAGE_ANCHOR, TREE_REFERENCE
+from citescope.functions import markup, urls
+from citescope.operators.staging import stage
+from citescope.schemas import MARKUP
 
 # Ship the package's code with the functions so executors need no installed copy of it.
 cloudpickle.register_pickle_by_value(citescope)
@@ -25,77 +27,113 @@ cloudpickle.register_pickle_by_value(citescope)
 SKIP_LINK_CLASSES = ["mw-editsection", "mw-editsection-bracket", "mw-redirect"]
 # An anchor whose id contains one of these is not a reference.
 SKIP_LINK_IDS = ["mw-content-text"]
+# Headings of the section whose links count as references.
+SECTION_TITLES = ["references", "notes", "external links"]
+NEAR_SIBLINGS = 4           # "close in document": at most 3 elements before the later sibling
 # -------------------------------------------------------------------------------------------------
 
-
-def _references(html):
-    return html_tree.extract_references(html, False)
-
-
-def _external_references(html):
-    return html_tree.extract_references(html, False, True)
-
-
-def _references_with_html(html):
-    return html_tree.extract_references(html, True)
-
-
-def _anchors(html):
-    return html_tree.extract_anchors(html)
-
-
-def _external_anchors(html):
-    return html_tree.extract_anchors(html, external_only=True)
-
-
-_UDF_SPECS = {
-    "reference_tree": (_references, T.ArrayType(TREE_REFERENCE)),
-    "external_reference_tree": (_external_references, T.ArrayType(TREE_REFERENCE)),
-    "reference_tree_with_html": (_references_with_html, T.ArrayType(TREE_REFERENCE)),
-    "anchor_tree": (_anchors, T.ArrayType(PAGE_ANCHOR)),
-    "external_anchor_tree": (_external_anchors, T.ArrayType(PAGE_ANCHOR)),
-}
 _UDFS: dict = {}
 
 
-def _udf(name: str):
-    """The Arrow-batched UDF ``name`` for the active SparkContext (a UDF object binds the
-    context it is first used in, so one is kept per application)."""
+def scan_udf():
+    """A UDF object binds the context it is first used in, so one is kept per application."""
     app = SparkContext._active_spark_context.applicationId
-    key = (name, app)
-    if key not in _UDFS:
-        fn, rtype = _UDF_SPECS[name]
-        _UDFS[key] = F.udf(fn, rtype, useArrow=True)
-    return _UDFS[key]
-
-
-def reference_tree(html: Column) -> Column:
-    return _udf("reference_tree")(html)
+    if app not in _UDFS:
+        _UDFS[app] = F.udf(markup.scan, MARKUP, useArrow=True)
+    return _UDFS[app]
 
 
-def external_reference_tree(html: Column) -> Column:
-    return _udf("external_reference_tree")(html)
+def scan(html) -> Column:
+    """The flat facts of a page."""
+    return scan_udf()(_c(html))
 
 
-def reference_tree_with_html(html: Column) -> Column:
-    return _udf("reference_tree_with_html")(html)
-
-
-def anchor_tree(html: Column) -> Column:
-    return _udf("anchor_tree")(html)
+def _c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
 
-def external_anchor_tree(html: Column) -> Column:
-    return _udf("external_anchor_tree")(html)
+# A reference element needs an <ol ...> or <ref ...> start tag; an anchor needs <a ...>. Tag names
+# are case-insensitive, so these are exact necessary conditions, tested in the JVM.
+# (The standard-library parser ends a tag name at whitespace, "/", ">" or NUL.)
+REFERENCE_MARKUP = r"(?i)<(ol|ref)[\s/>\x00]"
+ANCHOR_MARKUP = r"(?i)<a[\s/>\x00]"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def _external(href: Column) -> Column:
+    return href.startswith("http://") | href.startswith("https://")
+
+
+def references(m: Column, html: Column | None = None, external_only: bool = False) -> Column:
+    """The reference elements of a scanned page, each with its links and the keys and links
+    of their neighbours. ``external_only`` leaves other links out; positions count them."""
+    def key(element: Column) -> Column:
+        return F.get(m["key"], element)
+
+    def following(element: Column) -> Column:
+        after = F.get(m["last"], element) + 1
+        return F.when(F.get(m["parent"], after) == F.get(m["parent"], element), after)
+
+    def link_inside(element: Column) -> Column:
+        found = F.get(m["links"], F.get(m["seen"], element))
+        return F.when(found["at"] <= F.get(m["last"], element), found)
+
+    def link(x: Column, pos: Column) -> Column:
+        parent = F.get(m["parent"], x["at"])
+        siblings = F.slice(F.aggregate(
+            F.array(*[F.lit(i) for i in range(NEAR_SIBLINGS)]), F.array(x["at"]),
+            lambda found, _: F.concat(found, F.array(following(F.element_at(found, -1))))),
+            2, NEAR_SIBLINGS)
+        after, before = link_inside(F.get(siblings, F.lit(0))), link_inside(
+            F.get(m["previous"], x["at"]))
+        return F.struct(
+            pos.alias("link_pos"), x["href"].alias("href"), key(x["at"]).alias("elem_key"),
+            key(parent).alias("parent_key"),
+            F.coalesce(key(F.get(m["parent"], parent)), F.lit(0).cast("long"))
+            .alias("grandparent_key"),
+            F.transform(F.filter(siblings, lambda s: s.isNotNull()), key).alias("near_keys"),
+            after["href"].alias("next_href"), key(after["at"]).alias("next_key"),
+            before["href"].alias("prev_href"), key(before["at"]).alias("prev_key"))
+
+    def reference(r: Column, pos: Column) -> Column:
+        first = F.get(m["seen"], r["at"])
+        links = F.transform(F.slice(m["links"], first + 1, F.get(m["seen"], F.get(
+            m["last"], r["at"])) - first), link)
+        if external_only:
+            links = F.filter(links, lambda x: _external(x["href"]))
+        text = (F.call_function("substring", html, r["start"] + 1, r["end"] - r["start"])
+                if html is not None else F.lit(None).cast("string"))
+        return F.struct(pos.alias("ref_pos"), r["kind"].alias("ref_kind"), links.alias("links"),
+                        text.alias("reference_html"))
+
+    none = F.array().cast("array<struct<at:int,kind:string,start:int,end:int>>")
+    return F.transform(F.coalesce(m["refs"], none), reference)
+
+
+def anchors(m: Column, external_only: bool = False) -> Column:
+    """Every link of a scanned page in document order with the context it sits in."""
+    titled = F.get(F.filter(m["headings"], lambda h: h["text"].isin(SECTION_TITLES)), F.lit(0))
+    parent = F.get(m["parent"], titled["at"])
+    later = F.get(F.filter(m["headings"], lambda h: (h["at"] > titled["at"])
+                           & (F.get(m["parent"], h["at"]) == parent)), F.lit(0))
+    section = F.struct(parent.alias("parent"), F.get(m["last"], titled["at"]).alias("after"),
+                       F.coalesce(later["at"] - 1, F.get(m["last"], parent)).alias("last"))
+    none = F.array().cast("array<struct<at:int,href:string,classes:array<string>,id:string,"
+                          "in_ref:boolean>>")
+
+    def anchor(x: Column, pos: Column, s: Column) -> Column:
+        return F.struct(
+            pos.alias("link_pos"), x["href"].alias("href"), x["in_ref"].alias("in_ref"),
+            F.coalesce((x["at"] > s["after"]) & (x["at"] <= s["last"])
+                       & (F.get(m["parent"], x["at"]) != s["parent"]), F.lit(False))
+            .alias("in_section"), x["classes"].alias("classes"), x["id"].alias("id"))
+
+    links = F.element_at(F.transform(F.array(section), lambda s: F.transform(
+        F.coalesce(m["links"], none), lambda x, pos: anchor(x, pos, s))), 1)
+    return F.filter(links, lambda x: _external(x["href"])) if external_only else links
 
 
 # A reference element needs an <ol ...> or <ref ...> start tag; an anchor needs <a ...>. Tag names
 # are case-insensitive, so these are exact necessary conditions, tested in the JVM.
-# (The standard-library parser ends a tag name at whitespace, "/", ">" or NUL.)
 REFERENCE_MARKUP = r"(?i)<(ol|ref)[\s/>\x00]"
 ANCHOR_MARKUP = r"(?i)<a[\s/>\x00]"
 
@@ -108,25 +146,28 @@ def with_reference_tree(pages: DataFrame, html: str = "html", with_html: bool =
     With ``markup_guard`` (for consumers that explode the references) pages that cannot hold a
     reference element are dropped in the JVM before any HTML is shipped to Python. Filters on
     other pass-through columns must be applied to ``pages`` before this call: they do not move
-    below a Python evaluation. ``external_only``: only http(s) links are shipped back (enough
-    for the pairing and everything after it).
+    below a Python evaluation. ``external_only``: only http(s) links are kept (enough for the
+    pairing and everything after it). The scan and the array are staged, so that no filter on
+    them moves below the scan and repeats it.
     """
-    fn = (reference_tree_with_html if with_html
-          else external_reference_tree if external_only else reference_tree)
     if markup_guard:
         pages = pages.where(_c(html).rlike(REFERENCE_MARKUP))
-    return pages.withColumn(out, fn(_c(html)))
+    keep = [c for c in pages.columns if c != out]
+    scanned = stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+    return stage(scanned, keep, **{out: references(
+        F.col("_m"), F.col(html) if with_html else None, external_only)})
 
 
 def with_anchor_tree(pages: DataFrame, html: str = "html", out: str = "anchors",
                      markup_guard: bool = False, external_only: bool = False) -> DataFrame:
     """Adds the anchors of every page; ``markup_guard`` drops pages without an anchor tag
-    before the Python step (for consumers that explode the anchors); ``external_only`` ships
-    back only http(s) anchors (what C4 uses), not the internal navigation links."""
+    before the Python step (for consumers that explode the anchors); ``external_only`` keeps
+    only http(s) anchors (what C4 uses), not the internal navigation links."""
     if markup_guard:
         pages = pages.where(_c(html).rlike(ANCHOR_MARKUP))
-    fn = external_anchor_tree if external_only else anchor_tree
-    return pages.withColumn(out, fn(_c(html)))
+    keep = [c for c in pages.columns if c != out]
+    scanned = stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+    return stage(scanned, keep, **{out: anchors(F.col("_m"), external_only)})
 
 
 def likely_reference_link(anchor: Column) -> Column:

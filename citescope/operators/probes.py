@@ -1,14 +1,12 @@
 """HTTP link classification over recorded evidence.
 
-Live HEAD/GET requests are replaced by a probe table with one row per URL (see
-``schemas.PROBE_SCHEMA``). The decision ladder keeps the precedence of the audited checker:
+Live HEAD/GET requests are replaced by a probe table (see ``schemas.PROBE_SCHEMA``); of the
+probes of one URL the last counts. The decision ladder keeps the precedence of the audited checker:
 archive, DNS, HEAD, then GET.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,39 +82,62 @@ def http_status(url: Column, probe: Column, retry_codes=RETRY_STATUS_CODES,
             .otherwise(after_failed_head))
 
 
-def probe_struct(probes: DataFrame, alias: str = "probe") -> DataFrame:
-    """Probe rows as (url, struct) ready for a left join on ``url``."""
-    cols = [c for c in probes.columns if c != "url"]
-    return probes.select(F.col("url").alias("_probe_url"), F.struct(*cols).alias(alias))
+def last_per_url(df: DataFrame, result: Column, alias: str) -> DataFrame:
+    """(url, result): the result of each URL's last observation (by ``observed_at``; without
+    that column, or at equal times, the largest result, so that it is the same on every run).
+
+    ``result`` is computed on the scan and must be narrow; headers and page sources never reach
+    the exchange, and a URL observed often is reduced before it."""
+    at = F.col("observed_at") if "observed_at" in df.columns else F.lit(0)
+    return (df.select("url", F.struct(at.cast("long").alias("at"), result.alias("result")).alias("o"))
+            .groupBy("url").agg(F.max("o").alias("o"))
+            .select(F.col("url"), F.col("o.result").alias(alias)))
+
 
+def probe_results(probes: DataFrame, **kw) -> DataFrame:
+    """J1 + D4: ``(url, http)``, one row per probed URL, its last probe."""
+    cols = [c for c in probes.columns if c not in ("url", "observed_at")]
+    return last_per_url(probes, http_status(F.col("url"), F.struct(*cols), **kw), "http")
 
-@functools.lru_cache(maxsize=None)
-def _classify_exprs(url_col: str, skip_col: str | None, kw: tuple):
-    skip = F.coalesce(F.col(skip_col), F.lit(False)) if skip_col else F.lit(False)
+
+def link_outcome(url_col: str, skip_col: str | None):
+    """(skip, outcome) of a link joined with ``http``: archived, without a probe, or probed."""
     u = F.col(url_col)
-    cond = (u == F.col("_probe_url")) & ~skip & ~urls.is_archive(u)
-    res = F.when(skip, F.struct(F.lit("archived").alias("status"),
-                                F.lit(None).cast("int").alias("status_code"))) \
-        .otherwise(http_status(u, F.col("probe"), **dict(kw)))
-    return cond, res
+    skip = urls.is_archive(u)
+    if skip_col:
+        skip = skip | F.coalesce(F.col(skip_col), F.lit(False))
+    return skip, (F.when(skip, _result("archived", None))
+                  .when(F.col("http").isNull(), _result("connection_error", None))
+                  .otherwise(F.col("http")))
+
+
+def join_evidence(links: DataFrame, evidence: DataFrame, url_col: str, skip: Column) -> DataFrame:
+    """Left join of link rows with evidence that has one narrow row per ``url``.
+
+    Links that need no check must not match; they join on a key of their own, spread by their
+    row, not on their URL. Both sides are exchanged on a key made for this join, so that AQE may
+    split the partition of a URL that very many links cite, in any session: it only splits
+    sides that come straight from an exchange, and the evidence would else come from the
+    aggregate that made it."""
+    key = F.when(skip, F.xxhash64(*links.columns).cast("string")).otherwise(
+        F.concat(F.lit("="), F.col(url_col)))
+    keyed = evidence.select(F.concat(F.lit("="), F.col("url")).alias("_evidence_key"),
+                            *[c for c in evidence.columns if c != "url"])
+    return (links.withColumn("_key", key)
+            .join(keyed, F.col("_key") == F.col("_evidence_key"), "left")
+            .drop("_key", "_evidence_key"))
 
 
 def classify_urls(links: DataFrame, probes: DataFrame, url_col: str = "url",
                   skip_col: str | None = None, **kw) -> DataFrame:
-    """J3 + D6: adds ``status`` and ``status_code`` to every link row.
-
-    One left join on the URL whose condition also requires that the link be checked: rows with
-    an archive (``skip_col``) and archive URLs never match a probe and become ``archived``.
-    The join is sort-merge on the URL at scale (AQE splits a skewed URL partition and may
-    broadcast a probe side it measured small), and its output stays partitioned by URL for the
-    browser join that follows.
-    """
-    cond, res = _classify_exprs(url_col, skip_col, tuple(sorted(kw.items())))
-    joined = links.join(probe_struct(probes), cond, "left")
-    return (joined.withColumn("_r", res)
+    """J3 + D6: adds ``status`` and ``status_code`` to every link row; rows with an archive
+    (``skip_col``) and archive URLs never match a probe and become ``archived``."""
+    skip, outcome = link_outcome(url_col, skip_col)
+    joined = join_evidence(links, probe_results(probes, **kw), url_col, skip)
+    return (joined.withColumn("_r", outcome)
             .withColumn("status", F.col("_r.status"))
             .withColumn("status_code", F.col("_r.status_code"))
-            .drop("_r", "_probe_url", "probe"))
+            .drop("_r", "http"))
 
 
 def status_summary(results: DataFrame, keys=()) -> DataFrame:

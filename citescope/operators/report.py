@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from citescope.functions import urls
 from citescope.operators.browser import browser_detail
 from citescope.schemas import REPORT_COLUMNS
-from citescope.session import checkpoint_dir
 
 # ---- fixed values ------------------------------------------------------------------------------
 NO_ERROR = "None"                    # the string, not a NULL
@@ -96,10 +95,7 @@ def top_dead_articles(results: DataFrame, n: int = TOP_DEAD_ARTICLES) -> DataFra
     per_title = per_occ.groupBy("article_title").agg(
         F.max_by("dead_links", "article_pos").alias("dead_links"),
         F.min("article_pos").alias("first_pos"))
-    # The ranking and the totals both read this small table: materialise it once in the
-    # checkpoint folder so the audit behind it runs once (and survives executor loss).
-    checkpoint_dir(results.sparkSession)
-    per_title = per_title.checkpoint(eager=True)
+    # The ranking and the totals read the same exchange, which the planner reuses.
     n_articles = per_title.select(F.count("*")).scalar()
     n_dead = per_title.select(F.sum("dead_links").cast("bigint")).scalar()
     order = [F.desc("dead_links"), F.asc("first_pos")]
@@ -111,18 +107,22 @@ def top_dead_articles(results: DataFrame, n: int = TOP_DEAD_ARTICLES) -> DataFra
         F.greatest(n_articles - F.lit(n), F.lit(0)).cast("bigint").alias("more_articles"))
 
 
-def run_totals(results: DataFrame, articles_processed: DataFrame) -> DataFrame:
-    """E5: links considered, dead and archived (duplicates counted), articles processed."""
-    n_articles = articles_processed.select(F.count("*")).scalar()
+def run_totals(results: DataFrame, articles: DataFrame) -> DataFrame:
+    """E5: links considered, dead and archived (duplicates counted), and the articles of the
+    list, with or without HTML."""
+    n_articles = articles.select(F.count("*")).scalar()
     return (results.agg(F.count("*").alias("links_checked"),
                         F.count_if(F.col("status") == "dead").alias("dead_links"),
                         F.count_if(F.col("status") == "archived").alias("archived_links"))
             .select("*", n_articles.alias("articles_processed")))
 
 
-def links_with_archives(ref_rows: DataFrame) -> DataFrame:
-    """Per article, links (occurrences) and distinct originals that have archives."""
-    rows = ref_rows.where(F.col("original_url") != "")
-    return rows.groupBy("article_pos").agg(
-        F.count("*").alias("n_links"),
-        F.count_distinct(F.when(F.col("archive_url") != "", F.col("original_url"))).alias("n_with_archives"))
+def links_with_archives(articles: DataFrame) -> DataFrame:
+    """Per article row with its ``pairs``, links (occurrences) and distinct originals that
+    have archives."""
+    links = F.filter("pairs", lambda p: p["original_url"] != "")
+    archived = F.filter(links, lambda p: p["archive_url"] != "")
+    rows = articles.select("article_pos", F.size(links).cast("long").alias("n_links"), F.size(
+        F.array_distinct(F.transform(archived, lambda p: p["original_url"]))).cast("long")
+        .alias("n_with_archives"))
+    return rows.where("n_links > 0")

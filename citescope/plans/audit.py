@@ -2,13 +2,12 @@
 browser evidence -> report rows.
 
 Plan shape (structure mode):
-  pages cut to the listed titles (semi-join; broadcast only for a proven-bounded list)
-  -> reference tree UDF, once per page (Python, Arrow batches; the only Python step)
+  pages cut to the listed titles (semi-join; the list is broadcast while measured small)
+  -> flat markup scan, once per page (Python, Arrow batches; the only Python step)
   -> per-reference pairing (JVM higher-order functions, no shuffle)
   -> explode to one row per link occurrence; attach the article occurrences (D1)
   -> first archive per (article, original): sort + map inside the article's row (no shuffle)
-  -> probe left join on URL, matching only links without an archive (D6)
-  -> browser left join on URL, matching only dead links (D7); reuses the URL partitioning
+  -> one left join with the evidence, reduced to one narrow row per URL (D4-D7)
   -> CASE projection into the fixed report layout.
 """
 
@@ -25,11 +24,10 @@ from citescope.functions.text import clean_title
 from citescope.operators import browser as B
 from citescope.operators import extraction as X
 from citescope.operators import pairing as P
-from citescope.operators import probes as J
 from citescope.operators import report as R
 from citescope.operators.staging import stage
 from citescope.session import checkpoint_dir
-from citescope.sources.pages import articles_with_html, min_content
+from citescope.sources.pages import listed_pages
 
 MODES = ("structure", "references", "all")
 
@@ -40,7 +38,7 @@ class AuditResult:
     results: DataFrame       # link results (J3): one row per checked link occurrence
     validated: DataFrame     # browser re-check of dead links (J6)
     links: DataFrame         # exploded links with first archive
-    articles: DataFrame      # articles that had HTML (processed)
+    articles: DataFrame      # the article list (E5 counts it, with or without HTML)
 
 
 def reference_rows(pages: DataFrame, keys=("article_pos", "title")) -> DataFrame:
@@ -120,46 +118,26 @@ def _occurrences_flat(pages: DataFrame, mode: str, keys=("article_pos", "title")
 
 def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
           mode: str = "structure", stamp: str = "19700101_000000",
-          articles_bound: int | None = None, materialize: bool = False) -> AuditResult:
+          materialize: bool = False) -> AuditResult:
     """K2. ``articles(article_pos, title)`` may repeat titles (each occurrence is audited);
-    ``pages(title, html)``; ``probes`` per ``schemas.PROBE_SCHEMA``; ``browser_obs`` per
-    ``schemas.BROWSER_SCHEMA`` or None to skip the browser step. ``materialize``: see
-    ``audit_pages``."""
+    ``pages(title, html[, ingest_pos])``, of which the last of a title counts; ``probes`` per
+    ``schemas.PROBE_SCHEMA``; ``browser_obs`` per ``schemas.BROWSER_SCHEMA`` or None to skip the
+    browser step. ``materialize``: see ``audit_pages``."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    processed = articles_with_html(articles, pages, articles_bound=articles_bound)
     # Each listed page is parsed once, however often its title repeats in the list: pages are
-    # cut to the listed titles (semi-join), audited per title, and the article occurrences
-    # are attached to the small link rows afterwards (D1 after the parse). Copies of a title
-    # then cost one parse, and the HTML is never duplicated.
-    titles = articles.select("title").distinct()
-    listed = min_content(pages).select("title", "html").join(
-        F.broadcast(titles) if articles_bound is not None else titles, "title", "left_semi")
-    occ = _occurrences(listed, mode, keys=("title",))
-    arts = articles.select("article_pos", "title")
-    occ = occ.join(F.broadcast(arts) if articles_bound is not None else arts, "title")
-    return _finish(occ, probes, browser_obs, mode, stamp, processed, materialize=materialize)
-
-
-# Largest URL set broadcast to cut the evidence for one micro-batch (~100 bytes per URL).
-MAX_BROADCAST_URLS = 1_000_000
-
-
-def prune_evidence(evidence: DataFrame, urls_df: DataFrame) -> DataFrame:
-    """Evidence rows for the given URLs only: a broadcast left-semi join, i.e. one scan of the
-    evidence table and no shuffle of it. ``urls_df`` must have a checked size."""
-    return evidence.join(F.broadcast(urls_df), "url", "left_semi")
+    # cut to the listed titles, audited per title, and the article occurrences are attached to
+    # the small link rows afterwards (D1 after the parse).
+    occ = _occurrences(listed_pages(articles, pages), mode, keys=("title",))
+    occ = occ.join(articles.select("article_pos", "title"), "title")
+    return _finish(occ, probes, browser_obs, mode, stamp, articles, materialize=materialize)
 
 
 def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
                 mode: str = "structure", stamp: str = "19700101_000000",
-                bounded_batch: bool = False, materialize: bool = False) -> AuditResult:
+                materialize: bool = False) -> AuditResult:
     """K2 from article occurrences that already carry their HTML: ``(article_pos, title, html)``.
 
-    ``bounded_batch`` (a streaming micro-batch): the link rows are persisted once and the
-    large static evidence tables are cut to the batch's URLs by a broadcast semi-join, so a
-    micro-batch never shuffles the evidence tables. The caller unpersists ``result.links``.
-
     ``materialize`` (several outputs from one run: report, totals, summaries): the classified
     link rows are checkpointed once to ``spark.checkpoint.dir`` (reliable storage, survives
     executor loss), so the HTML is parsed once and every output reads the checkpoint.
@@ -167,8 +145,7 @@ def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     occ = _occurrences(processed, mode)
-    return _finish(occ, probes, browser_obs, mode, stamp, processed, bounded_batch=bounded_batch,
-                   materialize=materialize)
+    return _finish(occ, probes, browser_obs, mode, stamp, processed, materialize=materialize)
 
 
 def _occurrences(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
@@ -178,24 +155,12 @@ def _occurrences(pages: DataFrame, mode: str, keys=("article_pos", "title")) ->
 
 
 def _finish(occ: DataFrame, probes: DataFrame, browser_obs: DataFrame | None, mode: str, stamp: str,
-            processed: DataFrame, bounded_batch: bool = False, materialize: bool = False) -> AuditResult:
-    """Classification (probe and browser joins) and the report, from the link occurrences."""
+            articles: DataFrame, materialize: bool = False) -> AuditResult:
+    """Classification (one evidence join) and the report, from the link occurrences."""
     occ = (occ.withColumn("article_title", clean_title(F.col("title")))
            .withColumn("_has_archive", F.coalesce(F.col("first_archive"), F.lit("")) != ""))
-    if bounded_batch:
-        occ = occ.persist()
-        batch_urls = occ.select(F.col("original_url").alias("url")).distinct()
-        # Size check before broadcasting (the link rows are persisted, so this is cheap);
-        # beyond the limit the evidence joins stay sort-merge joins.
-        if batch_urls.count() <= MAX_BROADCAST_URLS:
-            probes = prune_evidence(probes, batch_urls)
-            if browser_obs is not None:
-                browser_obs = prune_evidence(browser_obs, batch_urls)
-    classified = J.classify_urls(occ, probes, url_col="original_url", skip_col="_has_archive")
-    if browser_obs is not None:
-        checked = B.with_browser(classified, browser_obs, url_col="original_url")
-    else:
-        checked = classified.withColumn("browser", F.lit(None).cast(B.BROWSER_RESULT_TYPE))
+    checked = B.classify_links(occ, probes, browser_obs, url_col="original_url",
+                               skip_col="_has_archive")
     if materialize:
         checkpoint_dir(checked.sparkSession)
         checked = checked.checkpoint(eager=True)
@@ -204,23 +169,22 @@ def _finish(occ: DataFrame, probes: DataFrame, browser_obs: DataFrame | None, mo
     validated = results.where(F.col("status") == "dead")
     report = R.report_rows(checked, stamp)
     return AuditResult(report=report, results=results, validated=validated, links=occ,
-                       articles=processed)
+                       articles=articles)
 
 
 def run_audit(pageviews: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
               limit: int = 25, ranking: str = "all_time", day=None, mode: str = "structure",
               stamp: str = "19700101_000000") -> AuditResult:
     """K2 from page-view facts: choose the articles (E1 long-run ranking, or A1 one day's top
-    list), then audit them. The article list has at most ``limit`` rows, which is the proven
-    bound that lets D1 broadcast it instead of shuffling the HTML."""
+    list), then audit them. The long-run ranking is over the ten sample days."""
     from citescope.operators import popularity as POP
 
     if ranking == "all_time":
-        top = POP.popular_scored(pageviews, limit=limit).select(
+        top = POP.popular_scored(pageviews, limit=limit, all_days=False).select(
             F.col("top_pos").cast("long").alias("article_pos"), "title")
     elif ranking == "daily":
         top = POP.daily_top(pageviews, day, limit=limit).select(
             F.col("top_pos").cast("long").alias("article_pos"), F.col("article").alias("title"))
     else:
         raise ValueError("ranking must be 'all_time' or 'daily'")
-    return audit(top, pages, probes, browser_obs, mode=mode, stamp=stamp, articles_bound=int(limit) if limit > 0 else None)
+    return audit(top, pages, probes, browser_obs, mode=mode, stamp=stamp)

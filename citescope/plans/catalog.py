@@ -22,6 +22,7 @@ from citescope.operators import popular_links as PL
 from citescope.operators import popularity as POP
 from citescope.operators import probes as J
 from citescope.operators import report as R
+from citescope.operators.staging import stage
 from citescope.plans import audit as A
 from citescope.plans import oracle as O
 from citescope.sources import pages as PG
@@ -47,7 +48,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _raw_pages(spark, sf_dir) -> DataFrame:
-    """Driver pages for per-document parsing (with the source's parallelism floor)."""
+    """Driver pages for per-document parsing."""
     return PG.read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
@@ -101,6 +102,33 @@ def popular_scored(spark, sf_dir):
     return POP.popular_scored(_pageviews(spark, sf_dir), limit=25)
 
 
+_DAYS_LIST = ", ".join(f"DATE '{d.isoformat()}'" for d in POP.SAMPLE_DAYS)
+
+
+@query("popular_scored_sampled", _with("fx_pageviews") + f""",
+pv AS (SELECT list_extract([{_DAYS_LIST}], 1 + datediff('day', DATE '1970-01-01', view_day) % 10) AS view_day,
+              article, views, rank, datediff('day', DATE '1970-01-01', view_day) % 10 AS day_order FROM fx_pageviews),
+r AS (SELECT article, views, rank, day_order, CAST(views AS DOUBLE) / sqrt(CAST(rank AS DOUBLE)) AS score
+      FROM pv WHERE NOT (starts_with(article, 'Special:') OR article = 'Main_Page') AND rank > 0),
+g AS (SELECT article, sum(score) AS total_score, count(*) AS appearances,
+             CAST(sum(views) AS BIGINT) AS total_views, min(day_order * 100000000 + rank) AS first_seen
+      FROM r GROUP BY article),
+s AS (SELECT article, total_score * (1.0::DOUBLE + appearances * 0.1::DOUBLE) AS score,
+             appearances, total_views, first_seen FROM g)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, first_seen) AS INTEGER) AS top_pos,
+       article AS title, round(score, 6) AS score, CAST(appearances AS BIGINT) AS appearances, total_views
+FROM s ORDER BY score DESC, first_seen LIMIT 25""")
+def popular_scored_sampled(spark, sf_dir):
+    """E1 + A2 as a run ranks by default: over the ten sample days. The driver's days are dealt
+    onto them; a day outside them must not count."""
+    days = F.array(*[F.lit(d) for d in POP.SAMPLE_DAYS])
+    pv = _pageviews(spark, sf_dir)
+    dealt = pv.withColumn("view_day", F.element_at(
+        days, (F.datediff("view_day", F.lit("1970-01-01")) % 10 + 1).cast("int")))
+    other = pv.withColumn("view_day", F.lit("1999-01-01").cast("date"))
+    return POP.popular_scored(dealt.unionByName(other), limit=25, all_days=False)
+
+
 @query("daily_top", _with("fx_pageviews") + """
 SELECT view_day, CAST(row_number() OVER (PARTITION BY view_day ORDER BY rank, article) AS INTEGER) AS top_pos,
        article, views
@@ -193,17 +221,32 @@ def link_text_filter(spark, sf_dir):
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS article_pos, title
 FROM c WHERE length(display_text) > 1""")
 def saved_list_round_trip(spark, sf_dir):
-    """A6 + A3 + C6: every page's extracted links saved as a JSON array file (one folder per
-    page, written from the page's own row) and read back by the saved-list reader."""
+    """A6 + A3 + C6: every page's extracted links saved as a JSON array, one list a line, and
+    read back by the saved-list reader."""
     from citescope.session import scratch_path
     from citescope.sources import article_lists as AL
 
     path = scratch_path(spark, "saved-lists")
-    PL.article_links_json(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX) \
-        .write.partitionBy("page_id").text(path)
-    lists = AL.read_article_list(spark, path)
-    return lists.select(F.regexp_extract("source", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
-                        "article_pos", "title")
+    lists = PL.article_links_json(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX)
+    AL.write_lists(lists.withColumnRenamed("json", "value"), path, key="page_id")
+    return AL.read_lists(spark, path, key="page_id", key_type="long").select(
+        "page_id", "article_pos", "title")
+
+
+@query("popular_records", f"""WITH {_DUCK_MATCHES}
+SELECT CAST(row_number() OVER (ORDER BY page_id, pos) - 1 AS BIGINT) AS article_pos, title
+FROM c WHERE length(display_text) > 1 QUALIFY article_pos < 500""")
+def popular_records(spark, sf_dir):
+    """A6 + G3 + A3: the first 500 extracted links written as one saved list (the list of one
+    run) and read back by the saved-list reader."""
+    from citescope.session import scratch_path
+    from citescope.sources import article_lists as AL
+
+    path = scratch_path(spark, "popular-records")
+    links = PL.article_links_df(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX)
+    top = links.orderBy("page_id", "link_pos").limit(500)
+    AL.write_popular_records(top, path, order=["page_id", "link_pos"])
+    return AL.read_article_list(spark, path).select("article_pos", "title")
 
 
 # ================================ pages (A4, A5, B3, D1, B7, E9) =============================
@@ -230,9 +273,8 @@ FROM (SELECT article_pos, title FROM fx_refs) a JOIN fx_html h ON a.title = h.ti
 def articles_with_html(spark, sf_dir):
     """D1 + B7: every article occurrence (one per reference row, titles repeat) with its HTML."""
     arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title")
-    pages = _t(spark, sf_dir, "fx_html").select("title", "html")
-    return PG.articles_with_html(arts, pages).select(
-        "article_pos", "title", F.length("html").alias("html_chars"))
+    pages = _t(spark, sf_dir, "fx_html").select("title", "html", "ingest_pos")
+    return PG.articles_with_html_chars(arts, pages).select("article_pos", "title", "html_chars")
 
 
 @query("article_counts", _with("fx_refs", extra=[DUCK_FX_HTML]) + """
@@ -243,7 +285,8 @@ FROM fx_refs a""")
 def article_counts(spark, sf_dir):
     """E9."""
     arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title")
-    processed = PG.articles_with_html(arts, _t(spark, sf_dir, "fx_html").select("title", "html"))
+    processed = PG.articles_with_html_chars(
+        arts, _t(spark, sf_dir, "fx_html").select("title", "html", "ingest_pos"))
     return PG.article_counts(arts, processed)
 
 
@@ -290,7 +333,9 @@ _url_query("archive_valid_match", lambda o, a: [U.valid_archive_match(o, a).alia
 # ================================ reference extraction (C2-C5, P1, H1, H2, E8) ===============
 
 def _html(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "fx_html")
+    """A5: the last copy of every article page."""
+    key = ("html", id(spark), spark.sparkContext.applicationId, sf_dir)
+    return _memo(key, lambda: PG.unique_pages(_t(spark, sf_dir, "fx_html")))
 
 
 @query("reference_rows", _with("fx_refs") + """
@@ -426,7 +471,8 @@ SELECT article_pos, CAST(count(*) AS BIGINT) AS n_links,
 FROM fx_refs GROUP BY article_pos""")
 def links_with_archives(spark, sf_dir):
     """E7."""
-    return R.links_with_archives(A.reference_rows(_html(spark, sf_dir)))
+    refs = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"), external_only=True)
+    return R.links_with_archives(stage(refs, "article_pos", pairs=P.pair_references(F.col("refs"))))
 
 
 # ================================ HTTP evidence (J1, J2, J3, D6, E3) =========================
@@ -435,12 +481,12 @@ _J1_STATUS, _J1_CODE = O.http_status_case("p.url", "p")
 
 
 @query("probe_status", _with("fx_probe") + f"""
-SELECT p.url, {_J1_STATUS} AS status, {_J1_CODE} AS status_code FROM fx_probe p""")
+SELECT p.url, p.observed_at, {_J1_STATUS} AS status, {_J1_CODE} AS status_code FROM fx_probe p""")
 def probe_status(spark, sf_dir):
     """J1 over every recorded probe."""
     p = _t(spark, sf_dir, "fx_probe")
     r = J.http_status(F.col("url"), F.struct(*[F.col(c) for c in p.columns]))
-    return p.select("url", r["status"].alias("status"), r["status_code"].alias("status_code"))
+    return p.select("url", "observed_at", r["status"].alias("status"), r["status_code"].alias("status_code"))
 
 
 @query("bot_blocked", _with("fx_probe") + f"""
@@ -463,7 +509,7 @@ chk AS (
               ELSE {_U_CODE} END AS status_code
   FROM fx_refs r
   LEFT JOIN fa ON fa.article_pos = r.article_pos AND fa.original_url = r.original_url
-  LEFT JOIN fx_probe p ON p.url = r.original_url)"""
+  LEFT JOIN fx_probe_last p ON p.url = r.original_url)"""
 
 
 _BUILT: dict = {}
@@ -492,7 +538,8 @@ def _build_audit(spark, sf_dir, browser: bool, full: bool) -> A.AuditResult:
     obs = _t(spark, sf_dir, "fx_browser") if browser else None
     if full:
         arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title").distinct()
-        return A.audit(arts, _html(spark, sf_dir).select("title", "html"), probes, obs, stamp=RUN_STAMP)
+        pages = _t(spark, sf_dir, "fx_html").select("title", "html", "ingest_pos")
+        return A.audit(arts, pages, probes, obs, stamp=RUN_STAMP)
     pages = PG.min_content(_html(spark, sf_dir)).select("article_pos", "title", "html")
     return A.audit_pages(pages, probes, obs, stamp=RUN_STAMP)
 
@@ -559,7 +606,7 @@ _BD = O.browser_case("c.original_url", "b", in_status="c.status", in_code="c.sta
 _DUCK_VALIDATED = f"""val AS (
   SELECT c.article_pos, c.ref_pos, c.original_url, c.status_code AS http_code,
          {_BD['status']} AS browser_status, {_BD['detail']} AS browser_detail
-  FROM chk c LEFT JOIN fx_browser b ON b.url = c.original_url WHERE c.status = 'dead')"""
+  FROM chk c LEFT JOIN fx_browser_last b ON b.url = c.original_url WHERE c.status = 'dead')"""
 
 
 @query("validated_dead", _with("fx_probe", "fx_browser", extra=[_DUCK_CHECKED, _DUCK_VALIDATED]) + """
@@ -656,14 +703,14 @@ def report_top_dead(spark, sf_dir):
     return R.top_dead_articles(res)
 
 
-@query("run_totals", _with("fx_probe", extra=[_DUCK_CHECKED, DUCK_FX_HTML]) + """
+@query("run_totals", _with("fx_probe", extra=[_DUCK_CHECKED]) + """
 SELECT CAST(count(*) AS BIGINT) AS links_checked,
        CAST(count(*) FILTER (WHERE status = 'dead') AS BIGINT) AS dead_links,
        CAST(count(*) FILTER (WHERE status = 'archived') AS BIGINT) AS archived_links,
-       CAST((SELECT count(*) FROM fx_html WHERE length(html) > 100) AS BIGINT) AS articles_processed
+       CAST((SELECT count(DISTINCT article_pos) FROM fx_refs) AS BIGINT) AS articles_processed
 FROM chk""")
 def run_totals(spark, sf_dir):
-    """E5."""
+    """E5: the articles are those of the list, with or without HTML."""
     res = _audit(spark, sf_dir)
     return R.run_totals(res.results, res.articles)
 
@@ -675,7 +722,7 @@ _DUCK_FLAT = _DUCK_D2 + [f"""fo AS (
          (SELECT arg_min(m.archive_url, a2.pos) FROM m JOIN a a2 ON a2.article_pos = m.article_pos
             AND a2.url = m.archive_url WHERE m.article_pos = o.article_pos AND m.original_url = o.url) AS first_archive,
          {_F_STATUS} AS probe_status, {_F_CODE} AS probe_code
-  FROM o LEFT JOIN fx_probe p ON p.url = o.url),
+  FROM o LEFT JOIN fx_probe_last p ON p.url = o.url),
 fchk AS (
   SELECT f.article_pos, t.title, f.link_pos, f.original_url, f.first_archive,
          f.first_archive IS NOT NULL AS has_archive,
@@ -685,7 +732,7 @@ fchk AS (
     f"""fval AS (
   SELECT c.article_pos, c.link_pos, {_BD['status']} AS browser_status,
          {_BD['detail']} AS browser_detail
-  FROM fchk c LEFT JOIN fx_browser b ON b.url = c.original_url WHERE c.status = 'dead' AND NOT c.has_archive)""",
+  FROM fchk c LEFT JOIN fx_browser_last b ON b.url = c.original_url WHERE c.status = 'dead' AND NOT c.has_archive)""",
     f"""frep AS (
   SELECT {O.clean_title('c.title')} AS article_title, c.original_url, c.first_archive AS archive_url,
          c.has_archive,
@@ -744,12 +791,12 @@ def flat_run_totals(spark, sf_dir):
 
 @query("incremental_audit", _REPORT_HEAD + "SELECT * FROM rep")
 def incremental_audit(spark, sf_dir):
-    """The structure-mode audit as a file stream of pages (4 micro-batches, availableNow);
-    must equal the batch report."""
+    """The structure-mode audit as a file stream of pages (availableNow); must equal the
+    batch report."""
     from citescope.streaming.incremental import incremental_audit_from
     pages = _html(spark, sf_dir).select("article_pos", "title", "html")
     out = incremental_audit_from(spark, pages, _t(spark, sf_dir, "fx_probe"), _t(spark, sf_dir, "fx_browser"),
-                                 files=4, stamp=RUN_STAMP)
+                                 stamp=RUN_STAMP)
     return out.drop("batch_id")
 
 
@@ -773,10 +820,15 @@ def clean_title(spark, sf_dir):
 @query("duration_text", f"""
 SELECT event_id, {O.format_duration('value')} AS as_seconds, {O.format_duration('value * 60')} AS as_minutes,
        {O.format_duration('value * 3600')} AS as_hours
-FROM events WHERE value >= 0""")
+FROM events
+UNION ALL
+SELECT -event_id - 1, {O.format_duration('-value')}, {O.format_duration('-value * 60')},
+       {O.format_duration('-value * 3600')} FROM events""")
 def duration_text(spark, sf_dir):
-    """I7 on event values read as seconds, minutes and hours (exact '%.1f' rounding)."""
-    ev = _t(spark, sf_dir, "events").where(F.col("value") >= 0)
+    """I7 on all event values and their negatives read as seconds, minutes and hours (exact
+    '%.1f' rounding)."""
+    ev = _t(spark, sf_dir, "events").select("event_id", "value")
+    ev = ev.union(ev.select(-F.col("event_id") - 1, -F.col("value")))
     return ev.select("event_id", TX.format_duration(F.col("value")).alias("as_seconds"),
                      TX.format_duration(F.col("value") * 60).alias("as_minutes"),
                      TX.format_duration(F.col("value") * 3600).alias("as_hours"))

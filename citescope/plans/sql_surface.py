@@ -7,11 +7,13 @@
     cs_same_domain(a, b), cs_basic_normalize(u), cs_url_path(u), cs_url_equivalent(a, b),
     cs_archive_original(u), cs_valid_archive_match(o, a), cs_clean_title(t),
     cs_clean_link_text(t), cs_percent_decode(h), cs_format_duration(seconds)
-  table (Python UDTFs over the standard-library HTML tree, one row per link)
-    reference_links(html)  -> ref_pos, ref_kind, link_pos, href, elem_key, parent_key,
-                              grandparent_key, next_href, prev_href
-    page_links(html)       -> link_pos, href, in_ref, in_section, classes, id
-  per-page arrays (Arrow UDFs): cs_reference_tree(html), cs_anchor_tree(html)
+  per-page scan (Arrow UDF): cs_scan(html) -> the flat facts of ``schemas.MARKUP``
+
+``register_pages(spark, pages, key)`` makes temporary views over a page table:
+
+    reference_links  key, ref_pos, ref_kind, link_pos, href, elem_key, parent_key,
+                     grandparent_key, next_href, prev_href
+    page_links       key, link_pos, href, in_ref, in_section, classes, id
 
 Archive pairing and flat-mode matching are higher-order expressions over those arrays and are
 used through the DataFrame API (``citescope.operators.pairing``); lambda expressions do not
@@ -19,26 +21,19 @@ round-trip into SQL function bodies.
 
 Example::
 
-    SELECT p.title, l.* FROM pages p, LATERAL reference_links(p.html) l
+    SELECT title, count(*) FROM reference_links GROUP BY title
 """
 
 from __future__ import annotations
 
-import citescope
-from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from citescope.functions import html_tree
 from citescope.functions import text as TX
 from citescope.functions import urls as U
 from citescope.operators import extraction as X
 
 
-cloudpickle.register_pickle_by_value(citescope)
-
-
 def _sql_text(spark: SparkSession, expr: Column, params: dict[str, str]) -> str:
     """SQL text of ``expr`` over typed parameters (via the analyzed plan)."""
     schema = ", ".join(f"{n} {t}" for n, t in params.items())
@@ -53,28 +48,6 @@ def _fn(spark, name, params: dict[str, str], returns: str, expr: Column) -> None
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
 
 
-@udtf(returnType="ref_pos int, ref_kind string, link_pos int, href string, elem_key bigint, "
-                 "parent_key bigint, grandparent_key bigint, next_href string, prev_href string")
-class ReferenceLinks:
-    """C2 as a table function: one row per link of every reference element."""
-
-    def eval(self, html: str):
-        for ref in html_tree.extract_references(html):
-            for link in ref["links"]:
-                yield (ref["ref_pos"], ref["ref_kind"], link["link_pos"], link["href"], link["elem_key"],
-                       link["parent_key"], link["grandparent_key"], link["next_href"], link["prev_href"])
-
-
-@udtf(returnType="link_pos int, href string, in_ref boolean, in_section boolean, "
-                 "classes array<string>, id string")
-class PageLinks:
-    """C4 input as a table function: every anchor with an href and its context flags."""
-
-    def eval(self, html: str):
-        for a in html_tree.extract_anchors(html):
-            yield a["link_pos"], a["href"], a["in_ref"], a["in_section"], a["classes"], a["id"]
-
-
 def register_sql(spark: SparkSession) -> None:
     u, a, b = F.col("u"), F.col("a"), F.col("b")
     s1 = {"u": "string"}
@@ -93,8 +66,17 @@ def register_sql(spark: SparkSession) -> None:
     _fn(spark, "cs_clean_link_text", s1, "string", TX.clean_link_text(u))
     _fn(spark, "cs_percent_decode", s1, "string", TX.percent_decode(u))
     _fn(spark, "cs_format_duration", {"s": "double"}, "string", TX.format_duration(F.col("s")))
-    spark.udtf.register("reference_links", ReferenceLinks)
-    spark.udtf.register("page_links", PageLinks)
-    # Per-page arrays (one row per page, Arrow-batched), the inputs of the DataFrame operators.
-    spark.udf.register("cs_reference_tree", X._udf("reference_tree"))
-    spark.udf.register("cs_anchor_tree", X._udf("anchor_tree"))
+    spark.udf.register("cs_scan", X.scan_udf())
+
+
+def register_pages(spark: SparkSession, pages: DataFrame, key: str = "title",
+                   html: str = "html") -> None:
+    """Temporary views ``reference_links`` (C2) and ``page_links`` (C4 input) over ``pages``."""
+    own = pages.select(key, F.col(html).alias("html"))
+    (X.with_reference_tree(own).select(key, F.explode("refs").alias("r"))
+     .select(key, "r.ref_pos", "r.ref_kind", F.explode("r.links").alias("l"))
+     .select(key, "ref_pos", "ref_kind", "l.link_pos", "l.href", "l.elem_key", "l.parent_key",
+             "l.grandparent_key", "l.next_href", "l.prev_href")
+     .createOrReplaceTempView("reference_links"))
+    (X.with_anchor_tree(own, markup_guard=True).select(key, F.inline("anchors"))
+     .createOrReplaceTempView("page_links"))

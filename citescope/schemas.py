@@ -44,7 +44,7 @@ POPULAR_RECORD_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
 ])
 
-# Recorded HTTP evidence, one row per URL (replaces live HEAD/GET requests).
+# Recorded HTTP evidence (replaces live HEAD/GET requests); the last row of a URL counts.
 PROBE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("dns_ok", T.BooleanType()),
@@ -54,9 +54,10 @@ PROBE_SCHEMA = T.StructType([
     T.StructField("get_status", T.IntegerType()),
     T.StructField("get_headers", T.StringType()),
     T.StructField("get_failed", T.BooleanType()),
+    T.StructField("observed_at", T.LongType()),
 ])
 
-# Recorded browser evidence, one row per URL (replaces browser automation).
+# Recorded browser evidence (replaces browser automation); the last row of a URL counts.
 BROWSER_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("failure_kind", T.StringType()),
@@ -64,34 +65,31 @@ BROWSER_SCHEMA = T.StructType([
     T.StructField("final_url", T.StringType()),
     T.StructField("page_title", T.StringType()),
     T.StructField("page_source", T.StringType()),
+    T.StructField("observed_at", T.LongType()),
 ])
 
-# Link as emitted by the reference-tree parser (one per <a href> inside a reference).
-TREE_LINK = T.StructType([
-    T.StructField("link_pos", T.IntegerType()),
-    T.StructField("href", T.StringType()),
-    T.StructField("elem_key", T.LongType()),
-    T.StructField("parent_key", T.LongType()),
-    T.StructField("grandparent_key", T.LongType()),
-    T.StructField("near_keys", T.ArrayType(T.LongType())),
-    T.StructField("next_href", T.StringType()),
-    T.StructField("next_key", T.LongType()),
-    T.StructField("prev_href", T.StringType()),
-    T.StructField("prev_key", T.LongType()),
-])
-
-TREE_REFERENCE = T.StructType([
-    T.StructField("ref_pos", T.IntegerType()),
-    T.StructField("ref_kind", T.StringType()),
-    T.StructField("links", T.ArrayType(TREE_LINK)),
-    T.StructField("reference_html", T.StringType()),
-])
-
-PAGE_ANCHOR = T.StructType([
-    T.StructField("link_pos", T.IntegerType()),
-    T.StructField("href", T.StringType()),
-    T.StructField("in_ref", T.BooleanType()),
-    T.StructField("in_section", T.BooleanType()),
-    T.StructField("classes", T.ArrayType(T.StringType())),
-    T.StructField("id", T.StringType()),
+# Flat facts of one page's markup. Elements are numbered in document order from 0, the document.
+MARKUP = T.StructType([
+    T.StructField("parent", T.ArrayType(T.IntegerType())),      # -1: none
+    T.StructField("last", T.ArrayType(T.IntegerType())),        # last descendant, or itself
+    T.StructField("previous", T.ArrayType(T.IntegerType())),    # sibling before, -1: none
+    T.StructField("seen", T.ArrayType(T.IntegerType())),        # links up to the element
+    T.StructField("key", T.ArrayType(T.LongType())),            # digest of the markup
+    T.StructField("links", T.ArrayType(T.StructType([
+        T.StructField("at", T.IntegerType()),
+        T.StructField("href", T.StringType()),
+        T.StructField("classes", T.ArrayType(T.StringType())),
+        T.StructField("id", T.StringType()),
+        T.StructField("in_ref", T.BooleanType()),
+    ]))),
+    T.StructField("refs", T.ArrayType(T.StructType([
+        T.StructField("at", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+    ]))),
+    T.StructField("headings", T.ArrayType(T.StructType([
+        T.StructField("at", T.IntegerType()),
+        T.StructField("text", T.StringType()),
+    ]))),
 ])

@@ -2,43 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citescope.schemas import POPULAR_RECORD_SCHEMA
 
 
+def _titles(array: Column, limit: int = 0) -> Column:
+    """The titles of a JSON array (a variant): objects with ``title`` or bare strings, in
+    order; other elements and null titles are ignored. All within the row."""
+    items = F.transform(F.try_variant_get(array, "$", "array<variant>"), lambda item: F.when(
+        F.schema_of_variant(item).startswith("OBJECT"), F.try_variant_get(item, "$.title", "string"))
+        .when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string")))
+    titles = F.filter(items, lambda t: t.isNotNull())
+    return F.slice(titles, 1, limit) if limit > 0 else titles
+
+
+def _exploded(lists: DataFrame, key: str, limit: int) -> DataFrame:
+    arrays = lists.where(F.schema_of_variant("v").startswith("ARRAY"))
+    return (arrays.select(key, F.posexplode(_titles(F.col("v"), limit)).alias("pos", "title"))
+            .select(key, F.col("pos").cast("long").alias("article_pos"), "title"))
+
+
 def read_article_list(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """A3 + C6: ``(article_pos, title)`` from JSON files whose top level is an array of
+    """A3 + C6: ``(source, article_pos, title)`` from JSON files whose top level is an array of
     objects with ``title`` or of bare strings (other elements ignored; no filter, no dedup).
 
-    A file whose top level is not an array, or that does not parse, gives no rows. A
-    ``null`` title is dropped. ``limit > 0`` keeps the first ``limit`` entries per file.
+    A file whose top level is not an array, or that does not parse, gives no rows. A ``null``
+    title is dropped. ``limit > 0`` keeps the first ``limit`` entries per file. A saved list is
+    the list of one run; many or long lists are kept as lines (``write_lists``).
     """
-    raw = (spark.read.option("wholetext", True).text(path)
+    raw = (spark.read.text(path, wholetext=True)
            .select(F.input_file_name().alias("source"), F.try_parse_json("value").alias("v")))
-    arrays = raw.where(F.schema_of_variant("v").startswith("ARRAY"))
-    items = arrays.select("source", F.posexplode(F.try_variant_get("v", "$", "array<variant>"))
-                          .alias("pos", "item"))
-    title = F.coalesce(F.try_variant_get("item", "$.title", "string"),
-                       F.when(F.schema_of_variant("item") == "STRING",
-                              F.try_variant_get("item", "$", "string")))
-    out = (items.where(F.schema_of_variant("item").startswith("OBJECT")
-                       | (F.schema_of_variant("item") == "STRING"))
-           .select("source", F.col("pos").cast("int").alias("item_pos"), title.alias("title"))
-           .where(F.col("title").isNotNull()))
-    # A list file is one row already (whole-text read), so numbering within it adds no skew.
-    out = out.withColumn("article_pos", (F.row_number().over(
-        Window.partitionBy("source").orderBy("item_pos")) - 1).cast("long"))
-    if limit > 0:
-        out = out.where(F.col("article_pos") < limit)
-    return out.select("source", "article_pos", "title")
-
-
-def write_popular_records(records: DataFrame, path: str) -> None:
-    """JSON Lines (UTF-8, non-ASCII kept) of ``title, display_text, url``."""
-    records.select(*[f.name for f in POPULAR_RECORD_SCHEMA.fields]).write.mode("errorifexists").json(path)
+    return _exploded(raw, "source", limit)
+
+
+def write_lists(lists: DataFrame, path: str, key: str) -> None:
+    """Many saved lists, one a line: ``lists`` has ``key`` and ``value``, the JSON array."""
+    (lists.select(F.to_json(F.struct(F.col(key).alias("key"), F.col("value").alias("list"))))
+     .write.mode("errorifexists").text(path))
+
+
+def read_lists(spark: SparkSession, path: str, key: str, key_type: str = "string",
+               limit: int = 0) -> DataFrame:
+    """``(key, article_pos, title)`` of lists written by ``write_lists``."""
+    lines = spark.read.schema("key string, list string").json(path)
+    return _exploded(lines.select(F.col("key").cast(key_type).alias(key),
+                                  F.try_parse_json("list").alias("v")), key, limit)
+
+
+def write_popular_records(records: DataFrame, path: str, order=()) -> None:
+    """One JSON array (UTF-8, non-ASCII kept) of ``title, display_text, url``, as
+    ``read_article_list`` reads it. ``records`` are the list of one run, which its limit bounds;
+    ``order`` sorts them."""
+    fields = [f.name for f in POPULAR_RECORD_SCHEMA.fields]
+    items = F.sort_array(F.collect_list(F.struct(*order, F.to_json(F.struct(*fields)).alias("_json"))))
+    array = F.array_join(F.transform(items, lambda x: x["_json"]), ",\n ")
+    (records.agg(F.concat(F.lit("["), array, F.lit("]")).alias("value"))
+     .coalesce(1).write.mode("errorifexists").text(path))
 
 
 def read_popular_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POPULAR_RECORD_SCHEMA).json(path)
+    return spark.read.schema(POPULAR_RECORD_SCHEMA).option("multiLine", True).json(path)

@@ -2,13 +2,14 @@
 
 The evidence is large, keyed by URL and reused by every audit run. Stored bucketed (and
 sorted) by URL with as many buckets as the shuffle partitions of the audit, the URL-keyed
-evidence joins read it bucket by bucket: only the freshly extracted link rows are exchanged,
-never the evidence.
+reduction to one narrow row per URL reads it bucket by bucket: headers and page sources are
+never exchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citescope.schemas import BROWSER_SCHEMA, PROBE_SCHEMA
 
@@ -21,5 +22,7 @@ def save_evidence(df: DataFrame, table: str, buckets: int, key: str = "url") ->
 def load_evidence(spark: SparkSession, name: str, kind: str = "probes") -> DataFrame:
     """A catalog table (bucketed) or a Parquet path, projected to the evidence schema."""
     schema = PROBE_SCHEMA if kind == "probes" else BROWSER_SCHEMA
-    df = spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(name)
-    return df.select(*[f.name for f in schema.fields])
+    is_path = "/" in name or name.endswith(".parquet")
+    df = spark.read.parquet(name) if is_path else spark.table(name)
+    return df.select(*[F.col(f.name) if f.name in df.columns
+                       else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])

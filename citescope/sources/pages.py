@@ -5,28 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citescope.operators.joins import broadcast_checked
+
 MIN_CONTENT_CHARS = 100   # fixed value: HTML is kept only when longer than this
 
 
 def read_html_files(spark, path: str, title_from: str = "file") -> DataFrame:
     """A4: one page per file (``title`` = file name without extension), read whole."""
-    df = spark.read.option("wholetext", True).text(path).withColumn("_path", F.input_file_name())
+    df = spark.read.text(path, wholetext=True).withColumn("_path", F.input_file_name())
     return df.select(F.regexp_extract("_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"),
                      F.col("value").alias("html"))
 
 
 def read_pages(spark, path: str) -> DataFrame:
-    """Parquet pages with a parallelism floor for the per-document work that follows.
-
-    A few large row groups give fewer scan splits than task slots, and the HTML parse is
-    CPU-bound per document; such a scan is spread round-robin over the slots. A large input
-    already has at least that many splits and is not shuffled.
-    """
-    df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:   # plain scan: planning only, no job
-        df = df.repartition(slots)
-    return df
+    """Parquet pages. The scan's splits set the parallelism of the per-document work that
+    follows: ``spark.sql.files.maxPartitionBytes`` against the row groups of the files."""
+    return spark.read.parquet(path)
 
 
 def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
@@ -40,32 +34,46 @@ def min_content(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.where(F.col(html).isNotNull() & (F.length(html) > MIN_CONTENT_CHARS))
 
 
-def unique_pages(pages: DataFrame, order_col: str | None = None) -> DataFrame:
-    """A5: one page per title; with repeats the last (by ``order_col``) wins."""
-    if order_col is None:
-        return pages
-    return (pages.groupBy("title")
-            .agg(F.max_by(F.struct(*[c for c in pages.columns if c != "title"]), order_col).alias("_p"))
-            .select("title", "_p.*"))
-
-
-def articles_with_html(articles: DataFrame, pages: DataFrame, articles_bound: int | None = None,
-                       dedupe_by: str | None = None) -> DataFrame:
-    """D1 + B7: article occurrences that have HTML (inner join; repeated titles kept).
-
-    The page side is filtered (B3) before the join. With a bounded article list (a top-N) the
-    list is broadcast: pages are first cut to the listed titles by a broadcast semi-join (a
-    scan, no shuffle of HTML) and only then de-duplicated per title (A5, when ``dedupe_by``
-    is given). Without a bound the planner chooses (sort-merge at scale; AQE may broadcast a
-    side it measured small).
-    """
-    cols = ["title", "html"] + ([dedupe_by] if dedupe_by else [])
-    pg = min_content(pages).select(*cols)
-    if articles_bound is not None:
-        pg = pg.join(F.broadcast(articles.select("title").distinct()), "title", "left_semi")
-    pg = unique_pages(pg, dedupe_by).select("title", "html")
-    left = F.broadcast(articles) if articles_bound is not None else articles
-    return left.join(pg, "title", "inner")
+def unique_pages(pages: DataFrame, order_col: str = "ingest_pos") -> DataFrame:
+    """A5: one page per title, the last by ``order_col``; rows of one title and place are one
+    page. Without that column the page whose content hash is largest, the same on every run.
+
+    The last place of each title is found on narrow rows; pages only meet the short list of
+    places that lose, which is broadcast while measured small, so content is not exchanged."""
+    rest = [c for c in pages.columns if c not in ("title", order_col)]
+    mark = F.col(order_col).cast("long") if order_col in pages.columns else F.xxhash64(*rest)
+    marked = pages.select("title", *rest, F.coalesce(mark, F.lit(-(1 << 63))).alias("_mark"))
+    places = marked.groupBy("title", "_mark").agg(F.count("*").alias("n"))
+    last = places.groupBy("title").agg(F.max("_mark").alias("last"))
+    losers = (places.join(last, "title").where("_mark <> last").select("title", "_mark"))
+    kept = marked.join(broadcast_checked(losers), ["title", "_mark"], "left_anti")
+    if places.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["title", "_mark"])
+    return kept.select("title", *rest)
+
+
+def listed_pages(articles: DataFrame, pages: DataFrame, columns=("html",)) -> DataFrame:
+    """D1 + B3 + A5: the last page of every listed title that has enough content. The list is
+    broadcast while it is measured small, so that HTML is not exchanged; beyond that the planner
+    joins by title (``save_pages`` keeps such pages bucketed)."""
+    order = [c for c in ("ingest_pos",) if c in pages.columns]
+    own = min_content(pages).select("title", "html", *order)
+    titles = articles.select("title").distinct()
+    listed = own.join(broadcast_checked(titles), "title", "left_semi")
+    return unique_pages(listed).select("title", *columns)
+
+
+def articles_with_html(articles: DataFrame, pages: DataFrame) -> DataFrame:
+    """D1 + B7: article occurrences that have HTML (inner join; repeated titles kept)."""
+    return articles.join(listed_pages(articles, pages), "title", "inner")
+
+
+def articles_with_html_chars(articles: DataFrame, pages: DataFrame) -> DataFrame:
+    """D1 + B7 with the length of the HTML, taken before anything is joined."""
+    narrow = unique_pages(min_content(pages).select(
+        "title", F.length("html").alias("html_chars"), *[c for c in ("ingest_pos",)
+                                                         if c in pages.columns]))
+    return articles.join(narrow, "title", "inner")
 
 
 def article_counts(articles: DataFrame, processed: DataFrame) -> DataFrame:

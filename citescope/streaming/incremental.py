@@ -20,16 +20,16 @@ from citescope.sources.pages import min_content
 from citescope.session import scratch_path
 
 
-def stage_pages(pages: DataFrame, path: str, files: int, key: str = "article_pos") -> str:
-    """Writes ``pages`` as ``files`` parquet files (pages of one article stay in one file),
-    standing in for pages landing over time."""
-    pages.repartition(files, key).write.mode("errorifexists").parquet(path)
+def stage_pages(pages: DataFrame, path: str, rows_per_file: int = 100_000) -> str:
+    """Writes ``pages`` as parquet files, standing in for pages landing over time: as many as
+    the input has partitions, and more where one holds over ``rows_per_file`` rows."""
+    (pages.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).parquet(path))
     return path
 
 
 def run_incremental_audit(spark: SparkSession, pages_dir: str, out_dir: str, probes: DataFrame,
                           browser_obs: DataFrame | None, checkpoint: str | None = None,
-                          max_files_per_trigger: int = 1, stamp: str = "19700101_000000",
+                          max_files_per_trigger: int = 64, stamp: str = "19700101_000000",
                           mode: str = "structure") -> DataFrame:
     """Runs the stream to completion and returns the report rows written by it.
 
@@ -43,15 +43,10 @@ def run_incremental_audit(spark: SparkSession, pages_dir: str, out_dir: str, pro
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # Each arriving page row is one article occurrence with its HTML (D1 already holds).
-        # A micro-batch is bounded (maxFilesPerTrigger): its link rows are persisted and the
-        # static evidence is cut to its URLs by a broadcast semi-join instead of a shuffle.
         res = audit_pages(min_content(batch.select("article_pos", "title", "html")), probes,
-                          browser_obs, mode=mode, stamp=stamp, bounded_batch=True)
-        try:
-            (res.report.withColumn("batch_id", F.lit(batch_id).cast("long"))
-             .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
-        finally:
-            res.links.unpersist()
+                          browser_obs, mode=mode, stamp=stamp)
+        (res.report.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
 
     query = (stream.writeStream.foreachBatch(process)
              .option("checkpointLocation", checkpoint)
@@ -62,10 +57,11 @@ def run_incremental_audit(spark: SparkSession, pages_dir: str, out_dir: str, pro
 
 
 def incremental_audit_from(spark: SparkSession, pages: DataFrame, probes: DataFrame,
-                           browser_obs: DataFrame | None, files: int = 4,
+                           browser_obs: DataFrame | None, max_files_per_trigger: int = 4,
                            stamp: str = "19700101_000000") -> DataFrame:
     """Stages ``pages`` into a fresh folder under the checkpoint folder and streams them."""
     base = scratch_path(spark, "incremental-audit")
-    pages_dir = stage_pages(pages, os.path.join(base, "pages"), files)
+    pages_dir = stage_pages(pages, os.path.join(base, "pages"))
     return run_incremental_audit(spark, pages_dir, os.path.join(base, "report"), probes, browser_obs,
-                                 checkpoint=os.path.join(base, "checkpoint"), stamp=stamp)
+                                 checkpoint=os.path.join(base, "checkpoint"), stamp=stamp,
+                                 max_files_per_trigger=max_files_per_trigger)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from citescope.plans.audit import audit
 from citescope.schemas import BROWSER_SCHEMA, PROBE_SCHEMA
+from citescope.sources.pages import unique_pages
 from citescope.streaming.incremental import incremental_audit_from
 
 WA = "https://web.archive.org/web/1/"
@@ -14,14 +15,18 @@ def inputs(spark):
              f'<li><a href="https://a.com/x">a</a> <a href="{WA}https://a.com/x">w</a></li>'
              '<li><a href="https://d.com/">d</a></li><li><a href="https://c.com/">c</a></li></ol>')
     html2 = '<ol class="references"><li><a href="https://d.com/">d</a></li></ol>' + "x" * 120
-    pages = spark.createDataFrame([("Art_1", html1), ("Art_2", html2), ("Short", "<p>tiny</p>")],
-                                  "title string, html string")
+    old = '<ol class="references"><li><a href="https://old.com/">o</a></li></ol>' + "x" * 120
+    pages = spark.createDataFrame([("Art_1", html1, 3), ("Art_1", old, 1), ("Art_2", html2, 1),
+                                   ("Art_2", html2, 0), ("Short", "<p>tiny</p>", 1)],
+                                  "title string, html string, ingest_pos long")
     arts = spark.createDataFrame([(0, "Art_1"), (1, "Art_2"), (2, "Art_2"), (3, "Short"), (4, "Missing")],
                                  "article_pos long, title string")
     probes = spark.createDataFrame([
-        ("https://d.com/", True, 404, "", False, 404, "", False),
-        ("https://c.com/", True, None, "", True, None, "", True)], PROBE_SCHEMA)
-    browser = spark.createDataFrame([("https://d.com/", None, None, "https://d.com/", "Gone", "410 gone")],
+        ("https://d.com/", True, 404, "", False, 404, "", False, 2),
+        ("https://d.com/", True, 200, "", False, None, "", False, 1),           # an older probe
+        ("https://c.com/", True, None, "", True, None, "", True, None)], PROBE_SCHEMA)
+    browser = spark.createDataFrame([("https://d.com/", None, None, "https://d.com/", "Fine", "ok", 1),
+                                     ("https://d.com/", None, None, "https://d.com/", "Gone", "410 gone", 2)],
                                     BROWSER_SCHEMA)
     return arts, pages, probes, browser
 
@@ -55,9 +60,9 @@ def test_flat_modes(spark):
 
 def test_stream_equals_batch(spark):
     arts, pages, probes, browser = inputs(spark)
-    pg = arts.join(pages, "title").select("article_pos", "title", "html")
+    pg = arts.join(unique_pages(pages), "title").select("article_pos", "title", "html")
     batch = audit(arts, pages, probes, browser, stamp="S").report
-    streamed = incremental_audit_from(spark, pg, probes, browser, files=3, stamp="S").drop("batch_id")
+    streamed = incremental_audit_from(spark, pg, probes, browser, max_files_per_trigger=1, stamp="S").drop("batch_id")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select(*streamed.columns).collect()))
 
 
@@ -76,6 +81,10 @@ def test_audit_plan_parses_once_without_window(spark):
         plan = audit(arts, pages, probes, browser, mode=mode, stamp="S").report._jdf.queryExecution() \
             .executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1, mode
+        lines = plan.split("\n")
+        for above, below in zip(lines, lines[1:]):   # neither HTML nor page sources are exchanged
+            if "Exchange" in above and "Broadcast" not in above:
+                assert "html#" not in below and "page_source" not in below, (mode, below)
         assert "Window " not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
@@ -94,11 +103,11 @@ def test_repeated_titles_are_parsed_once(spark):
     from pyspark.sql import functions as F
     arts, pages, probes, browser = inputs(spark)
     many = spark.range(60).select((F.col("id") + 100).alias("article_pos"), F.lit("Art_2").alias("title"))
-    res = audit(arts.unionByName(many), pages, probes, browser, stamp="S", articles_bound=65)
+    res = audit(arts.unionByName(many), pages, probes, browser, stamp="S")
     plan = res.report._jdf.queryExecution().executedPlan().toString()
     lines = plan.split("\n")
-    py = next(i for i, l in enumerate(lines) if "ArrowEvalPython" in l)
-    semi = next(i for i, l in enumerate(lines) if "LeftSemi" in l)
-    occ_join = next(i for i, l in enumerate(lines) if "Inner" in l and "Join" in l)
+    py = next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x)
+    semi = next(i for i, x in enumerate(lines) if "LeftSemi" in x)
+    occ_join = next(i for i, x in enumerate(lines) if "Inner" in x and "Join" in x)
     assert occ_join < py < semi        # occurrences attached above the parse, titles cut below it
     assert res.report.where(F.col("article_pos") >= 100).count() == 60   # one row per occurrence

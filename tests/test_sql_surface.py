@@ -1,6 +1,6 @@
 """SQL functions and table functions registered by ``register_sql``."""
 
-from citescope.plans.sql_surface import register_sql
+from citescope.plans.sql_surface import register_pages, register_sql
 
 
 def test_sql_functions(spark):
@@ -14,22 +14,21 @@ def test_sql_functions(spark):
     assert (r.n, r.e, r.o, r.a, r.d, r.t) == ("bbc.com/x", True, "2020/http://e.com", True, "0.3s", "A b")
 
 
-def test_table_functions(spark):
+def test_page_views(spark):
     register_sql(spark)
     html = ('<ol class="references"><li><a href="https://e.com">o</a> '
             '<a href="https://web.archive.org/web/1/https://e.com">a</a></li></ol><ref><a href="/x">x</a></ref>')
-    spark.createDataFrame([(1, html)], "id long, html string").createOrReplaceTempView("t_pages")
-    rows = spark.sql("SELECT l.ref_kind, l.href FROM t_pages p, LATERAL reference_links(p.html) l "
-                     "ORDER BY l.ref_pos, l.link_pos").collect()
+    register_pages(spark, spark.createDataFrame([(1, html)], "page long, html string"), key="page")
+    rows = spark.sql("SELECT ref_kind, href FROM reference_links ORDER BY ref_pos, link_pos").collect()
     assert [(r.ref_kind, r.href) for r in rows] == [
         ("list", "https://e.com"), ("list", "https://web.archive.org/web/1/https://e.com"), ("ref", "/x")]
-    n = spark.sql("SELECT count(*) FROM t_pages p, LATERAL page_links(p.html) l WHERE l.in_ref").first()[0]
-    assert n == 1
+    assert spark.sql("SELECT count(*) FROM page_links WHERE in_ref AND id IS NULL").first()[0] == 1
 
 
-def test_tree_udfs_in_sql(spark):
+def test_scan_in_sql(spark):
     register_sql(spark)
     html = '<ol class="references"><li><a href="https://e.com">o</a></li></ol><p><a href="/x">x</a></p>'
     spark.createDataFrame([(html,)], "html string").createOrReplaceTempView("t_pages2")
-    r = spark.sql("SELECT size(cs_reference_tree(html)) n_refs, size(cs_anchor_tree(html)) n_anchors FROM t_pages2").first()
+    r = spark.sql("SELECT size(m.refs) n_refs, size(m.links) n_anchors "
+                  "FROM (SELECT cs_scan(html) m FROM t_pages2)").first()
     assert (r.n_refs, r.n_anchors) == (1, 2)
