@@ -525,6 +525,11 @@ def _memo(key, build):
     return _BUILT[key]
 
 
+def forget_plans() -> None:
+    """Drops the plans kept by ``_memo`` (for timing a query alone)."""
+    _BUILT.clear()
+
+
 def _audit(spark, sf_dir, browser: bool = True, full: bool = False) -> A.AuditResult:
     key = ("audit", id(spark), spark.sparkContext.applicationId, sf_dir, browser, full)
     return _memo(key, lambda: _build_audit(spark, sf_dir, browser, full))

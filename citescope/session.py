@@ -14,9 +14,6 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Split a hot URL's partition in the evidence joins even when that costs an extra
-    # exchange later (one cited URL may hold a large share of all link rows).
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # HTML parsing is CPU-bound per document: smaller scan splits spread it over more tasks.
     "spark.sql.files.maxPartitionBytes": "64m",
