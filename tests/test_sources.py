@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citescope.operators import popularity as POP
 from citescope.schemas import REPORT_SCHEMA
 from citescope.sources import article_lists as AL
+from citescope.sources import pages as PG
 from citescope.sources import pageviews as PV
 from citescope.sources import report_io as RIO
 
@@ -180,7 +181,7 @@ def test_unique_pages_without_a_place_and_with_ties(spark):
 
 def test_files_are_read_whole(spark, tmp_out):
     page = write(os.path.join(tmp_out, "Two_lines.html"), "<p>one</p>\n<p>two</p>\n")
-    assert [(r.title, r.html) for r in pages.read_html_files(spark, page).collect()] == [
+    assert [(r.title, r.html) for r in PG.read_html_files(spark, page).collect()] == [
         ("Two_lines", "<p>one</p>\n<p>two</p>\n")]
     lst = write(os.path.join(tmp_out, "list.json"), json.dumps(["A", {"title": "B"}], indent=2))
     assert [r.title for r in AL.read_article_list(spark, lst).orderBy("article_pos").collect()] == ["A", "B"]
