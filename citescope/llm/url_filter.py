@@ -6,8 +6,8 @@ block teach two variable-order Markov models over the characters of host + path:
 to ``ORDER`` characters with Witten-Bell smoothing, each order falling back on the next shorter
 one and the shortest on a uniform distribution. A URL's score is the mean over its characters
 of log P(allowed) - log P(blocked). The threshold is the score that separates the URLs the
-rules judge best (largest sum of both hit rates, ties to the lower score); URLs without a rule
-are allowed from it on.
+rules judge best (largest sum of both hit rates, ties to the lower score; in the middle of the
+gap between the scores on its sides); URLs without a rule are allowed from it on.
 
 Every distinct URL is judged once, and every distinct run of characters is scored once; page
 rows meet the result in one join on the URL. Sums are taken over scaled integers, so that they
@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm.joins import broadcast_if_small
+from citescope.llm.joins import broadcast_if_small, join_exploded
 from citescope.session import scratch_path
 
 ORDER = 4
@@ -106,7 +106,7 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The lower edge of the first allowed bin; ``scored`` has rule_verdict, score and n."""
+    """The score from which URLs are allowed; ``scored`` has rule_verdict, score and n."""
     bins = (scored.where("rule_verdict IS NOT NULL")
             .groupBy(F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), "score"))
                              * BINS_PER_UNIT).alias("bin"))
@@ -114,13 +114,13 @@ def threshold(scored: DataFrame) -> float:
                  F.sum(F.when(F.col("rule_verdict") == "block", F.col("n")).otherwise(0)).alias("b"))
             .orderBy("bin").collect())  # at most 2 * LIMIT * BINS_PER_UNIT + 1 rows
     allowed, blocked = sum(r.a for r in bins), sum(r.b for r in bins)
-    best, edge, lost, caught = 0.0, -math.inf, 0, 0
+    best, edge, lost, caught, last = 0.0, -math.inf, 0, 0, 0
     if allowed and blocked:
         for r in bins:
             gain = caught / blocked - lost / allowed
             if gain > best:
-                best, edge = gain, r.bin / BINS_PER_UNIT
-            lost, caught = lost + r.a, caught + r.b
+                best, edge = gain, (last + 1 + r.bin) / 2 / BINS_PER_UNIT
+            lost, caught, last = lost + r.a, caught + r.b, r.bin
         if caught / blocked - lost / allowed > best:
             edge = math.inf
     return edge
@@ -148,7 +148,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         F.sum(F.when(F.col("rule_verdict") == "block", F.col("n")).otherwise(0)).alias("blocked")),
         "grams")
     deltas = written(gram_scores(counts), "deltas")
-    scores = (own.join(deltas, "gram").groupBy("url")
+    scores = (join_exploded(own, deltas, "gram", 32).groupBy("url")
               .agg((F.sum("delta") / F.count("*") / SCALE).alias("score"))
               .select(F.col("url").alias("scored_url"), "score"))
     scored = written(urls.join(scores, F.col("url").eqNullSafe(F.col("scored_url")), "left")
