@@ -39,13 +39,15 @@ LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # shorter runs of digits cannot be cards, so only runs of 14 digits and more are matched
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"\p{L}++"
 WINDOW = 3
 REACH = 80           # code points on either side in which the terms of a context are looked for
+BLOCK = 256          # matches whose positions are summed at a time
 MIN_ENTITIES = 5
 THRESHOLD = 0.9
 LABELS = {kind: f"[{kind.upper()}]" for kind in KINDS}
@@ -53,13 +55,8 @@ LABELS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 SPAN = "struct<start:int,end:int,value:string>"
 
 
-def _positions(text: Column, pattern: str) -> Column:
-    """array of (start, end, value) of the matches of a pattern: the pieces between matches
-    and the matches themselves give the positions."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(values))
-    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-
+def _running(pairs: Column) -> Column:
+    """(at, out) of (gap, value) pairs: the length of all, and (start, end, value) of each value."""
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.length(x["value"])
@@ -67,8 +64,33 @@ def _positions(text: Column, pattern: str) -> Column:
             start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"),
-                                       F.array().cast(f"array<{SPAN}>").alias("out")),
-                       step, lambda state: state["out"])
+                                       F.array().cast(f"array<{SPAN}>").alias("out")), step)
+
+
+def _positions(text: Column, pattern: str) -> Column:
+    """array of (start, end, value) of the matches of a pattern: the pieces between matches
+    and the matches themselves give the positions. Running sums copy what they have, so they are
+    taken within blocks and over blocks, which keeps texts with very many matches cheap."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(values))
+    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+
+    def in_blocks(p: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(p), F.lit(BLOCK))
+        return F.transform(starts, lambda i: _running(F.slice(p, i, BLOCK)))
+
+    def shifted(blocks: Column) -> Column:
+        offsets = F.aggregate(
+            blocks, F.array(F.lit(0)),
+            lambda found, b: F.concat(found, F.array(F.element_at(found, -1) + b["at"])))
+        moved = F.zip_with(blocks, F.slice(offsets, 1, F.size(blocks)), lambda b, by: F.transform(
+            b["out"], lambda x: F.struct((x["start"] + by).alias("start"),
+                                         (x["end"] + by).alias("end"), x["value"].alias("value"))))
+        return F.flatten(moved)
+
+    # one-element arrays: what a lambda is given is evaluated once
+    found = F.element_at(F.transform(F.transform(F.array(pairs), in_blocks), shifted), 1)
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -95,7 +117,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
 POSSIBLE: dict[str, Callable[[Column], Column]] = {
     "email": lambda t: t.contains("@"),
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
-    "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"),
+    "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"),
     "phone": lambda t: t.contains("+"),
 }
 
@@ -166,9 +188,10 @@ def disclosing(docs: DataFrame, near: DataFrame, min_entities: int = MIN_ENTITIE
     totals = _keyed(docs).agg(F.sum(F.size(F.regexp_extract_all(
         F.col("text"), F.lit(TERM), F.lit(0)))).alias("all"))
     by_kind = joint.groupBy("kind").agg(F.sum("joint").alias("of_kind"))
-    scored = (candidates.join(counted, "term").join(by_kind, "kind").crossJoin(totals)
-              .withColumn("disclosure", 1 - F.log(F.least(F.lit(1.0), F.col("joint") / F.col("n")))
-                          / F.log(F.col("of_kind") / F.col("all"))))
+    scored = (candidates.join(counted, "term").join(by_kind, "kind")
+              .withColumn("disclosure", 1 - F.try_divide(
+                  F.log(F.least(F.lit(1.0), F.col("joint") / F.col("n"))),
+                  F.log(F.col("of_kind") / totals.scalar()))))  # null where all terms stand next to c
     return scored.where(F.col("disclosure") >= threshold).select("kind", "term")
 
 
