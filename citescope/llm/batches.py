@@ -11,10 +11,19 @@ from itertools import compress, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Text bytes that one task works on at a time: bounds a Python worker's memory at any row size
 # (a single longer text is a chunk of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20  # of an Arrow batch between the JVM and Python
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with Arrow batches bounded by bytes: texts differ in length by orders of
+    magnitude, so a number of rows bounds neither side's memory. Use with ``transform``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -37,6 +46,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_column: str = "text",
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker is kept, its peak need not be
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -81,7 +91,7 @@ class WordTokens(dict):
     SIGNS = b".,;:!?#*$%&|<>()"
     GROUP = 1000
 
-    def __init__(self, path: str, dtype: str = "<u4", bound: int = 300_000):
+    def __init__(self, path: str, dtype: str = "<u4", bound: int = 120_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer

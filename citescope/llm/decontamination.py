@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, word_ids
+from citescope.llm.batches import chunks, in_arrow, word_ids
 from citescope.llm.joins import broadcast_if_small
 from citescope.session import scratch_path
 
@@ -94,7 +94,7 @@ def _item_seeds(items: DataFrame, masks: list[str], short: frozenset[str]) -> Da
                     [batch.column(0).take(pa.array(text)), pa.array(at),
                      pa.array(key.view(np.int64))], names=["item_id", "item_at", "key"])
 
-    return items.mapInArrow(rows, "item_id long, item_at long, key long").distinct()
+    return items.transform(in_arrow, rows, "item_id long, item_at long, key long").distinct()
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _item_words(items: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(words, pa.list_(pa.int64()))],
                 names=["item_id", "words"])
 
-    return (items.mapInArrow(rows, "item_id long, words array<long>")
+    return (items.transform(in_arrow, rows, "item_id long, words array<long>")
             .where(F.size("words") >= MIN_ITEM_WORDS))
 
 
@@ -126,7 +126,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
              pa.array([x for _, x in parts], pa.binary())], names=["at", "bits"])
 
     packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in keys.select("key").mapInArrow(rows, "at long, bits binary").toLocalIterator():
+    for r in keys.select("key").transform(in_arrow, rows, "at long, bits binary").toLocalIterator():
         packed[r["at"]:r["at"] + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return np.unpackbits(packed).astype(bool)
 
@@ -175,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
                          pa.array(key[on].view(np.int64))], names=["doc_id", "doc_at", "key"])
 
     candidates = (docs.where("doc_id IS NOT NULL")
-                  .mapInArrow(hits, "doc_id long, doc_at long, key long")
+                  .transform(in_arrow, hits, "doc_id long, doc_at long, key long")
                   .join(item_seeds, "key")
                   .select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
                   .distinct())
@@ -218,7 +218,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
                 [pa.array([row[k] for row in out], pa.int64()) for k in range(len(names))],
                 names=names)
 
-    return suspects.join(per_doc, "doc_id").mapInArrow(verify, LEAKS)
+    return suspects.join(per_doc, "doc_id").transform(in_arrow, verify, LEAKS)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

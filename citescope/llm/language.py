@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8, worker_store
+from citescope.llm.batches import chunks, in_arrow, utf8, worker_store
 
 BUCKETS = 1 << 13
 SMOOTHING = 0.1
@@ -144,7 +144,7 @@ def fit(docs: DataFrame) -> LanguageModel:
 
     summed = (docs.where("lang IS NOT NULL AND text IS NOT NULL")
               .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string"))
-              .mapInArrow(count, "lang string, bucket long, n long")
+              .transform(in_arrow, count, "lang string, bucket long, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     rows = summed.collect()  # at most languages x BUCKETS
     languages = sorted({r.lang for r in rows})
@@ -173,4 +173,4 @@ def predict(docs: DataFrame, model: LanguageModel, max_languages: int = 3) -> Da
                 names=["doc_id", "lang_pred", "score", "languages"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(rows, PREDICTIONS)
+                       F.col("text").cast("string").alias("text")).transform(in_arrow, rows, PREDICTIONS)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, word_tokens
+from citescope.llm.batches import chunks, in_arrow, word_tokens
 from citescope.session import scratch_path
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, task int, "
@@ -218,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 "local_rank": pa.array(rank)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+                       F.col("text").cast("string").alias("text")).transform(in_arrow, cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
@@ -249,5 +249,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) ->
 
     return (table.join(bases, ["length", "task"])
             .select(*columns, (F.col("base") + F.col("local_rank")).alias("rank"))
-            .mapInArrow(place, "doc_id long, piece int, start long, length long, "
+            .transform(in_arrow, place, "doc_id long, piece int, start long, length long, "
                                "ids_crc32 long, sequence_id long, offset long"))

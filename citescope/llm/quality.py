@@ -5,8 +5,9 @@ fixed number of buckets. Two multinomials over the buckets are counted over the
 the raw one from every document, the target one from every trusted document. A document's
 score is the mean over its n-grams of log target - log raw, so length cancels out. The
 threshold is the score that separates trusted from untrusted labelled documents best (largest
-sum of both hit rates, ties to the lower score), read from a fixed-size histogram; every
-document is then judged by comparing its score with it.
+sum of both hit rates, ties to the lower score; in the middle of the gap between the scores on
+its sides), read from a fixed-size histogram; every document is then judged by comparing its
+score with it.
 
 Words are counted once per distinct word of a chunk, so a repeated word costs one lookup.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8, word_ids
+from citescope.llm.batches import chunks, in_arrow, utf8, word_ids
 from citescope.llm.joins import broadcast_if_small
 
 SYMBOLS = b"#*$%&|<>"
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used), "raw": pa.array(total[0][used]),
                                           "target": pa.array(total[1][used])})
 
-    counted = (labelled.mapInArrow(count, "bucket long, raw long, target long")
+    counted = (labelled.transform(in_arrow, count, "bucket long, raw long, target long")
                .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.collect():  # at most BUCKETS rows
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
     histogram = np.zeros((2, BINS))
     for r in (labelled.where("trusted IS NOT NULL")
-              .mapInArrow(place, "bin long, bad long, good long")
+              .transform(in_arrow, place, "bin long, bad long, good long")
               .groupBy("bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
               .collect()):  # at most BINS rows
         histogram[:, r.bin] = r.bad, r.good
@@ -185,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         return QualityModel(ratio, -np.inf)
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(histogram, axis=1)], axis=1)
     gain = below[0] / bad - below[1] / good  # of rejecting all bins before the edge
-    return QualityModel(ratio, float(np.argmax(gain)) * 2 * SPAN / BINS - SPAN)
+    first = last = int(np.argmax(gain))
+    while last < BINS and gain[last + 1] == gain[first]:  # bins without a labelled document
+        last += 1
+    return QualityModel(ratio, (first + last) / 2 * 2 * SPAN / BINS - SPAN)
 
 
 def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -201,7 +205,7 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
                 names=[x.split()[0] for x in VERDICTS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(rows, VERDICTS)
+                       F.col("text").cast("string").alias("text")).transform(in_arrow, rows, VERDICTS)
 
 
 def keep(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -213,4 +217,4 @@ def keep(docs: DataFrame, model: QualityModel) -> DataFrame:
             kept = ~found["base_failed"] & (found["score"] >= model.threshold)
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.transform(in_arrow, rows, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8
+from citescope.llm.batches import chunks, in_arrow, utf8
 from citescope.llm.components import components
 from citescope.llm.joins import broadcast_if_small
 from citescope.session import scratch_path
@@ -72,8 +72,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                                              names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(
-        rows, "doc_id long, fp long")
+                       F.col("text").cast("string").alias("text")).transform(
+        in_arrow, rows, "doc_id long, fp long")
 
 
 def _flips(column: Column, masks: list[int]) -> Column:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, word_tokens
+from citescope.llm.batches import chunks, in_arrow, word_tokens
 
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the .docs file
 READ_DOCS = 4096      # documents read from a shard at a time
@@ -90,7 +90,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
             .repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
-            .mapInArrow(write, MANIFEST).collect())  # one row per shard
+            .transform(in_arrow, write, MANIFEST).collect())  # one row per shard
     shards, base = [], 0
     for r in sorted(rows, key=lambda r: r.shard):
         if r.n_docs:
@@ -152,4 +152,4 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
 
     manifest = spark.createDataFrame(files.shards, "shard int, name string, n_docs long, "
                                                    "n_tokens long, base long")
-    return manifest.repartitionByRange(len(files.shards), "shard").mapInArrow(read, schema)
+    return manifest.repartitionByRange(len(files.shards), "shard").transform(in_arrow, read, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, utf8
+from citescope.llm.batches import chunks, in_arrow, utf8
 
 MAX_LABELLED = 10_000
 MAX_FEATURES = 4096
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED,
                 "feature": pa.array(feature), "n_toxic": pa.array(n_toxic),
                 "n_all": pa.array(n_all)})
 
-    counted = (texts.mapInArrow(count, "feature long, n_toxic long, n_all long")
+    counted = (texts.transform(in_arrow, count, "feature long, n_toxic long, n_all long")
                .groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"),
                                        F.sum("n_all").alias("n_all"))
                .where(F.col("n_all") >= min_docs))
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED,
                 [batch.column(0), batch.column(2), pa.array(kept, pa.list_(pa.int32()))],
                 names=["doc_id", "grade", "x"])
 
-    rows = (texts.mapInArrow(design, "doc_id long, grade int, x array<int>")
+    rows = (texts.transform(in_arrow, design, "doc_id long, grade int, x array<int>")
             .orderBy("doc_id", "x").collect())  # at most max_labelled documents
     levels = np.unique([r.grade for r in rows])  # grades present, so that no level is empty
     y = np.searchsorted(levels, [r.grade for r in rows])
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: SeverityModel, decide: float = DECIDE) -> Data
                 names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(rows, SCORES)
+                       F.col("text").cast("string").alias("text")).transform(in_arrow, rows, SCORES)
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks
+from citescope.llm.batches import chunks, in_arrow
 from citescope.llm.joins import broadcast_if_small
 from citescope.session import scratch_path
 
@@ -391,14 +391,14 @@ def infer(pages: DataFrame) -> DataFrame:
                  pa.array(list(count.values()), pa.int64())], names=["host", "wrapper", "n"])
 
     distinct = (_pages(pages).where("html IS NOT NULL").select("host", "html")
-                .mapInArrow(streams, "host string, wrapper string, n long")
+                .transform(in_arrow, streams, "host string, wrapper string, n long")
                 .groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
                 .withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int")))
     parts = (distinct.repartition("host", "salt")
              .sortWithinPartitions("host", "salt", F.desc("n"), "wrapper")
-             .select("host", "salt", "wrapper").mapInArrow(_fold_hosts, schema))
+             .select("host", "salt", "wrapper").transform(in_arrow, _fold_hosts, schema))
     whole = (parts.repartition("host").sortWithinPartitions("host", "salt")
-             .select("host", F.lit(0).alias("salt"), "wrapper").mapInArrow(_fold_hosts, schema))
+             .select("host", F.lit(0).alias("salt"), "wrapper").transform(in_arrow, _fold_hosts, schema))
     path = scratch_path(spark, "wrappers")
     whole.select("host", "wrapper").write.parquet(path)
     return spark.read.schema("host string, wrapper string").parquet(path)
@@ -426,7 +426,7 @@ def _constant_slots(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     return (pages.where("html IS NOT NULL").join(wrappers, "host")
             .select("host", "html", "wrapper")
-            .mapInArrow(rows, "host string, slot int, text string, page string")
+            .transform(in_arrow, rows, "host string, slot int, text string, page string")
             .groupBy("host", "slot")
             .agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"),
                  F.approx_count_distinct(F.xxhash64("page")).alias("pages"))
@@ -473,4 +473,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     return (rows_in.join(known, "host", "left")
             .select("page_id", "url", "host", "html", "wrapper", "constant")
-            .mapInArrow(rows, "page_id long, url string, text string, n_chars long"))
+            .transform(in_arrow, rows, "page_id long, url string, text string, n_chars long"))
