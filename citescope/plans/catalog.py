@@ -102,6 +102,24 @@ def popular_scored(spark, sf_dir):
     return POP.popular_scored(_pageviews(spark, sf_dir), limit=25)
 
 
+@query("pageview_documents", _with("fx_pageviews") + """
+SELECT view_day, CAST(rank AS INTEGER) AS pos, article, rank, CAST(views AS BIGINT) AS views
+FROM fx_pageviews WHERE rank <= 1000""")
+def pageview_documents(spark, sf_dir):
+    """C7 + A1: the first 1,000 articles of every day written as that day's JSON document (its
+    form and length), one folder a day, and read back."""
+    from citescope.session import scratch_path
+    from citescope.sources import pageviews as PV
+
+    path = scratch_path(spark, "pageview-documents")
+    entry = F.struct("rank", "article", "views")
+    docs = (_t(spark, sf_dir, "fx_pageviews").where("rank <= 1000").groupBy("view_day")
+            .agg(F.sort_array(F.collect_list(entry)).alias("articles"))
+            .select("view_day", F.to_json(F.struct(F.array(F.struct("articles")).alias("items")))))
+    docs.write.partitionBy("view_day").text(path)
+    return PV.read_pageview_docs(spark, path).select("view_day", "pos", "article", "rank", "views")
+
+
 _DAYS_LIST = ", ".join(f"DATE '{d.isoformat()}'" for d in POP.SAMPLE_DAYS)
 
 
@@ -382,6 +400,28 @@ def distinct_reference_urls(spark, sf_dir):
             .select("article_pos", F.col("link_pos").cast("int").alias("link_pos"), "url"))
 
 
+# One document per page: its URL as a link with a class and an id, every fifth one in a ref.
+_CLASSED_PAGES = """SELECT page_id, page_id % 5 = 0 AS in_ref, url,
+       CASE page_id % 4 WHEN 0 THEN 'external text' WHEN 1 THEN 'mw-redirect' WHEN 2 THEN 'x mw-editsection'
+            ELSE '' END AS class,
+       CASE page_id % 3 WHEN 0 THEN 'cite-1' WHEN 1 THEN 'a-mw-content-text-1' ELSE '' END AS id FROM pages"""
+
+
+@query("reference_like_links", f"""WITH c AS ({_CLASSED_PAGES})
+SELECT page_id, url FROM c
+WHERE in_ref OR (class NOT IN ('mw-redirect', 'x mw-editsection') AND NOT contains(id, 'mw-content-text'))""")
+def reference_like_links(spark, sf_dir):
+    """B6 + C4: links kept by class, by id, or for standing in a ref element."""
+    _t(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    c = spark.sql(_CLASSED_PAGES)
+    link = F.concat(F.lit('<a class="'), F.col("class"), F.lit('" id="'), F.col("id"), F.lit('" href="'),
+                    F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit('">x</a>'))
+    html = F.when(F.col("in_ref"), F.concat(F.lit("<ref>"), link, F.lit("</ref>"))).otherwise(
+        F.concat(F.lit("<p>"), link, F.lit("</p>")))
+    df = X.with_anchor_tree(c.select("page_id", html.alias("html")), external_only=True)
+    return df.select("page_id", F.explode(X.comprehensive_links(F.col("anchors"))).alias("url"))
+
+
 @query("no_external_links", """
 SELECT page_id, CAST(len(regexp_extract_all(html, '<a[^>]*href="(https?://[^"]*)"', 1)) AS INTEGER) AS n_external,
        CAST(len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS INTEGER) AS n_anchors
@@ -677,6 +717,22 @@ def report_csv_round_trip(spark, sf_dir):
     return RIO.read_report(spark, path)
 
 
+@query("report_append", _REPORT_HEAD + """
+SELECT article_title, original_url, archive_url, has_archive, error_code, "timestamp",
+       browser_validation_check, browser_validation_check_detail FROM rep""")
+def report_append(spark, sf_dir):
+    """A7 + A8 + H3: a header-only report, appended to in two batches, read back as one."""
+    from citescope.session import scratch_path
+    from citescope.sources import report_io as RIO
+
+    path = scratch_path(spark, "report-append")
+    report = _audit(spark, sf_dir).report
+    RIO.write_header_only(spark, path)
+    for part in (0, 1):
+        RIO.append_report(report.where(F.col("ref_pos") % 2 == part), path)
+    return RIO.read_report(spark, path)
+
+
 @query("report_error_code", _REPORT_HEAD + "SELECT article_pos, ref_pos, original_url, has_archive, error_code FROM rep")
 def report_error_code(spark, sf_dir):
     """I14 + I17."""
@@ -839,6 +895,17 @@ def duration_text(spark, sf_dir):
                      TX.format_duration(F.col("value") * 3600).alias("as_hours"))
 
 
+@query("progress_text", """
+SELECT event_id, printf('%.1f', CAST(event_id + 1 AS DOUBLE) / CAST((SELECT count(*) FROM events) AS DOUBLE)
+                                * CAST(100 AS DOUBLE)) AS progress
+FROM events""")
+def progress_text(spark, sf_dir):
+    """Progress of every event's place among all events."""
+    ev = _t(spark, sf_dir, "events")
+    total = ev.select(F.count("*")).scalar()
+    return ev.select("event_id", TX.progress_percent(F.col("event_id") + 1, total).alias("progress"))
+
+
 @query("run_stamp", """
 SELECT CAST(ts AS DATE) AS run_day, strftime(min(ts), '%Y%m%d_%H%M%S') AS stamp,
        concat('all_references_batch_', lpad(CAST(day(CAST(ts AS DATE)) AS VARCHAR), 3, '0'), '_',
