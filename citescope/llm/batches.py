@@ -32,8 +32,12 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text_column: str = "text",
-           limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into row ranges of at most ``limit`` text bytes (one row at least)."""
+           limit: int = CHUNK_BYTES, tokens: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into row ranges of at most ``limit`` text bytes (one row at least). A
+    task that does not encode ``tokens`` gives a kept token memo's memory back first."""
+    if not tokens:
+        for key in [k for k in worker_store() if k.startswith("tokens ")]:
+            del worker_store()[key]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -91,7 +95,7 @@ class WordTokens(dict):
     SIGNS = b".,;:!?#*$%&|<>()"
     GROUP = 1000
 
-    def __init__(self, path: str, dtype: str = "<u4", bound: int = 120_000):
+    def __init__(self, path: str, dtype: str = "<u4", bound: int = 250_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, in_arrow, word_tokens
+from citescope.llm.batches import BATCH_BYTES, chunks, in_arrow, word_tokens
 from citescope.session import scratch_path
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, task int, "
@@ -198,7 +198,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         tokens = word_tokens(tokenizer)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=BATCH_BYTES, tokens=True):
             encoded = [x + end for x in tokens.encode(batch.column(1))]
             n = np.array([-(-len(x) // step) for x in encoded])
             parts = [x[a:a + step] for x in encoded for a in range(0, len(x), step)]

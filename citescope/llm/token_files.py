@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm.batches import chunks, in_arrow, word_tokens
+from citescope.llm.batches import BATCH_BYTES, chunks, in_arrow, word_tokens
 
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the .docs file
 READ_DOCS = 4096      # documents read from a shard at a time
@@ -74,7 +74,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
               store.open_output_stream(f"{path}/{name}.offsets") as offsets_file,
               store.open_output_stream(f"{path}/{name}.docs") as docs_file):
             offsets_file.write(np.zeros(1, "<i8").tobytes())
-            for batch in chunks(batches):
+            for batch in chunks(batches, limit=BATCH_BYTES, tokens=True):
                 encoded = [x + end for x in tokens.encode(batch.column(1))]
                 ends = at + np.cumsum([len(x) // width for x in encoded])
                 at = int(ends[-1])
