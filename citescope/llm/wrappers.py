@@ -7,11 +7,15 @@ agree stay, tokens that only some pages have become optional, a group that repea
 is a repeated group, and groups that differ inside are aligned inside. Texts are slots and
 never part of a token, so differing texts align by themselves.
 
-Pages are aligned with their host's wrapper, which tells what each slot is: the containers
-around a slot in the wrapper make it main text (``article``, ``main``) or page furniture
-(navigation, header, footer, sidebar, notice, advert, form, comments). A page's text is that of
-its main slots. A page without any falls back on the slots that are neither furniture nor link
-lists nor the same text on all pages of the host.
+Pages are aligned with their host's wrapper, and each slot is decided over all pages of the
+host that fill it (under the same path of tag names; a text aligned under another path says
+nothing about the slot). The containers around the text vote: main text (``article``, ``main``)
+or page furniture (navigation, header, footer, sidebar, notice, advert, form, comments). Where
+more than half the pages agree, the slot is that on every page; else the page's own containers
+count. A main slot that holds one and the same text on pages that differ otherwise, or
+is a repeated list of nothing but links, is furniture too. A page's text is that of its main
+slots. A page without any falls back on the slots that are neither furniture nor link lists nor
+the same text on all such pages of the host.
 
 Distinct streams are counted before anything is aligned, so a host that holds a third of all
 pages costs its distinct streams; those are folded in salted parts that merge per host, each
@@ -32,6 +36,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,12 +253,18 @@ def align(a: list[list], b: list[list]) -> list[list]:
 def kinds(items: list[list]) -> list[str]:
     """What each slot of a wrapper or stream is by its containers, in order: ``main``,
     ``furniture`` or ``other``."""
+    return [kind for kind, _ in placed(items)]
+
+
+def placed(items: list[list]) -> list[tuple[str, str]]:
+    """(kind, path of tag names) of each slot by its containers, in order."""
     stack: list[str] = []
     found = []
     for _, token in slots(items):
         if token in ("#", "@"):
             marks = {t[0] for t in stack}
-            found.append("furniture" if "!" in marks else "main" if "*" in marks else "other")
+            found.append(("furniture" if "!" in marks else "main" if "*" in marks else "other",
+                          "/".join(t.strip("!*<>") for t in stack)))
         elif token.startswith("</"):
             name = f"<{token[2:]}"
             for i in range(len(stack) - 1, -1, -1):
@@ -318,29 +329,34 @@ def slot_numbers(wrapper: list[list], tokens: list[str]) -> list[int]:
 
 
 class HostPages:
-    """Slots of pages under one host's wrapper, remembered per distinct stream."""
+    """Slots of pages under one host's wrapper, remembered per distinct stream. ``decided``
+    (JSON) has the slots that are not what each page's own containers make them."""
 
-    def __init__(self, wrapper: str | None):
+    def __init__(self, wrapper: str | None, decided: str | None = None):
         self.wrapper = json.loads(wrapper) if wrapper else []
-        self.kind = kinds(self.wrapper)
-        self.seen: dict[tuple, tuple[list[int], list[str]]] = {}
+        self.decided = {(d["slot"], d["path"]): d["kind"]
+                        for d in (json.loads(decided) if decided else [])}
+        self.seen: dict[tuple, tuple[list[int], list[tuple[str, str]]]] = {}
 
-    def of(self, tokens: list[str]) -> tuple[list[int], list[str]]:
-        """(slot number, kind) of each text of the page."""
+    def places(self, tokens: list[str]) -> tuple[list[int], list[tuple[str, str]]]:
+        """(slot number, (kind, path) by the page's own containers) of each text of the page."""
         key = tuple(tokens)
         if key not in self.seen:
             if len(self.seen) >= 1000:
                 self.seen.clear()
-            own = kinds([[t, 0] for t in tokens])
+            own = placed([[t, 0] for t in tokens])
             number = slot_numbers(self.wrapper, tokens)
             number += [-1] * (len(own) - len(number))
-            # the wrapper decides; a text it has no slot for, or a slot whose containers are
-            # not the page's own, goes by the page's containers
-            kind = [self.kind[n] if n >= 0 and self.kind[n] == k else k
-                    for n, k in zip(number, own)]
-            self.seen[key] = number, kind
+            self.seen[key] = number, own
         return self.seen[key]
 
+    def of(self, tokens: list[str]) -> tuple[list[int], list[str]]:
+        """(slot number, kind) of each text of the page: as decided for the host; the page's own
+        containers where it has no such slot."""
+        number, own = self.places(tokens)
+        return number, [self.decided.get((n, path), kind)
+                        for n, (kind, path) in zip(number, own)]
+
 
 def _pages(pages: DataFrame) -> DataFrame:
     url = F.col("url").cast("string")
@@ -404,34 +420,82 @@ def infer(pages: DataFrame) -> DataFrame:
     return spark.read.schema("host string, wrapper string").parquet(path)
 
 
-def _constant_slots(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, constant: slots that hold one and the same text on at least three different pages
-    of the host, for hosts with pages that have no main slot."""
+EVIDENCE = ("host string, slot int, path string, main int, furniture int, other int, plain boolean, "
+            "links boolean, least long, most long, page long, longest long, second long")
+
+
+def _evidence(host: str, tokens: list[str], texts: list[str], host_pages: HostPages
+              ) -> Iterator[tuple]:
+    """A row of EVIDENCE for each slot (and path) that a page fills."""
+    def digest(text: str) -> int:
+        value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        return value - (1 << 64) if value >> 63 else value
+
+    number, own = host_pages.places(tokens)
+    plain = all(kind != "main" for kind, _ in own)
+    links = [t == "@" for t in tokens if t in ("#", "@")]
+    filled: dict[tuple[int, str], list[int]] = {}
+    for i, n in enumerate(number):
+        if n >= 0:
+            filled.setdefault((n, own[i][1]), []).append(i)
+    page = digest("\n".join(texts))
+    by_length = sorted(set(texts), key=lambda t: (-len(t), t))[:3]
+    for (n, path), at in filled.items():
+        here = [own[i][0] for i in at]
+        kind = max(("main", "furniture", "other"), key=here.count)
+        held = {texts[i] for i in at}
+        hashes = [digest(t) for t in held]
+        others = [digest(t) for t in by_length if len(held) > 1 or t not in held]
+        yield (host, n, path, *(int(kind == k) for k in ("main", "furniture", "other")),
+               plain and kind == "other", len(at) > 1 and all(links[i] for i in at),
+               min(hashes), max(hashes), page, others[0] if others else None,
+               others[min(1, len(others) - 1)] if others else None)
+
+
+def decide(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, decided (JSON): the slots that the pages of a host decide otherwise than some page's
+    own containers do."""
+    names = [x.split()[0] for x in EVIDENCE.split(", ")]
+    types = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
+             [x.split()[1]] for x in EVIDENCE.split(", ")]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, HostPages] = {}
         for batch in chunks(batches, "html"):
-            out = []
+            out: list[tuple] = []
             for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
-                host_pages = hosts.setdefault(host, HostPages(wrapper))
-                tokens, texts = page_tokens(page)
-                number, kind = host_pages.of(tokens)
-                if "main" not in kind:
-                    whole = "\n".join(texts)
-                    out += [(host, n, t, whole) for n, k, t in zip(number, kind, texts)
-                            if n >= 0 and k == "other"]
+                if host not in hosts:
+                    hosts[host] = HostPages(wrapper)
+                out += _evidence(host, *page_tokens(page), hosts[host])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], kind) for i, kind in enumerate(
-                    (pa.string(), pa.int32(), pa.string(), pa.string()))],
-                names=["host", "slot", "text", "page"])
-
-    return (pages.where("html IS NOT NULL").join(wrappers, "host")
-            .select("host", "html", "wrapper")
-            .transform(in_arrow, rows, "host string, slot int, text string, page string")
-            .groupBy("host", "slot")
-            .agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"),
-                 F.approx_count_distinct(F.xxhash64("page")).alias("pages"))
-            .where("a = b AND pages >= 3")
-            .groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("constant")))
+                [pa.array([r[i] for r in out], kind) for i, kind in enumerate(types)], names=names)
+
+    slot = (pages.where("html IS NOT NULL").join(wrappers, "host")
+            .select("host", "html", "wrapper").transform(in_arrow, rows, EVIDENCE)
+            .groupBy("host", "slot", "path")
+            .agg(*[F.sum(k).alias(k) for k in ("main", "furniture", "other")],
+                 F.min("least").alias("least"), F.max("most").alias("most"),
+                 F.min(F.when(F.col("plain"), F.col("least"))).alias("plain_least"),
+                 F.max(F.when(F.col("plain"), F.col("most"))).alias("plain_most"),
+                 F.approx_count_distinct(F.when(F.col("plain"), F.col("page"))).alias("plain_pages"),
+                 F.sum(F.col("links").cast("int")).alias("links"),
+                 F.approx_count_distinct("page").alias("pages"),
+                 F.approx_count_distinct("longest").alias("longest"),
+                 F.approx_count_distinct("second").alias("second")))
+    pages_of = F.col("main") + F.col("furniture") + F.col("other")
+    voted = F.coalesce(*[F.when(2 * F.col(k) > pages_of, F.lit(k))
+                         for k in ("main", "furniture", "other")])
+    # pages that differ in their longest and in their second text are no copies of each other
+    differ = (F.col("longest") >= 3) & (F.col("second") >= 3)
+    template = (differ & (F.col("least") == F.col("most"))
+                | (F.col("pages") >= 3) & (2 * F.col("links") > pages_of))
+    constant = (F.col("plain_least") == F.col("plain_most")) & (F.col("plain_pages") >= 3)
+    kind = (F.when((voted == "main") & template, F.lit("furniture"))
+            .when(F.coalesce(voted, F.lit("other")).eqNullSafe("other") & constant, F.lit("constant"))
+            .when(F.greatest("main", "furniture", "other") < pages_of, voted))
+    return (slot.select("host", "slot", "path", kind.alias("kind")).where("kind IS NOT NULL")
+            .groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(
+                F.struct("slot", "path", "kind")))).alias("decided")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -440,31 +504,31 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = infer(pages)
     rows_in = _pages(pages)
     size = wrappers.agg(F.coalesce(F.max(F.length("wrapper") + F.length("host")), F.lit(1))).first()[0]
-    without_main = wrappers.where(~F.col("wrapper").contains('"*<'))
-    path = scratch_path(spark, "constants")
-    _constant_slots(rows_in, broadcast_if_small(without_main, size)).write.parquet(path)
-    constants = spark.read.schema("host string, constant array<int>").parquet(path)
-    known = broadcast_if_small(wrappers.join(constants, "host", "left"), size)
+    path = scratch_path(spark, "decided")
+    decide(rows_in, broadcast_if_small(wrappers, size)).write.parquet(path)
+    decided = spark.read.schema("host string, decided string").parquet(path)
+    size += decided.agg(F.coalesce(F.max(F.length("decided")), F.lit(0))).first()[0]
+    known = broadcast_if_small(wrappers.join(decided, "host", "left"), size)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, HostPages] = {}
         for batch in chunks(batches, "html"):
             texts_out = []
             columns = [batch.column(i).to_pylist() for i in (2, 3, 4, 5)]
-            for host, page, wrapper, constant in zip(*columns):
+            for host, page, wrapper, decided in zip(*columns):
                 if not page:
                     texts_out.append("")
                     continue
-                host_pages = hosts.setdefault(host, HostPages(wrapper))
+                if host not in hosts:
+                    hosts[host] = HostPages(wrapper, decided)
                 tokens, texts = page_tokens(page)
-                number, kind = host_pages.of(tokens)
+                _, kind = hosts[host].of(tokens)
                 if "main" in kind:
                     kept = [t for t, k in zip(texts, kind) if k == "main"]
                 else:
                     links = [t == "@" for t in tokens if t in ("#", "@")]
-                    fixed = set(constant or ())
-                    kept = [t for t, k, n, link in zip(texts, kind, number, links)
-                            if k == "other" and not link and n not in fixed]
+                    kept = [t for t, k, link in zip(texts, kind, links)
+                            if k == "other" and not link]
                 texts_out.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts_out, pa.string()),
@@ -472,5 +536,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"])
 
     return (rows_in.join(known, "host", "left")
-            .select("page_id", "url", "host", "html", "wrapper", "constant")
+            .select("page_id", "url", "host", "html", "wrapper", "decided")
             .transform(in_arrow, rows, "page_id long, url string, text string, n_chars long"))

@@ -125,3 +125,28 @@ def test_salted_parts_merge_to_one_wrapper_per_host(spark):
     assert [r.host for r in wrappers] == ["hot.org"]
     assert all(W.slot_numbers(json.loads(wrappers[0].wrapper), W.page_tokens(h)[0]) is not None
                for _, _, h in rows)
+
+
+def test_the_host_decides_a_slot_against_a_page_s_own_containers(spark):
+    def page(i, share="<div class=share>"):
+        return (f"<body><article><h1>Title {i}</h1>{share}Send {i}</div><section>Read more below</section>"
+                f"<p>Body {i} of the page</p><ul><li><a href=/{i}>see {i}</a><li><a href=/x{i}>and {i}</a>"
+                f"</ul></article></body>")
+
+    rows = [(i, "http://h.org/", page(i, "<div>" if i == 3 else "<div class=share>"))
+            for i in range(8)]
+    rows += [(20, "http://one.org/", page(20, "<div>"))]  # nothing but its own containers
+    got = {r.page_id: r.text for r in W.extract(frame(spark, rows).repartition(3)).collect()}
+    # page 3 has no class that tells, 'Read more below' and the link list are in every article
+    assert all(got[i] == f"Title {i}\nBody {i} of the page" for i in range(8))
+    assert got[20] == "Title 20\nSend 20\nRead more below\nBody 20 of the page\nsee 20\nand 20"
+
+
+def test_near_copies_and_other_paths_decide_nothing(spark):
+    rows = [(i, "http://copies.org/", "<article><h1>Same title</h1><p>The same long text of all "
+             f"copies</p><p>and a second one</p><p>no. {i}</p></article>") for i in range(6)]
+    rows += [(10 + i, "http://mixed.org/", f"<article><p>Text {i}</article>") for i in range(8)]
+    rows += [(30, "http://mixed.org/", "<nav><p>menu</nav><div>Only <b>plain</b></div>")]
+    got = {r.page_id: r.text for r in W.extract(frame(spark, rows)).collect()}
+    assert got[2] == "Same title\nThe same long text of all copies\nand a second one\nno. 2"
+    assert got[11] == "Text 1" and got[30] == "Only plain"
