@@ -150,3 +150,11 @@ def test_near_copies_and_other_paths_decide_nothing(spark):
     got = {r.page_id: r.text for r in W.extract(frame(spark, rows)).collect()}
     assert got[2] == "Same title\nThe same long text of all copies\nand a second one\nno. 2"
     assert got[11] == "Text 1" and got[30] == "Only plain"
+
+
+def test_constant_texts_of_a_host_that_has_a_main_region_elsewhere(spark):
+    rows = [(i, "http://mixed.org/", f"<body><section>Site name</section><div>Text {i}</div><p>More {i}</p></body>")
+            for i in range(6)]
+    rows.append((9, "http://mixed.org/", "<body><article><p>Main text</p></article></body>"))
+    got = {r.page_id: r.text for r in W.extract(frame(spark, rows)).collect()}
+    assert all(got[i] == f"Text {i}\nMore {i}" for i in range(6)) and got[9] == "Main text"
