@@ -11,9 +11,14 @@ term t, counted over the whole corpus,
 where p(c | t) is the share of t's occurrences that stand next to an entity of kind c and p(c)
 the share of all terms that do. It is 0 for a term that tells nothing about c and 1 for one that
 stands nowhere else. Terms of at least ``THRESHOLD`` that were seen next to at least
-``MIN_ENTITIES`` different entities of the kind (copies of one text show one) are added where
-they stand next to such an entity. ``sanitise`` generalises base spans to their kind and
-removes disclosing terms.
+``MIN_ENTITIES`` different entities of the kind (copies of one text show one) disclose the kind.
+
+The same is estimated for every single entity e (a kind and a value, such as one e-mail), over
+distinct texts, so that copies count once: p(e | t) is the share of the texts with t in which t
+stands next to e, p(e) the share of all texts that have e next to a term. A term of at least
+``THRESHOLD`` that stands next to e in at least ``MIN_TEXTS`` texts discloses e, and is added
+under e's kind. Every occurrence of an added term in every text is a span. ``sanitise``
+generalises base spans to their kind and removes disclosing terms.
 
 Positions are code points. Patterns are written without backtracking over long runs: atoms
 are possessive and a run is entered at its start only, which matches the same spans.
@@ -46,9 +51,9 @@ PATTERNS = {
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"\p{L}++"
 WINDOW = 3
-REACH = 80           # code points on either side in which the terms of a context are looked for
 BLOCK = 256          # matches whose positions are summed at a time
 MIN_ENTITIES = 5
+MIN_TEXTS = 2        # distinct texts; one alone cannot tell a term from its neighbours
 THRESHOLD = 0.9
 LABELS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
@@ -145,32 +150,59 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        ).withColumn("mark", F.xxhash64("text"))
 
 
+def _terms_before(terms: Column, at: Column) -> Column:
+    """How many of the sorted ``terms`` start before ``at``, by bisection: a context costs the
+    same wherever its terms stand."""
+    def step(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        less = (state["low"] < state["high"]) & (F.get(terms, middle)["start"] < at)
+        return F.struct(F.when(less, middle + 1).otherwise(state["low"]).alias("low"),
+                        F.when(less, state["high"]).otherwise(middle).alias("high"))
+
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(terms).cast("long"))))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(terms).alias("high")), step,
+                       lambda state: state["low"])
+
+
+def _context(terms: Column, span: Column) -> Column:
+    """(kind, value, term, term_start) of the terms next to a span, cut at its ends."""
+    def cut(x: Column, start: Column, end: Column) -> Column:
+        value = F.call_function("substring", x["value"], start - x["start"] + 1, end - start)
+        return F.struct(span["kind"].alias("kind"), span["value"].alias("value"),
+                        F.lower(value).alias("term"), start.alias("term_start"))
+
+    def sides(found: Column) -> Column:
+        before, inside = found["before"], found["inside"]
+        first = F.greatest(F.lit(0), before - WINDOW)
+        left = F.transform(F.slice(terms, first + 1, before - first), lambda x: cut(
+            x, x["start"], F.least(x["end"], span["start"])))
+        # the last term that starts before the end may go on behind it
+        later = F.filter(F.slice(terms, F.greatest(F.lit(1), inside), F.lit(WINDOW + 1)),
+                         lambda x: x["end"] > span["end"])
+        right = F.transform(F.slice(later, 1, WINDOW), lambda x: cut(
+            x, F.greatest(x["start"], span["end"]), x["end"]))
+        return F.concat(left, right)
+
+    # one-element arrays: what a lambda is given is evaluated once
+    return F.element_at(F.transform(F.array(F.struct(
+        _terms_before(terms, span["start"]).alias("before"),
+        _terms_before(terms, span["end"]).alias("inside"))), sides), 1)
+
+
 def contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, kind, value, term, start, end: the terms next to base spans."""
+    """doc_id, mark, kind, value, term, term_start: the terms next to base spans."""
     spans = (_keyed(docs).withColumn("spans", base_spans(F.col("text")))
              .where(F.size("spans") > 0)
-             .select("doc_id", "mark", "text", F.inline("spans")))
-    first = F.greatest(F.lit(0), F.col("start") - REACH)
-    before = F.call_function("substring", F.col("text"), first + 1, F.col("start") - first)
-    after = F.call_function("substring", F.col("text"), F.col("end") + 1, F.lit(REACH))
-    left = F.filter(_positions(before, TERM), lambda x: (x["start"] > 0) | (first == 0))
-    right = F.filter(_positions(after, TERM), lambda x: x["end"] < REACH)
-    near = F.concat(
-        F.transform(F.slice(F.reverse(left), 1, WINDOW), lambda x: F.struct(
-            F.lower(x["value"]).alias("term"), (first + x["start"]).alias("term_start"),
-            (first + x["end"]).alias("term_end"))),
-        F.transform(F.slice(right, 1, WINDOW), lambda x: F.struct(
-            F.lower(x["value"]).alias("term"),
-            (F.col("end") + x["start"]).alias("term_start"),
-            (F.col("end") + x["end"]).alias("term_end"))))
-    return spans.select("doc_id", "mark", "kind", "value", F.inline(near))
+             .select("doc_id", "mark", "spans", _positions(F.col("text"), TERM).alias("terms")))
+    near = F.flatten(F.transform("spans", lambda span: _context(F.col("terms"), span)))
+    return spans.select("doc_id", "mark", F.inline(near))
 
 
 def disclosing(docs: DataFrame, near: DataFrame, min_entities: int = MIN_ENTITIES,
-               threshold: float = THRESHOLD) -> DataFrame:
-    """kind, term: the terms whose disclosure of a kind reaches the threshold."""
+               threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """kind, term: the terms whose disclosure of a kind, or of one entity, reaches the threshold."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "candidates")
+    path, entities_path = scratch_path(spark, "candidates"), scratch_path(spark, "entities")
     # a position next to two entities of a kind counts once; so does each copy's position
     places = near.groupBy("kind", "term", "doc_id", "mark", "term_start").agg(
         F.count("*").alias("rows"))
@@ -180,11 +212,20 @@ def disclosing(docs: DataFrame, near: DataFrame, min_entities: int = MIN_ENTITIE
     joint.write.parquet(path)
     joint = spark.read.schema("kind int, term string, joint long, entities long").parquet(path)
     candidates = joint.where(F.col("entities") >= min_entities)
-    terms = candidates.select("term").distinct()
-    words = _keyed(docs).select(F.explode(F.regexp_extract_all(
-        F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    (near.select("kind", "value", "term", "mark").distinct().groupBy("kind", "value", "term")
+     .agg(F.count("*").alias("together")).where(F.col("together") >= min_texts)
+     .write.parquet(entities_path))
+    pairs = spark.read.schema("kind int, value string, term string, together long").parquet(entities_path)
+    counted_path = scratch_path(spark, "counted")
+    terms = candidates.select("term").union(pairs.select("term")).distinct()
+    words = _keyed(docs).select("mark", F.explode(F.regexp_extract_all(
+        F.col("text"), F.lit(TERM), F.lit(0))).alias("word")).select(
+        "mark", F.lower("word").alias("term"))
     known = broadcast_if_small(terms, 64)
-    counted = words.join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    (words.join(known, "term", "left_semi").groupBy("term", "mark").agg(F.count("*").alias("n"))
+     .groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+     .write.parquet(counted_path))
+    counted = spark.read.schema("term string, n long, texts long").parquet(counted_path)
     totals = _keyed(docs).agg(F.sum(F.size(F.regexp_extract_all(
         F.col("text"), F.lit(TERM), F.lit(0)))).alias("all"))
     by_kind = joint.groupBy("kind").agg(F.sum("joint").alias("of_kind"))
@@ -192,11 +233,20 @@ def disclosing(docs: DataFrame, near: DataFrame, min_entities: int = MIN_ENTITIE
               .withColumn("disclosure", 1 - F.try_divide(
                   F.log(F.least(F.lit(1.0), F.col("joint") / F.col("n"))),
                   F.log(F.col("of_kind") / totals.scalar()))))  # null where all terms stand next to c
-    return scored.where(F.col("disclosure") >= threshold).select("kind", "term")
+    texts = _keyed(docs).select("mark").distinct().agg(F.count("*").alias("all"))
+    by_entity = (near.select("kind", "value", "mark").distinct().groupBy("kind", "value")
+                 .agg(F.count("*").alias("of_entity")))
+    one = (pairs.join(counted, "term").join(by_entity, ["kind", "value"])
+           .withColumn("disclosure", 1 - F.try_divide(
+               F.log(F.least(F.lit(1.0), F.col("together") / F.col("texts"))),
+               F.log(F.col("of_entity") / texts.scalar()))))  # null where all texts have e
+    return (scored.select("kind", "term", "disclosure").union(one.select("kind", "term", "disclosure"))
+            .where(F.col("disclosure") >= threshold).select("kind", "term").distinct())
 
 
 def added_spans(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, mark, added: array of (start, kind number, end) of the disclosing terms."""
+    """doc_id, mark, added: array of (start, kind number, end) of the disclosing terms, wherever
+    they stand."""
     spark = docs.sparkSession
     path = scratch_path(spark, "contexts")
     near = contexts(docs)
@@ -205,12 +255,26 @@ def added_spans(docs: DataFrame, **options) -> DataFrame:
     found_path = scratch_path(spark, "disclosing")
     disclosing(docs, near, **options).write.parquet(found_path)
     found = spark.read.schema("kind int, term string").parquet(found_path)
+    terms = found.groupBy("term").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
     out_path = scratch_path(spark, "added")
-    (near.join(broadcast_if_small(found, 64), ["kind", "term"])
-     .groupBy(F.col("doc_id").alias("added_id"), F.col("mark").alias("added_mark"))
-     .agg(F.sort_array(F.collect_set(F.struct(
-         F.col("term_start").alias("start"), "kind", F.col("term_end").alias("end"))))
-         .alias("added")).write.parquet(out_path))
+    words = _keyed(docs).select("doc_id", "mark", F.explode(F.array_distinct(F.regexp_extract_all(
+        F.col("text"), F.lit(TERM), F.lit(0)))).alias("word"))
+    # which words of a text are disclosing terms: at most its distinct words
+    own = (words.withColumn("term", F.lower("word")).join(broadcast_if_small(terms, 64), "term")
+           .groupBy(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"))
+           .agg(F.map_from_entries(F.collect_set(F.struct("word", "kinds"))).alias("kinds_of")))
+    own_path = scratch_path(spark, "own-terms")
+    own.write.parquet(own_path)
+    own = spark.read.schema("own_id long, own_mark long, kinds_of map<string,array<int>>").parquet(own_path)
+    hit = (_keyed(docs).join(broadcast_if_small(own, 256), F.col("doc_id").eqNullSafe(F.col("own_id"))
+                      & (F.col("mark") == F.col("own_mark"))))
+    spans = F.flatten(F.transform(
+        F.filter(_positions(F.col("text"), TERM), lambda x: F.map_contains_key("kinds_of", x["value"])),
+        lambda x: F.transform(F.element_at("kinds_of", x["value"]), lambda kind: F.struct(
+            x["start"].alias("start"), kind.alias("kind"), x["end"].alias("end")))))
+    (hit.select(F.col("doc_id").alias("added_id"), F.col("mark").alias("added_mark"),
+                spans.alias("added")).groupBy("added_id", "added_mark")
+     .agg(F.first("added").alias("added")).write.parquet(out_path))
     return spark.read.schema("added_id long, added_mark long, "
                              "added array<struct<start:int,kind:int,end:int>>").parquet(out_path)
 

@@ -161,3 +161,17 @@ def test_query_digest(spark):
                                          ("4" * 13, False), ("0" * 19, True), ("0" * 20, False)])
 def test_card_check(spark, value, good):
     assert spark.range(1).select(P.VALID["card"](F.lit(value))).first()[0] is good
+
+
+def added_words(row, text):
+    return [text[int(a):int(b)] for kind, a, b in (x.split(":") for x in row.spans.split(",") if x)
+            if kind.endswith("_term")]
+
+
+def test_a_term_that_discloses_one_entity_is_added(make_docs):
+    rows = [(i, f"page {'abcd'[i]} by Zoltan a.b@c.de on {'wxyz'[i]}") for i in range(4)]
+    rows += [(20 + i, f"the page by nobody on {'klmnopqrst'[i]} day") for i in range(10)]
+    rows += [(40 + i, "copy of Onlyonce x@y.org") for i in range(6)]  # one text
+    got = {r.doc_id: r for r in P.find(make_docs(rows)).collect()}
+    for i, text in rows:
+        assert added_words(got[i], text) == (["Zoltan"] if i < 4 else []), text
