@@ -175,3 +175,23 @@ def test_a_term_that_discloses_one_entity_is_added(make_docs):
     got = {r.doc_id: r for r in P.find(make_docs(rows)).collect()}
     for i, text in rows:
         assert added_words(got[i], text) == (["Zoltan"] if i < 4 else []), text
+
+
+def test_every_occurrence_of_a_disclosing_term_goes(make_docs):
+    rows = disclosure_rows() + [(200, "HOTLINE? " + "- " * 60 + "a page about the Hotline"),
+                                (201, "no entity but hotline")]
+    got = {r.doc_id: r.text for r in P.sanitise(make_docs(rows), threshold=0.5).collect()}
+    assert "hotline" not in " ".join(got.values()).lower()
+    found = {r.doc_id: r for r in P.find(make_docs(rows), threshold=0.5).collect()}
+    assert [w for w in added_words(found[200], rows[-2][1]) if w.lower() == "hotline"] == [
+        "HOTLINE", "Hotline"]
+
+
+def test_contexts_have_no_character_bound(make_docs):
+    text = "éone two three four" + " 1" * 200 + " a@b.co" + "." * 300 + "é five 10.0.0.1 six é"
+    near = P.contexts(make_docs([(1, text)])).collect()
+    for k, value in ((0, "a@b.co"), (1, "10.0.0.1")):
+        a = text.index(value)
+        want = [m[0] for m in re.finditer(r"[^\W\d_]+", text[:a])][-P.WINDOW:] + [
+            m[0] for m in re.finditer(r"[^\W\d_]+", text[a + len(value):])][:P.WINDOW]
+        assert [r.term for r in near if r.kind == k] == want
