@@ -4,7 +4,7 @@ Each language is a smoothed multinomial over hashed character trigrams (lower-ca
 anything else is one blank), counted over all training documents. A document is a mixture of
 languages: expectation-maximisation on its trigram counts gives the language proportions.
 The language set is chosen by penalised likelihood: the languages are ordered by proportion,
-the mixture of the first k is fitted for k = 1 .. ``max_languages``, and the k with the largest
+the mixture of the first k is fitted for every k (up to ``max_languages``, if given), and the k with the largest
 log-likelihood - k/2 log(number of trigrams) wins. The prediction is the language with the
 largest share in the chosen set; the score is that share.
 
@@ -78,7 +78,7 @@ class LanguageModel:
     languages: list[str]  # sorted
     probability: np.ndarray  # language x bucket
 
-    def predict(self, texts: list[bytes], max_languages: int = 3
+    def predict(self, texts: list[bytes], max_languages: int | None = None
                 ) -> tuple[list[str], np.ndarray, list[str]]:
         names = self.languages
         pred, share, sets = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
@@ -108,7 +108,7 @@ class LanguageModel:
         order = np.argsort(-np.round(fit(full)[0], 6), axis=1, kind="stable")
         best = np.full(len(known), -np.inf)
         chosen = np.zeros_like(full)
-        for k in range(1, min(max_languages, len(names)) + 1):
+        for k in range(1, min(max_languages or len(names), len(names)) + 1):
             allowed = np.zeros_like(full)
             np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
             pi, fitted = fit(allowed)
@@ -159,7 +159,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages, (counts + weight * shared) / (own + weight))
 
 
-def predict(docs: DataFrame, model: LanguageModel, max_languages: int = 3) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, max_languages: int | None = None) -> DataFrame:
     """doc_id, lang_pred, score, languages (the chosen set with its shares)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

@@ -90,3 +90,20 @@ def test_held_out_accuracy(spark):
     right = held.where("lang = lang_pred").count()
     assert right >= 0.9 * held.count() > 0
     assert rows.where("held_out <> (crc32(cast(doc_id as string)) % 4 = 2)").count() == 0
+
+
+def test_a_text_of_four_languages_gets_all_four():
+    import numpy as np
+
+    from citescope.llm import language as L
+
+    texts = [" ".join(f"{a}{b}{a}{c}" for b in letters for c in letters for a in letters)
+             for letters in ("abcd", "efgh", "ijkl", "mnop")]
+    counts = np.full((4, L.BUCKETS), 0.01)
+    for i, text in enumerate(texts):
+        _, bucket, n, _ = L.trigram_counts([text.encode()])
+        counts[i, bucket] += n
+    model = L.LanguageModel(list("wxyz"), counts / counts.sum(axis=1, keepdims=True))
+    pred, share, sets = model.predict([" ".join(texts).encode(), texts[2].encode()])
+    assert sorted(x.split(":")[0] for x in sets[0].split(",")) == list("wxyz")
+    assert share[0] < 0.3 and pred[1] == "y" and sets[1] == "y:1.000"
