@@ -11,8 +11,14 @@ from itertools import compress, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+import citescope
+
+# Functions bring the package's code along: executors need no installed copy of it.
+cloudpickle.register_pickle_by_value(citescope)
+
 # Text bytes that one task works on at a time: bounds a Python worker's memory at any row size
 # (a single longer text is a chunk of its own).
 CHUNK_BYTES = 2 << 20

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm import (decontamination, language, packing, privacy, quality, simhash, token_files,
-                           toxicity, url_filter, wrappers)
+from citescope.llm import (conversations, decontamination, language, lexical, packing, pieces, privacy,
+                           quality, simhash, token_files, toxicity, url_filter, wrappers)
 from citescope.session import scratch_path
 
 
@@ -16,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,61 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.digests(conversations.repair(conversations.damage(rows)))
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).alias(c)
+          for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.decode(encoded.drop("text"), model).select(
+        "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("decimals", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = """
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n) AS words FROM sizes),
+found AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found, totals GROUP BY term),
+wanted AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+           // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM wanted JOIN found USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wrappers": op1_wrappers,
@@ -93,8 +148,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_privacy": op9_privacy,
         "op10_simhash": op10_simhash,
+        "op11_conversations": op11_conversations,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_lexical_search": OP13_SQL}
