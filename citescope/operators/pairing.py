@@ -1,25 +1,35 @@
 """Archive pairing (P1, P2), flat-mode matching (D2), archive grouping (E2) and the
-first-archive lookup (D3), all as JVM expressions over arrays held in one row.
-
-P1 works on the links of one reference element and is a pure function of that array: a JVM
-``aggregate`` whose state is (remaining archives, pairs so far); every link carries its URL
-parts, computed once. D2, E2 and D3 work on the links of one article, which arrive in the same
-row from the HTML parser: sorted arrays and maps with unique keys replace nested loops
-(``match_archives`` keeps the plain nested loop as the reference implementation the indexed
-version is tested against). Nothing here shuffles; the only grouping is within a row.
+first-archive lookup (D3) over arrays held in one row.
+
+URL forms are JVM expressions, computed once per link. What is matched with what is decided by
+``functions.matching`` over whole Arrow batches: P1 needs lists that shrink as archives are used
+and D2 an index of path containment, and neither has a form in array expressions that is not
+quadratic in the links. Grouping and lookups of an article's pairs are sorted arrays again.
+Nothing here shuffles.
 """
 
 from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citescope.functions import urls
+from citescope.functions import matching, urls
 from citescope.operators.staging import stage
 
-_PAIR_TYPE = "array<struct<original_url:string,archive_url:string>>"
+_PAIRS = "array<struct<ref_pos:int,ref_kind:string,pair_pos:int,original_url:string,archive_url:string>>"
+_UDFS: dict = {}
+
+
+def _arrow(function, kind: str):
+    """An Arrow function binds the context it is first used in, so one is kept per application."""
+    key = (SparkContext._active_spark_context.applicationId, function.__name__)
+    if key not in _UDFS:
+        _UDFS[key] = F.arrow_udf(function, kind)
+    return _UDFS[key]
 
 
 def _let(value: Column, body) -> Column:
@@ -35,141 +45,61 @@ def url_parts(u: Column) -> list[Column]:
             norm["dom"].alias("dom"), urls.url_path(u).alias("path")]
 
 
-def _parts_equivalent(a: Column, b: Column) -> Column:
-    """I4 on pre-computed parts (both URLs non-empty)."""
-    pa, pb = a["path"], b["path"]
-    path_match = (pa == pb) | ((pa != "") & (pb != "") & (pb.contains(pa) | pa.contains(pb)))
-    return ((a["basic"] == b["basic"]) | (a["norm"] == b["norm"])
-            | ((a["dom"] == b["dom"]) & path_match))
-
-
-def _archive_struct(href: Column, elem_key: Column, parent_key: Column, grandparent_key: Column,
-                    with_parts: bool) -> Column:
-    """An archive link with its embedded URL and that URL's parts (NULL parts: not needed)."""
-    if with_parts:
-        ex = _let(urls.archive_original(href), lambda x: F.struct(x.alias("ex"), *url_parts(x)))
-        fields = [ex["ex"].alias("ex"), ex["basic"].alias("basic"), ex["norm"].alias("norm"),
-                  ex["dom"].alias("dom"), ex["path"].alias("path")]
-    else:
-        fields = [F.lit(None).cast("string").alias(n) for n in ("ex", "basic", "norm", "dom", "path")]
-    return F.struct(href.alias("href"), elem_key.alias("elem_key"), parent_key.alias("parent_key"),
-                    grandparent_key.alias("grandparent_key"), *fields)
-
-
-def _neighbour(href: Column, key: Column) -> Column:
-    """Strategy 3/4 candidate: the first anchor inside the neighbouring element, if archival."""
-    return F.when(href.isNotNull() & urls.is_archive(href),
-                  _archive_struct(href, key, F.lit(None).cast("bigint"), F.lit(None).cast("bigint"),
-                                  with_parts=False))
-
-
-def _choose(o: Column, rem: Column) -> Column:
-    """Best archive for original ``o`` among the remaining archives ``rem`` (P1 order):
-    shared parent or grandparent or close sibling; equivalent embedded URL; archive inside the
-    next, then the previous element sibling; the first remaining archive."""
-    close = F.try_element_at(F.filter(rem, lambda a: (a["parent_key"] == o["parent_key"])
-                                      | (a["grandparent_key"] == o["grandparent_key"])
-                                      | F.array_contains(o["near_keys"], a["elem_key"])), F.lit(1))
-    by_url = F.try_element_at(F.filter(rem, lambda a: (a["ex"] != "") & _parts_equivalent(o, a)), F.lit(1))
-    return F.when(F.size(rem) > 0, F.coalesce(
-        close, by_url,
-        _neighbour(o["next_href"], o["next_key"]),
-        _neighbour(o["prev_href"], o["prev_key"]),
-        F.try_element_at(rem, F.lit(1))))
-
-
-def _remove_first(rem: Column, k: Column) -> Column:
-    """Drop the first remaining archive structurally equal to the chosen one (none: keep all)."""
-    return _let(F.coalesce(F.array_position(F.transform(rem, lambda a: a["elem_key"]), k), F.lit(0)),
-                lambda idx: F.when(idx == 0, rem).otherwise(F.concat(
-                    F.slice(rem, F.lit(1), idx - 1), F.slice(rem, idx + 1, F.greatest(F.size(rem), F.lit(1))))))
-
-
 def split_links(links: Column) -> tuple[Column, Column]:
     """External links of one reference split into originals and archives (list order), each
-    carrying the URL parts the pairing compares, computed once per link."""
+    carrying the URL parts the pairing compares, computed once per link; of a neighbour's link
+    only an archive's is kept."""
+    def neighbour(l: Column, side: str) -> list[Column]:
+        archival = urls.is_archive(l[f"{side}_href"])
+        return [F.when(archival, l[f"{side}_{x}"]).alias(f"{side}_{x}") for x in ("href", "key")]
+
+    def archive(l: Column) -> Column:
+        embedded = _let(urls.archive_original(l["href"]),
+                        lambda x: F.struct(x.alias("ex"), *url_parts(x)))
+        return F.struct(l["href"].alias("href"), l["elem_key"].alias("elem_key"),
+                        l["parent_key"].alias("parent_key"),
+                        l["grandparent_key"].alias("grandparent_key"),
+                        *(embedded[n].alias(n) for n in ("ex", "basic", "norm", "dom", "path")))
+
     ext = F.filter(links, lambda l: urls.is_external(l["href"]))
     origs = F.transform(F.filter(ext, lambda l: ~urls.is_archive(l["href"])), lambda l: F.struct(
         l["href"].alias("href"), l["parent_key"].alias("parent_key"),
         l["grandparent_key"].alias("grandparent_key"), l["near_keys"].alias("near_keys"),
-        l["next_href"].alias("next_href"), l["next_key"].alias("next_key"),
-        l["prev_href"].alias("prev_href"), l["prev_key"].alias("prev_key"), *url_parts(l["href"])))
-    archs = F.transform(F.filter(ext, lambda l: urls.is_archive(l["href"])), lambda l: _archive_struct(
-        l["href"], l["elem_key"], l["parent_key"], l["grandparent_key"], with_parts=True))
+        *neighbour(l, "next"), *neighbour(l, "prev"), *url_parts(l["href"])))
+    archs = F.transform(F.filter(ext, lambda l: urls.is_archive(l["href"])), archive)
     return origs, archs
 
 
-def _leftovers(rem: Column) -> Column:
-    return F.transform(rem, lambda a: F.struct(
-        F.coalesce(a["ex"], urls.archive_original(a["href"])).alias("original_url"),
-        a["href"].alias("archive_url")))
+def _pair_pages(pages: pa.Array) -> pa.Array:
+    return pa.array([None if refs is None else [
+        {"ref_pos": r["ref_pos"], "ref_kind": r["ref_kind"], "pair_pos": i, "original_url": o,
+         "archive_url": a}
+        for r in refs for i, (o, a) in enumerate(matching.pair_reference(r["origs"], r["archs"]))]
+        for refs in pages.to_pylist()], type=_PAIRS_ARROW)
 
 
-def pair_split(origs: Column, archs: Column) -> Column:
-    """P1 on pre-split links: ``array<struct<original_url, archive_url>>``.
+_PAIRS_ARROW = pa.list_(pa.struct([("ref_pos", pa.int32()), ("ref_kind", pa.string()),
+                                   ("pair_pos", pa.int32()), ("original_url", pa.string()),
+                                   ("archive_url", pa.string())]))
 
-    Greedy pass (both sides present): ``aggregate`` over the originals with state (remaining
-    archives, pairs); the chosen archive is bound once per step and the finish step appends
-    the leftover archives. Otherwise: originals de-duplicated by href, then every archive as a
-    leftover.
-    """
-    empty_pairs = F.array().cast(_PAIR_TYPE)
-
-    def step(acc, o):
-        def apply(best):
-            pairs = F.concat(acc["pairs"], F.array(F.struct(
-                o["href"].alias("original_url"),
-                F.coalesce(best["href"], F.lit("")).alias("archive_url"))))
-            rem = F.when(best.isNull(), acc["rem"]).otherwise(_remove_first(acc["rem"], best["elem_key"]))
-            return F.struct(rem.alias("rem"), pairs.alias("pairs"))
-        return _let(_choose(o, acc["rem"]), apply)
-
-    greedy = F.aggregate(origs, F.struct(archs.alias("rem"), empty_pairs.alias("pairs")), step,
-                         lambda acc: F.concat(acc["pairs"], _leftovers(acc["rem"])))
-    plain = F.concat(F.transform(F.array_distinct(F.transform(origs, lambda o: o["href"])),
-                                 lambda h: F.struct(h.alias("original_url"), F.lit("").alias("archive_url"))),
-                     _leftovers(archs))
-    return F.when((F.size(origs) > 0) & (F.size(archs) > 0), greedy).otherwise(plain)
-
-
-def pair_reference(links: Column) -> Column:
-    """P1 for one reference's links (column form, for use inside ``transform``)."""
-    return _let(F.struct(*[c.alias(n) for n, c in zip(("o", "a"), split_links(links))]),
-                lambda s: pair_split(s["o"], s["a"]))
 
+def pair_references(refs: Column) -> Column:
+    """P1 over all reference elements of a page, flattened in reference order.
 
-@functools.lru_cache(maxsize=None)
-def _row_pairing_exprs():
-    """The pairing expressions over fixed column names, built once per process (they are
-    large trees; rebuilding them costs driver round trips, not cluster work)."""
-    origs, archs = split_links(F.col("links"))
-    return origs, archs, pair_split(F.col("_origs"), F.col("_archs"))
+    Each element: ``struct<ref_pos, ref_kind, pair_pos, original_url, archive_url>``.
+    """
+    split = F.transform(refs, lambda r: F.struct(
+        r["ref_pos"].alias("ref_pos"), r["ref_kind"].alias("ref_kind"),
+        *(x.alias(n) for n, x in zip(("origs", "archs"), split_links(r["links"])))))
+    return _arrow(_pair_pages, _PAIRS)(split)
 
 
 def pair_reference_rows(refs_df: DataFrame, keys) -> DataFrame:
-    """P1 with one row per reference element: the split arrays are staged once per row,
-    then paired; no shuffle (each reference stays in its page's partition)."""
+    """P1 with one row per pair; no shuffle (each reference stays in its page's partition)."""
     k = list(keys)
-    per_ref = refs_df.select(*k, F.explode("refs").alias("r")).select(
-        *k, "r.ref_pos", "r.ref_kind", F.col("r.links").alias("links"))
-    origs, archs, pairs = _row_pairing_exprs()
-    staged = stage(per_ref, k + ["ref_pos", "ref_kind"], _origs=origs, _archs=archs)
-    return (staged.select(*k, "ref_pos", "ref_kind", F.posexplode(pairs).alias("pair_pos", "p"))
-            .select(*k, "ref_pos", "ref_kind", F.col("pair_pos").cast("int").alias("pair_pos"),
-                    "p.original_url", "p.archive_url"))
-
-
-def pair_references(refs: Column) -> Column:
-    """P1 over all reference elements of a page, flattened in reference order (per-page
-    array form, used where article-level arrays are needed: C5 and the flat modes).
-
-    Each element: ``struct<ref_pos, ref_kind, pair_pos, original_url, archive_url>``.
-    """
-    per_ref = F.transform(refs, lambda r: F.transform(
-        pair_reference(r["links"]), lambda p, i: F.struct(
-            r["ref_pos"].alias("ref_pos"), r["ref_kind"].alias("ref_kind"), i.alias("pair_pos"),
-            p["original_url"].alias("original_url"), p["archive_url"].alias("archive_url"))))
-    return F.flatten(per_ref)
+    paired = stage(refs_df, k, _pairs=pair_references(F.col("refs")))
+    return (paired.select(*k, F.explode("_pairs").alias("p"))
+            .select(*k, "p.ref_pos", "p.ref_kind", "p.pair_pos", "p.original_url", "p.archive_url"))
 
 
 def elements_close(parent1: Column, index1: Column, parent2: Column, index2: Column,
@@ -193,89 +123,24 @@ def archive_parts(links: Column) -> Column:
         urls.archive_original(u), lambda x: F.struct(u.alias("url"), x.alias("ex"), *url_parts(x))))
 
 
-def match_archives(links: Column, origs: Column | None = None, archs: Column | None = None) -> Column:
+def _match_pages(originals: pa.Array, archives: pa.Array) -> pa.Array:
+    return pa.array([matching.first_matches(o or [], a or []) for o, a in zip(
+        originals.to_pylist(), archives.to_pylist())], type=pa.list_(pa.int32()))
+
+
+def match_archives(df: DataFrame, keep) -> DataFrame:
     """For each archive link of one article, the first original (list order) equivalent to
     the URL embedded in the archive; NULL when none or when nothing can be extracted.
 
-    ``origs``/``archs`` should be ``original_parts(links)``/``archive_parts(links)`` staged in
-    an earlier projection (``staging.stage``), so every URL is normalised once per article and
-    the inner loop only compares fields.
-    Returns ``array<struct<archive_pos, archive_url, original_url>>`` in archive order.
-    """
-    origs = original_parts(links) if origs is None else origs
-    archs = archive_parts(links) if archs is None else archs
-
-    def best(a, i):
-        first = F.try_element_at(F.filter(origs, lambda o: _parts_equivalent(o, a)), F.lit(1))
-        return F.struct(i.alias("archive_pos"), a["url"].alias("archive_url"),
-                        F.when(a["ex"] != "", first["url"]).alias("original_url"))
-
-    return F.transform(archs, best)
-
-
-def _first_pos_map(sorted_kp: Column) -> Column:
-    """``map<k, first position>`` from an array of ``struct<k, pos>`` sorted by (k, pos)."""
-    starts = F.filter(sorted_kp, lambda x, j: (j == 0) | (
-        F.element_at(sorted_kp, F.greatest(j, F.lit(1))).getField("k") != x["k"]))
-    return F.map_from_entries(F.transform(starts, lambda x: F.struct(x["k"], x["pos"])))
-
-
-@functools.lru_cache(maxsize=None)
-def _indexed_exprs():
-    o = F.col("_origs")
-    sorted_keys = {
-        "_sb": F.array_sort(F.transform(o, lambda x, i: F.struct(x["basic"].alias("k"), i.alias("pos")))),
-        "_sn": F.array_sort(F.transform(o, lambda x, i: F.struct(x["norm"].alias("k"), i.alias("pos")))),
-        "_sdp": F.array_sort(F.transform(o, lambda x, i: F.struct(
-            F.struct(x["dom"].alias("d"), x["path"].alias("p")).alias("k"), i.alias("pos")))),
-        "_sd": F.array_sort(F.transform(o, lambda x, i: F.struct(
-            x["dom"].alias("d"), i.alias("pos"), x["path"].alias("path")))),
-    }
-    sd = F.col("_sd")
-    run_starts = F.filter(F.transform(sd, lambda x, j: F.struct(x["d"].alias("d"), j.alias("start"))),
-                          lambda y, j: (j == 0) | (F.element_at(sd, F.greatest(j, F.lit(1))).getField("d") != y["d"]))
-    maps = {
-        "_mb": _first_pos_map(F.col("_sb")),
-        "_mn": _first_pos_map(F.col("_sn")),
-        "_mdp": _first_pos_map(F.col("_sdp")),
-    }
-    st = F.col("_st")
-    ranges = F.map_from_entries(F.transform(st, lambda r, k: F.struct(r["d"], F.struct(
-        r["start"].alias("start"),
-        (F.coalesce(F.try_element_at(st, k + 2).getField("start"), F.size(sd)) - r["start"]).alias("count")))))
-
-    def best(a, i):
-        eq = F.least(F.try_element_at(F.col("_mb"), a["basic"]), F.try_element_at(F.col("_mn"), a["norm"]),
-                     F.try_element_at(F.col("_mdp"), F.struct(a["dom"].alias("d"), a["path"].alias("p"))))
-        rng = F.try_element_at(F.col("_dr"), a["dom"])
-        contained = F.when(rng.isNotNull() & (a["path"] != ""), F.try_element_at(F.filter(
-            F.slice(sd, rng["start"] + 1, rng["count"]),
-            lambda x: (x["path"] != "") & (x["path"].contains(a["path"]) | a["path"].contains(x["path"]))),
-            F.lit(1)).getField("pos"))
-        pos = F.least(eq, contained)
-        return F.struct(i.alias("archive_pos"), a["url"].alias("archive_url"),
-                        F.when((a["ex"] != "") & pos.isNotNull(),
-                               F.element_at(o, pos + 1).getField("url")).alias("original_url"))
-
-    return sorted_keys, run_starts, maps, ranges, F.transform(F.col("_archs"), best)
-
-
-def match_archives_indexed(df: DataFrame, keep) -> DataFrame:
-    """D2 with per-article indexes; same result as ``match_archives``.
-
-    ``df`` holds ``_origs`` (``original_parts``) and ``_archs`` (``archive_parts``). Three
-    equality branches of I4 become lookups in first-position maps (keys: I3 form, I1 form,
-    (host, path)); the containment branch scans only the originals of the archive's host,
-    a slice of the originals sorted by (host, position). Building the indexes is O(n log n)
-    per article; each archive then costs O(1) plus the size of its host's slice.
-    Adds ``matches`` (archive order); keeps ``keep``.
+    ``df`` holds ``_origs`` (``original_parts``) and ``_archs`` (``archive_parts``). Adds
+    ``matches``: ``array<struct<archive_pos, archive_url, original_url>>`` in archive order.
     """
     k = list(keep)
-    sorted_keys, run_starts, maps, ranges, matches = _indexed_exprs()
-    s1 = stage(df, k + ["_origs", "_archs"], **sorted_keys)
-    s2 = stage(s1, k + ["_origs", "_archs", "_sd"], _st=run_starts, **maps)
-    s3 = stage(s2, k + ["_origs", "_archs", "_sd", "_mb", "_mn", "_mdp"], _dr=ranges)
-    return stage(s3, k, matches=matches)
+    found = stage(df, k + ["_origs", "_archs"], _at=_arrow(_match_pages, "array<int>")(
+        F.col("_origs"), F.col("_archs")))
+    return stage(found, k, matches=F.transform("_archs", lambda a, i: F.struct(
+        i.alias("archive_pos"), a["url"].alias("archive_url"),
+        F.get("_origs", F.get("_at", i))["url"].alias("original_url"))))
 
 
 def first_archive_by_original(matches: Column) -> Column:

@@ -75,7 +75,7 @@ def flat_links(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> Da
     # Each array is staged once per article so later lambdas read it instead of re-deriving it.
     staged = stage(src, k, links=links)
     staged = stage(staged, k + ["links"], _origs=origs, _archs=archs)
-    return P.match_archives_indexed(staged, k + ["links"])
+    return P.match_archives(staged, k + ["links"])
 
 
 @functools.lru_cache(maxsize=None)

@@ -197,14 +197,20 @@ link_st = st.builds(_random_link,
 @settings(max_examples=12, deadline=None, suppress_health_check=SLOW_OK)
 @given(st.lists(st.lists(link_st, min_size=1, max_size=14, unique=True), min_size=1, max_size=12))
 def test_indexed_d2_equals_nested_loop(spark, articles):
-    from citescope.operators.pairing import (archive_parts, match_archives, match_archives_indexed,
-                                             original_parts)
+    from citescope.functions import urls as U
+    from citescope.operators.pairing import archive_parts, match_archives, original_parts
     df = spark.createDataFrame([(i, links) for i, links in enumerate(articles)], "id int, links array<string>")
     parts = df.select("id", "links", original_parts(F.col("links")).alias("_origs"),
                       archive_parts(F.col("links")).alias("_archs"))
-    simple = {r.id: [tuple(m) for m in r.m] for r in parts.select(
-        "id", match_archives(F.col("links"), F.col("_origs"), F.col("_archs")).alias("m")).collect()}
-    indexed = {r.id: [tuple(m) for m in r.matches] for r in match_archives_indexed(parts, ["id"]).collect()}
+    # The same by I4 on the URLs themselves, every archive against every original.
+    url = df.select("id", F.posexplode("links").alias("pos", "u"))
+    archives = url.where(U.is_archive("u")).withColumn("ex", U.archive_original("u"))
+    hits = (archives.alias("a").join(url.where(~U.is_archive("u")).alias("o"), (F.col("a.id") == F.col("o.id"))
+                                     & (F.col("a.ex") != "") & U.equivalent("o.u", "a.ex"), "left")
+            .groupBy("a.id", "a.pos", "a.u").agg(F.min_by("o.u", "o.pos").alias("o")).orderBy("pos").collect())
+    simple = {i: [(r.u, r.o) for r in hits if r.id == i] for i in range(len(articles))}
+    indexed = {r.id: [(m.archive_url, m.original_url) for m in r.matches]
+               for r in match_archives(parts, ["id"]).collect()}
     assert simple == indexed
 
 

@@ -186,11 +186,11 @@ def test_flat_mode_matching(spark):
              "https://archive.ph/zzz",                               # nothing extractable
              "https://web.archive.org/web/3/https://c.com/"]         # no equivalent original
     df = spark.createDataFrame([(links,)], "links array<string>")
-    df = df.select("links", original_parts(F.col("links")).alias("o"), archive_parts(F.col("links")).alias("a"))
-    r = df.select(match_archives(F.col("links"), F.col("o"), F.col("a")).alias("m")).first().m
-    assert [(m.archive_pos, m.original_url) for m in r] == [
+    df = match_archives(df.select("links", original_parts(F.col("links")).alias("_origs"),
+                                  archive_parts(F.col("links")).alias("_archs")), ["links"])
+    assert [(m.archive_pos, m.original_url) for m in df.first().matches] == [
         (0, "https://a.com/x"), (1, "https://b.com/long/path"), (2, None), (3, None)]
-    rest = df.select(links_to_check(F.col("links"), match_archives(F.col("links"), F.col("o"), F.col("a")))).first()[0]
+    rest = df.select(links_to_check(F.col("links"), F.col("matches"))).first()[0]
     assert rest == ["http://www.a.com/x/"]
 
 
@@ -204,12 +204,15 @@ def test_markup_guard_is_exact(spark):
 
 
 def test_archives_by_original_groups(spark):
-    from citescope.operators.pairing import archives_by_original, match_archives
+    from citescope.operators.pairing import (archive_parts, archives_by_original, match_archives,
+                                             original_parts)
     links = ["https://b.com/x", "https://a.com/y",
              "https://web.archive.org/web/1/https://a.com/y", "https://archive.today/https://b.com/x",
              "https://web.archive.org/web/2/http://a.com/y/", "https://web.archive.org/web/3/https://z.com/"]
     df = spark.createDataFrame([(links,)], "links array<string>")
-    got = df.select(archives_by_original(F.col("links"), match_archives(F.col("links"))).alias("g")).first().g
+    df = match_archives(df.select("links", original_parts(F.col("links")).alias("_origs"),
+                                  archive_parts(F.col("links")).alias("_archs")), ["links"])
+    got = df.select(archives_by_original(F.col("links"), F.col("matches")).alias("g")).first().g
     assert [(g.original_url, list(g.archives)) for g in got] == [
         ("https://b.com/x", ["https://archive.today/https://b.com/x"]),
         ("https://a.com/y", ["https://web.archive.org/web/1/https://a.com/y",
