@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citescope.session import scratch_path
+from citescope.sources.pages import save_page_files
+
 BASE_TABLES = ("pages", "events")
 
 FX_REFS = """
@@ -164,5 +167,19 @@ def register(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return frames
 
 
+_FILES: dict = {}
+
+
+def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_html`` as page files, the form in which crawled pages arrive: written once per
+    session and folder below the checkpoint folder."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _FILES:
+        path = scratch_path(spark, "fx-html")
+        save_page_files(register(spark, sf_dir)["fx_html"], path)
+        _FILES[key] = path
+    return spark.read.parquet(_FILES[key])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return register(spark, sf_dir)[name]
+    return html_files(spark, sf_dir) if name == "fx_html" else register(spark, sf_dir)[name]

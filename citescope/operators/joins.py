@@ -1,20 +1,3 @@
-"""Joins whose broadcast side is measured, never assumed."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+"""The size up to which a measured side is broadcast."""
 
 BROADCAST_BYTES = 8 << 20
-
-
-def broadcast_checked(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``side`` with a broadcast hint if its measured size is at most ``limit`` bytes (lengths of
-    its strings, eight bytes for each other value); else as it is, for a shuffle join with the
-    same result. Only for narrow sides: measuring costs one aggregate over it."""
-    size = F.lit(0).cast("long")
-    for name, kind in side.dtypes:
-        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) + 8 if kind == "string"
-                       else F.lit(8 if not kind.startswith("struct") else 32))
-    measured = side.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first().bytes
-    return F.broadcast(side) if measured <= limit else side

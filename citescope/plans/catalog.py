@@ -291,8 +291,8 @@ FROM (SELECT article_pos, title FROM fx_refs) a JOIN fx_html h ON a.title = h.ti
 def articles_with_html(spark, sf_dir):
     """D1 + B7: every article occurrence (one per reference row, titles repeat) with its HTML."""
     arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title")
-    pages = _t(spark, sf_dir, "fx_html").select("title", "html", "ingest_pos")
-    return PG.articles_with_html_chars(arts, pages).select("article_pos", "title", "html_chars")
+    return PG.articles_with_html_chars(arts, _t(spark, sf_dir, "fx_html")).select(
+        "article_pos", "title", "html_chars")
 
 
 @query("article_counts", _with("fx_refs", extra=[DUCK_FX_HTML]) + """
@@ -303,8 +303,7 @@ FROM fx_refs a""")
 def article_counts(spark, sf_dir):
     """E9."""
     arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title")
-    processed = PG.articles_with_html_chars(
-        arts, _t(spark, sf_dir, "fx_html").select("title", "html", "ingest_pos"))
+    processed = PG.articles_with_html_chars(arts, _t(spark, sf_dir, "fx_html"))
     return PG.article_counts(arts, processed)
 
 
@@ -583,8 +582,7 @@ def _build_audit(spark, sf_dir, browser: bool, full: bool) -> A.AuditResult:
     obs = _t(spark, sf_dir, "fx_browser") if browser else None
     if full:
         arts = _t(spark, sf_dir, "fx_refs").select("article_pos", "title").distinct()
-        pages = _t(spark, sf_dir, "fx_html").select("title", "html", "ingest_pos")
-        return A.audit(arts, pages, probes, obs, stamp=RUN_STAMP)
+        return A.audit(arts, _t(spark, sf_dir, "fx_html"), probes, obs, stamp=RUN_STAMP)
     pages = PG.min_content(_html(spark, sf_dir)).select("article_pos", "title", "html")
     return A.audit_pages(pages, probes, obs, stamp=RUN_STAMP)
 

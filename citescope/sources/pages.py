@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citescope.operators.joins import broadcast_checked
+from citescope.operators.joins import BROADCAST_BYTES
+from citescope.session import scratch_path
 
 MIN_CONTENT_CHARS = 100   # fixed value: HTML is kept only when longer than this
 
@@ -24,8 +25,7 @@ def read_pages(spark, path: str) -> DataFrame:
 
 
 def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
-    """Stores pages bucketed and sorted by title, so that D1 with an unbounded article list
-    exchanges only the article list, never the HTML."""
+    """Stores pages bucketed and sorted by title, for joins of their own by title."""
     pages.write.mode("overwrite").bucketBy(buckets, "title").sortBy("title").saveAsTable(table)
 
 
@@ -34,46 +34,127 @@ def min_content(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.where(F.col(html).isNotNull() & (F.length(html) > MIN_CONTENT_CHARS))
 
 
-def unique_pages(pages: DataFrame, order_col: str = "ingest_pos") -> DataFrame:
-    """A5: one page per title, the last by ``order_col``; rows of one title and place are one
-    page. Without that column the page whose content hash is largest, the same on every run.
-
-    The last place of each title is found on narrow rows; pages only meet the short list of
-    places that lose, which is broadcast while measured small, so content is not exchanged."""
-    rest = [c for c in pages.columns if c not in ("title", order_col)]
-    mark = F.col(order_col).cast("long") if order_col in pages.columns else F.xxhash64(*rest)
-    marked = pages.select("title", *rest, F.coalesce(mark, F.lit(-(1 << 63))).alias("_mark"))
-    places = marked.groupBy("title", "_mark").agg(F.count("*").alias("n"))
-    last = places.groupBy("title").agg(F.max("_mark").alias("last"))
-    losers = (places.join(last, "title").where("_mark <> last").select("title", "_mark"))
-    kept = marked.join(broadcast_checked(losers), ["title", "_mark"], "left_anti")
-    if places.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["title", "_mark"])
-    return kept.select("title", *rest)
+# ---- late HTML: content is read once, at the addresses of the pages that count ------------------
+#
+# A page's address is its file and its row there, from the scan's own metadata. Which pages count
+# is decided on narrow rows (title, place, length, address). Their addresses, 64 rows of a file to
+# a bit set, then meet the one scan that reads content: always as a broadcast side of checked
+# size, so content is never exchanged. Beyond that size the addresses are cut at file boundaries
+# into ranges of files; each range is a scan of its own files, and every file is still read once.
+
+_BITS = 64
+_ADDRESS = ["_file", "_row"]
+
+
+def save_page_files(pages: DataFrame, path: str) -> DataFrame:
+    """Writes pages as Parquet with the length of their HTML (``html_chars``), so that what
+    counts (B3, A5) is decided without reading content, and returns them read back."""
+    pages.withColumn("html_chars", F.length("html")).write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
+def _addressed(pages: DataFrame) -> DataFrame:
+    """Pages with their addresses; pages that are no Parquet scan are written as files first."""
+    def with_address(p: DataFrame) -> DataFrame:
+        return p.select("*", F.col("_metadata.file_path").alias("_file"),
+                        F.col("_metadata.row_index").alias("_row"))
+
+    hidden = pages._jdf.queryExecution().analyzed().metadataOutput()
+    hidden = [hidden.apply(i) for i in range(hidden.size())]
+    if any(c.name() == "_metadata" and "row_index" in c.dataType().simpleString() for c in hidden):
+        return with_address(pages)
+    return with_address(save_page_files(pages, scratch_path(pages.sparkSession, "pages")))
+
+
+def _index(addressed: DataFrame, enough: bool) -> DataFrame:
+    """Title, place, length and address of every page: narrow, without content where the files
+    hold its length. Without a place pages are told apart by a hash of what they hold."""
+    columns = addressed.columns
+    rest = [c for c in columns if c not in ("title", "ingest_pos", "html_chars", *_ADDRESS)]
+    mark = F.col("ingest_pos").cast("long") if "ingest_pos" in columns else F.xxhash64(*rest)
+    chars = F.col("html_chars") if "html_chars" in columns else F.length("html")
+    narrow = addressed.select("title", F.coalesce(mark, F.lit(-(1 << 63))).alias("_mark"),
+                              *([chars.alias("html_chars")] if "html" in columns else []), *_ADDRESS)
+    return narrow.where(F.col("html_chars") > MIN_CONTENT_CHARS) if enough else narrow
+
+
+def _last(index: DataFrame) -> DataFrame:
+    """A5: the last page of every title; of rows with one place, one. A null title is a title."""
+    newest = F.max(F.struct("_mark", *_ADDRESS, *[c for c in index.columns if c == "html_chars"]))
+    return index.groupBy("title").agg(newest.alias("p")).select("title", "p.*")
+
+
+def _read_at(addressed: DataFrame, chosen: DataFrame, columns: list[str],
+             occurrences: bool = False, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``columns`` of the pages at ``chosen`` addresses, by one scan of content. With
+    ``occurrences`` a page comes once for every ``article_pos`` chosen with its address."""
+    spark = addressed.sparkSession
+    word, bit = F.expr(f"_row div {_BITS}").alias("_word"), F.expr(f"cast(_row % {_BITS} as int)")
+    places = [F.collect_list(F.struct(bit.alias("bit"), "article_pos")).alias("_places")]
+    path = scratch_path(spark, "page-addresses")
+    (chosen.groupBy("_file", word)
+     .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_set"),
+          *(places if occurrences else [])).write.parquet(path))
+    words = spark.read.parquet(path)
+    size = F.octet_length("_file") + 24
+    if occurrences:
+        size = size + 16 * F.size("_places")
+    total = words.agg(F.coalesce(F.sum(size), F.lit(0))).head()[0]
+    ranges = [(None, None, total)]
+    if total > limit:
+        ranges = [(r.first, r.last, r.bytes) for r in words.repartitionByRange(
+            2 * total // limit + 1, "_file").groupBy(F.spark_partition_id()).agg(
+                F.min("_file").alias("first"), F.max("_file").alias("last"),
+                F.sum(size).alias("bytes")).collect()]  # one row a range of files
+    found = None
+    for first, last, held in ranges:
+        side, content = words, addressed
+        if first is not None:
+            side = words.where(F.col("_file").between(first, last))
+            content = addressed.where(F.col("_file").between(first, last))
+        # One file whose addresses alone are beyond the limit is left to a shuffle join.
+        side = F.broadcast(side) if held <= limit or first != last else side
+        content = content.select(*columns, *_ADDRESS, F.expr(f"_row div {_BITS}").alias("_word"))
+        part = (content.join(side, ["_file", "_word"])
+                .where(F.call_function("getbit", F.col("_set"), bit) == 1))
+        if occurrences:
+            mine = F.filter("_places", lambda x: x["bit"] == bit)
+            part = part.select(*columns, F.explode(mine).alias("_p")).select(
+                *columns, "_p.article_pos")
+        part = part.select(*columns, *(["article_pos"] if occurrences else []))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def unique_pages(pages: DataFrame) -> DataFrame:
+    """A5: one page per title, the last by ``ingest_pos``; rows of one title and place are one
+    page. Without that column the page whose content hash is largest, the same on every run."""
+    rest = [c for c in pages.columns if c not in ("title", "ingest_pos", "html_chars")]
+    addressed = _addressed(pages)
+    return _read_at(addressed, _last(_index(addressed, enough=False)), ["title", *rest])
 
 
 def listed_pages(articles: DataFrame, pages: DataFrame, columns=("html",)) -> DataFrame:
-    """D1 + B3 + A5: the last page of every listed title that has enough content. The list is
-    broadcast while it is measured small, so that HTML is not exchanged; beyond that the planner
-    joins by title (``save_pages`` keeps such pages bucketed)."""
-    order = [c for c in ("ingest_pos",) if c in pages.columns]
-    own = min_content(pages).select("title", "html", *order)
+    """D1 + B3 + A5: the last page of every listed title that has enough content."""
+    addressed = _addressed(pages)
     titles = articles.select("title").distinct()
-    listed = own.join(broadcast_checked(titles), "title", "left_semi")
-    return unique_pages(listed).select("title", *columns)
+    listed = _index(addressed, enough=True).join(titles, "title", "left_semi")
+    return _read_at(addressed, _last(listed), ["title", *columns])
 
 
 def articles_with_html(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """D1 + B7: article occurrences that have HTML (inner join; repeated titles kept)."""
-    return articles.join(listed_pages(articles, pages), "title", "inner")
+    addressed = _addressed(pages)
+    chosen = articles.select("article_pos", "title").join(
+        _last(_index(addressed, enough=True)), "title")
+    return _read_at(addressed, chosen, ["title", "html"], occurrences=True).select(
+        "title", "article_pos", "html")
 
 
 def articles_with_html_chars(articles: DataFrame, pages: DataFrame) -> DataFrame:
-    """D1 + B7 with the length of the HTML, taken before anything is joined."""
-    narrow = unique_pages(min_content(pages).select(
-        "title", F.length("html").alias("html_chars"), *[c for c in ("ingest_pos",)
-                                                         if c in pages.columns]))
-    return articles.join(narrow, "title", "inner")
+    """D1 + B7 with the length of the HTML alone."""
+    last = _last(_index(_addressed(pages), enough=True)).select("title", "html_chars")
+    return articles.join(last, "title", "inner")
 
 
 def article_counts(articles: DataFrame, processed: DataFrame) -> DataFrame:

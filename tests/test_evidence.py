@@ -34,7 +34,9 @@ def test_bucketed_evidence_is_not_shuffled(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
-def test_bucketed_pages_keep_html_in_place(spark):
+def test_pages_saved_as_a_table(spark):
+    """Bucketed pages are a source like any other: content is read in place, at addresses."""
+    from citescope.plans.audit import audit
     from citescope.sources.pages import articles_with_html, save_pages
     fx = FX.register(spark, SF)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -44,34 +46,13 @@ def test_bucketed_pages_keep_html_in_place(spark):
     try:
         arts = fx["fx_refs"].select("article_pos", "title")
         joined = articles_with_html(arts, spark.table("cs_pages_b"))
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "Bucketed: true" in plan
-        scan = [l for l in plan.split("\n") if "cs_pages_b" in l][0]
-        assert "html" in scan                                       # ... the HTML is read in place
-        assert joined.count() == arts.count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
-@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
-def test_audit_over_bucketed_pages_does_not_move_html(spark):
-    from citescope.plans.audit import audit
-    from citescope.sources.pages import save_pages
-    fx = FX.register(spark, SF)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    save_pages(fx["fx_html"].select("title", "html", "ingest_pos"), "cs_pages_b2", parts)
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        arts = fx["fx_refs"].select("article_pos", "title").distinct()
-        rep = audit(arts, spark.table("cs_pages_b2"), fx["fx_probe"], fx["fx_browser"], stamp="S").report
-        plan = rep._jdf.queryExecution().executedPlan().toString()
-        lines = plan.split("\n")
-        scan = next(i for i, l in enumerate(lines) if "cs_pages_b2" in l)
-        assert "Bucketed: true" in lines[scan]
-        # no exchange directly above the HTML scan (the projection/filter sit between)
-        above = [l for l in lines[max(0, scan - 4):scan] if "Exchange" in l]
-        assert not above, above
-        assert rep.count() == fx["fx_refs"].count()
+        rep = audit(arts.distinct(), spark.table("cs_pages_b"), fx["fx_probe"], fx["fx_browser"], stamp="S").report
+        for df in (joined, rep):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            scans = [i for i, l in enumerate(lines) if "cs_pages_b" in l and "html" in l.split("ReadSchema")[-1]]
+            assert len(scans) == 1
+            # no exchange directly above the HTML scan (the projection/filter sit between)
+            assert not [l for l in lines[max(0, scans[0] - 4):scans[0]] if "Exchange hash" in l]
+        assert joined.count() == arts.count() and rep.count() == fx["fx_refs"].count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
