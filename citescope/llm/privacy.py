@@ -16,8 +16,8 @@ stands nowhere else. Terms of at least ``THRESHOLD`` that were seen next to at l
 The same is estimated for every single entity e (a kind and a value, such as one e-mail), over
 distinct texts, so that copies count once: p(e | t) is the share of the texts with t in which t
 stands next to e, p(e) the share of all texts that have e next to a term. A term of at least
-``THRESHOLD`` that stands next to e in at least ``MIN_TEXTS`` texts discloses e, and is added
-under e's kind. Every occurrence of an added term in every text is a span. ``sanitise``
+``THRESHOLD`` that stands next to e in at least ``MIN_TEXTS`` texts and in as many different
+contexts (near copies of a text share theirs) discloses e, and is added under e's kind. Every occurrence of an added term in every text is a span. ``sanitise``
 generalises base spans to their kind and removes disclosing terms.
 
 Positions are code points. Patterns are written without backtracking over long runs: atoms
@@ -190,14 +190,46 @@ def _context(terms: Column, span: Column) -> Column:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, kind, value, term, term_start: the terms next to base spans."""
+    """doc_id, mark, kind, value, term, term_start, context: the terms next to base spans, with a
+    hash of all terms next to the span."""
     spans = (_keyed(docs).withColumn("spans", base_spans(F.col("text")))
              .where(F.size("spans") > 0)
              .select("doc_id", "mark", "spans", _positions(F.col("text"), TERM).alias("terms")))
-    near = F.flatten(F.transform("spans", lambda span: _context(F.col("terms"), span)))
+    def hashed(found: Column) -> Column:
+        context = F.xxhash64(F.transform(found, lambda x: x["term"]))
+        return F.transform(found, lambda x: F.struct(
+            *(x[c].alias(c) for c in ("kind", "value", "term", "term_start")),
+            context.alias("context")))
+
+    near = F.flatten(F.transform(
+        F.transform("spans", lambda span: _context(F.col("terms"), span)), hashed))
     return spans.select("doc_id", "mark", F.inline(near))
 
 
+def _counted(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of each known term its occurrences ``n`` and the number of distinct ``texts`` it is in.
+
+    A text that the corpus holds c times counts 1/c in each copy, so that only sums by term are
+    exchanged; the sums are whole numbers but for rounding. Copies are counted on hashes, and
+    only texts that have some are looked up."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "copies")
+    (_keyed(docs).groupBy("mark").agg(F.count("*").alias("copies")).where("copies > 1")
+     .write.parquet(path))
+    copies = spark.read.schema("mark long, copies long").parquet(path)
+    words = F.array_sort(F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower))
+    rows = (_keyed(docs).join(broadcast_if_small(copies, 16), "mark", "left")
+            .select(F.coalesce("copies", F.lit(1)).alias("copies"), F.inline(F.array(F.struct(
+                words.alias("words"))))))
+    # Sorted, so that the first of equal words is the one behind another word.
+    each = rows.select("copies", F.inline(F.transform("words", lambda w, i: F.struct(
+        w.alias("term"), ((i == 0) | (F.get("words", i - 1) != w)).alias("first")))))
+    return (each.join(known, "term", "left_semi").groupBy("term")
+            .agg(F.count("*").alias("n"),
+                 F.round(F.sum(F.when(F.col("first"), 1 / F.col("copies")).otherwise(0.0)))
+                 .cast("long").alias("texts")))
+
+
 def disclosing(docs: DataFrame, near: DataFrame, min_entities: int = MIN_ENTITIES,
                threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS) -> DataFrame:
     """kind, term: the terms whose disclosure of a kind, or of one entity, reaches the threshold."""
@@ -212,19 +244,15 @@ def disclosing(docs: DataFrame, near: DataFrame, min_entities: int = MIN_ENTITIE
     joint.write.parquet(path)
     joint = spark.read.schema("kind int, term string, joint long, entities long").parquet(path)
     candidates = joint.where(F.col("entities") >= min_entities)
-    (near.select("kind", "value", "term", "mark").distinct().groupBy("kind", "value", "term")
-     .agg(F.count("*").alias("together")).where(F.col("together") >= min_texts)
-     .write.parquet(entities_path))
+    (near.groupBy("kind", "value", "term")
+     .agg(F.count_distinct("mark").alias("together"), F.count_distinct("context").alias("contexts"))
+     .where((F.col("together") >= min_texts) & (F.col("contexts") >= min_texts))
+     .drop("contexts").write.parquet(entities_path))
     pairs = spark.read.schema("kind int, value string, term string, together long").parquet(entities_path)
     counted_path = scratch_path(spark, "counted")
     terms = candidates.select("term").union(pairs.select("term")).distinct()
-    words = _keyed(docs).select("mark", F.explode(F.regexp_extract_all(
-        F.col("text"), F.lit(TERM), F.lit(0))).alias("word")).select(
-        "mark", F.lower("word").alias("term"))
-    known = broadcast_if_small(terms, 64)
-    (words.join(known, "term", "left_semi").groupBy("term", "mark").agg(F.count("*").alias("n"))
-     .groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-     .write.parquet(counted_path))
+    counted = _counted(docs, broadcast_if_small(terms, 64))
+    counted.write.parquet(counted_path)
     counted = spark.read.schema("term string, n long, texts long").parquet(counted_path)
     totals = _keyed(docs).agg(F.sum(F.size(F.regexp_extract_all(
         F.col("text"), F.lit(TERM), F.lit(0)))).alias("all"))
