@@ -16,7 +16,8 @@ position left out, which finds every overlap at 0.8 of fewer than ten words.
 
 Defined cases: null texts have no words; items of fewer than ``MIN_ITEM_WORDS`` words are no
 evidence and never match; repeated items and repeated rows are found each; rows with a null
-doc_id or item_id never match; of several overlaps of a document with an item the longest is
+doc_id or item_id never match in ``leaks``; ``keep_clean`` judges every row by its text, so ids
+may be null or repeated; of several overlaps of a document with an item the longest is
 reported, then the one with most agreeing words, then the first; empty tables give no rows;
 other columns are ignored (``leaks``) or pass through untouched (``keep_clean``); texts are
 read whole.
@@ -36,7 +37,9 @@ from citescope.llm.batches import chunks, in_arrow, word_ids
 from citescope.llm.joins import broadcast_if_small
 from citescope.session import scratch_path
 
-MASKS = ("1101011", "11100101", "110010011", "1010011001")  # weight 5, spans 7 to 10
+# Weight 5, spans 6 to 10: every overlap of 12 words and more at 0.8 has a window that agrees
+# under one of them, whichever words are substituted.
+MASKS = ("111011", "1101011", "11100101", "110010011", "1010011001")
 MIN_ITEM_WORDS = 5
 MIN_WORDS = 12
 IDENTITY = 0.8
@@ -222,9 +225,11 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a verified overlap, all columns as they are."""
+    """The rows of ``docs`` whose text has no verified overlap, all columns as they are. Texts
+    are told apart by a 64-bit hash, so that rows of one id are judged each."""
     spark = docs.sparkSession
     path = scratch_path(spark, "leaks")
-    leaks(docs, items, **options).write.parquet(path)
-    leaked = spark.read.schema(LEAKS).parquet(path).select("doc_id").distinct()
-    return docs.join(broadcast_if_small(leaked, 8), "doc_id", "left_anti").select(*docs.columns)
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    leaks(docs.select(mark.alias("doc_id"), "text"), items, **options).write.parquet(path)
+    leaked = spark.read.schema(LEAKS).parquet(path).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(broadcast_if_small(leaked, 8), mark == F.col("leaked"), "left_anti")

@@ -139,17 +139,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of every group, that of the smallest doc_id; all columns as
-    they are. Rows with a null doc_id stay; rows that repeat a doc_id are one document, of
-    which one row stays."""
+    """``docs`` with exactly one row of every group, all columns as they are: that of the smallest
+    doc_id, a null one last; of several texts with that id the one of the smallest hash; of rows
+    that repeat it one. Rows are told apart by id and a 64-bit hash of the text, so an id that
+    stands for several texts loses none of them but to its own group."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "groups")
-    near_duplicates(docs, shingle).write.parquet(path)
-    groups = spark.read.schema("doc_id long, fp long, component_id long").parquet(path)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(dropped, 8), "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.where("doc_id IS NULL").union(
-            kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept
+    key = [F.col("doc_id").cast("long").alias("doc_id"),
+           F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")]
+    names = ["row_id", "row_mark"]
+    path, lost_path = scratch_path(spark, "groups"), scratch_path(spark, "lost")
+    # The fingerprint follows from the text, so one row per text hash is enough.
+    fingerprints(docs.select(key[1].alias("doc_id"), "text"), shingle).distinct().write.parquet(path)
+    fps = spark.read.schema("doc_id long, fp long").parquet(path).withColumnRenamed("doc_id", "mark")
+    group = components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
+    grouped = (fps.join(group, "fp", "left")
+               .select("mark", F.coalesce("component", "fp").alias("component")))
+    rows = docs.select(*key).groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    texts = (rows.groupBy("mark").agg(F.min(F.struct(no_id, "doc_id")).alias("least"))
+             .join(grouped, "mark"))
+    first = texts.groupBy("component").agg(F.min(F.struct("least", "mark")).alias("first"))
+    rows = rows.join(texts.join(first, "component").select(
+        "mark", F.col("first.least.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")),
+        "mark")
+    kept = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    (rows.where(~kept | (F.col("n") > 1))
+     .select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1]), kept.alias("kept"))
+     .write.parquet(lost_path))
+    lost = spark.read.schema("row_id long, row_mark long, kept boolean").parquet(lost_path)
+    same = (F.col("row_id").eqNullSafe(F.col("doc_id").cast("long"))
+            & (F.col("row_mark") == F.xxhash64(
+                F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    alone = docs.join(broadcast_if_small(lost.drop("kept"), 17), same, "left_anti")
+    repeated = lost.where("kept").drop("kept")
+    if not repeated.limit(1).count():
+        return alone
+    again = (docs.join(broadcast_if_small(repeated, 17), same)
+             .dropDuplicates(names).select(*docs.columns))
+    return alone.unionByName(again)

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -83,7 +84,32 @@ def test_odd_rows_repeats_and_nulls(spark, make_docs, odd_rows):
     kept = D.keep_clean(docs, tests)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
-        [str(i) for i, _ in odd_rows] + ["None"])
+        [str(i) for i, _ in odd_rows])
+
+
+def test_rows_are_judged_by_their_own_text(spark, make_docs):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    rows = [(1, line), (1, "a clean text"), (None, line), (None, "another clean text"), (2, line)]
+    kept = D.keep_clean(make_docs(rows), items(spark, [(1, line)])).collect()
+    assert sorted(r.text for r in kept) == ["a clean text", "another clean text"]
+
+
+def test_masks_reach_every_pattern_of_substitutions():
+    """A window of an overlap agrees under some mask, whichever words of 12 to 25 differ; longer
+    overlaps hold one of these."""
+    for n in range(12, 26):
+        windows = [sum(1 << i + at for i, use in enumerate(m) if use == "1")
+                   for m in D.MASKS for at in range(n - len(m) + 1)]
+        for changed in combinations(range(n), n - -(-8 * n // 10)):
+            bits = sum(1 << i for i in changed)
+            assert any(w & bits == 0 for w in windows), (n, changed)
+
+
+def test_overlap_with_three_neighbours_substituted(spark, make_docs):
+    words = [f"word{i}" for i in range(15)]
+    changed = words[:6] + ["x", "y", "z"] + words[9:]
+    got = D.leaks(make_docs([(1, " ".join(changed))]), items(spark, [(1, " ".join(words))])).collect()
+    assert [(r.doc_id, r.n_words, r.n_equal) for r in got] == [(1, 15, 12)]
 
 
 def test_empty_tables(spark, make_docs):

@@ -92,5 +92,5 @@ def test_stage_names_and_registration(spark):
     found = E.queries()
     assert found["pipeline"] is C.run and "pipeline" not in E.oracle_sql()
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries())
-    assert numbers == list(range(1, 11)) and set(queries()) <= set(found)
+    assert numbers == list(range(1, 14)) and set(queries()) <= set(found)
     assert quality.MIN_WORDS == 50

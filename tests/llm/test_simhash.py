@@ -88,7 +88,26 @@ def test_near_duplicates_and_kept_rows(make_docs, odd_rows):
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
-        {str(i) for i, c in zip(ids, label) if i is None or smallest[c] == i})
+        {str(smallest.get(c)) for c in label})
+
+
+def test_one_row_of_every_group_stays(make_docs):
+    """Ids that are null, repeated, or stand for several texts."""
+    a, b, c, d = ("alpha one two three", "beta four five six", "gamma seven eight", "delta nine ten")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d), (4, None),
+            (None, "")]
+    kept = sorted(((r.doc_id, r.text) for r in S.keep_one(make_docs(rows)).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (3, c), (None, d), (4, None)], key=str)
+    rng = random.Random(17)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 4))) for _ in range(20)]
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice(texts)) for _ in range(60)]
+    label = brute_components([brute_fingerprint(t) for _, t in rows])
+    kept = S.keep_one(make_docs(rows)).collect()
+    of_text = {t: k for (_, t), k in zip(rows, label)}
+    assert sorted(of_text[r.text] for r in kept) == sorted(set(label))
+    for r in kept:
+        ids = [i for (i, _), k in zip(rows, label) if k == of_text[r.text] and i is not None]
+        assert r.doc_id == min(ids, default=None)
 
 
 def test_empty_table(make_docs):
