@@ -104,19 +104,15 @@ def popular_scored(spark, sf_dir):
 
 @query("pageview_documents", _with("fx_pageviews") + """
 SELECT view_day, CAST(rank AS INTEGER) AS pos, article, rank, CAST(views AS BIGINT) AS views
-FROM fx_pageviews WHERE rank <= 1000""")
+FROM fx_pageviews""")
 def pageview_documents(spark, sf_dir):
-    """C7 + A1: the first 1,000 articles of every day written as that day's JSON document (its
-    form and length), one folder a day, and read back."""
+    """C7 + A1: the articles of every day written as JSON documents of at most 1,000 articles (a
+    day's form and length), in folders of the day and the part of it, and read back."""
     from citescope.session import scratch_path
     from citescope.sources import pageviews as PV
 
     path = scratch_path(spark, "pageview-documents")
-    entry = F.struct("rank", "article", "views")
-    docs = (_t(spark, sf_dir, "fx_pageviews").where("rank <= 1000").groupBy("view_day")
-            .agg(F.sort_array(F.collect_list(entry)).alias("articles"))
-            .select("view_day", F.to_json(F.struct(F.array(F.struct("articles")).alias("items")))))
-    docs.write.partitionBy("view_day").text(path)
+    PV.write_pageview_docs(_t(spark, sf_dir, "fx_pageviews"), path)
     return PV.read_pageview_docs(spark, path).select("view_day", "pos", "article", "rank", "views")
 
 
@@ -253,20 +249,29 @@ def saved_list_round_trip(spark, sf_dir):
 
 @query("popular_records", f"""WITH {_DUCK_MATCHES}
 SELECT CAST(row_number() OVER (ORDER BY page_id, pos) - 1 AS BIGINT) AS article_pos, title
-FROM c WHERE length(display_text) > 1 QUALIFY article_pos < 500""")
+FROM c WHERE length(display_text) > 1""")
 def popular_records(spark, sf_dir):
-    """A6 + G3 + A3: the first 500 extracted links written as one saved list (the list of one
-    run) and read back by the saved-list reader."""
+    """A6 + A3 + C6: all extracted links written as one saved list, the list of one run without
+    a limit, and read back by the saved-list reader."""
     from citescope.session import scratch_path
     from citescope.sources import article_lists as AL
 
     path = scratch_path(spark, "popular-records")
     links = PL.article_links_df(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX)
-    top = links.orderBy("page_id", "link_pos").limit(500)
-    AL.write_popular_records(top, path, order=["page_id", "link_pos"])
+    AL.write_popular_records(links, path, order=["page_id", "link_pos"])
     return AL.read_article_list(spark, path).select("article_pos", "title")
 
 
+@query("popular_records_limited", f"""WITH {_DUCK_MATCHES}
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS link_pos, title
+FROM c WHERE length(display_text) > 1 QUALIFY link_pos < 3""")
+def popular_records_limited(spark, sf_dir):
+    """The optional limit of a list, here three links a page (0, the default, is all: the
+    queries above)."""
+    return PL.article_links_df(_raw_pages(spark, sf_dir), prefix=DRIVER_PAGE_PREFIX, limit=3).select(
+        "page_id", "link_pos", "title")
+
+
 # ================================ pages (A4, A5, B3, D1, B7, E9) =============================
 
 @query("pages_min_content", """
