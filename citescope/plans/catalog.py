@@ -855,15 +855,46 @@ def flat_run_totals(spark, sf_dir):
 
 @query("incremental_audit", _REPORT_HEAD + "SELECT * FROM rep")
 def incremental_audit(spark, sf_dir):
-    """The structure-mode audit as a file stream of pages (availableNow); must equal the
-    batch report."""
+    """The structure-mode audit as a file stream of pages (availableNow), one file a batch, in
+    which articles arrive again, newer or older; must equal the batch report."""
     from citescope.streaming.incremental import incremental_audit_from
-    pages = _html(spark, sf_dir).select("article_pos", "title", "html")
-    out = incremental_audit_from(spark, pages, _t(spark, sf_dir, "fx_probe"), _t(spark, sf_dir, "fx_browser"),
-                                 stamp=RUN_STAMP)
+    pages = _t(spark, sf_dir, "fx_html").select("article_pos", "title", "html", "ingest_pos")
+    arriving = pages.repartition(2, (F.col("ingest_pos") + F.col("article_pos")) % 2)
+    out = incremental_audit_from(spark, arriving, _t(spark, sf_dir, "fx_probe"),
+                                 _t(spark, sf_dir, "fx_browser"), max_files_per_trigger=1, stamp=RUN_STAMP)
     return out.drop("batch_id")
 
 
+@query("incremental_quarantine", _REPORT_HEAD + "SELECT rep.*, article_pos % 7 = 3 AS replayed FROM rep")
+def incremental_quarantine(spark, sf_dir):
+    """S1 with a file that cannot be read (text in place of Parquet): the stream goes on without its
+    articles and puts it in quarantine, and a replay from the mended file reports them."""
+    import os
+
+    from citescope.session import scratch_path
+    from citescope.streaming.incremental import IncrementalAudit, stage_pages
+
+    base = scratch_path(spark, "incremental-quarantine")
+    pages = _html(spark, sf_dir).select("article_pos", "title", "html").withColumn(
+        "ingest_pos", F.lit(0).cast("long"))
+    poisoned = F.col("article_pos") % 7 == 3
+    stage_pages(pages.where(~poisoned), os.path.join(base, "pages", "good"))
+    pages.where(poisoned).select(F.to_json(F.struct("*"))).coalesce(1).write.text(
+        os.path.join(base, "pages", "bad"))
+    mended = stage_pages(pages.where(poisoned).coalesce(1), os.path.join(base, "mended"))
+    audit = IncrementalAudit(spark, os.path.join(base, "out"), _t(spark, sf_dir, "fx_probe"),
+                             _t(spark, sf_dir, "fx_browser"), stamp=RUN_STAMP)
+    audit.run(os.path.join(base, "pages"), os.path.join(base, "checkpoint"))
+    waiting = [r.path for r in audit.quarantine().collect()]
+    before = audit.read_report().select("article_pos").distinct().withColumnRenamed("article_pos", "seen")
+    before.write.parquet(os.path.join(base, "before"))
+    before = spark.read.schema("seen long").parquet(os.path.join(base, "before"))
+    audit.replay({path: mended for path in waiting})
+    report = audit.read_report().drop("batch_id")
+    return report.join(before, report.article_pos == before.seen, "left").select(
+        *report.columns, F.col("seen").isNull().alias("replayed"))
+
+
 # ================================ scalar text functions (I6, I7, I12) =======================
 
 @query("clean_title", _with("fx_refs") + f"""

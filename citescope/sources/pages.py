@@ -66,22 +66,22 @@ def _addressed(pages: DataFrame) -> DataFrame:
     return with_address(save_page_files(pages, scratch_path(pages.sparkSession, "pages")))
 
 
-def _index(addressed: DataFrame, enough: bool) -> DataFrame:
+def _index(addressed: DataFrame, enough: bool, key: tuple[str, ...] = ("title",)) -> DataFrame:
     """Title, place, length and address of every page: narrow, without content where the files
     hold its length. Without a place pages are told apart by a hash of what they hold."""
     columns = addressed.columns
-    rest = [c for c in columns if c not in ("title", "ingest_pos", "html_chars", *_ADDRESS)]
+    rest = [c for c in columns if c not in (*key, "ingest_pos", "html_chars", *_ADDRESS)]
     mark = F.col("ingest_pos").cast("long") if "ingest_pos" in columns else F.xxhash64(*rest)
     chars = F.col("html_chars") if "html_chars" in columns else F.length("html")
-    narrow = addressed.select("title", F.coalesce(mark, F.lit(-(1 << 63))).alias("_mark"),
+    narrow = addressed.select(*key, F.coalesce(mark, F.lit(-(1 << 63))).alias("_mark"),
                               *([chars.alias("html_chars")] if "html" in columns else []), *_ADDRESS)
     return narrow.where(F.col("html_chars") > MIN_CONTENT_CHARS) if enough else narrow
 
 
-def _last(index: DataFrame) -> DataFrame:
+def _last(index: DataFrame, key: tuple[str, ...] = ("title",)) -> DataFrame:
     """A5: the last page of every title; of rows with one place, one. A null title is a title."""
     newest = F.max(F.struct("_mark", *_ADDRESS, *[c for c in index.columns if c == "html_chars"]))
-    return index.groupBy("title").agg(newest.alias("p")).select("title", "p.*")
+    return index.groupBy(*key).agg(newest.alias("p")).select(*key, "p.*")
 
 
 def _read_at(addressed: DataFrame, chosen: DataFrame, columns: list[str],
@@ -126,12 +126,14 @@ def _read_at(addressed: DataFrame, chosen: DataFrame, columns: list[str],
     return found
 
 
-def unique_pages(pages: DataFrame) -> DataFrame:
-    """A5: one page per title, the last by ``ingest_pos``; rows of one title and place are one
-    page. Without that column the page whose content hash is largest, the same on every run."""
-    rest = [c for c in pages.columns if c not in ("title", "ingest_pos", "html_chars")]
+def unique_pages(pages: DataFrame, key: tuple[str, ...] = ("title",), enough: bool = False) -> DataFrame:
+    """A5: one page per ``key``, the last by ``ingest_pos``; rows of one key and place are one
+    page. Without that column the page whose content hash is largest, the same on every run.
+    ``enough``: of those with enough content (B3)."""
+    columns = [c for c in pages.columns if c != "html_chars" and (c != "ingest_pos" or enough)]
     addressed = _addressed(pages)
-    return _read_at(addressed, _last(_index(addressed, enough=False)), ["title", *rest])
+    return _read_at(addressed, _last(_index(addressed, enough, key), key),
+                    [*key, *(c for c in columns if c not in key)])
 
 
 def listed_pages(articles: DataFrame, pages: DataFrame, columns=("html",)) -> DataFrame:

@@ -66,6 +66,43 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select(*streamed.columns).collect()))
 
 
+def test_stream_goes_on_after_a_poisoned_file_and_keeps_last_copies(spark, tmp_path):
+    from citescope.streaming.incremental import IncrementalAudit
+
+    arts, pages, probes, browser = inputs(spark)
+    pg = (arts.join(unique_pages(pages), "title").select("article_pos", "title", "html")
+          .where(F.length("html") > 100))
+    batch = audit(arts, pages, probes, browser, stamp="S").report
+    n_articles = pg.count()
+    stale = pg.withColumn("html", F.concat(F.lit("x" * 200), F.lit('<ol class="references"><li>'
+                                           '<a href="https://stale.org/1">s</a></li></ol>')))
+    arriving = str(tmp_path / "pages")
+
+    def arrive(df, place, name):
+        df.withColumn("ingest_pos", F.lit(place).cast("long")).coalesce(1).write.parquet(f"{arriving}/{name}")
+
+    job = IncrementalAudit(spark, str(tmp_path / "out"), probes, browser, stamp="S")
+    arrive(stale, 1, "w1")
+    (tmp_path / "pages" / "w1" / "poison.parquet").write_bytes(b"no parquet at all")
+    first = job.run(arriving, str(tmp_path / "check"), max_files_per_trigger=1)
+    assert {r.original_url for r in first.collect()} == {"https://stale.org/1"}
+    bad = job.quarantine().collect()
+    assert [r.path.rsplit("/", 1)[1] for r in bad] == ["poison.parquet"] and bad[0].bytes == 17 and bad[0].reason
+    # A restart with the same checkpoint: newer copies, then older ones, which change nothing.
+    arrive(pg, 3, "w2")
+    job = IncrementalAudit(spark, str(tmp_path / "out"), probes, browser, stamp="S")
+    job.run(arriving, str(tmp_path / "check"))
+    arrive(stale, 2, "w3")
+    rows = job.run(arriving, str(tmp_path / "check")).drop("batch_id")
+    want = sorted(map(tuple, batch.select(*rows.columns).collect()))
+    assert sorted(map(tuple, rows.collect())) == want and n_articles > 1
+    # The poisoned file is mended: a replay reads it, and its newer copy counts.
+    assert job.replay() == 1
+    pg.limit(1).withColumn("ingest_pos", F.lit(9).cast("long")).coalesce(1).write.parquet(str(tmp_path / "mended"))
+    assert job.replay({bad[0].path: str(tmp_path / "mended")}) == 0 and job.quarantine().count() == 0
+    assert sorted(map(tuple, job.read_report().drop("batch_id").collect())) == want
+
+
 def test_materialized_audit_parses_once(spark):
     arts, pages, probes, browser = inputs(spark)
     res = audit(arts, pages, probes, browser, stamp="S", materialize=True)
