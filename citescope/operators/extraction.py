@@ -170,6 +170,37 @@ def with_anchor_tree(pages: DataFrame, html: str = "html", out: str = "anchors",
     return stage(scanned, keep, **{out: anchors(F.col("_m"), external_only)})
 
 
+def with_link_places(pages: DataFrame, html: str = "html") -> DataFrame:
+    """One row per link of a reference (ref_pos, link_pos) with its ``parent`` element and its
+    ``place`` among the parent's elements, as P2 compares them."""
+    pages = pages.where(_c(html).rlike(REFERENCE_MARKUP))
+    keep = [c for c in pages.columns if c != html]
+    scanned = stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+    m = F.col("_m")
+    facts = {f"_{n}": m[n] for n in ("parent", "links", "seen", "last", "refs")}
+    # Places follow from the elements sorted by parent: those of one parent stand together.
+    by_parent = F.array_sort(F.transform(m["parent"], lambda p, i: F.struct(p.alias("p"), i.alias("at"))))
+    rows = stage(scanned, keep, _sorted=by_parent, **facts)
+    firsts = F.filter(F.transform("_sorted", lambda x, i: F.struct(x["p"].alias("p"), i.alias("first"))),
+                      lambda x, i: (i == 0) | (F.get("_sorted", i - 1)["p"] != x["p"]))
+    sorted_at = F.array_sort(F.transform("_sorted", lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))))
+    rows = stage(rows, [*keep, *facts], _first=F.map_from_entries(firsts), _where=sorted_at)
+
+    def link(x: Column, pos: Column) -> Column:
+        parent = F.get("_parent", x["at"])
+        place = F.get("_where", x["at"])["i"] - F.try_element_at("_first", parent)
+        return F.struct(pos.alias("link_pos"), x["href"].alias("href"), parent.alias("parent"),
+                        place.alias("place"))
+
+    def of_reference(r: Column, pos: Column) -> Column:
+        seen = F.get("_seen", r["at"])
+        mine = F.slice("_links", seen + 1, F.get("_seen", F.get("_last", r["at"])) - seen)
+        return F.transform(F.transform(mine, link), lambda x: F.struct(
+            pos.alias("ref_pos"), *(x[c].alias(c) for c in ("link_pos", "href", "parent", "place"))))
+
+    return rows.select(*keep, F.inline(F.flatten(F.transform("_refs", of_reference))))
+
+
 def likely_reference_link(anchor: Column) -> Column:
     """B6 on an anchor struct: not an edit/redirect class, id not containing a skip id."""
     classes = F.coalesce(anchor["classes"], F.array().cast("array<string>"))

@@ -369,12 +369,15 @@ def reference_rows(spark, sf_dir):
     return A.reference_rows(_html(spark, sf_dir))
 
 
-@query("reference_links", _with("fx_refs") + f"""
+_REFERENCE_LINKS_SQL = _with("fx_refs") + f"""
 SELECT article_pos, CAST(ref_pos AS INTEGER) AS ref_pos, link_pos, href,
        {O.is_external('href')} AS is_external, {O.is_archive('href')} AS is_archive
 FROM (SELECT article_pos, ref_pos, 0 AS link_pos, original_url AS href FROM fx_refs
       UNION ALL SELECT article_pos, ref_pos, 1, archive_url FROM fx_refs WHERE archive_url IS NOT NULL
-      UNION ALL SELECT article_pos, ref_pos, CASE WHEN archive_url IS NULL THEN 1 ELSE 2 END, '#back' FROM fx_refs) l""")
+      UNION ALL SELECT article_pos, ref_pos, CASE WHEN archive_url IS NULL THEN 1 ELSE 2 END, '#back' FROM fx_refs) l"""
+
+
+@query("reference_links", _REFERENCE_LINKS_SQL)
 def reference_links(spark, sf_dir):
     """Every link of every reference with its external/archive flags."""
     df = X.with_reference_tree(_html(spark, sf_dir).select("article_pos", "html"))
@@ -382,6 +385,35 @@ def reference_links(spark, sf_dir):
             .select("article_pos", "l.ref_pos", "l.link_pos", "l.href", "l.is_external", "l.is_archive"))
 
 
+@query("sql_reference_links", _REFERENCE_LINKS_SQL)
+def sql_reference_links(spark, sf_dir):
+    """C3 from SQL: the table function over the pages' HTML column, the flags as SQL functions."""
+    from citescope.plans.sql_surface import register_sql
+
+    register_sql(spark)
+    _html(spark, sf_dir).select("article_pos", "html").createOrReplaceTempView("cs_article_pages")
+    return spark.sql("""SELECT p.article_pos, t.ref_pos, t.link_pos, t.href,
+                               cs_is_external(t.href) AS is_external, cs_is_archive(t.href) AS is_archive
+                        FROM cs_article_pages p, LATERAL reference_links(p.html) t""")
+
+
+@query("close_links", _with("fx_refs") + """,
+l AS (SELECT article_pos, ref_pos, archive_url IS NOT NULL AS archived FROM fx_refs)
+SELECT article_pos, CAST(ref_pos AS INTEGER) AS ref_pos, 0 AS first_link, 1 AS later_link, archived AS close FROM l
+UNION ALL
+SELECT article_pos, CAST(ref_pos AS INTEGER), x, 2, false FROM l, (VALUES (0), (1)) v(x) WHERE archived""")
+def close_links(spark, sf_dir):
+    """Of every two links of a reference whether the later is a sibling close behind the first,
+    by their parents and places among siblings."""
+    df = X.with_link_places(_html(spark, sf_dir).select("article_pos", "html"))
+    first, later = df.alias("a"), df.alias("b")
+    pairs = first.join(later, (F.col("a.article_pos") == F.col("b.article_pos"))
+                       & (F.col("a.ref_pos") == F.col("b.ref_pos")) & (F.col("a.link_pos") < F.col("b.link_pos")))
+    return pairs.select("a.article_pos", "a.ref_pos", F.col("a.link_pos").alias("first_link"),
+                        F.col("b.link_pos").alias("later_link"), P.elements_close(
+                            F.col("a.parent"), F.col("a.place"), F.col("b.parent"), F.col("b.place")).alias("close"))
+
+
 _DISTINCT_LINKS_SQL = _with("fx_refs", extra=[DUCK_LINKS]) + """
 SELECT article_pos, CAST(row_number() OVER (PARTITION BY article_pos ORDER BY pos) - 1 AS INTEGER) AS link_pos, url
 FROM dl"""
@@ -724,15 +756,16 @@ def report_csv_round_trip(spark, sf_dir):
 SELECT article_title, original_url, archive_url, has_archive, error_code, "timestamp",
        browser_validation_check, browser_validation_check_detail FROM rep""")
 def report_append(spark, sf_dir):
-    """A7 + A8 + H3: a header-only report, appended to in two batches, read back as one."""
+    """A7 + A8 + H3: a header-only report, appended to in two batches, the second of which is
+    written twice, read back as one."""
     from citescope.session import scratch_path
     from citescope.sources import report_io as RIO
 
     path = scratch_path(spark, "report-append")
     report = _audit(spark, sf_dir).report
     RIO.write_header_only(spark, path)
-    for part in (0, 1):
-        RIO.append_report(report.where(F.col("ref_pos") % 2 == part), path)
+    for part in (0, 1, 1):
+        RIO.append_report(report.where(F.col("ref_pos") % 2 == part), path, RUN_STAMP, part)
     return RIO.read_report(spark, path)
 
 

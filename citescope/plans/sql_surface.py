@@ -1,4 +1,4 @@
-"""SQL surface: the engine's functions as session SQL functions and table functions.
+"""SQL surface: the engine's functions as session SQL functions and table functions (2.13).
 
 ``register_sql(spark)`` makes these callable from ``spark.sql``:
 
@@ -8,6 +8,10 @@
     cs_archive_original(u), cs_valid_archive_match(o, a), cs_clean_title(t),
     cs_clean_link_text(t), cs_percent_decode(h), cs_format_duration(seconds)
   per-page scan (Arrow UDF): cs_scan(html) -> the flat facts of ``schemas.MARKUP``
+  table functions over any HTML column, used with LATERAL; a page's rows are made where the page
+  is read, without a join or an exchange:
+    reference_links(html)  ref_pos, ref_kind, link_pos, href (C3)
+    page_links(html)       link_pos, href, in_ref, classes, id (C4's input)
 
 ``register_pages(spark, pages, key)`` makes temporary views over a page table:
 
@@ -22,6 +26,7 @@ round-trip into SQL function bodies.
 Example::
 
     SELECT title, count(*) FROM reference_links GROUP BY title
+    SELECT p.title, t.href, cs_is_archive(t.href) FROM pages p, LATERAL reference_links(p.html) t
 """
 
 from __future__ import annotations
@@ -29,11 +34,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citescope.functions import markup
 from citescope.functions import text as TX
 from citescope.functions import urls as U
 from citescope.operators import extraction as X
 
 
+class ReferenceLinks:
+    """C3 of one page: the links of its reference elements."""
+
+    def eval(self, html: str):
+        m = markup.scan(html)
+        for pos, (element, kind, _, _) in enumerate(m["refs"] if m else []):
+            first, last = m["seen"][element], m["seen"][m["last"][element]]
+            for i, link in enumerate(m["links"][first:last]):
+                yield pos, kind, i, link[1]
+
+
+class PageLinks:
+    """Every link of one page in document order."""
+
+    def eval(self, html: str):
+        m = markup.scan(html)
+        for pos, (_, href, classes, ident, in_ref) in enumerate(m["links"] if m else []):
+            yield pos, href, in_ref, classes, ident
+
+
+TABLE_FUNCTIONS = {
+    "reference_links": (ReferenceLinks, "ref_pos int, ref_kind string, link_pos int, href string"),
+    "page_links": (PageLinks, "link_pos int, href string, in_ref boolean, classes array<string>, id string"),
+}
+
+
 def _sql_text(spark: SparkSession, expr: Column, params: dict[str, str]) -> str:
     """SQL text of ``expr`` over typed parameters (via the analyzed plan)."""
     schema = ", ".join(f"{n} {t}" for n, t in params.items())
@@ -67,6 +99,8 @@ def register_sql(spark: SparkSession) -> None:
     _fn(spark, "cs_percent_decode", s1, "string", TX.percent_decode(u))
     _fn(spark, "cs_format_duration", {"s": "double"}, "string", TX.format_duration(F.col("s")))
     spark.udf.register("cs_scan", X.scan_udf())
+    for name, (function, returns) in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(function, returnType=returns, useArrow=True))
 
 
 def register_pages(spark: SparkSession, pages: DataFrame, key: str = "title",

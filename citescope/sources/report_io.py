@@ -1,7 +1,7 @@
 """Report sinks and read-back.
 
 The report is a directory of CSV part files with a header (one logical table), written once per
-run or appended per batch. Appending adds files; existing rows are never rewritten.
+run or appended per batch, each batch in a folder of its run and number.
 ``''`` and NULL stay distinct: NULL is written as an empty field, ``''`` as ``""``.
 """
 
@@ -21,9 +21,12 @@ def write_header_only(spark: SparkSession, path: str) -> None:
      .options(**CSV_OPTIONS).csv(path))
 
 
-def append_report(report: DataFrame, path: str) -> None:
-    """A8 + H3: append rows (union all with what is there); never overwrites."""
-    report.select(*REPORT_COLUMNS).write.mode("append").options(**CSV_OPTIONS).csv(path)
+def append_report(report: DataFrame, path: str, stamp: str, batch: int | str) -> None:
+    """A8 + H3: append the rows of one batch of a run (union all with what is there). They go to
+    the folder of that run and batch, which a repeated attempt replaces, so that a batch counts
+    once however often it is written; no other rows are touched."""
+    (report.select(*REPORT_COLUMNS).write.mode("overwrite").options(**CSV_OPTIONS)
+     .csv(f"{path.rstrip('/')}/run={stamp}/batch={batch}"))
 
 
 def report_path(output_dir: str, stamp: str, batch: int | None = None) -> str:
@@ -48,7 +51,8 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     The reader folds a quoted empty field into NULL by default; a marker keeps it apart and
     is mapped back to ``''``.
     """
-    df = spark.read.schema(REPORT_SCHEMA).options(**CSV_OPTIONS).option("emptyValue", _EMPTY_MARK).csv(path)
+    df = (spark.read.schema(REPORT_SCHEMA).options(**CSV_OPTIONS).option("emptyValue", _EMPTY_MARK)
+          .option("recursiveFileLookup", "true").csv(path))
     return df.select(*[
         (F.when(F.col(f.name) == _EMPTY_MARK, F.lit("")).otherwise(F.col(f.name)).alias(f.name)
          if f.dataType.typeName() == "string" else F.col(f.name)) for f in REPORT_SCHEMA.fields])

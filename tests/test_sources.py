@@ -80,8 +80,9 @@ def test_report_csv_round_trip(spark, tmp_out):
     rows = [("T", "https://e.com", None, False, "404", "20240101_000000", "dead", ""),
             ("T", "https://f.com", "https://web.archive.org/web/1/https://f.com", True, "None",
              "20240101_000000", "Browser validation not performed.", "")]
-    RIO.append_report(spark.createDataFrame(rows, REPORT_SCHEMA), p)
-    RIO.append_report(spark.createDataFrame(rows[:1], REPORT_SCHEMA), p)
+    RIO.append_report(spark.createDataFrame(rows, REPORT_SCHEMA), p, "S", 0)
+    for _ in range(2):  # a batch that is written again counts once
+        RIO.append_report(spark.createDataFrame(rows[:1], REPORT_SCHEMA), p, "S", 1)
     back = RIO.read_report(spark, p).orderBy("original_url").collect()
     assert len(back) == 3
     assert back[0].archive_url is None and back[0].browser_validation_check_detail == ""

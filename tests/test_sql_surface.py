@@ -32,3 +32,22 @@ def test_scan_in_sql(spark):
     r = spark.sql("SELECT size(m.refs) n_refs, size(m.links) n_anchors "
                   "FROM (SELECT cs_scan(html) m FROM t_pages2)").first()
     assert (r.n_refs, r.n_anchors) == (1, 2)
+
+
+def test_table_functions_over_any_column(spark):
+    register_sql(spark)
+    html = ('<ol class="references"><li><a href="https://e.com">o</a></li><li><a class="p q" id="i" href="/y">y</a>'
+            '<a href="https://web.archive.org/web/1/x">a</a></li></ol><ref><a href="/x">x</a></ref>')
+    spark.createDataFrame([(1, html), (2, "<p>n</p>"), (3, None), (4, html)],
+                          "k int, body string").createOrReplaceTempView("any_table")
+    df = spark.sql("SELECT a.k, t.* FROM any_table a, LATERAL reference_links(a.body) t")
+    rows = sorted(map(tuple, df.where("k = 1").collect()))
+    assert rows == [(1, 0, "list", 0, "https://e.com"), (1, 1, "list", 0, "/y"),
+                    (1, 1, "list", 1, "https://web.archive.org/web/1/x"), (1, 2, "ref", 0, "/x")]
+    assert df.count() == 8
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    links = spark.sql("SELECT t.* FROM any_table, LATERAL page_links(body) t WHERE k = 4").collect()
+    assert [(r.link_pos, r.href, r.in_ref) for r in links] == [
+        (0, "https://e.com", False), (1, "/y", False), (2, "https://web.archive.org/web/1/x", False), (3, "/x", True)]
+    assert (links[1].classes, links[1].id) == (["p", "q"], "i")
