@@ -26,7 +26,8 @@ from citescope.operators import extraction as X
 from citescope.operators import pairing as P
 from citescope.operators import report as R
 from citescope.operators.staging import stage
-from citescope.session import checkpoint_dir
+from citescope.session import checkpoint_dir, scratch_path
+from citescope.sources.evidence import prune_evidence, wanted_urls
 from citescope.sources.pages import listed_pages
 
 MODES = ("structure", "references", "all")
@@ -118,11 +119,11 @@ def _occurrences_flat(pages: DataFrame, mode: str, keys=("article_pos", "title")
 
 def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
           mode: str = "structure", stamp: str = "19700101_000000",
-          materialize: bool = False) -> AuditResult:
+          materialize: bool = False, prune: bool = False) -> AuditResult:
     """K2. ``articles(article_pos, title)`` may repeat titles (each occurrence is audited);
     ``pages(title, html[, ingest_pos])``, of which the last of a title counts; ``probes`` per
     ``schemas.PROBE_SCHEMA``; ``browser_obs`` per ``schemas.BROWSER_SCHEMA`` or None to skip the
-    browser step. ``materialize``: see ``audit_pages``."""
+    browser step. ``materialize``, ``prune``: see ``audit_pages``."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     # Each listed page is parsed once, however often its title repeats in the list: pages are
@@ -130,22 +131,24 @@ def audit(articles: DataFrame, pages: DataFrame, probes: DataFrame, browser_obs:
     # the small link rows afterwards (D1 after the parse).
     occ = _occurrences(listed_pages(articles, pages), mode, keys=("title",))
     occ = occ.join(articles.select("article_pos", "title"), "title")
-    return _finish(occ, probes, browser_obs, mode, stamp, articles, materialize=materialize)
+    return _finish(occ, probes, browser_obs, mode, stamp, articles, materialize, prune)
 
 
 def audit_pages(processed: DataFrame, probes: DataFrame, browser_obs: DataFrame | None,
                 mode: str = "structure", stamp: str = "19700101_000000",
-                materialize: bool = False) -> AuditResult:
+                materialize: bool = False, prune: bool = False) -> AuditResult:
     """K2 from article occurrences that already carry their HTML: ``(article_pos, title, html)``.
 
     ``materialize`` (several outputs from one run: report, totals, summaries): the classified
     link rows are checkpointed once to ``spark.checkpoint.dir`` (reliable storage, survives
     executor loss), so the HTML is parsed once and every output reads the checkpoint.
+    ``prune`` (few links, much evidence): the link rows are written first, and only evidence on
+    URLs they cite leaves its scan (``sources.evidence``).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     occ = _occurrences(processed, mode)
-    return _finish(occ, probes, browser_obs, mode, stamp, processed, materialize=materialize)
+    return _finish(occ, probes, browser_obs, mode, stamp, processed, materialize, prune)
 
 
 def _occurrences(pages: DataFrame, mode: str, keys=("article_pos", "title")) -> DataFrame:
@@ -155,8 +158,15 @@ def _occurrences(pages: DataFrame, mode: str, keys=("article_pos", "title")) ->
 
 
 def _finish(occ: DataFrame, probes: DataFrame, browser_obs: DataFrame | None, mode: str, stamp: str,
-            articles: DataFrame, materialize: bool = False) -> AuditResult:
+            articles: DataFrame, materialize: bool = False, prune: bool = False) -> AuditResult:
     """Classification (one evidence join) and the report, from the link occurrences."""
+    if prune:
+        path = scratch_path(occ.sparkSession, "links")
+        occ.write.parquet(path)
+        occ = occ.sparkSession.read.schema(occ.schema).parquet(path)
+        wanted = wanted_urls(occ.where(F.coalesce(F.col("first_archive"), F.lit("")) == ""), "original_url")
+        probes = prune_evidence(probes, wanted)
+        browser_obs = prune_evidence(browser_obs, wanted) if browser_obs is not None else None
     occ = (occ.withColumn("article_title", clean_title(F.col("title")))
            .withColumn("_has_archive", F.coalesce(F.col("first_archive"), F.lit("")) != ""))
     checked = B.classify_links(occ, probes, browser_obs, url_col="original_url",

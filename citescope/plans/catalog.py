@@ -624,8 +624,23 @@ def _build_audit(spark, sf_dir, browser: bool, full: bool) -> A.AuditResult:
     return A.audit_pages(pages, probes, obs, stamp=RUN_STAMP)
 
 
-@query("checked_links", _with("fx_probe", extra=[_DUCK_CHECKED]) + """
-SELECT article_pos, ref_pos, pair_pos, original_url, status, status_code FROM chk""")
+_CHECKED_SQL = _with("fx_probe", extra=[_DUCK_CHECKED]) + """
+SELECT article_pos, ref_pos, pair_pos, original_url, status, status_code FROM chk"""
+
+
+@query("checked_links_pruned", _CHECKED_SQL)
+def checked_links_pruned(spark, sf_dir):
+    """J3 + D4 + D6 where most evidence is on URLs that no article cites: it is dropped in its scan."""
+    pages = PG.min_content(_html(spark, sf_dir)).select("article_pos", "title", "html")
+    probes, obs = (_t(spark, sf_dir, n) for n in ("fx_probe", "fx_browser"))
+    noise = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.concat(
+        F.col("url"), F.when(i > 0, F.concat(F.lit("#uncited-"), i.cast("string"))).otherwise(""))))
+    much = [e.withColumn("url", noise) for e in (probes, obs)]
+    res = A.audit_pages(pages, *much, stamp=RUN_STAMP, prune=True).results
+    return res.select("article_pos", "ref_pos", "pair_pos", "original_url", "status", "status_code")
+
+
+@query("checked_links", _CHECKED_SQL)
 def checked_links(spark, sf_dir):
     """J3 + D6: status of every original occurrence (archived ones skip the probe join)."""
     return _audit(spark, sf_dir).results.select("article_pos", "ref_pos", "pair_pos", "original_url",

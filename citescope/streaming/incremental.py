@@ -2,7 +2,8 @@
 
 Page files arrive in a directory. The stream takes their paths (``maxFilesPerTrigger`` a batch;
 contents are no part of it), and ``foreachBatch`` audits the files of a batch as a batch audit
-does: content is read once, at the addresses of the pages that count, joined with the evidence.
+does: content is read once, at the addresses of the pages that count, and of the evidence only that on
+URLs the batch cites leaves its scan.
 
 Output folders, each below ``out_dir``; a batch that is run again overwrites its own folders only:
 
@@ -69,7 +70,7 @@ class IncrementalAudit:
         article = [F.col("article_pos"), clean_title(F.col("title")).alias("article_title")]
         pages = unique_pages(self._pages(paths), key=("article_pos", "title"), enough=True)
         result = audit_pages(pages.select("article_pos", "title", "html"), self.probes,
-                             self.browser_obs, mode=self.mode, stamp=self.stamp)
+                             self.browser_obs, mode=self.mode, stamp=self.stamp, prune=True)
         result.report.write.mode("overwrite").parquet(self._folder("report", batch_id, attempt))
         (pages.select(*article, "ingest_pos").write.mode("overwrite")
          .parquet(self._folder("index", batch_id, attempt)))

@@ -56,3 +56,28 @@ def test_pages_saved_as_a_table(spark):
         assert joined.count() == arts.count() and rep.count() == fx["fx_refs"].count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
+def test_evidence_on_uncited_urls_stays_in_its_scan(spark):
+    from pyspark.sql import functions as F
+
+    from citescope.sources.evidence import prune_evidence, wanted_urls
+    fx = FX.register(spark, SF)
+    cited = fx["fx_refs"].select("original_url").distinct().sort("original_url").limit(20)
+    noise = fx["fx_probe"].withColumn("url", F.concat("url", F.lit("#x")))
+    evidence = fx["fx_probe"].unionByName(noise)
+    kept = prune_evidence(evidence, wanted_urls(cited, "original_url"))
+    wanted = {r[0] for r in cited.collect()}
+    rows = kept.collect()
+    assert kept.columns == evidence.columns
+    assert sorted(r.url for r in rows if r.url in wanted) == sorted(
+        r.url for r in evidence.collect() if r.url in wanted)
+    assert len(rows) <= 1.1 * sum(r.url in wanted for r in rows)    # few others pass the hash filter
+    pages = unique_pages(fx["fx_html"])
+    pruned = audit_pages(pages, evidence, fx["fx_browser"], stamp="S", prune=True).report
+    plain = audit_pages(pages, fx["fx_probe"], fx["fx_browser"], stamp="S").report
+    assert sorted(map(tuple, pruned.collect())) == sorted(map(tuple, plain.collect()))
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    probe_side = plan[plan.index("BroadcastHashJoin [_word"):]
+    assert "getbit" in plan and "Exchange hash" in plan[:plan.index("BroadcastHashJoin [_word")] and probe_side
