@@ -51,6 +51,11 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+def visible_text(markup: str) -> str:
+    """The visible text of an element's markup, lower-cased."""
+    return unescape(_MARKUP.sub("", re.sub(UNSEEN, "", markup))).strip().lower()
+
+
 def scan(page: str | None) -> dict | None:
     """Flat facts of one page (see ``schemas.MARKUP``); None without markup."""
     if not page:
@@ -138,10 +143,6 @@ def scan(page: str | None) -> dict | None:
         parts[stack[-1]].append(page[at:].encode("utf-8", "surrogatepass"))
     close(0, len(page))
 
-    def text_of(element: int) -> str:
-        inside = re.sub(UNSEEN, "", page[starts[element]:ends[element]])
-        return unescape(_MARKUP.sub("", inside)).strip().lower()
-
     by_list: dict[int, list[int]] = {x: [] for x in lists}
     for element, name in enumerate(names):
         if name == "li" and parent[element] in by_list:
@@ -156,4 +157,4 @@ def scan(page: str | None) -> dict | None:
             "links": links,
             "refs": [reference(x, "list") for o in lists for x in by_list[o]]
             + [reference(x, "ref") for x in refs],
-            "headings": [(x, text_of(x)) for x in headings]}
+            "headings": [(x, visible_text(page[starts[x]:ends[x]])) for x in headings]}

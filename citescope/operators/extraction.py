@@ -11,11 +11,12 @@ joined with evidence keyed by URL.
 from __future__ import annotations
 
 import citescope
+import pyarrow as pa
 from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citescope.functions import markup, urls
+from citescope.functions import markup_batch, urls
 from citescope.operators.staging import stage
 from citescope.schemas import MARKUP
 
@@ -35,11 +36,15 @@ NEAR_SIBLINGS = 4           # "close in document": at most 3 elements before the
 _UDFS: dict = {}
 
 
+def _scan_pages(html: pa.Array) -> pa.Array:
+    return markup_batch.scan_pages(html)
+
+
 def scan_udf():
     """A UDF object binds the context it is first used in, so one is kept per application."""
     app = SparkContext._active_spark_context.applicationId
     if app not in _UDFS:
-        _UDFS[app] = F.udf(markup.scan, MARKUP, useArrow=True)
+        _UDFS[app] = F.arrow_udf(_scan_pages, MARKUP)
     return _UDFS[app]
 
 

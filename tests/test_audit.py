@@ -118,7 +118,7 @@ def test_audit_plan_parses_once_without_window(spark):
         plan = audit(arts, pages, probes, browser, mode=mode, stamp="S").report._jdf.queryExecution() \
             .executedPlan().toString()
         # the scan of the markup once; then only the matching of links
-        assert plan.count("ArrowEvalPython [scan(") == 1, mode
+        assert plan.count("ArrowEvalPython [_scan_pages(") == 1, mode
         assert plan.count("ArrowEvalPython") == {"structure": 2, "references": 3, "all": 2}[mode], mode
         lines = plan.split("\n")
         for above, below in zip(lines, lines[1:]):   # neither HTML nor page sources are exchanged

@@ -1,0 +1,81 @@
+"""The scan of many pages at once gives what the scan of one page gives."""
+
+import random
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from citescope.functions import markup as M
+from citescope.functions import markup_batch as B
+
+
+def plain(facts):
+    """Facts with digests as the places of their first occurrence: equal stays equal."""
+    if facts is None:
+        return None
+    first = {}
+    links = [x if isinstance(x, dict) else dict(zip(("at", "href", "classes", "id", "in_ref"), x))
+             for x in facts["links"]]
+    refs = [x if isinstance(x, dict) else dict(zip(("at", "kind", "start", "end"), x)) for x in facts["refs"]]
+    headings = [x if isinstance(x, dict) else dict(zip(("at", "text"), x)) for x in facts["headings"]]
+    return {**{k: facts[k] for k in ("parent", "last", "previous", "seen")},
+            "key": [first.setdefault(k, i) for i, k in enumerate(facts["key"])],
+            "links": links, "refs": refs, "headings": headings}
+
+
+def check(pages):
+    got = B.scan_pages(pa.array(pages, pa.string())).to_pylist()
+    for page, facts in zip(pages, got):
+        assert plain(facts) == plain(M.scan(page)), page
+
+
+TAGS = ["b", "i", "p", "ol class='references'", "ol", "li", "ref", "h2", 'a href="x"', "a id=q", "br", "img src=1",
+        'a class="m  n" href="y&amp;z" id=k', "script", "style", "div"]
+PIECES = ([f"<{t}>" for t in TAGS] + [f"<{t}/>" for t in ("br", "b", "ref", "a href=z", "li")]
+          + [f"</{t}>" for t in ("b", "i", "p", "ol", "li", "ref", "h2", "a", "div", "script", "style", "br")]
+          + ["text", " ", "é<", "<!-- <b> -->", "<![CDATA[<i>]]>", "<!doctype html>", "&amp;", "<3", "</x>"])
+
+
+def nested(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(0, 5 if depth < 4 else 1)):
+        tag = rng.choice(TAGS)
+        name = tag.split()[0]
+        if name in ("br", "img"):
+            out.append(f"<{tag}>")
+        elif name in ("script", "style"):
+            out.append(f"<{tag}>var x = '<b>' </i> </{name}>")
+        else:
+            out.append(f"<{tag}>{nested(rng, depth + 1)}</{rng.choice([name, name.upper()])}>")
+        out.append(rng.choice(["", "text", " ", "<!-- c -->", "é"]))
+    return "".join(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=1, max_size=6))
+def test_any_sequence_of_tags(pages):
+    check(pages)
+
+
+def test_nested_pages_in_small_chunks(monkeypatch):
+    rng = random.Random(4)
+    pages = [nested(rng) for _ in range(300)] + [None, "", "no tags", "<p>one</p>"]
+    rng.shuffle(pages)
+    check(pages)
+    tags = B._Tags()
+    assert B._Batch([B._cut(p, tags) for p in pages if p], tags).nested().all()  # none is put right
+    monkeypatch.setattr(B, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(B, "MEMO_TAGS", 3)
+    check(pages)
+
+
+def test_driver_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    check(pages)
+    tags = B._Tags()
+    assert not B._Batch([B._cut(p, tags) for p in pages], tags).nested().all()  # some are put right
+
+
+def test_no_pages():
+    assert B.scan_pages(pa.array([], pa.string())).to_pylist() == []
