@@ -8,8 +8,8 @@ number tells a chance occurrence from a habit.
 
 Fitting uses a bounded sample of labelled documents (``max_labelled``, the smallest hashes of
 doc_id; all of them when there are fewer). Feature counts of the sample are gathered in Spark,
-the ``max_features`` features that tell toxic from clean texts best (by G-squared, which must
-be significant; seen in at least ``min_docs`` texts) are kept, and the small design matrix they leave is fitted by
+the features that tell toxic from clean texts (by G-squared, which must be significant; seen in
+at least ``min_docs`` texts) are kept, and the small design matrix they leave is fitted by
 accelerated gradient descent. Scoring is one pass over all documents without a shuffle.
 
 Defined cases: null and word-less texts have no features and get the prior's severity; a null
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citescope.llm.batches import chunks, in_arrow, utf8
+from citescope.session import scratch_path
 
 MAX_LABELLED = 10_000
-MAX_FEATURES = 4096
 MIN_DOCS = 3
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_GAIN = 8.0  # least G-squared / 2 of a feature: fewer weak features, less noise
@@ -126,13 +126,17 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features:
 
 
 def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED,
-        max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> SeverityModel:
-    """``grades``: doc_id, grade (0 and up)."""
+        min_docs: int = MIN_DOCS) -> SeverityModel:
+    """``grades``: doc_id, grade (0 and up). Every feature that is significant in the labelled
+    sample is kept."""
     sample = (grades.where("doc_id IS NOT NULL AND grade IS NOT NULL AND grade >= 0")
               .groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     texts = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
              .join(F.broadcast(sample), "doc_id"))  # at most max_labelled rows
+    path = scratch_path(docs.sparkSession, "labelled")
+    texts.write.parquet(path)  # all documents are read once for the sample
+    texts = docs.sparkSession.read.schema(texts.schema).parquet(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -167,7 +171,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED,
     gain = (part(k, m * toxic / n) + part(m - k, m * (n - toxic) / n)
             + part(toxic - k, (n - m) * toxic / n) + part(n - toxic - m + k, (n - m) * (n - toxic) / n))
     best = (counted.where(m < n).withColumn("gain", F.round(gain, 6))
-            .where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "feature").limit(max_features).select("feature").collect())
+            .where(F.col("gain") >= MIN_GAIN).select("feature").collect())
     features = np.sort(np.array([r.feature for r in best], np.int64))
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,13 +71,17 @@ PARTS = re.compile(r"[a-z]+")
 
 
 @functools.lru_cache(maxsize=4096)
-def tag_token(name: str, attributes: str) -> str:
+def tag_token(name: str, attributes: str, in_main: bool = False) -> str:
     """The tag with its label words that tell furniture from text; others would only make
-    streams differ."""
+    streams differ. Labels say nothing against an element that is main text by its name, or that
+    holds the whole page; a ``header`` is a page's furniture, but the title of a main text."""
     words = {w for m in LABELS.finditer(attributes) for w in PARTS.findall("".join(
         x for x in m.groups() if x).lower())}
-    kind = "!" if name in FURNITURE or words & FURNITURE_WORDS else (
-        "*" if name in MAIN or words & MAIN else "")
+    if name in MAIN:
+        return f"*<{name}>"
+    labelled = words & FURNITURE_WORDS and name not in ("html", "body")
+    kind = "!" if name in FURNITURE or labelled or (name == "header" and not in_main) else (
+        "*" if words & MAIN else "")
     return f"{kind}<{name}>"
 
 
@@ -87,7 +91,7 @@ def page_tokens(page: str) -> tuple[list[str], list[str]]:
     texts: list[str] = []
     parts: list[str] = []
     plain = linked = False
-    in_link = 0
+    in_link = in_main = 0
 
     def close_slot() -> None:
         nonlocal plain, linked
@@ -118,8 +122,10 @@ def page_tokens(page: str) -> tuple[list[str], list[str]]:
         name, end = name.lower(), m[2]
         if name in BLOCKS:
             close_slot()
+            if name in MAIN:
+                in_main = max(0, in_main + (-1 if end else 1))
             if not end:
-                tokens.append(tag_token(name, m[4]))
+                tokens.append(tag_token(name, m[4], in_main > 0))
             elif name not in OPEN_ENDED:
                 tokens.append(f"</{name}>")
         elif name == "a":

@@ -158,3 +158,12 @@ def test_constant_texts_of_a_host_that_has_a_main_region_elsewhere(spark):
     rows.append((9, "http://mixed.org/", "<body><article><p>Main text</p></article></body>"))
     got = {r.page_id: r.text for r in W.extract(frame(spark, rows)).collect()}
     assert all(got[i] == f"Text {i}\nMore {i}" for i in range(6)) and got[9] == "Main text"
+
+
+def test_headers_and_labels_of_the_text_itself(spark):
+    rows = [(i, "http://h.org/", f"<body class='has-sidebar'><header><p>Visit {i}</p></header>"
+             f"<p>Body {i}</p></body>") for i in range(4)]
+    rows += [(10 + i, "http://g.org/", f"<article class='post-share-ready'><header><h1>Title {i}</h1></header>"
+              f"<p>Text {i}</p><div class='share'>Send {i}</div></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in W.extract(frame(spark, rows)).collect()}
+    assert got == {**{i: f"Body {i}" for i in range(4)}, **{10 + i: f"Title {i}\nText {i}" for i in range(4)}}
