@@ -151,17 +151,17 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     # The fingerprint follows from the text, so one row per text hash is enough.
     fingerprints(docs.select(key[1].alias("doc_id"), "text"), shingle).distinct().write.parquet(path)
     fps = spark.read.schema("doc_id long, fp long").parquet(path).withColumnRenamed("doc_id", "mark")
-    group = components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
-    grouped = (fps.join(group, "fp", "left")
-               .select("mark", F.coalesce("component", "fp").alias("component")))
     rows = docs.select(*key).groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    # The first row of a text, then of a fingerprint, then of a component: each step leaves fewer.
     no_id = F.col("doc_id").isNull().alias("no_id")
-    texts = (rows.groupBy("mark").agg(F.min(F.struct(no_id, "doc_id")).alias("least"))
-             .join(grouped, "mark"))
-    first = texts.groupBy("component").agg(F.min(F.struct("least", "mark")).alias("first"))
-    rows = rows.join(texts.join(first, "component").select(
-        "mark", F.col("first.least.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")),
-        "mark")
+    of_fp = (rows.groupBy("mark").agg(F.min(F.struct(no_id, "doc_id")).alias("least"))
+             .join(fps, "mark").groupBy("fp").agg(F.min(F.struct("least", "mark")).alias("first")))
+    group = components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
+    of_fp = of_fp.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = of_fp.groupBy("component").agg(F.min("first").alias("first"))
+    best = fps.join(of_fp.drop("first").join(best, "component"), "fp").select(
+        "mark", F.col("first.least.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
+    rows = rows.join(best, "mark")
     kept = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
     (rows.where(~kept | (F.col("n") > 1))
      .select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1]), kept.alias("kept"))
