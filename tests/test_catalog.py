@@ -34,7 +34,7 @@ def _digest(rows, cols):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("pages", "events"):
+    for t in (f.removesuffix(".parquet") for f in sorted(os.listdir(SF)) if f.endswith(".parquet")):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
