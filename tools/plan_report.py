@@ -16,7 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from citescope.plans import catalog  # noqa: E402
 from citescope.session import build_session  # noqa: E402
 
 HEAD = """# Physical plans
@@ -34,16 +34,14 @@ part of each plan; in production those inputs are plain tables.
 FOOT = """
 Reading the table:
 
-* `python` counts Python evaluations in the plan; every HTML query parses each page once.
-* The audits from the article pages (`checked_links`, `validated_dead`, the flat reports...)
-  have 4 exchanges. One builds the fixture HTML (per-article aggregation). Three are the
-  URL-keyed evidence joins: both sides of the probe join, and the observation side of the
-  browser join, which reuses the probe join's partitioning. `report_rows` (full K2 from the
-  article list) adds the distinct title list, the title semi-join that cuts the pages to the
-  listed titles before the parse, and the join that attaches the article occurrences to the
-  link rows after it. For a bounded list (`run_audit`, the CLI), or for sides AQE measures
-  small, these become broadcasts. Pairing, de-duplication and the first-archive lookup add
-  none.
+* `python` counts Python steps in the plan, all over Arrow batches: the scan of the markup, once in
+  every HTML query, and the matching of links (P1, D2).
+* Pages are page files. Which copies count is decided by narrow jobs while the plan is built; the
+  plan itself has one scan that reads `html`, joined with a broadcast of the pages' addresses.
+* The audits (`checked_links`, `validated_dead`, the flat reports...) exchange evidence reduced to one
+  row per URL, and the link rows once to meet it. `report_rows` (full K2 from the article list)
+  adds the join that attaches the article occurrences to the link rows after the parse. Pairing,
+  de-duplication and the first-archive lookup add no exchange.
 * Ranking queries: two exchanges build the page-view fixture (its daily rank window); the
   long-run score adds one partial/final HashAggregate exchange and a TakeOrderedAndProject;
   `daily_top` keeps at most 25 rows per day per partition (WindowGroupLimit).
@@ -70,8 +68,8 @@ def main() -> None:
                                                 "spark.sql.adaptive.enabled": "false",
                                                 "spark.ui.showConsoleProgress": "false"})
     lines = [HEAD.format(sf=sf_dir)]
-    for name, fn in E.queries().items():
-        if name == "incremental_audit":
+    for name, fn in catalog.queries().items():
+        if name.startswith("incremental_"):
             lines.append(f"| `{name}` | stream: per micro-batch the `report_rows` plan | | | | | |\n")
             continue
         df = fn(spark, sf_dir)
