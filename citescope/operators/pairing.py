@@ -10,7 +10,6 @@ Nothing here shuffles.
 
 from __future__ import annotations
 
-import functools
 
 import pyarrow as pa
 from pyspark import SparkContext

@@ -1,6 +1,5 @@
 """Indexed matching (D2, P1) against plain nested loops, and how its time grows."""
 
-import random
 import time
 
 import pytest
