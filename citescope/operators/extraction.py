@@ -10,6 +10,8 @@ joined with evidence keyed by URL.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import citescope
 import pyarrow as pa
 from pyspark import SparkContext, cloudpickle
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from citescope.functions import markup_batch, urls
 from citescope.operators.staging import stage
 from citescope.schemas import MARKUP
+from citescope.session import bound_arrow_batches
 
 # Ship the package's code with the functions so executors need no installed copy of it.
 cloudpickle.register_pickle_by_value(citescope)
@@ -36,8 +39,8 @@ NEAR_SIBLINGS = 4           # "close in document": at most 3 elements before the
 _UDFS: dict = {}
 
 
-def _scan_pages(html: pa.Array) -> pa.Array:
-    return markup_batch.scan_pages(html)
+def _scan_pages(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return markup_batch.scan_pieces(html)
 
 
 def scan_udf():
@@ -53,6 +56,12 @@ def scan(html) -> Column:
     return scan_udf()(_c(html))
 
 
+def _scanned(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the staged facts ``_m`` of every page."""
+    bound_arrow_batches(pages.sparkSession)
+    return stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -158,7 +167,7 @@ def with_reference_tree(pages: DataFrame, html: str = "html", with_html: bool =
     if markup_guard:
         pages = pages.where(_c(html).rlike(REFERENCE_MARKUP))
     keep = [c for c in pages.columns if c != out]
-    scanned = stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+    scanned = _scanned(pages, html, keep)
     return stage(scanned, keep, **{out: references(
         F.col("_m"), F.col(html) if with_html else None, external_only)})
 
@@ -171,7 +180,7 @@ def with_anchor_tree(pages: DataFrame, html: str = "html", out: str = "anchors",
     if markup_guard:
         pages = pages.where(_c(html).rlike(ANCHOR_MARKUP))
     keep = [c for c in pages.columns if c != out]
-    scanned = stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+    scanned = _scanned(pages, html, keep)
     return stage(scanned, keep, **{out: anchors(F.col("_m"), external_only)})
 
 
@@ -180,7 +189,7 @@ def with_link_places(pages: DataFrame, html: str = "html") -> DataFrame:
     ``place`` among the parent's elements, as P2 compares them."""
     pages = pages.where(_c(html).rlike(REFERENCE_MARKUP))
     keep = [c for c in pages.columns if c != html]
-    scanned = stage(pages.withColumn("_scan", scan(html)), keep, _m=F.col("_scan"))
+    scanned = _scanned(pages, html, keep)
     m = F.col("_m")
     facts = {f"_{n}": m[n] for n in ("parent", "links", "seen", "last", "refs")}
     # Places follow from the elements sorted by parent: those of one parent stand together.

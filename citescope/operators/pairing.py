@@ -10,6 +10,7 @@ Nothing here shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from citescope.functions import matching, urls
 from citescope.operators.staging import stage
+from citescope.session import bound_arrow_batches
 
 _PAIRS = "array<struct<ref_pos:int,ref_kind:string,pair_pos:int,original_url:string,archive_url:string>>"
 _UDFS: dict = {}
+PIECE = 4096  # results handed back at a time (those of one page at least)
 
 
 def _arrow(function, kind: str):
@@ -69,12 +72,31 @@ def split_links(links: Column) -> tuple[Column, Column]:
     return origs, archs
 
 
-def _pair_pages(pages: pa.Array) -> pa.Array:
-    return pa.array([None if refs is None else [
+def _pieces(rows: Iterable[list | None], kind: pa.DataType) -> Iterator[pa.Array]:
+    """List rows as arrays of bounded length, so that one page's links are Python objects at a
+    time, and few results, however many pages a batch has."""
+    piece, held = [], 0
+    for row in rows:
+        piece.append(row)
+        held += 1 + len(row or ())
+        if held >= PIECE:
+            yield pa.array(piece, type=kind)
+            piece, held = [], 0
+    if piece:
+        yield pa.array(piece, type=kind)
+
+
+def _pair_page(refs: list[dict] | None) -> list[dict] | None:
+    return None if refs is None else [
         {"ref_pos": r["ref_pos"], "ref_kind": r["ref_kind"], "pair_pos": i, "original_url": o,
          "archive_url": a}
         for r in refs for i, (o, a) in enumerate(matching.pair_reference(r["origs"], r["archs"]))]
-        for refs in pages.to_pylist()], type=_PAIRS_ARROW)
+
+
+def _pair_pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pages in batches:
+        yield from _pieces((_pair_page(page.as_py()) for page in pages), _PAIRS_ARROW)
+    pa.default_memory_pool().release_unused()  # the worker is kept, its peak need not be
 
 
 _PAIRS_ARROW = pa.list_(pa.struct([("ref_pos", pa.int32()), ("ref_kind", pa.string()),
@@ -122,9 +144,11 @@ def archive_parts(links: Column) -> Column:
         urls.archive_original(u), lambda x: F.struct(u.alias("url"), x.alias("ex"), *url_parts(x))))
 
 
-def _match_pages(originals: pa.Array, archives: pa.Array) -> pa.Array:
-    return pa.array([matching.first_matches(o or [], a or []) for o, a in zip(
-        originals.to_pylist(), archives.to_pylist())], type=pa.list_(pa.int32()))
+def _match_pages(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for originals, archives in batches:
+        yield from _pieces((matching.first_matches(o.as_py() or [], a.as_py() or [])
+                            for o, a in zip(originals, archives)), pa.list_(pa.int32()))
+    pa.default_memory_pool().release_unused()
 
 
 def match_archives(df: DataFrame, keep) -> DataFrame:
@@ -135,6 +159,7 @@ def match_archives(df: DataFrame, keep) -> DataFrame:
     ``matches``: ``array<struct<archive_pos, archive_url, original_url>>`` in archive order.
     """
     k = list(keep)
+    bound_arrow_batches(df.sparkSession)
     found = stage(df, k + ["_origs", "_archs"], _at=_arrow(_match_pages, "array<int>")(
         F.col("_origs"), F.col("_archs")))
     return stage(found, k, matches=F.transform("_archs", lambda a, i: F.struct(

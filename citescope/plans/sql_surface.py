@@ -38,6 +38,7 @@ from citescope.functions import markup
 from citescope.functions import text as TX
 from citescope.functions import urls as U
 from citescope.operators import extraction as X
+from citescope.session import bound_arrow_batches
 
 
 class ReferenceLinks:
@@ -98,6 +99,7 @@ def register_sql(spark: SparkSession) -> None:
     _fn(spark, "cs_clean_link_text", s1, "string", TX.clean_link_text(u))
     _fn(spark, "cs_percent_decode", s1, "string", TX.percent_decode(u))
     _fn(spark, "cs_format_duration", {"s": "double"}, "string", TX.format_duration(F.col("s")))
+    bound_arrow_batches(spark)
     spark.udf.register("cs_scan", X.scan_udf())
     for name, (function, returns) in TABLE_FUNCTIONS.items():
         spark.udtf.register(name, F.udtf(function, returnType=returns, useArrow=True))

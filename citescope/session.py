@@ -24,6 +24,9 @@ SCALE_CONF = {
 }
 
 
+ARROW_BYTES = 4 << 20  # of an Arrow batch between the JVM and Python
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "citescope", extra: dict | None = None) -> SparkSession:
     """Local or cluster session with the settings above. The web UI stays off."""
@@ -39,6 +42,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Bounds what the JVM sends to Python at once by bytes: pages and link lists differ in size by
+    orders of magnitude, so a number of rows bounds neither side's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -1,6 +1,7 @@
 """The scan of many pages at once gives what the scan of one page gives."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 from hypothesis import given, settings
@@ -79,3 +80,23 @@ def test_driver_pages(spark):
 
 def test_no_pages():
     assert B.scan_pages(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_memory_does_not_grow_with_the_batch():
+    """A batch of many pages is scanned and handed back in pieces (checked_links, browser_totals)."""
+    from citescope.operators import extraction as X
+
+    def page(i):
+        return "<ol class='references'>" + "".join(
+            f'<li><a href="http://s.example/{i}/{k}">o</a></li>' for k in range(20)) + "</ol>"
+
+    def peak(n):
+        pages = pa.array([page(i) for i in range(n)])
+        tracemalloc.start()
+        rows = sum(len(piece) for piece in X._scan_pages(iter([pages])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most
+
+    assert peak(8000) < 1.3 * peak(2000)

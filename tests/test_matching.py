@@ -1,13 +1,17 @@
 """Indexed matching (D2, P1) against plain nested loops, and how its time grows."""
 
 import time
+import tracemalloc
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citescope.functions import matching as M
+from citescope.operators import extraction as X
 from citescope.operators import pairing as P
 
 
@@ -135,3 +139,42 @@ def test_five_thousand_links_in_one_reference(spark):
     rows = reference_rows(df).orderBy("pair_pos").collect()
     assert [(r.original_url, r.archive_url[-5:]) for r in rows] == [
         (f"https://e.com/{i:05d}", f"{i:05d}") for i in range(n)]
+
+
+def test_pairing_memory_does_not_grow_with_the_batch():
+    """Pages of a batch are paired one by one and handed back in pieces (checked_links)."""
+    def link(i):
+        return {"href": f"http://s.example/{i}", "parent_key": i, "grandparent_key": None, "near_keys": [],
+                "next_href": None, "next_key": None, "prev_href": None, "prev_key": None,
+                "basic": f"s.example/{i}", "norm": f"s.example/{i}", "dom": "s.example", "path": f"/{i}"}
+
+    def peak(n):
+        pages = pa.array([[{"ref_pos": 0, "ref_kind": "list", "origs": [link(i)], "archs": [
+            {"href": f"http://archive.example/{i}", "elem_key": 0, "ex": None, **{
+                k: link(i)[k] for k in ("parent_key", "grandparent_key", "basic", "norm", "dom", "path")}}]}]
+            if i % 9 else None for i in range(n)])
+        tracemalloc.start()
+        found = [(piece[0].as_py(), len(piece)) for piece in P._pair_pages(iter([pages]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found[0][0] is None and sum(rows for _, rows in found) == n
+        return most
+
+    assert peak(20_000) < 1.3 * peak(5000)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([len(batch)] * len(batch))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(2**31 - 1))
+        pages = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("<ol></ol>"), 120_000).alias("html"))
+        X.with_reference_tree(pages)
+        most = pages.select(F.arrow_udf(held, "long")("html").alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.set(key, before)
+    assert most <= 5  # pages of 1 MB
