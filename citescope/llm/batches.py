@@ -6,7 +6,6 @@ import os
 import sys
 import types
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,24 +84,24 @@ def word_ids(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return vocabulary.cast(pa.binary()).to_pylist(), ids, bounds
 
 
-class WordTokens(dict):
-    """word -> token ids as bytes of ``dtype``, from the tokenizers library.
+class WordTokens:
+    """Token ids of texts as bytes of ``dtype``, from the tokenizers library.
 
     Encoding is memoised by word: the tokenizer drops white space and never merges across it,
     so a text's ids are those of its words in order. It lower-cases too, so A-Z are lower-cased
-    first (not around ``<|``, which starts a special token). A new word is cut into a stem and
+    first (not around ``<|``, which starts a special token). A word is cut into a stem and
     the ASCII signs behind it where a letter or digit precedes them, which the tokenizer never
     merges either. New stems made of letters are encoded many in one call: the vocabulary marks
-    the last token of a run of letters, which tells them apart. Of each memo two generations
-    of at most about ``bound`` entries are kept: when the younger is full the older goes, and
-    what is asked for again moves to the younger.
+    the last token of a run of letters, which tells them apart. The memo holds stems and signs
+    in two Arrow arrays, the last asked for first: at most ``bound``, none longer than ``LONGEST``
+    bytes. An entry takes some 30 bytes there, and several times that as Python objects.
     """
 
-    SIGNS = b".,;:!?#*$%&|<>()"
+    SIGNS = ".,;:!?#*$%&|<>()"
     GROUP = 1000
+    LONGEST = 64
 
     def __init__(self, path: str, dtype: str = "<u4", bound: int = 250_000):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -112,71 +111,72 @@ class WordTokens(dict):
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
-        self.older: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
-        self.older_stems: dict[bytes, bytes] = {}
+        self.known = pa.array([], pa.string())
+        self.ids = pa.array([], pa.large_binary())  # of ``known``
 
-    def _ids(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    def _ids(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn_stems(self, stems: list[bytes]) -> None:
-        letters = [x.decode().isalpha() for x in stems]
-        runs = list(compress(stems, letters))
-        groups = [runs[i:i + self.GROUP] for i in range(0, len(runs), self.GROUP)]
-        encoded = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups],
-                                                   add_special_tokens=False)
-        for group, encoding in zip(groups, encoded):
+    def _learned(self, stems: list[str]) -> pa.Array:
+        runs = [x for x in stems if x.isalpha()]
+        found: dict[str, bytes] = {}
+        for group in (runs[i:i + self.GROUP] for i in range(0, len(runs), self.GROUP)):
+            encoding, = self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)
             ids = np.array(encoding.ids, self.dtype)
             ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize).tolist()
             if len(ends) == len(group):
                 data = ids.tobytes()
-                self.stems.update(zip(group, map(data.__getitem__, map(slice, [0, *ends], ends))))
+                found.update(zip(group, map(data.__getitem__, map(slice, [0, *ends], ends))))
             else:  # a letter that normalises to more than letters
-                self.stems.update((x, self._ids(x)) for x in group)
-        self.stems.update((x, self._ids(x)) for x, run in zip(stems, letters) if not run)
-
-    def learn(self, words: list[bytes]) -> None:
-        stems = list(map(bytes.rstrip, words, repeat(self.SIGNS)))
-        for i, (word, stem) in enumerate(zip(words, stems)):
-            if stem != word and stem and (b"<|" in word or not (
-                    stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha())):
-                stems[i] = word  # the signs may belong to the last token of the stem
-        tails = [word[len(stem):] for word, stem in zip(words, stems)]
-        ids, older = self.stems, self.older_stems
-        new = []
-        for x in {*stems, *tails}.difference(ids):
-            if x in older:
-                ids[x] = older[x]
-            else:
-                new.append(x)
-        self._learn_stems(new)
-        self.update(zip(words, [ids[a] + ids[b] if b else ids[a] for a, b in zip(stems, tails)]))
+                found.update((x, self._ids(x)) for x in group)
+        return pa.array([found[x] if x in found else self._ids(x) for x in stems],
+                        pa.large_binary())
+
+    def _of_stems(self, stems: pa.Array) -> pa.Array:
+        """Ids of distinct stems, which move to the front of the memo."""
+        at = pc.index_in(stems, value_set=self.known)
+        new = pc.is_null(at)
+        ids = pa.concat_arrays([self.ids, self._learned(stems.filter(new).to_pylist())])
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        fresh = new.to_numpy(zero_copy_only=False)
+        place[fresh] = len(self.ids) + np.arange(np.count_nonzero(fresh))
+        found = ids.take(pa.array(place))
+        older = np.ones(len(self.known), bool)
+        older[place[~fresh]] = False
+        short = pc.less_equal(pc.binary_length(stems), self.LONGEST)
+        self.known, self.ids = (
+            pa.concat_arrays([a := asked.filter(short).slice(0, self.bound),
+                              kept.filter(pa.array(older)).slice(0, self.bound - len(a))])
+            for asked, kept in ((stems, self.known), (found, self.ids)))
+        return found
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        stems = pc.ascii_rtrim(words, self.SIGNS)
+        cut = np.flatnonzero(pc.not_equal(stems, words).to_numpy(zero_copy_only=False))
+        tails, whole = [], np.zeros(len(words), bool)
+        for i, word, stem in zip(cut, words.take(pa.array(cut)).to_pylist(),
+                                 stems.take(pa.array(cut)).to_pylist()):
+            end = stem[-1:]
+            whole[i] = stem and ("<|" in word or not (
+                end.isalnum() if end.isascii() else end.isalpha()))
+            # the signs may belong to the last token of the stem
+            tails.append("" if whole[i] else word[len(stem):])
+        stems = pc.if_else(pa.array(whole), words, stems)
+        tail = np.full(len(words), len(tails))
+        tail[cut] = np.arange(len(tails))
+        parts = pa.concat_arrays([stems, pa.array([*tails, ""], pa.string()).take(
+            pa.array(tail))]).dictionary_encode()
+        ids = self._of_stems(parts.dictionary).take(parts.indices)
+        return pc.binary_join_element_wise(ids.slice(0, len(words)), ids.slice(len(words)),
+                                           pa.scalar(b"", pa.large_binary()))
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text of a string column as bytes."""
         text = pc.fill_null(column.cast(pa.string()), "")
         text = pc.if_else(pc.match_substring(text, "<|"), text, pc.ascii_lower(text))
-        vocabulary, ids, bounds = word_ids(text)
-        if len(self) > self.bound:
-            self.older = dict(self)
-            self.clear()
-        if len(self.stems) > self.bound:
-            self.older_stems, self.stems = self.stems, {b"": b""}
-        found = list(map(self.get, vocabulary))
-        misses = [i for i, x in enumerate(found) if x is None]
-        if misses:
-            new = []
-            for i in misses:
-                word = vocabulary[i]
-                if word in self.older:
-                    self[word] = self.older[word]
-                else:
-                    new.append(word)
-            self.learn(new)
-            for i in misses:
-                found[i] = self[vocabulary[i]]
-        encoded = pa.array(found, pa.large_binary()).take(pa.array(ids))
+        vocabulary, ids, bounds = words_of(text)
+        encoded = self._of_words(vocabulary).take(pa.array(ids))
         ends = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(pc.binary_length(encoded).to_numpy(), out=ends[1:])
         data = encoded.buffers()[2]

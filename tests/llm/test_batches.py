@@ -1,4 +1,6 @@
+import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,28 @@ def test_special_strings_and_nulls(tokenizer, memo):
     assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode(pa.array(texts))] == want
 
 
+def test_long_words_forgotten_and_repeated(tokenizer):
+    memo = WordTokens(PATH, bound=3)
+    for texts in (["a" * 100 + "!! b c", "d e f g b."], ["b", "a" * 100, None], ["g b c d. " * 3]):
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode(pa.array(texts))] == want
+
+
+def test_memo_takes_few_bytes_a_word():
+    bound, draw = 10_000, random.Random(1)
+    memo = WordTokens(PATH, bound=bound)
+    texts = [" ".join("".join(draw.choices("abcdefghijklmnop", k=9)) + "." for _ in range(5000))
+             for _ in range(10)]
+    memo.encode(pa.array(["warm up"]))
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for text in texts:
+        memo.encode(pa.array([text]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 80 * bound
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
 def test_words_are_runs_without_ascii_white_space(texts):
