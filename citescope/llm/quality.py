@@ -34,6 +34,7 @@ SYMBOLS = b"#*$%&|<>"
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
+BLOCK = 1 << 16      # bytes of words whose n-grams are listed at a time
 BINS = 4096          # of the calibration histogram
 SPAN = 8.0           # scores outside [-SPAN, SPAN] count in the outermost bins
 MIN_WORDS = 50
@@ -76,6 +77,19 @@ def word_grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(buckets)
 
 
+def gram_blocks(vocabulary: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, word, bucket): ``word_grams`` of the words first <= i < last, block by block:
+    the list of all n-grams takes over a hundred times the words' bytes. A longer word is a block
+    of its own."""
+    ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64)
+    first = 0
+    while first < len(vocabulary):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+        yield first, last, *word_grams(vocabulary[first:last])
+        first = last
+
+
 def repeat_words(ids: np.ndarray, bounds: np.ndarray, n_vocabulary: int) -> np.ndarray:
     """Per text, the words covered by three-word windows found twice or more in it."""
     covered = np.zeros(len(ids) + 2, bool)
@@ -110,9 +124,10 @@ def counts_and_scores(column: pa.Array, ratio: np.ndarray) -> dict[str, np.ndarr
     vocabulary, ids, bounds = word_ids(column)
     length = np.array([len(w.decode()) for w in vocabulary], np.int64)
     symbols = np.array([len(w) - len(w.translate(None, SYMBOLS)) for w in vocabulary], np.int64)
-    word, bucket = word_grams(vocabulary)
-    grams = np.bincount(word, minlength=len(vocabulary))
-    value = np.bincount(word, weights=ratio[bucket], minlength=len(vocabulary))
+    grams, value = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary))
+    for a, b, word, bucket in gram_blocks(vocabulary):
+        grams[a:b] = np.bincount(word, minlength=b - a)
+        value[a:b] = np.bincount(word, weights=ratio[bucket], minlength=b - a)
     n_words = np.diff(bounds)
     repeated = repeat_words(ids, bounds, len(vocabulary))
     score = _sums(value[ids], bounds) / np.maximum(1, _sums(grams[ids], bounds))
@@ -145,11 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         for batch in chunks(batches):
             trusted = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             vocabulary, ids, bounds = word_ids(batch.column(1))
-            word, bucket = word_grams(vocabulary)
-            for i, own in enumerate((ids, ids[np.repeat(trusted, np.diff(bounds))])):
-                times = np.bincount(own, minlength=len(vocabulary))
-                total[i] += np.bincount(bucket, weights=times[word],
-                                        minlength=BUCKETS).astype(np.int64)
+            times = [np.bincount(own, minlength=len(vocabulary))
+                     for own in (ids, ids[np.repeat(trusted, np.diff(bounds))])]
+            for a, b, word, bucket in gram_blocks(vocabulary):
+                for i in range(2):
+                    total[i] += np.bincount(bucket, weights=times[i][a:b][word],
+                                            minlength=BUCKETS).astype(np.int64)
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used), "raw": pa.array(total[0][used]),
                                           "target": pa.array(total[1][used])})

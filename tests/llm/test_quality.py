@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from citescope.llm import quality as Q
@@ -49,6 +51,30 @@ def test_repeat_words_with_small_and_large_vocabularies(many):
     assert Q.repeat_words(ids, bounds, max(9, many)).tolist() == [6, 0, 0, 5]
 
 
+def test_blocks_of_words_list_all_grams_in_order():
+    words = [b"a", b"x" * (2 * Q.BLOCK), b"", *(b"w%d" % i for i in range(30_000)), b"end"]
+    word, bucket = Q.word_grams(words)
+    ratio = np.random.default_rng(1).normal(size=Q.BUCKETS)
+    at, found = 0, np.zeros(len(words))
+    for a, b, own, of in Q.gram_blocks(words):
+        assert a == at and b > a
+        at = b
+        found[a:b] = np.bincount(own, weights=ratio[of], minlength=b - a)
+    assert at == len(words)
+    assert np.array_equal(found, np.bincount(word, weights=ratio[bucket], minlength=len(words)))
+    assert list(Q.gram_blocks([])) == []
+
+
+def test_memory_of_scores_does_not_follow_the_grams():
+    texts = pa.array([" ".join(f"word{i:07d}" for i in range(k, k + 500))
+                      for k in range(0, 100_000, 500)])  # 1.2 MB, all words distinct
+    tracemalloc.start()
+    Q.counts_and_scores(texts, np.zeros(Q.BUCKETS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * texts.nbytes
+
+
 def corpus():
     good = [(i, " ".join(f"plain{(i * 7 + j) % 61} words" for j in range(60))) for i in range(60)]
     bad = [(100 + i, " ".join(f"plain{(i * 5 + j) % 61}### words%%%" for j in range(60)))
