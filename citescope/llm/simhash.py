@@ -109,12 +109,12 @@ def links(fps: DataFrame) -> DataFrame:
         return F.inline(F.concat(variants(0, fp.bitwiseAND(low)),
                                  variants(1, F.shiftrightunsigned(fp, 32))))
 
-    agreeing = even.select(halves([0, *(1 << i for i in range(32))])).distinct()
+    # The planner takes rows made by explode for as few as their source has and would broadcast
+    # them; they must not be, as they grow with the data.
+    agreeing = even.select(halves([0, *(1 << i for i in range(32))])).distinct().hint("merge")
     active = (odd.select("fp", halves([0]))
               .join(agreeing, ["side", "half"], "left_semi").select("fp").distinct())
     pairs = [1 << i | 1 << j for h in (0, 32) for i in range(h, h + 32) for j in range(h, i)]
-    # The planner takes rows made by explode for as few as their source has and would broadcast
-    # them; they must not be, as they grow with the data.
     met = (active.select(F.col("fp").alias("b"), _flips(fp, pairs).alias("variant")).hint("merge")
            .join(even.select(F.col("fp").alias("a"), _flips(fp, one).alias("variant")), "variant")
            .where(_distance("a", "b") <= MAX_DISTANCE).select("a", "b"))
