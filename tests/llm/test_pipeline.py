@@ -1,6 +1,8 @@
 import random
+import re
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 import corpus_pipeline as C
 from citescope.llm import quality
@@ -78,6 +80,31 @@ def test_stages_against_brute_force(spark, corpus, tmp_out):
         map(tuple, out.select("doc_id", "piece", "length").collect()))
 
 
+def broadcasts(plan):
+    """The part of a plan below each of its broadcasts."""
+    lines = plan.splitlines()
+    depth = [len(re.match(r"[\s:+*()\d-]*", x)[0]) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            last = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:last])
+
+
+def test_rows_made_by_explode_are_not_broadcast(spark, corpus, monkeypatch):
+    """The planner takes them for as few as their source has, the driver has to hold them all."""
+    plans, write_parquet = [], DataFrameWriter.parquet
+
+    def recorded(self, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write_parquet(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    out = C.run(spark, corpus[0])
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("Generate" in x for x in plans) and any(list(broadcasts(x)) for x in plans)
+    assert not [x for plan in plans for x in broadcasts(plan) if "Generate" in x]
+
+
 def test_empty_tables(spark, make_docs, tmp_out):
     folder = write(spark, f"{tmp_out}/sf", make_docs([]), [], [])
     assert C.run(spark, folder).collect() == []
